@@ -50,7 +50,7 @@ def slices(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield from zip([0, *cuts], [*cuts, len(sizes)], strict=True)
 
 
-def map_texts(df: DataFrame, work: Callable[[list[str | None]], dict[str, object]], added: str, keep: Sequence[str] = ("doc_id",), text: str = "text", drop_text: bool = True) -> DataFrame:
+def map_texts(df: DataFrame, work: Callable[[list[str | None]], dict[str, object]], added: str, keep: Sequence[str] = ("doc_id",), text: str = "text", drop_text: bool = True, limit: int = CHUNK_BYTES) -> DataFrame:
     """`keep` columns unchanged and the columns `added` (DDL) that `work` makes of bounded slices of the text column.
 
     Arrow batches go through without conversion, so nulls and types of kept columns stay as they are. With `drop_text`
@@ -67,7 +67,7 @@ def map_texts(df: DataFrame, work: Callable[[list[str | None]], dict[str, object
         for batch in batches:
             column = batch.column(text)
             sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in slices(sizes):
+            for a, b in slices(sizes, limit):
                 made = work(column.slice(a, b - a).to_pylist())
                 arrays = [batch.column(c).slice(a, b - a) for c in kept]
                 for field, kind in zip(new.fields, types, strict=True):

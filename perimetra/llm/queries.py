@@ -1,22 +1,103 @@
-"""The registered queries of the training-data operators."""
+"""The registered queries of the training-data operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from perimetra.llm import ngram_join
+from perimetra.llm import ann, media, mixing, ngram_join, piece_codec, quality, secrets, sharding, token_counts, warc
 from perimetra.llm.common import table
 
 
+def op1_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit the records that `pages` make against a replica with planted damage, which the hash of a url decides: some
+    records are lost, some have another first character, some come twice. One row per record of either replica."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    fate = F.substring(F.sha2(F.coalesce("url", F.lit("")), 256), 1, 2)
+    lost, changed, doubled = fate == "00", fate == "01", fate == "02"
+    damaged = pages.filter(~lost).withColumn("html", F.when(changed, F.concat(F.lit("#"), F.substring("html", 2, 2147483647))).otherwise(F.col("html")))
+    replica = damaged.unionByName(pages.filter(doubled))
+    files = max(1, -(-pages.count() // warc.FILE_RECORDS))
+    found = warc.audit(warc.leaves(pages, files), warc.leaves(replica, files))
+    return found.select(F.col("record_id").alias("page_id"), "file", "offset", "length", "digest", "status", "other_digest")
+
+
+OP1_SQL = """
+WITH files AS (SELECT greatest(1, CAST(ceil(count(*) / 256.0) AS BIGINT)) AS n FROM pages),
+fates AS (SELECT page_id, url, html, substr(sha256(coalesce(url, '')), 1, 2) AS fate FROM pages),
+damaged AS (
+  SELECT page_id, url, CASE WHEN fate = '01' THEN '#' || substr(html, 2) ELSE html END AS html FROM fates WHERE fate <> '00'
+  UNION ALL SELECT page_id, url, html FROM fates WHERE fate = '02'),
+both_replicas AS (SELECT 'a' AS side, page_id, url, html FROM pages UNION ALL SELECT 'b', page_id, url, html FROM damaged),
+raw AS (
+  SELECT side, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || CAST(page_id AS VARCHAR) || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR)
+    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM both_replicas),
+leaf AS (SELECT side, page_id, CAST(page_id % (SELECT n FROM files) AS INTEGER) AS file, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest FROM raw),
+placed AS (
+  SELECT side, page_id, file, length, digest,
+    CAST(coalesce(sum(length) OVER (PARTITION BY side, file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off,
+    row_number() OVER (PARTITION BY side, file ORDER BY page_id, digest) AS place,
+    row_number() OVER (PARTITION BY side, file, page_id ORDER BY digest) AS copy FROM leaf),
+a AS (SELECT * FROM placed WHERE side = 'a'), b AS (SELECT * FROM placed WHERE side = 'b')
+SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.file, b.file) AS file, coalesce(a.off, b.off) AS "offset", coalesce(a.length, b.length) AS length, coalesce(a.digest, b.digest) AS digest,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' WHEN a.digest <> b.digest THEN 'corrupt' WHEN a.off <> b.off OR a.place <> b.place THEN 'moved' ELSE 'same' END AS status,
+  b.digest AS other_digest
+FROM a FULL JOIN b ON a.file = b.file AND a.page_id = b.page_id AND a.copy = b.copy
+"""
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.fit_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rates.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), "rate")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"), keep_codes=False)
+
+
+def op8_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+    ops = (op1_warc_fixity_audit, op2_nearest_neighbours, op3_ngram_jaccard_join, op4_source_mixing, op5_quality_classifier, op6_sentencepiece_codec, op7_media_columns, op8_virtual_slot_shards, op9_token_counts, op10_secret_scan, pipeline)
+    return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_fixity_audit": OP1_SQL}
