@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from perimetra.plans import q_data, q_evaluation, q_evidence, q_search, q_serving, q_stateful, q_tracks  # noqa: F401  they register their queries
+from perimetra.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
