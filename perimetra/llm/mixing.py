@@ -34,6 +34,8 @@ TOLERANCE = 1e-4
 DAMPING = 0.02
 TRAIN_ROWS = 20_000
 HASHED = 1 << 17
+#: Documents' worth of the domains' shares that a word's counts are shrunk with.
+SHRINK = 20.0
 
 
 def _profile(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -53,10 +55,8 @@ class DomainClassifier:
         table = np.zeros((HASHED, k))
         for slots, d in zip(present, domain, strict=True):
             table[slots, d] += 1
-        rate = (table + 0.05) / (count + 0.1)
-        overall = (table.sum(1, keepdims=True) + 0.05) / (count.sum() + 0.1)
-        self.odds = np.clip(np.log(rate / overall), -3, 6)
-        self.odds[table.sum(1) < 10] = 0
+        share = (count + 0.5) / (count.sum() + 0.5 * k)
+        self.odds = np.log((table + SHRINK * share) / (table.sum(1, keepdims=True) + SHRINK) / share)
         self.mean, self.scale = (features.mean(0), features.std(0) + 1e-6) if len(features) else (np.zeros(len(quality.NAMES)), np.ones(len(quality.NAMES)))
         self.weights = np.zeros((len(quality.NAMES) + k + 1, k))
         if len(domain):
@@ -148,8 +148,8 @@ def _sums(table: DataFrame, rates: Rates, moments: bool) -> np.ndarray:
     return out
 
 
-def solve(table: DataFrame, targets: dict[str, float], total: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[Rates, np.ndarray, np.ndarray]:
-    """Rates for the posterior table, the tokens that domains come to and their targets.
+def solve(table: DataFrame, targets: dict[str, float], total: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[Rates, np.ndarray, np.ndarray, np.ndarray]:
+    """Rates for the posterior table, the tokens that domains come to, their targets, and their tokens at rate one.
 
     total: tokens of the mixture; as many as there are by default. Each step is a gradient step in the metric of the
     domains' damped second moments, over the documents whose rate is not held at zero, followed by the projection
@@ -176,13 +176,13 @@ def solve(table: DataFrame, targets: dict[str, float], total: float | None = Non
         gap = sums[:k] - goal
         if np.abs(gap).sum() / max(goal.sum(), 1.0) < best[0]:
             best = (0, len(rates.steps), sums[:k])
-    return Rates(rates.steps[: best[1]]), best[2], goal
+    return Rates(rates.steps[: best[1]]), best[2], goal, natural
 
 
 def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, posterior, rate (nonnegative expected copies)."""
     table = materialize(posteriors(docs, train(docs, labels)), "posteriors")
-    rates, _, _ = solve(table, targets or TARGETS, total)
+    rates = solve(table, targets or TARGETS, total)[0]
     rate = F.pandas_udf(lambda p: _series(rates.of(np.array(p.tolist(), float).reshape(len(p), len(DOMAINS)))), "double")
     return table.select("doc_id", "n_tokens", "posterior", rate("posterior").alias("rate"))
 
@@ -194,18 +194,22 @@ def _series(values: np.ndarray):
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents drawn at their rates, scaled so that a document surely of the first domain has rate one: all columns kept, none repeated.
+    """The documents drawn at their rates, without repeats: all columns kept.
 
-    A document stays if a uniform number hashed from its doc_id and text lies below its rate.
+    Rates are scaled so that a document surely of the domain most wanted has rate one. A document stays if a uniform
+    number hashed from its doc_id and text lies below its rate. Those whose likeliest domain is to gain share are not
+    thinned: their share grows as the others' tokens go.
     """
     model = train(docs, labels)
     table = materialize(posteriors(docs, model), "posteriors")
-    rates, _, _ = solve(table, targets or TARGETS)
-    top = max(float(rates.of(np.eye(len(DOMAINS))[:1])[0]), 1e-12)
+    rates, _, goal, natural = solve(table, targets or TARGETS)
+    gains = goal * natural.sum() > natural * goal.sum()
+    top = max(float(rates.of(np.eye(len(DOMAINS))).max()), 1e-12)
 
     def work(texts: list[str | None]) -> dict[str, object]:
         _, x, present = _profile(texts)
-        return {"__rate": rates.of(model.posterior(x, present)) / top}
+        p = model.posterior(x, present)
+        return {"__rate": np.where(gains[p.argmax(1)], 1.0, rates.of(p) / top)}
 
     drawn = map_texts(docs, work, "__rate double", keep=docs.columns)
     uniform = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
