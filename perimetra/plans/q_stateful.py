@@ -1,0 +1,119 @@
+"""Queries of the order-dependent folds and windows."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from perimetra.operators import stateful
+from perimetra.plans.bind import POINTS_SQL, table, track_points
+from perimetra.plans.q_data import boxes
+from perimetra.plans.q_search import _hashes
+from perimetra.plans.registry import query
+
+
+def _agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = track_points(spark, sf_dir)
+    return p.withColumn("agree", (F.col("x") / 500 >= 0.02) & (F.col("y") / 100 >= 0.25)).withColumn("hit", F.col("x") < 30)
+
+
+@query(f"""WITH {POINTS_SQL}, a AS (SELECT camera_id, seq, t, x / 500 >= 0.02 AND y / 100 >= 0.25 AS agree FROM pts), i AS (SELECT *, sum(CASE WHEN agree THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id ORDER BY t, seq) AS island FROM a)
+SELECT camera_id, seq, row_number() OVER (PARTITION BY camera_id, island ORDER BY t, seq) AS streak FROM i WHERE agree""")
+def agreement_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length so far of each unbroken agreement."""
+    order = Window.partitionBy("camera_id").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    a = _agree(spark, sf_dir).withColumn("island", F.sum(F.when(F.col("agree"), 0).otherwise(1)).over(order)).filter("agree")
+    return a.select("camera_id", "seq", F.row_number().over(Window.partitionBy("camera_id", "island").orderBy("t", "seq")).cast("long").alias("streak"))
+
+
+@query()
+def fusion_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.batch(_agree(spark, sf_dir), ["camera_id"], partial(stateful.Fusion, 3, 1800.0))
+
+
+@query()
+def hysteresis_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.batch(_agree(spark, sf_dir), ["camera_id"], stateful.Hysteresis)
+
+
+@query()
+def throttled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offers = track_points(spark, sf_dir).filter("class_name = 'error'").withColumn("site", F.lit("all")).withColumn("rule", F.col("class_name"))
+    return stateful.batch(offers, ["site"], stateful.Throttle)
+
+
+@query()
+def slot_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.batch(track_points(spark, sf_dir), ["camera_id"], partial(stateful.Sampler, 1 / 1800))
+
+
+@query()
+def min_gap_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.batch(track_points(spark, sf_dir), ["camera_id"], partial(stateful.MinGap, 1800.0))
+
+
+@query()
+def due_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.batch(track_points(spark, sf_dir), ["camera_id"], partial(stateful.DueSchedule, 3, 3600.0))
+
+
+@query(f"""WITH {POINTS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY track_id, class_name ORDER BY t, seq) AS rn FROM pts) SELECT track_id, class_name, seq FROM f WHERE rn = 1""")
+def first_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first firing of each track and rule makes the event."""
+    n = F.row_number().over(Window.partitionBy("track_id", "class_name").orderBy("t", "seq"))
+    return track_points(spark, sf_dir).withColumn("n", n).filter("n = 1").select("track_id", "class_name", "seq")
+
+
+@query()
+def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.batch(_hashes(spark, sf_dir).withColumn("t", F.col("seq").cast("double")), ["sequence"], partial(stateful.Leaders, 4))
+
+
+@query()
+def box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir).withColumn("score", F.pmod(F.xxhash64("image", "box", "x1"), F.lit(1000)) / 1000.0).withColumnRenamed("box", "id")
+    return stateful.nms(b, ["image"], 0.3)
+
+
+@query()
+def crossing_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = track_points(spark, sf_dir).select("camera_id", "day", "class_name", "t", F.col("seq").alias("id"))
+    return stateful.match_in_time(p.filter("class_name = 'error'"), p.filter("class_name = 'purchase'"), ["camera_id", "day"], 1800.0)
+
+
+@query()
+def box_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = track_points(spark, sf_dir)
+    d = p.select("camera_id", "day", "t", "seq", F.lit("person").alias("cls"), (F.col("y") / 100).alias("score"), *[(F.col(a) + b).alias(n) for n, a, b in (("x1", "x", 0.0), ("y1", "y", 0.0), ("x2", "x", 60.0), ("y2", "y", 60.0))])
+    return stateful.track_boxes(d, ["camera_id", "day"], buffer=7200.0)
+
+
+@query(f"""WITH {POINTS_SQL}, p AS (SELECT *, t - lag(t) OVER (PARTITION BY track_id ORDER BY t, seq) AS gap FROM pts), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY t, seq) AS session FROM p)
+SELECT track_id, count(*) AS points, CAST(floor(min(t)) AS BIGINT) AS started FROM s GROUP BY track_id, session""")
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows with a gap of six hours."""
+    p = track_points(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6 + 0.5).cast("long")))
+    s = p.groupBy("track_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("points"))
+    return s.select("track_id", "points", F.unix_timestamp("w.start").alias("started"))
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp("w.start").alias("start_s"), "event_type", "n")
+
+
+@query(f"""WITH {POINTS_SQL}, tr AS (SELECT camera_id, seq, t FROM pts WHERE class_name = 'purchase'), n AS (SELECT tr.camera_id, tr.seq AS trigger_seq, p.seq, row_number() OVER (PARTITION BY tr.camera_id, tr.seq ORDER BY p.t DESC, p.seq DESC) AS k FROM tr JOIN pts p ON p.camera_id = tr.camera_id AND p.t BETWEEN tr.t - 3600 AND tr.t)
+SELECT camera_id, trigger_seq, count(*) AS frames FROM n WHERE k <= 5 GROUP BY 1, 2""")
+def clip_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hour before each trigger, five frames at most."""
+    from perimetra.operators import ranging
+
+    p = track_points(spark, sf_dir)
+    triggers = p.filter("class_name = 'purchase'").select("camera_id", F.col("seq").alias("trigger_seq"), "t")
+    near = ranging.band_join(triggers, p.select("camera_id", "seq", "t"), ["camera_id"], "t", 3600.0).filter("t_right <= t")
+    k = F.row_number().over(Window.partitionBy("camera_id", "trigger_seq").orderBy(F.desc("t_right"), F.desc("seq")))
+    return near.withColumn("k", k).filter("k <= 5").groupBy("camera_id", "trigger_seq").agg(F.count(F.lit(1)).alias("frames"))
