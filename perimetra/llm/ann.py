@@ -186,7 +186,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, target: f
 
     def rank(key: tuple, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asks):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "ids": pd.Series([], dtype=object), "scores": pd.Series([], dtype=object)})
         own = own.drop_duplicates(["vec_id", "vector"]).sort_values("vec_id", kind="stable")
         ids = own["vec_id"].to_numpy()
         block = np.frombuffer(b"".join(own["vector"]), np.float64).reshape(len(own), width)
