@@ -39,9 +39,9 @@ leaf AS (SELECT side, page_id, CAST(page_id % (SELECT n FROM files) AS INTEGER)
 placed AS (
   SELECT side, page_id, file, length, digest,
     CAST(coalesce(sum(length) OVER (PARTITION BY side, file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off,
-    row_number() OVER (PARTITION BY side, file ORDER BY page_id, digest) AS place,
-    row_number() OVER (PARTITION BY side, file, page_id ORDER BY digest) AS copy FROM leaf),
-a AS (SELECT * FROM placed WHERE side = 'a'), b AS (SELECT * FROM placed WHERE side = 'b')
+    row_number() OVER (PARTITION BY side, file ORDER BY page_id, digest) AS place FROM leaf),
+counted AS (SELECT *, row_number() OVER (PARTITION BY side, file, page_id ORDER BY place) AS copy FROM placed),
+a AS (SELECT * FROM counted WHERE side = 'a'), b AS (SELECT * FROM counted WHERE side = 'b')
 SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.file, b.file) AS file, coalesce(a.off, b.off) AS "offset", coalesce(a.length, b.length) AS length, coalesce(a.digest, b.digest) AS digest,
   CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' WHEN a.digest <> b.digest THEN 'corrupt' WHEN a.off <> b.off OR a.place <> b.place THEN 'moved' ELSE 'same' END AS status,
   b.digest AS other_digest
