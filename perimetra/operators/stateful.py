@@ -6,6 +6,8 @@ without holding a group in memory; `perimetra.streaming` runs the same fold with
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 from typing import Protocol
@@ -312,3 +314,27 @@ def track_boxes(detections: DataFrame, by: Sequence[str], iou_high: float = 0.2,
 
     kinds = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in by)
     return whole_groups(detections, by, ["t", "seq"], fold, f"{kinds}, seq long, track long, confirmed boolean")
+
+
+class Dismissals:
+    """A camera's baseline after each dismissal: wrong-direction ones turn the heading, loitering ones move the dwell, by `rate`."""
+
+    columns, output = ("seq", "rule", "heading", "dwell"), "seq long, majority double, typical_dwell double, dismissals long"
+
+    def __init__(self, majority: float | None = None, typical_dwell: float = 0.0, rate: float = 0.15) -> None:
+        self.majority, self.dwell, self.rate, self.count = majority, typical_dwell, rate, 0
+
+    def step(self, row: tuple) -> Iterator[tuple]:
+        seq, rule, heading, dwell = row
+        if rule == "wrong direction" and heading == heading and heading is not None:
+            if self.majority is None:
+                self.majority = heading
+            else:
+                a, b = math.radians(self.majority), math.radians(heading)
+                y = (1 - self.rate) * math.sin(a) + self.rate * math.sin(b)
+                x = (1 - self.rate) * math.cos(a) + self.rate * math.cos(b)
+                self.majority = math.degrees(math.atan2(y, x)) % 360.0
+        if rule == "loitering":
+            self.dwell = (1 - self.rate) * self.dwell + self.rate * dwell
+        self.count += 1
+        yield seq, self.majority, self.dwell, self.count
