@@ -136,3 +136,29 @@ def gate(ident: str, name: str, threshold: str, observed: DataFrame, passed: Col
     result = F.when(passed, "PASS").otherwise("FAIL")
     result = result if skip is None else F.when(skip, "SKIP").otherwise(result)
     return observed.select(F.lit(ident).alias("gate"), F.lit(name).alias("name"), F.lit(threshold).alias("threshold"), F.col("observed").cast("double").alias("observed"), result.alias("result"))
+
+
+def hard_set(rows: DataFrame, buckets: Sequence[tuple[str, Column, int]], filler: int, seed: str, key: str) -> DataFrame:
+    """A set of hard rows: each bucket (name, condition, number) in turn takes its share of rows not yet taken, then others fill up: adds `bucket`.
+
+    A row belongs to the first bucket whose condition it meets.
+    """
+    own = F.lit(None).cast("string")
+    for name, condition, _ in reversed(buckets):
+        own = F.when(condition, name).otherwise(own)
+    most = F.create_map(*[x for name, _, n in buckets for x in (F.lit(name), F.lit(n))], F.lit("filler"), F.lit(filler))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(shuffle_key(seed, F.col(key)), key))
+    marked = rows.withColumn("bucket", F.coalesce(own, F.lit("filler"))).withColumn("__rank", rank)
+    return marked.filter(F.col("__rank") <= most[F.col("bucket")]).drop("__rank")
+
+
+def reconcile(manifest: DataFrame, listing: DataFrame, stem: Column) -> DataFrame:
+    """Manifest entries (entry) against files (path) by derived stem: found, missing, or ambiguous."""
+    files = listing.select(stem.alias("entry"), "path").groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("found")
+    return manifest.join(files, "entry", "left").select(*manifest.columns, status.alias("status"), F.when(F.col("n") == 1, F.col("path")).alias("path"))
+
+
+def ranked_reasons(rows: DataFrame, n: int = 3) -> DataFrame:
+    """The n reasons that matter most: blocking first, then priority, impact and key."""
+    return rows.orderBy(F.desc("blocking"), "priority", F.desc("impact"), "key").limit(n)

@@ -121,3 +121,24 @@ def replay_guard(rows: DataFrame, skew: float = 120.0, nonce: str = r"^[0-9a-f]{
     """First use of each well-formed nonce whose clock skew is small (columns nonce, sent, received in seconds)."""
     good = rows.filter((F.abs(F.col("received") - F.col("sent")) <= skew) & F.col("nonce").rlike(nonce))
     return first_per(good, ["nonce"], ["received", "sent"])
+
+
+def apply_patches(alerts: DataFrame, patches: DataFrame, key: str, order: str, columns: Sequence[str], gone: str = "gone") -> tuple[DataFrame, DataFrame]:
+    """Alerts with the last non-null value of each patched column, and the patches that are refused: of unknown alerts (not found) or of gone ones (conflict).
+
+    A row's `changed` lists the columns that a patch really changed, so a patch that comes twice changes nothing more.
+    """
+    known = patches.join(alerts.select(key, F.col("stage").alias("__stage")), key, "left")
+    why = F.when(F.col("__stage").isNull(), "not found").when(F.col("__stage") == gone, "conflict")
+    refused = known.filter(why.isNotNull()).select(*patches.columns, why.alias("problem"))
+    good = known.filter(F.col("__stage").isNotNull() & (F.col("__stage") != gone))
+    last = materialised(good, [key], [order], columns).select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    j = alerts.join(last, key, "left")
+    changed = F.array_compact(F.array(*[F.when(F.col(f"__{c}").isNotNull() & ~F.col(f"__{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in columns]))
+    return j.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in alerts.columns], changed.alias("changed")), refused
+
+
+def rate_limited(rows: DataFrame, by: Sequence[str], most: int, width: int = 60) -> DataFrame:
+    """Rows (t in seconds, seq) with `allowed`: whether they are among the first `most` of their key in their interval."""
+    w = Window.partitionBy(*by, F.floor(F.col("t") / width)).orderBy("t", "seq")
+    return rows.withColumn("allowed", F.row_number().over(w) <= most)
