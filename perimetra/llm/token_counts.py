@@ -80,5 +80,6 @@ def token_counts(docs: DataFrame, path: str | None = None, cache: str | None = N
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     known = spark.read.schema(_CACHE).parquet(cache).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
     # Written out, the join's two sides are plain shuffles, and Spark can split the partition of a hot digest.
-    counts = materialize(known.join(narrow.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "counts")
+    needed = narrow.select("digest").distinct()
+    counts = materialize(known.join(needed, "digest", "left_semi").dropDuplicates(["digest"]), "counts")
     return narrow.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
