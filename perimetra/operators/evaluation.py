@@ -40,43 +40,85 @@ def match(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     return pred.join(own.select("image", "cls", "pred_id", "gt_id", "iou"), ["image", "cls", "pred_id"], "left")
 
 
-def curve(matched: DataFrame, gt: DataFrame, by: Sequence[str] = ("cls",)) -> DataFrame:
-    """Per prediction in falling confidence: tp, fp so far, recall, precision and its envelope."""
+def curve(matched: DataFrame, gt: DataFrame, by: Sequence[str] = ("cls",), bins: int = 1000) -> DataFrame:
+    """Per prediction in falling confidence: tp, fp so far, recall, precision and its envelope.
+
+    Confidences are cut into ranges of 1 / bins; counts run within a range, on top of the totals of the ranges above, so
+    that a class is not ordered in one task.
+    """
     n = gt.groupBy(*by).agg(F.count(F.lit(1)).alias("n_gt"))
-    order = Window.partitionBy(*by).orderBy(F.desc("conf"), "image", "pred_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = matched.join(n, list(by)).select(*by, "image", "pred_id", "conf", "n_gt", F.row_number().over(order).alias("pos"), F.count_if(F.col("gt_id").isNotNull()).over(upto).alias("tp"), F.count_if(F.col("gt_id").isNull()).over(upto).alias("fp"))
-    rows = rows.withColumn("recall", F.col("tp") / F.col("n_gt")).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
-    after = Window.partitionBy(*by).orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("envelope", F.max("precision").over(after))
+    ranged = [*by, "range"]
+    rows = matched.join(n, list(by)).select(*by, "image", "pred_id", "conf", "n_gt", F.floor(F.col("conf") * bins).alias("range"), F.col("gt_id").isNotNull().cast("long").alias("hit"))
+    above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*ranged).agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("rows"))
+    totals = totals.select(*ranged, F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("hits_above"), F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("rows_above"))
+    order = Window.partitionBy(*ranged).orderBy(F.desc("conf"), "image", "pred_id")
+    placed = rows.select("*", F.row_number().over(order).alias("own_pos"), F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("own_hits"))
+    placed = _join_ranges(placed, totals, by)
+    placed = placed.select(*ranged, "image", "pred_id", "conf", "n_gt", (F.col("own_pos") + F.col("rows_above")).alias("pos"), (F.col("own_hits") + F.col("hits_above")).alias("tp"))
+    placed = placed.withColumn("fp", F.col("pos") - F.col("tp")).withColumn("recall", F.col("tp") / F.col("n_gt")).withColumn("precision", F.col("tp") / F.col("pos"))
+    below = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    best = placed.groupBy(*ranged).agg(F.max("precision").alias("best")).select(*ranged, F.max("best").over(below).alias("best_below"))
+    # Falling positions: a frame that only grows is kept up row by row, one that shrinks is computed anew for each.
+    after = Window.partitionBy(*ranged).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    out = _join_ranges(placed.withColumn("own_best", F.max("precision").over(after)), best, by)
+    return out.select(*by, "image", "pred_id", "conf", "n_gt", "pos", "tp", "fp", "recall", "precision", F.greatest("own_best", "best_below").alias("envelope"))
+
+
+def _join_ranges(rows: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their range; ranges of null keys or confidences are ranges, too."""
+    keys = [*by, "range"]
+    other = totals.select(*[F.col(c).alias(f"__{c}") for c in keys], *[c for c in totals.columns if c not in keys])
+    met = F.lit(True)
+    for c in keys:
+        met = met & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(other, met).drop(*[f"__{c}" for c in keys])
 
 
 def average_precision(curves: DataFrame, gt: DataFrame, by: Sequence[str] = ("cls",)) -> DataFrame:
-    """AP by the area under the envelope at 101 recalls, linearly interpolated: null without ground truth, 0 without predictions."""
-    points = curves.select(*by, F.col("recall").alias("r"), F.col("pos").cast("long").alias("p"), F.col("envelope").alias("v"))
-    top = curves.groupBy(*by).agg(F.max("envelope").alias("top"))
-    # The curve begins at recall 0 with precision 1 and ends at recall 1 with precision 0.
-    ends = top.select(*by, F.lit(0.0).alias("r"), F.lit(0).cast("long").alias("p"), F.lit(1.0).alias("v")).unionByName(top.select(*by, F.lit(1.0).alias("r"), F.lit(1 << 60).cast("long").alias("p"), F.lit(0.0).alias("v")))
-    known = points.unionByName(ends).select("*", F.lit(0).alias("is_mark"), F.struct("r", "v").alias("at"))
-    marks = top.select(*by, F.explode(F.sequence(F.lit(0), F.lit(100))).alias("k"))
-    marks = marks.select(*by, (F.col("k") / 100.0).alias("r"), F.lit(1 << 61).cast("long").alias("p"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("is_mark"), F.lit(None).cast("struct<r:double,v:double>").alias("at"))
-    order = Window.partitionBy(*by).orderBy("r", "is_mark", "p")
-    both = known.unionByName(marks)
-    both = both.withColumn("lo", F.last("at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first("at", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    low, high = F.col("lo"), F.col("hi")
-    value = F.when(high["r"].isNull() | (high["r"] == low["r"]), low["v"]).otherwise(low["v"] + (F.col("r") - low["r"]) / (high["r"] - low["r"]) * (high["v"] - low["v"]))
-    steps = both.filter("is_mark = 1").select(*by, "r", value.alias("v"))
-    area = (F.col("v") + F.lag("v").over(Window.partitionBy(*by).orderBy("r"))) / 2 * 0.01
-    ap = steps.withColumn("area", area).groupBy(*by).agg(F.sum("area").alias("ap"))
+    """AP by the area under the envelope at 101 recalls, linearly interpolated: null without ground truth, 0 without predictions.
+
+    Between two marks only the curve's last point up to the upper one and its first point above the lower one matter;
+    both are plain aggregates, and windows run over the marks alone.
+    """
+    r = F.col("recall")
+    near = F.ceil(r * 100)
+    mark = F.when((near - 1) / 100.0 >= r, near - 1).when(near / 100.0 < r, near + 1).otherwise(near)  # the least mark not below r
+    known = curves.select(*by, mark.cast("int").alias("mark"), F.struct(r.alias("r"), F.col("pos").cast("long").alias("p"), F.col("envelope").alias("v")).alias("at"))
+    ranges = known.groupBy(*by, "mark").agg(F.max("at").alias("last"), F.min("at").alias("first"))
+
+    def point(mark: Column, r: float | None, p: int | None, v: float | None) -> Column:
+        at = F.struct(F.lit(r).cast("double").alias("r"), F.lit(p).cast("long").alias("p"), F.lit(v).cast("double").alias("v"))
+        at = F.when(F.lit(r is not None), at)
+        return F.struct(mark.cast("int").alias("mark"), at.alias("last"), at.alias("first"))
+
+    # The curve begins at recall 0 with precision 1 and ends at recall 1 with precision 0. A class has at most 101 ranges.
+    own = F.collect_list(F.struct("mark", "last", "first"))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: point(k, None, None, None))
+    every = F.concat("own", F.array(point(F.lit(0), 0.0, 0, 1.0), point(F.lit(100), 1.0, 1 << 60, 0.0)), marks)
+    both = ranges.groupBy(*by).agg(own.alias("own")).select(*by, F.explode(every).alias("m"))
+    both = both.groupBy(*by, F.col("m.mark").alias("mark")).agg(F.max("m.last").alias("last"), F.min("m.first").alias("first"))
+    rising, falling = Window.partitionBy(*by).orderBy("mark"), Window.partitionBy(*by).orderBy(F.desc("mark"))
+    both = both.withColumn("lo", F.max("last").over(rising.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.min("first").over(falling.rowsBetween(Window.unboundedPreceding, -1)))
+    low, high, r = F.col("lo"), F.col("hi"), F.col("mark") / 100.0
+    value = F.when(high["r"].isNull() | (high["r"] == low["r"]), low["v"]).otherwise(low["v"] + (r - low["r"]) / (high["r"] - low["r"]) * (high["v"] - low["v"]))
+    area = (F.col("v") + F.lag("v").over(rising)) / 2 * 0.01
+    ap = both.select(*by, "mark", value.alias("v")).withColumn("area", area).groupBy(*by).agg(F.sum("area").alias("ap"))
     n = gt.groupBy(*by).agg(F.count(F.lit(1)).alias("n_gt"))
     return n.join(ap, list(by), "left").select(*by, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
-def at_thresholds(curves: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("cls",)) -> DataFrame:
-    """tp, fp, precision, recall and f1 of the predictions with conf >= each threshold."""
-    grid = F.array(*[F.lit(t) for t in thresholds])
-    hit = curves.select(*by, "n_gt", "conf", "tp", "fp", F.explode(F.filter(grid, lambda t: F.col("conf") >= t)).alias("threshold"))
-    rows = hit.groupBy(*by, "threshold").agg(F.max("n_gt").alias("n_gt"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
+def at_thresholds(matched: DataFrame, gt: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("cls",)) -> DataFrame:
+    """tp, fp, precision, recall and f1 of the predictions with conf >= each threshold that some prediction reaches.
+
+    Predictions are counted once, by the highest threshold that they reach; only these counts are summed up again.
+    """
+    grid = F.array(*[F.lit(float(t)) for t in sorted(set(thresholds))])
+    n = gt.groupBy(*by).agg(F.count(F.lit(1)).alias("n_gt"))
+    reached = matched.select(*by, F.size(F.filter(grid, lambda t: F.col("conf") >= t)).alias("reached"), F.col("gt_id").isNotNull().cast("long").alias("hit")).filter("reached > 0")
+    counts = reached.groupBy(*by, "reached").agg(F.sum("hit").alias("tp"), F.sum(1 - F.col("hit")).alias("fp"))
+    hit = counts.select(*by, "tp", "fp", F.explode(F.slice(grid, F.lit(1), F.col("reached"))).alias("threshold"))
+    rows = hit.groupBy(*by, "threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")).join(n, list(by)).select(*by, "threshold", "n_gt", "tp", "fp")
     p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("n_gt")
     return rows.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 

@@ -56,7 +56,7 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EVAL_SQL} SELECT cls, pos::INTEGER AS pos, tp, fp, round(recall, 6) AS recall, round(envelope, 6) AS envelope FROM env")
 def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _curves(spark, sf_dir)[2]
-    return c.select("cls", "pos", "tp", "fp", F.round("recall", 6).alias("recall"), F.round("envelope", 6).alias("envelope"))
+    return c.select("cls", F.col("pos").cast("int").alias("pos"), "tp", "fp", F.round("recall", 6).alias("recall"), F.round("envelope", 6).alias("envelope"))
 
 
 @query(f"""WITH {_EVAL_SQL}, known AS (SELECT cls, recall AS r, pos AS p, envelope AS v FROM env UNION ALL SELECT cls, 0.0, 0, 1.0 FROM n UNION ALL SELECT cls, 1.0, 1000000000, 0.0 FROM n),
@@ -71,21 +71,21 @@ def ap101(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_AT_SQL} SELECT cls, threshold, tp, fp, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM ff")
 def pr_at_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _curves(spark, sf_dir)[2]
-    p = evaluation.at_thresholds(c, _GRID)
+    gt, matched, _ = _curves(spark, sf_dir)
+    p = evaluation.at_thresholds(matched, gt, _GRID)
     return p.select("cls", "threshold", "tp", "fp", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
 
 
 @query(f"WITH {_AT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY round(f1, 12) DESC, threshold) AS k FROM ff) SELECT cls, threshold, round(f1, 6) AS f1 FROM r WHERE k = 1")
 def f1_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _curves(spark, sf_dir)[2]
-    return evaluation.best_f1(evaluation.at_thresholds(c, _GRID)).select("cls", "threshold", F.round("f1", 6).alias("f1"))
+    gt, matched, _ = _curves(spark, sf_dir)
+    return evaluation.best_f1(evaluation.at_thresholds(matched, gt, _GRID)).select("cls", "threshold", F.round("f1", 6).alias("f1"))
 
 
 @query(f"WITH {_AT_SQL}, ok AS (SELECT cls, min(threshold) AS threshold FROM ff WHERE fp <= 0.5 * 1000 GROUP BY cls) SELECT c.cls, CASE WHEN ok.threshold IS NULL THEN 'unreachable' WHEN tp = 0 THEN 'vacuous' ELSE 'met' END AS status, ok.threshold, round(r, 6) AS recall FROM (SELECT DISTINCT cls FROM ff) c LEFT JOIN ok USING (cls) LEFT JOIN ff ON ff.cls = c.cls AND ff.threshold = ok.threshold")
 def false_alert_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _curves(spark, sf_dir)[2]
-    return evaluation.budget_point(evaluation.at_thresholds(c, _GRID), 1000, 0.5).withColumn("recall", F.round("recall", 6))
+    gt, matched, _ = _curves(spark, sf_dir)
+    return evaluation.budget_point(evaluation.at_thresholds(matched, gt, _GRID), 1000, 0.5).withColumn("recall", F.round("recall", 6))
 
 
 @query()

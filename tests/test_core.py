@@ -147,6 +147,33 @@ def test_perfect_detector_and_no_truth(spark):
     assert stats.ap_of(np.full(20, 0.9), np.ones(20), np.ones(20), 20.0) == pytest.approx(0.995)
 
 
+@pytest.mark.parametrize("bins", [1, 7, 1000])
+def test_curve_ranges_agree_with_one_ordered_pass(spark, bins):
+    rng = np.random.default_rng(bins)
+    rows = [(c, i, i, float(rng.integers(0, 40)) / 40, int(i) if rng.random() < 0.6 else None) for c in ("a", "b") for i in range(120)]
+    matched = spark.createDataFrame(rows, "cls string, image long, pred_id long, conf double, gt_id long")
+    gt = spark.createDataFrame([(c, i) for c in ("a", "b", "c") for i in range(130)], "cls string, gt_id long")
+    curves = evaluation.curve(matched, gt, bins=bins)
+    found = {(r["cls"], r["pos"]): r for r in curves.collect()}
+    ap = {r["cls"]: r["ap"] for r in evaluation.average_precision(curves, gt).collect()}
+    at = {(r["cls"], r["threshold"]): (r["tp"], r["fp"]) for r in evaluation.at_thresholds(matched, gt, [0.0, 0.5, 0.9]).collect()}
+    assert len(found) == len(rows) and ap["c"] == 0.0
+    for cls in ("a", "b"):
+        own = sorted((r for r in rows if r[0] == cls), key=lambda r: (-r[3], r[1], r[2]))
+        tp = np.cumsum([r[4] is not None for r in own])
+        precision = tp / np.arange(1, len(own) + 1)
+        envelope = np.maximum.accumulate(precision[::-1])[::-1]
+        for k, r in enumerate(own):
+            f = found[cls, k + 1]
+            assert (f["image"], f["tp"], f["fp"]) == (r[1], tp[k], k + 1 - tp[k]) and f["envelope"] == pytest.approx(envelope[k])
+        marks = np.linspace(0, 1, 101)
+        value = np.interp(marks, np.r_[0.0, tp / 130, 1.0], np.r_[1.0, envelope, 0.0])
+        assert ap[cls] == pytest.approx(((value[1:] + value[:-1]) / 2 * 0.01).sum(), abs=2e-3)
+        for t in (0.0, 0.5, 0.9):
+            hits = [r[4] is not None for r in own if r[3] >= t]
+            assert at[cls, t] == (sum(hits), len(hits) - sum(hits))
+
+
 def test_intervals():
     assert stats.poisson_interval(0)[1] == pytest.approx(3.6889, abs=1e-3) and stats.poisson_upper(0) == 3.0
     low, high = stats.poisson_interval(10)
