@@ -10,8 +10,8 @@ links and the edges of a spanning star. Texts of one shingle set are one class a
 
 Edge cases: null and empty texts, and texts without words, have no shingles; those with the same (null as empty) text
 are one class and link to each other only. A text of one to four words is one shingle. Repeated doc_ids keep all their
-rows and count as copies; a doc_id is taken to name one text. Rows without a doc_id take no part. Extra columns are not
-carried.
+rows and count as copies; a doc_id is taken to name one text. Rows without a doc_id take no part, and `one_of_each`
+keeps them. Extra columns are not carried by `ngram_join`.
 """
 
 from __future__ import annotations
@@ -219,8 +219,12 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
 
 
 def one_of_each(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents with the smallest doc_id of their class, all columns kept; rows that repeat that doc_id become one."""
+    """The documents with the smallest doc_id of their class, all columns kept; rows that repeat that doc_id become one.
+
+    Rows without a doc_id cannot be told apart by it and all stay.
+    """
     kept = ngram_join(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
     left = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    named, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    repeated = not named.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return (left.dropDuplicates(["doc_id"]) if repeated else left).unionByName(nameless)

@@ -100,7 +100,9 @@ def test_forest_depth_meets_the_target():
 
 def test_one_of_each_keeps_columns_and_drops_repeats(docs):
     kept = ngram_join.one_of_each(docs)
-    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    rows = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    ids = [i for i in rows if i is not None]
+    assert len(rows) - len(ids) == docs.filter("doc_id is null").count() > 0
     assert kept.columns == docs.columns and len(ids) == len(set(ids)) and 0 in ids and 1 not in ids and 2 not in ids
 
 
