@@ -40,6 +40,21 @@ def match(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     return pred.join(own.select("image", "cls", "pred_id", "gt_id", "iou"), ["image", "cls", "pred_id"], "left")
 
 
+def match_sized(gt: DataFrame, pred: DataFrame, bucket: int, threshold: float = 0.5) -> DataFrame:
+    """As `match`, within one size bucket: gt_id is of that bucket's ground truth only, and `ignored` marks predictions
+    that count neither as right nor as wrong.
+
+    A prediction without a partner in the bucket is ignored if it then finds one among the other ground truth, or if its
+    own height is of another bucket. Heights are y2 - y1; a null height is of no bucket.
+    """
+    inside = F.coalesce(size_bucket(F.col("y2") - F.col("y1")) == bucket, F.lit(False)) & F.col("y1").isNotNull() & F.col("y2").isNotNull()
+    found = match(gt.filter(inside), pred, threshold).withColumn("outside", ~inside)
+    rest = found.filter("gt_id is null").drop("gt_id", "iou", "outside")
+    spare = match(gt.filter(~inside), rest, threshold).filter("gt_id is not null").select("image", "cls", "pred_id").distinct().withColumn("elsewhere", F.lit(True))
+    ignored = F.col("gt_id").isNull() & (F.coalesce("elsewhere", F.lit(False)) | F.col("outside"))
+    return found.join(spare, ["image", "cls", "pred_id"], "left").withColumn("ignored", ignored).drop("elsewhere", "outside")
+
+
 def curve(matched: DataFrame, gt: DataFrame, by: Sequence[str] = ("cls",), bins: int = 1000) -> DataFrame:
     """Per prediction in falling confidence: tp, fp so far, recall, precision and its envelope.
 

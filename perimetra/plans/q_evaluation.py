@@ -30,14 +30,16 @@ pts_at AS (SELECT cls, threshold, max(n_gt) AS n_gt, max(tp) AS tp, max(fp) AS f
 f AS (SELECT *, tp / (tp + fp) AS p, tp / n_gt AS r FROM pts_at), ff AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM f)"""
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _boxes(spark: SparkSession, sf_dir: str, varied: bool = False) -> tuple[DataFrame, DataFrame]:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     x, y = F.col("l_quantity") * 3.0, (F.col("l_partkey") % 150).cast("double")
     key = (F.col("l_linenumber") + 10 * F.col("l_suppkey")).cast("long")
-    gt = l.filter("l_linenumber <= 6").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("cls"), key.alias("gt_id"), x.alias("x1"), y.alias("y1"), (x + 20.0).alias("x2"), (y + 30.0).alias("y2"))
+    # Heights are all alike, or vary about an edge between size buckets.
+    height = 30.0 + F.col("l_partkey") % 5 if varied else F.lit(30.0)
+    gt = l.filter("l_linenumber <= 6").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("cls"), key.alias("gt_id"), x.alias("x1"), y.alias("y1"), (x + 20.0).alias("x2"), (y + height).alias("y2"))
     dx, dy = F.col("l_partkey") % 9, F.col("l_suppkey") % 7
     conf = ((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 1000) / 1000.0
-    pred = l.filter("l_linenumber >= 2").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("cls"), key.alias("pred_id"), conf.alias("conf"), (x + dx).alias("x1"), (y + dy).alias("y1"), (x + 20.0 + dx).alias("x2"), (y + 30.0 + dy).alias("y2"))
+    pred = l.filter("l_linenumber >= 2").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("cls"), key.alias("pred_id"), conf.alias("conf"), (x + dx).alias("x1"), (y + dy).alias("y1"), (x + 20.0 + dx).alias("x2"), (y + height + (F.col("l_suppkey") % 5 if varied else dy)).alias("y2"))
     return gt, pred
 
 
@@ -101,6 +103,30 @@ def size_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", evaluation.size_bucket(F.col("o_totalprice") / 5000).alias("bucket"))
 
 
+_SIZED_SQL = """
+base AS (SELECT l_orderkey AS image, l_returnflag AS cls, (l_linenumber + 10 * l_suppkey)::BIGINT AS id, l_quantity * 3.0 AS x1, (l_partkey % 150)::DOUBLE AS y1, l_quantity * 3.0 + 20.0 AS x2, (l_partkey % 150) + 30.0 + l_partkey % 5 AS y2, l_partkey, l_suppkey, l_linenumber FROM lineitem),
+gt AS (SELECT image, cls, id AS gt_id, x1, y1, x2, y2, (y2 - y1 < sqrt(38.0 * 27) AND y2 - y1 >= sqrt(27.0 * 19)) AS inside FROM base WHERE l_linenumber <= 6),
+pred AS (SELECT image, cls, id AS pred_id, ((l_partkey * 37 + l_suppkey * 11) % 1000) / 1000.0::DOUBLE AS conf, x1 + (l_partkey % 9) AS x1, y1 + (l_suppkey % 7) AS y1, x2 + (l_partkey % 9) AS x2, y2 + (l_suppkey % 5) AS y2 FROM base WHERE l_linenumber >= 2),
+sized AS (SELECT *, (y2 - y1 < sqrt(38.0 * 27) AND y2 - y1 >= sqrt(27.0 * 19)) AS p_inside FROM pred),
+over AS (SELECT p.image, p.cls, pred_id, conf, gt_id, inside, greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1), 0) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1), 0) AS common, (p.x2 - p.x1) * (p.y2 - p.y1) AS ap, (g.x2 - g.x1) * (g.y2 - g.y1) AS ag FROM sized p JOIN gt g ON p.image = g.image AND p.cls = g.cls),
+pairs AS (SELECT *, common / (ap + ag - common) AS iou FROM over WHERE common / (ap + ag - common) >= 0.5),
+a1 AS (SELECT *, row_number() OVER (PARTITION BY image, cls, pred_id ORDER BY iou DESC, gt_id) AS k FROM pairs WHERE inside),
+a2 AS (SELECT *, row_number() OVER (PARTITION BY image, cls, gt_id ORDER BY conf DESC, pred_id) AS m FROM a1 WHERE k = 1),
+own AS (SELECT image, cls, pred_id, gt_id FROM a2 WHERE m = 1),
+b1 AS (SELECT p.*, row_number() OVER (PARTITION BY image, cls, pred_id ORDER BY iou DESC, gt_id) AS k FROM pairs p ANTI JOIN own USING (image, cls, pred_id) WHERE NOT inside),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY image, cls, gt_id ORDER BY conf DESC, pred_id) AS m FROM b1 WHERE k = 1),
+spare AS (SELECT image, cls, pred_id FROM b2 WHERE m = 1)"""
+
+
+@query(f"""WITH {_SIZED_SQL} SELECT p.image, p.cls, p.pred_id, coalesce(o.gt_id, -1) AS gt_id, (o.gt_id IS NULL AND (s.pred_id IS NOT NULL OR NOT p_inside)) AS ignored
+FROM sized p LEFT JOIN own o ON p.image = o.image AND p.cls = o.cls AND p.pred_id = o.pred_id LEFT JOIN spare s ON p.image = s.image AND p.cls = s.cls AND p.pred_id = s.pred_id""")
+def sized_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching within one size bucket, the rest of the ground truth ignored."""
+    gt, pred = _boxes(spark, sf_dir, varied=True)
+    found = evaluation.match_sized(gt, pred, 3)
+    return found.select("image", "cls", "pred_id", F.coalesce("gt_id", F.lit(-1)).alias("gt_id"), "ignored")
+
+
 _PLATES_SQL = "pl AS (SELECT event_id, substr(sha256(CAST(user_id AS VARCHAR)), 1, 8) AS reference, CASE WHEN event_id % 3 = 0 THEN substr(sha256(CAST(user_id AS VARCHAR)), 1, 8) ELSE substr(sha256(CAST(user_id AS VARCHAR)), 1, CAST(event_id % 8 AS INTEGER)) || substr(sha256(CAST(event_id % 4 AS VARCHAR)), 1, 8 - CAST(event_id % 8 AS INTEGER)) END AS hypothesis, value AS width FROM events)"
 
 

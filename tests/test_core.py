@@ -174,6 +174,17 @@ def test_curve_ranges_agree_with_one_ordered_pass(spark, bins):
             assert at[cls, t] == (sum(hits), len(hits) - sum(hits))
 
 
+def test_sized_match_ignores_other_buckets(spark):
+    box = "image long, cls string, {} long, x1 double, y1 double, x2 double, y2 double"
+    gt = spark.createDataFrame([(1, "a", 1, 0.0, 0.0, 10.0, 30.0), (1, "a", 2, 50.0, 0.0, 60.0, 90.0)], box.format("gt_id"))
+    rows = [(1, "a", 1, 0.0, 0.0, 10.0, 30.0), (1, "a", 2, 50.0, 0.0, 60.0, 88.0), (1, "a", 3, 200.0, 0.0, 210.0, 30.0), (1, "a", 4, 300.0, 0.0, 310.0, 80.0)]
+    pred = spark.createDataFrame(rows, box.format("pred_id")).withColumn("conf", F.lit(0.5))
+    small = {r["pred_id"]: (r["gt_id"], r["ignored"]) for r in evaluation.match_sized(gt, pred, 3).collect()}
+    assert small == {1: (1, False), 2: (None, True), 3: (None, False), 4: (None, True)}
+    large = {r["pred_id"]: (r["gt_id"], r["ignored"]) for r in evaluation.match_sized(gt, pred, 0).collect()}
+    assert large == {1: (None, True), 2: (2, False), 3: (None, True), 4: (None, False)}
+
+
 def test_intervals():
     assert stats.poisson_interval(0)[1] == pytest.approx(3.6889, abs=1e-3) and stats.poisson_upper(0) == 3.0
     low, high = stats.poisson_interval(10)
