@@ -114,19 +114,29 @@ def posteriors(docs: DataFrame, model: DomainClassifier, keep: Sequence[str] = (
 
 
 class Rates:
-    """The steps so far; gives the rate of any posterior by taking them again."""
+    """The steps so far; gives the rate of any posterior by taking them again. Rates are at most `most`, and one where `held` is the likeliest domain."""
 
-    def __init__(self, steps: Sequence[np.ndarray] = ()) -> None:
-        self.steps = list(steps)
+    def __init__(self, steps: Sequence[np.ndarray] = (), most: float = np.inf, held: int | None = None) -> None:
+        self.steps, self.most, self.held = list(steps), most, held
 
     def of(self, posterior: np.ndarray) -> np.ndarray:
         rate = np.ones(len(posterior))
         for step in self.steps:
-            rate = np.maximum(0, rate - posterior @ step)
-        return rate
+            rate = np.clip(rate - posterior @ step, 0, self.most)
+        return np.where(self.holds(posterior), 1.0, rate)
 
+    def holds(self, posterior: np.ndarray) -> np.ndarray:
+        return posterior.argmax(1) == (-1 if self.held is None else self.held)
 
-def _sums(table: DataFrame, rates: Rates, moments: bool) -> np.ndarray:
+    def free(self, posterior: np.ndarray, rate: np.ndarray, gap: np.ndarray | None) -> np.ndarray:
+        """Which rates a step moves: those not held, nor (by the last gap) pressed against a bound."""
+        if gap is None:
+            return (rate > 0) & ~self.holds(posterior)
+        down = posterior @ gap > 0
+        return np.where(down, rate > 0, rate < self.most) & ~self.holds(posterior)
+
+
+def _sums(table: DataFrame, rates: Rates, moments: bool, last_gap: np.ndarray | None = None) -> np.ndarray:
     """Expected tokens by domain, and with moments the K x K matrix of tokens x posterior x posterior, summed over all rows."""
     k = len(DOMAINS)
 
@@ -138,7 +148,7 @@ def _sums(table: DataFrame, rates: Rates, moments: bool) -> np.ndarray:
             rate = rates.of(p)
             total[:k] += (n * rate) @ p
             if moments:
-                total[k:] += ((p * (n * (rate > 0))[:, None]).T @ p).ravel()
+                total[k:] += ((p * (n * rates.free(p, rate, last_gap))[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(range(k + k * k), pa.int32()), pa.array(total)], names=["i", "v"])
 
     rows = table.select("n_tokens", "posterior").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
@@ -179,6 +189,44 @@ def solve(table: DataFrame, targets: dict[str, float], total: float | None = Non
     return Rates(rates.steps[: best[1]]), best[2], goal, natural
 
 
+def solve_draw(table: DataFrame, targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[Rates, np.ndarray, np.ndarray]:
+    """Rates of at most one for the posterior table, the tokens that domains come to, and the tokens aimed at.
+
+    Documents whose likeliest domain is the most wanted one that has documents (clean, where there are any) have rate
+    one. The other domains are fitted to their targets in proportion to that domain's tokens. A domain that has fewer
+    tokens than that, or none, is left whole, as nothing is drawn twice.
+    """
+    k = len(DOMAINS)
+    weights = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    likeliest = table.select((F.array_position("posterior", F.array_max("posterior")) - 1).cast("int").alias("d")).distinct().collect()
+    present = [r["d"] for r in likeliest if r["d"] is not None and weights[r["d"]] > 0]
+    rates = Rates(most=1.0, held=max(present, key=lambda d: weights[d], default=None))
+    sums = _sums(table, rates, True)
+    if rates.held is None:
+        return rates, sums[:k], sums[:k]
+    natural, others = sums[:k], np.arange(k) != rates.held
+
+    def aim(got: np.ndarray) -> np.ndarray:
+        return np.where(others, np.minimum(natural, weights / weights[rates.held] * got[rates.held]), got)
+
+    best, since = (np.inf, rates, sums[:k], natural), 0
+    for taken in range(steps + 1):
+        goal = aim(sums[:k])
+        gap = sums[:k] - goal
+        miss = np.abs(gap).sum() / max(goal.sum(), 1.0)
+        since = 0 if miss < 0.999 * best[0] else since + 1
+        if miss < best[0]:
+            best = (miss, rates, sums[:k], goal)
+        if miss <= tolerance or since == 3 or taken == steps:
+            break
+        moment = sums[k:].reshape(k, k)[np.ix_(others, others)]
+        step = np.zeros(k)
+        step[others] = np.linalg.solve(moment + DAMPING * max(np.trace(moment), 1.0) / k * np.eye(k - 1), gap[others])
+        rates = Rates([*rates.steps, step], rates.most, rates.held)
+        sums = _sums(table, rates, True, gap)
+    return best[1:]
+
+
 def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, posterior, rate (nonnegative expected copies)."""
     table = materialize(posteriors(docs, train(docs, labels)), "posteriors")
@@ -194,22 +242,17 @@ def _series(values: np.ndarray):
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents drawn at their rates, without repeats: all columns kept.
+    """The documents drawn at the rates of `solve_draw`, without repeats: all columns kept.
 
-    Rates are scaled so that a document surely of the domain most wanted has rate one. A document stays if a uniform
-    number hashed from its doc_id and text lies below its rate. Those whose likeliest domain is to gain share are not
-    thinned: their share grows as the others' tokens go.
+    A document stays if a uniform number hashed from its doc_id and text lies below its rate.
     """
     model = train(docs, labels)
     table = materialize(posteriors(docs, model), "posteriors")
-    rates, _, goal, natural = solve(table, targets or TARGETS)
-    gains = goal * natural.sum() > natural * goal.sum()
-    top = max(float(rates.of(np.eye(len(DOMAINS))).max()), 1e-12)
+    rates = solve_draw(table, targets or TARGETS)[0]
 
     def work(texts: list[str | None]) -> dict[str, object]:
         _, x, present = _profile(texts)
-        p = model.posterior(x, present)
-        return {"__rate": np.where(gains[p.argmax(1)], 1.0, rates.of(p) / top)}
+        return {"__rate": rates.of(model.posterior(x, present))}
 
     drawn = map_texts(docs, work, "__rate double", keep=docs.columns)
     uniform = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)

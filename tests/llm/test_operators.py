@@ -195,6 +195,31 @@ def test_mixing_reaches_its_targets(docs, empty, labels, spark):
     assert mixing.mix_documents(docs, labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("mix", [(990, 8, 2), (1980, 20, 0), (1500, 500, 0), (1200, 400, 400)])
+def test_draws_keep_clean_and_meet_reachable_shares(spark, mix):
+    domain = np.repeat([0, 1, 2], mix)
+    rows = [(i, prose(40, i) + ("", " zzbad zzbad2 zzbad3", " qqpoor qqpoor2 qqpoor3")[d], int(d != 2), int(d == 1)) for i, d in enumerate(domain)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    kept = np.array([r["doc_id"] for r in mixing.mix_documents(d, lab).collect()])
+    drawn = np.bincount(domain[kept], minlength=3)
+    wanted = [min(m, mix[0] * w / 0.97 * t) for m, w, t in zip(mix, (0.97, 0.02, 0.01), (1, 40 / 43, 40 / 43), strict=True)]
+    assert drawn[0] == mix[0]
+    for got, want, have in zip(drawn[1:], wanted[1:], mix[1:], strict=True):
+        assert got == have if want == have else abs(got - want) <= 4 * want**0.5
+
+
+def test_drawing_rates_meet_their_aims_exactly(spark):
+    r = np.random.default_rng(3)
+    p = np.concatenate([r.dirichlet(a, 400) for a in ((30, 1, 1), (1, 12, 1), (1, 2, 12))])
+    table = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(r.integers(20, 200, len(p)), p, strict=True)], "n_tokens long, posterior array<double>")
+    n = np.array([x["n_tokens"] for x in table.collect()])
+    rates, sums, aim = mixing.solve_draw(table, {"clean": 0.8, "toxic": 0.15, "poor": 0.05})
+    rate = rates.of(p)
+    assert np.allclose((n * rate) @ p, sums) and (rate >= 0).all() and (rate <= 1).all() and (rate[p.argmax(1) == 0] == 1).all()
+    assert np.allclose(sums / sums.sum(), [0.8, 0.15, 0.05], atol=1e-3) and len(rates.steps) < 20
+
+
 def test_piece_codec_equals_the_library(docs, empty):
     import sentencepiece
 
