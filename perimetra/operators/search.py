@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,6 +84,25 @@ def clip_label(ts: Column) -> Column:
 # --- near-duplicates of 64-bit hashes
 
 BANDS = 4
+#: Words of a shingle of `simhash`, and digests that are summed at once.
+SHINGLE_WORDS, DIGESTS = 3, 65_536
+
+
+def simhash(text: str | None) -> int:
+    """64-bit simhash (signed) over all word shingles of the whole text, each counted as often as it comes: the majority of each bit of their SHA-256.
+
+    A text with fewer words than a shingle is one shingle; one without words is hashed as it is, null as the empty text.
+    """
+    words = re.findall(r"\w+", (text or "").lower())
+    made: Iterable[str] = (" ".join(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))) if words else [text or ""]
+    digests = b"".join(hashlib.sha256(m.encode()).digest()[:8] for m in made)
+    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    ones = sum(np.unpackbits(rows[i : i + DIGESTS], axis=1).sum(0, dtype=np.int64) for i in range(0, len(rows), DIGESTS))
+    return int(np.packbits(2 * ones > len(rows)).view(">i8")[0])
+
+
+def simhashes(text: Column) -> Column:
+    return F.pandas_udf(lambda t: pd.Series([simhash(x) for x in t], dtype="int64"), "long")(text)
 
 
 def bands(hash64: Column) -> Column:

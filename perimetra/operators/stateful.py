@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,15 +199,19 @@ class Leaders:
     columns, output = ("seq", "hash"), "seq long, leader long"
 
     def __init__(self, most: int = 10) -> None:
-        self.most, self.leaders = most, []
+        self.most, self.leaders, self.hashes = most, [], np.zeros(64, np.uint64)
 
     def step(self, row: tuple) -> Iterator[tuple]:
-        seq, value = int(row[0]), int(row[1])
-        for at, leader in self.leaders:
-            if ((leader ^ value) & (2**64 - 1)).bit_count() <= self.most:
-                yield seq, at
-                return
-        self.leaders.append((seq, value))
+        seq, value = int(row[0]), np.uint64(int(row[1]) & (2**64 - 1))
+        n = len(self.leaders)
+        near = np.bitwise_count(self.hashes[:n] ^ value) <= self.most
+        if near.any():
+            yield seq, self.leaders[int(near.argmax())]
+            return
+        if n == len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros(n, np.uint64)))
+        self.hashes[n] = value
+        self.leaders.append(seq)
         yield seq, seq
 
 

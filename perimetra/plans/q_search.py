@@ -83,7 +83,24 @@ def keyframe_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.array_join(search.chips(F.col("event_type"), F.col("value") > 100, rules, plate), " · ").alias("chips"))
 
 
-#: A 60-bit hash of the first words: near-equal documents share it, others do not, and flips of low bits make near ones.
+def whole_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simhashes of whole texts, computed once a row."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("sequence"), F.col("lang").alias("modality"), "text")
+    return rows.withColumn("hash", search.simhashes(F.col("text"))).drop("text")
+
+
+@query()
+def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.near_hashes(whole_hashes(spark, sf_dir))
+
+
+@query()
+def simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later near-copies, by whole texts, from another sequence are dropped; those of the same sequence are reported."""
+    return search.dedupe(whole_hashes(spark, sf_dir)).select("seq", "sequence", "dropped", "within")
+
+
+#: Only the SQL-checked band_lsh queries: a 60-bit hash of a text's first 24 characters, with flips of low bits that make near ones.
 _HASH_SQL = """h AS (SELECT doc_id AS seq, source AS sequence, lang AS modality, xor(('0x' || substr(sha256(substr(text, 1, 24)), 1, 15))::BIGINT, CAST(pow(2, doc_id % 3) AS BIGINT)) AS hash FROM documents)"""
 
 

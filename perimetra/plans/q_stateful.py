@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from perimetra.operators import stateful
 from perimetra.plans.bind import POINTS_SQL, table, track_points
 from perimetra.plans.q_data import boxes
-from perimetra.plans.q_search import _hashes
+from perimetra.plans.q_search import whole_hashes
 from perimetra.plans.registry import query
 
 
@@ -69,7 +69,7 @@ def first_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stateful.batch(_hashes(spark, sf_dir).withColumn("t", F.col("seq").cast("double")), ["sequence"], partial(stateful.Leaders, 4))
+    return stateful.batch(whole_hashes(spark, sf_dir).withColumn("t", F.col("seq").cast("double")), ["sequence"], partial(stateful.Leaders, 4))
 
 
 @query()

@@ -1,6 +1,7 @@
 """Golden fixtures and invariants of the core operators."""
 
 import hashlib
+import re
 from functools import partial
 
 import numpy as np
@@ -227,6 +228,40 @@ def test_search_add_is_idempotent_and_round_trips(spark):
     assert search.search(index, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)), 1).first()["clip_id"] == 1
 
 
+def _plain_simhash(text):
+    words = re.findall(r"\w+", (text or "").lower())
+    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else [text or ""]
+    values = [int(hashlib.sha256(p.encode()).hexdigest()[:16], 16) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
+
+
+def test_near_copies_are_told_by_whole_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    r = np.random.default_rng(4)
+    long = [" ".join(f"w{x}" for x in r.integers(0, 5000, 600)) for _ in range(6)]
+    opening = "the same opening of every text, longer than any cut "
+    texts = [opening + t for t in long] + ["Other first words, " + long[0], opening + long[0], long[1] + " end", None, "", "!!!", "two words", long[2], long[2] + " tail"]
+    rows = [(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    h = [_plain_simhash(t) for t in texts]
+
+    def near(a, b, most=4):
+        return (a ^ b).bit_count() <= most and any((a ^ b) >> s & 0xFFFF == 0 for s in (0, 16, 32, 48))
+
+    mask = 2**64 - 1
+    pairs = {(frozenset((p["ha"] & mask, p["hb"] & mask)), p["distance"]) for p in entry.queries()["simhash_pairs"](spark, str(tmp_path)).collect()}
+    assert pairs == {(frozenset((a, b)), (a ^ b).bit_count()) for a in h for b in h if near(a, b)}
+    got = {x["seq"]: (x["dropped"], x["within"]) for x in entry.queries()["simhash_duplicates"](spark, str(tmp_path)).collect()}
+    assert got == {i: (any(near(h[j], h[i]) and (i - j) % 2 for j in range(i)), any(near(h[j], h[i], 2) and (i - j) % 2 == 0 for j in range(i))) for i in range(len(h))}
+    leads, leaders = {}, {0: [], 1: []}
+    for i, x in enumerate(h):
+        leads[i] = next((j for j in leaders[i % 2] if (h[j] ^ x).bit_count() <= 4), i)
+        leaders[i % 2] += [i] * (leads[i] == i)
+    assert {x["seq"]: x["leader"] for x in entry.queries()["leader_clusters"](spark, str(tmp_path)).collect()} == leads
+    assert not any(got[i][0] or got[i][1] for i in range(6)) and leads[6] == 0 and leads[2] == 2  # a shared opening is no near copy; a changed one stays one
+
+
 def test_merge_moves_forward_only(spark):
     rows = [("a", 1, "e1", ["fence"], "tpl", "template", None, 50, "provisional"), ("a", 2, "e2", ["loiter", "fence"], "said", "model", None, 60, "confirmed"), ("a", 3, "e3", [], "tpl2", "template", None, 70, "provisional"), ("a", 4, "e4", [], "tpl3", "template", None, 80, "sealed")]
     df = spark.createDataFrame(rows, "k string, seq long, event_id string, rules array<string>, reason string, reason_source string, evidence_id string, confidence int, stage string")
