@@ -19,6 +19,7 @@ carried.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Sequence
@@ -385,6 +386,19 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: Sequence[st
     return map_texts(docs, work, "n_tokens long, ids array<int>", keep=keep, limit=SLICE_BYTES)
 
 
+def round_trip_documents(docs: DataFrame, path: str | None = None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """As encode_documents, with the SHA-256 of the text that the ids decode to, and whether that is the document's text (null as empty)."""
+    path = path or model_path()
+
+    def work(texts: list[str | None]) -> dict[str, object]:
+        ids, first = codec(path).encode(texts)
+        back = codec(path).decode(ids, first)
+        same = [b == (t or "") for b, t in zip(back, texts, strict=True)]
+        return {"n_tokens": np.diff(first), "ids": list_array(ids, first), "decoded_sha256": [hashlib.sha256(b.encode()).hexdigest() for b in back], "round_trip": same}
+
+    return map_texts(docs, work, "n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean", keep=keep, limit=SLICE_BYTES)
+
+
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows with ids; null ids give a null text."""
     path = path or model_path()

@@ -68,7 +68,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode_documents(table(spark, sf_dir, "documents"))
+    return piece_codec.round_trip_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,18 @@ def test_piece_codec_equals_the_library(docs, empty):
     assert all(back[i] == (t or "") for i, t in [(r[0], r[1]) for r in awkward()] if i is not None)
 
 
+def test_op6_decodes_every_text(spark, docs, tmp_path):
+    from perimetra.llm import queries
+
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, "odd \u2581 mark")], "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op6_sentencepiece_codec(spark, str(tmp_path)).collect()
+    texts = {r[0]: r[1] or "" for r in awkward()}
+    assert len(rows) == len(awkward()) + 1
+    for r in rows:
+        assert r["round_trip"] == (r["doc_id"] != 900)
+        assert r["decoded_sha256"] == hashlib.sha256(texts.get(r["doc_id"], "odd   mark").encode()).hexdigest()
+
+
 def test_media_is_lossless_and_equal_for_equal_texts(docs, empty):
     got = media.media_columns(docs, keep_media=True).collect()
     texts = {r[0]: r[1] for r in awkward()}
