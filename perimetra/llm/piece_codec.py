@@ -321,10 +321,11 @@ class PieceCodec:
             out[k] = np.array(ids_r, np.int32).tobytes()
 
     def _words(self, text: str) -> list[str]:
-        """The text cut before each space (or run of spaces): no piece reaches over such a place."""
+        """The text cut before each space (or run of spaces): no piece reaches over such a place. Words that do not begin with just one space are marked by a NUL."""
         if "  " not in text and "\0" not in text and text[:1] != " " and text[-1:] != " " and SPACE not in text and self.dummy:
             return text.split(" ")
-        return [f"\0{w}" for w in _RUNS.findall((SPACE if self.dummy else "") + text.replace(" ", SPACE))]
+        cut = _RUNS.findall((SPACE if self.dummy else "") + text.replace(" ", SPACE))
+        return [w[1:] if w[0] == SPACE and w[1:2] not in ("", SPACE, "\0") else f"\0{w}" for w in cut]
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the first id of each text (one more at the end)."""

@@ -238,6 +238,20 @@ def test_piece_codec_equals_the_library(docs, empty):
     assert all(back[i] == (t or "") for i, t in [(r[0], r[1]) for r in awkward()] if i is not None)
 
 
+def test_only_words_with_runs_of_spaces_are_merged_alone(monkeypatch):
+    import sentencepiece
+
+    path = piece_codec.model_path()
+    own, merged = piece_codec.PieceCodec(path), []
+    plain = own._by_merging
+    monkeypatch.setattr(own, "_by_merging", lambda word: merged.append(word) or plain(word))
+    texts = ["some plain words  and one run", "a trailing space ", "odd\u2581mark here", "nul \0inside wo\0rd"]
+    ids, first = own.encode(texts)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [library.encode(t) for t in texts]
+    assert sorted(merged) == sorted(["\u2581\u2581and", "\u2581", "\u2581\0inside"])
+
+
 def test_op6_decodes_every_text(spark, docs, tmp_path):
     from perimetra.llm import queries
 
