@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -12,8 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Bytes of text that one vectorised step handles; a longer document is a step of its own.
-CHUNK_BYTES = 2_000_000
+#: Bytes of text that one vectorised step handles; a longer document is a step of its own, worked on block by block.
+CHUNK_BYTES = 512_000
+#: Bytes of the Arrow batches that go to Python workers, at most (but a longer row is one batch).
+BATCH_BYTES = 4_000_000
+#: Bytes (or words) of one block: what a step needs beside its text and its results is bounded by it.
+BLOCK = 1 << 17
 
 _MULT = 0x9E3779B97F4A7C15
 _POLY = np.uint64(0xD6E8FEB86659FD93)
@@ -22,9 +27,12 @@ _WORD_COEF = np.array([(_MULT * (2 * i + 1) | 1) & (2**64 - 1) for i in range(64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir that driver and executors share. Where it is unset, one of our own if all run on
+    this machine, as in tests; an error on a cluster, whose hosts would each write to a folder of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="perimetra-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +46,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+            path = hadoop.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,12 +76,21 @@ def slices(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield from zip([0, *cuts], [*cuts, len(sizes)], strict=True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have the session cut Arrow batches at BATCH_BYTES, unless it cuts them shorter; rows of whole texts are too large for a bound by number alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not held or int(held[1]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, work: Callable[[list[str | None]], dict[str, object]], added: str, keep: Sequence[str] = ("doc_id",), text: str = "text", drop_text: bool = True, limit: int = CHUNK_BYTES) -> DataFrame:
     """`keep` columns unchanged and the columns `added` (DDL) that `work` makes of bounded slices of the text column.
 
     Arrow batches go through without conversion, so nulls and types of kept columns stay as they are. With `drop_text`
     False the text stays too, unless `added` replaces it.
     """
+    bounded_batches(df.sparkSession)
     new = StructType.fromDDL(added)
     kept = [c for c in keep if c not in new.names] + ([text] if not drop_text and text not in new.names and text not in keep else [])
     schema = StructType([df.schema[c] for c in kept] + new.fields)
@@ -94,18 +129,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+def _powers(base: np.uint64) -> np.ndarray:
+    steps = np.full(BLOCK + 1, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + CHUNK_BYTES // 2)
-        for key, base in (("up", _POLY), ("down", _POLY_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+#: Powers of the hash base and of its inverse, modulo 2**64, for places within one block.
+_UP, _DOWN = _powers(_POLY), _powers(_POLY_INV)
 
 
 def joined(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,21 +144,63 @@ def joined(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     raw = [(t or "").encode() for t in texts]
     offsets = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=offsets[1:])
-    return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8), offsets
-
-
-def prefix_hash(buffer: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each prefix of buffer, modulo 2**64; one more entry than bytes."""
-    up, _ = powers(len(buffer))
-    out = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(buffer.astype(np.uint64) * up, out=out[1:], dtype=np.uint64)
+    raw.append(b"")
+    return np.frombuffer(b"\n".join(raw), np.uint8), offsets
+
+
+def spans(buffer: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the runs of bytes that `inside` (256 flags) holds."""
+    edges, before = [], 0
+    for low in range(0, len(buffer), BLOCK):
+        flag = inside[buffer[low : low + BLOCK]].view(np.int8)
+        edges.append(np.flatnonzero(np.diff(flag, prepend=np.int8(before))) + low)
+        before = flag[-1]
+    if before:
+        edges.append(np.array([len(buffer)]))
+    edge = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+    return edge[0::2], edge[1::2]
+
+
+def _blocks_of(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Block by block: where it begins, the first span it meets and the one after the last, and the cuts that `np.add.reduceat` wants."""
+    for low in range(0, len(buffer), BLOCK):
+        high = min(low + BLOCK, len(buffer))
+        i, j = int(np.searchsorted(end, low, "right")), int(np.searchsorted(start, high, "left"))
+        if i < j:
+            cuts = np.empty(2 * (j - i), np.int64)
+            np.maximum(start[i:j] - low, 0, out=cuts[0::2])
+            np.minimum(end[i:j] - low, high - low, out=cuts[1::2])
+            yield low, i, j, cuts
+
+
+def span_counts(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, kinds: Sequence[int]) -> dict[int, np.ndarray]:
+    """Bytes of each of `kinds` (by the 256-entry table `kind`) in each span. Spans are not empty, in order, and do not touch.
+
+    Three kinds are counted at once, in 20 bits each, block by block, so that memory beyond the result is a block's.
+    """
+    out = {k: np.zeros(len(start), np.int32) for k in kinds}
+    for few in (kinds[i : i + 3] for i in range(0, len(kinds), 3)):
+        packed = np.zeros(256, np.int64)
+        for at, k in enumerate(few):
+            packed[kind == k] = 1 << (20 * at)
+        for low, i, j, cuts in _blocks_of(buffer, start, end):
+            sums = np.add.reduceat(np.append(packed[buffer[low : low + BLOCK]], 0), cuts)[0::2]
+            for at, k in enumerate(few):
+                out[k][i:j] += ((sums >> (20 * at)) & 0xFFFFF).astype(np.int32)
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each span; equal bytes give equal hashes wherever they stand."""
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+def span_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span, modulo 2**64; equal bytes give equal hashes wherever they stand. Memory beyond the result is a block's."""
+    total = np.zeros(len(start), np.uint64)
+    for low, i, j, cuts in _blocks_of(buffer, start, end):
+        few = buffer[low : low + BLOCK]
+        sums = np.add.reduceat(np.append(few * _UP[: len(few)], np.uint64(0)), cuts)[0::2]
+        sums *= _DOWN[np.maximum(start[i:j] - low, 0)]
+        if start[i] < low:  # the span began in an earlier block
+            sums[:1] *= np.uint64(pow(int(_POLY), low - int(start[i]), 1 << 64))
+        total[i:j] += sums
+    return mix(total + (end - start).astype(np.uint64))
 
 
 _WORD = np.zeros(256, np.bool_)
@@ -140,10 +213,8 @@ def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of ASCII letters, digits and underscores or of any characters beyond ASCII, in lower case.
     """
     buffer, offsets = joined([(t or "").lower() for t in texts])
-    inside = np.concatenate(([0], _WORD[buffer].view(np.int8), [0]))
-    edge = np.flatnonzero(np.diff(inside))
-    start, end = edge[0::2], edge[1::2]
-    return span_hash(prefix_hash(buffer), start, end), np.searchsorted(start, offsets)
+    start, end = spans(buffer, _WORD)
+    return span_hashes(buffer, start, end), np.searchsorted(start, offsets)
 
 
 def shingles(texts: Sequence[str | None], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +228,16 @@ def shingles(texts: Sequence[str | None], size: int = 5) -> tuple[np.ndarray, np
     out_first = np.zeros(len(count) + 1, np.int64)
     np.cumsum(made, out=out_first[1:])
     total = int(out_first[-1])
-    doc = np.repeat(np.arange(len(count)), made)
-    at = first[doc] + (np.arange(total) - out_first[doc])
-    padded = np.concatenate((hashes, np.zeros(size, np.uint64)))
     combined = np.zeros(total, np.uint64)
-    short = count[doc] < size
-    for j in range(size):
-        piece = padded[at + j] * _WORD_COEF[j]
-        combined += np.where(short & (j >= count[doc]), np.uint64(j + 1), piece) if short.any() else piece
-    return mix(combined), out_first
+    padded = np.concatenate((hashes, np.zeros(size, np.uint64)))
+    owners = np.flatnonzero(made)
+    for low in range(0, total, BLOCK):
+        here = np.arange(low, min(low + BLOCK, total))
+        doc = owners[np.searchsorted(out_first[owners], here, "right") - 1]
+        at = first[doc] + (here - out_first[doc])
+        short = count[doc] < size
+        for j in range(size):
+            piece = padded[at + j] * _WORD_COEF[j]
+            combined[low : low + BLOCK] += np.where(short & (j >= count[doc]), np.uint64(j + 1), piece) if short.any() else piece
+        combined[low : low + BLOCK] = mix(combined[low : low + BLOCK])
+    return combined, out_first

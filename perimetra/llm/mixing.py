@@ -8,7 +8,7 @@ A rate depends on the document's posterior and on the steps so far alone, so no
 is one pass over the narrow posterior table that returns a sum per domain for each partition.
 
 Edge cases: null and empty texts have no tokens and a rate like any other; labels that are null or contradictory teach
-nothing; a domain without a labelled document has a posterior of 0 and can only get 0 tokens; with no labels all
+nothing (of several texts under one doc_id the first by hash teaches); a domain without a labelled document has a posterior of 0 and can only get 0 tokens; with no labels all
 posteriors are equal; an empty table gives no rows; repeated rows each have their rate; ties cannot arise; rows without
 a doc_id keep a rate; extra columns are not carried by `fit_rates` and are kept by `mix_documents`.
 """
@@ -19,11 +19,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perimetra.llm import quality
-from perimetra.llm.common import map_texts, materialize, words
+from perimetra.llm.common import map_texts, materialize, spare_name, words
 
 #: Domains of the labelled table (quality 0: poor, else toxic 1: toxic, else clean), and their target shares of all tokens.
 DOMAINS = ("clean", "toxic", "poor")
@@ -97,20 +97,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DomainC
         _, x, present = _profile(texts)
         return {"x": x.tolist(), "present": [p.astype(np.int32) for p in present]}
 
-    got = map_texts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), work, "x array<double>, present array<int>", keep=("doc_id", "domain")).toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(F.broadcast(chosen), "doc_id")
+    got = map_texts(texts, work, "x array<double>, present array<int>", keep=("doc_id", "digest", "domain")).toPandas()
+    got = got.sort_values(["doc_id", "digest"]).drop_duplicates("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(quality.NAMES))
     return DomainClassifier(x, [np.asarray(p, np.int64) for p in got["present"]], got["domain"].to_numpy(np.int64))
 
 
-def posteriors(docs: DataFrame, model: DomainClassifier, keep: Sequence[str] = ("doc_id",), drop_text: bool = True) -> DataFrame:
-    """Adds n_tokens and posterior (by DOMAINS)."""
+def posteriors(docs: DataFrame, model: DomainClassifier, keep: Sequence[str] = ("doc_id",), names: tuple[str, str] = ("n_tokens", "posterior")) -> DataFrame:
+    """`keep` columns, tokens and posterior (by DOMAINS), the last two called `names`."""
 
     def work(texts: list[str | None]) -> dict[str, object]:
         n, x, present = _profile(texts)
-        return {"n_tokens": n.astype(np.int64), "posterior": pa.array(list(model.posterior(x, present)))}
+        return {names[0]: n.astype(np.int64), names[1]: pa.array(list(model.posterior(x, present)), pa.list_(pa.float64()))}
 
-    return map_texts(docs, work, "n_tokens long, posterior array<double>", keep=keep, drop_text=drop_text)
+    return map_texts(docs, work, f"{names[0]} long, {names[1]} array<double>", keep=keep)
 
 
 class Rates:
@@ -125,6 +126,15 @@ class Rates:
             rate = np.clip(rate - posterior @ step, 0, self.most)
         return np.where(self.holds(posterior), 1.0, rate)
 
+    def column(self, posterior: str) -> Column:
+        """The same for a column, as an expression."""
+        p = [F.col(posterior)[i] for i in range(len(DOMAINS))]
+        steps = F.array(*[F.array(*map(F.lit, s.tolist())) for s in self.steps]) if self.steps else F.array().cast("array<array<double>>")
+        most = F.lit(float(self.most))
+        rate = F.aggregate(steps, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), F.least(most, r - sum(p[i] * s[i] for i in range(len(p))))))
+        likeliest = F.array_position(posterior, F.array_max(posterior)) - 1
+        return rate if self.held is None else F.when(likeliest == self.held, 1.0).otherwise(rate)
+
     def holds(self, posterior: np.ndarray) -> np.ndarray:
         return posterior.argmax(1) == (-1 if self.held is None else self.held)
 
@@ -228,32 +238,40 @@ def solve_draw(table: DataFrame, targets: dict[str, float], steps: int = STEPS,
 
 
 def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
-    """One row per document: doc_id, n_tokens, posterior, rate (nonnegative expected copies)."""
+    """One row per document: doc_id, n_tokens, posterior, rate (nonnegative expected copies), miss (by how much the
+    domains' expected tokens miss their targets, as a share of all; above TOLERANCE if the targets cannot be met or not
+    within STEPS steps)."""
     table = materialize(posteriors(docs, train(docs, labels)), "posteriors")
-    rates = solve(table, targets or TARGETS, total)[0]
-    rate = F.pandas_udf(lambda p: _series(rates.of(np.array(p.tolist(), float).reshape(len(p), len(DOMAINS)))), "double")
-    return table.select("doc_id", "n_tokens", "posterior", rate("posterior").alias("rate"))
-
+    rates, got, goal, _ = solve(table, targets or TARGETS, total)
+    miss = float(np.abs(got - goal).sum() / max(goal.sum(), 1.0))
+    return table.select("doc_id", "n_tokens", "posterior", rates.column("posterior").alias("rate"), F.lit(miss).alias("miss"))
 
-def _series(values: np.ndarray):
-    import pandas as pd
 
-    return pd.Series(values)
+def _drawable(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, tuple[str, str], Rates, np.ndarray, np.ndarray]:
+    """The documents with tokens and posterior under spare names, written out, and what `solve_draw` finds for them."""
+    names = spare_name(docs, "n_tokens"), spare_name(docs, "posterior")
+    held = materialize(posteriors(docs, train(docs, labels), docs.columns, names), "posteriors")
+    return held, names, *solve_draw(held.select(F.col(names[0]).alias("n_tokens"), F.col(names[1]).alias("posterior")), targets)
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents drawn at the rates of `solve_draw`, without repeats: all columns kept.
 
-    A document stays if a uniform number hashed from its doc_id and text lies below its rate.
+    A document stays if a uniform number hashed from its doc_id and text lies below its rate. Posteriors are written
+    with the documents once, so that drawing reads no text in Python again.
     """
-    model = train(docs, labels)
-    table = materialize(posteriors(docs, model), "posteriors")
-    rates = solve_draw(table, targets or TARGETS)[0]
+    held, (_, posterior), rates, _, _ = _drawable(docs, labels, targets or TARGETS)
+    uniform = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    return held.filter(uniform < rates.column(posterior)).select(docs.columns)
 
-    def work(texts: list[str | None]) -> dict[str, object]:
-        _, x, present = _profile(texts)
-        return {"__rate": rates.of(model.posterior(x, present))}
 
-    drawn = map_texts(docs, work, "__rate double", keep=docs.columns)
+def drawn_shares(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """What `mix_documents` comes to, one row per domain: target (share asked for), tokens (there are), aimed, expected (tokens at the rates), drawn (in the draw)."""
+    targets = targets or TARGETS
+    held, (tokens, posterior), rates, expected, aimed = _drawable(docs, labels, targets)
     uniform = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return drawn.filter(uniform < F.col("__rate")).select(docs.columns)
+    stays = F.when(uniform < rates.column(posterior), F.col(tokens)).otherwise(0)
+    own = [F.sum(F.col(posterior)[i] * F.col(tokens)).alias(f"t{i}") for i in range(len(DOMAINS))]
+    got = held.agg(*own, *[F.sum(F.col(posterior)[i] * stays).alias(f"d{i}") for i in range(len(DOMAINS))]).first()
+    rows = [(d, float(targets.get(d, 0.0)), got[f"t{i}"] or 0.0, float(aimed[i]), float(expected[i]), got[f"d{i}"] or 0.0) for i, d in enumerate(DOMAINS)]
+    return docs.sparkSession.createDataFrame(rows, "domain string, target double, tokens double, aimed double, expected double, drawn double")

@@ -1,122 +1,141 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Every text becomes the set of its five-word shingles. A forest of prefix tries stores the minhash signatures: in each
-tree, texts below one node share a signature prefix. Matched prefixes are shortened, from `max_depth` on, until a pair
-at the threshold is met in some tree with the target recall; nodes of that depth are the candidates. Candidates that
-hang together are compared exactly, block against block, on whole shingle sets.
-
-No pair of a group is written out as a row: blocks of bounded weight meet in one task each, which returns counts of
-links and the edges of a spanning star. Texts of one shingle set are one class and take part once.
+Every text becomes the set of its five-word shingles; texts of one set are one class and take part once. Each tree of
+the forest holds a string of minhash values for each class, the most significant byte first, so that the order of the
+strings is the order of the trie's leaves and a prefix of the string is a node. Classes below one node of the current
+depth are candidates. The depth begins at the longest prefix by which a pair at the threshold meets in some tree with a
+chance of FLOOR. What is found is verified exactly, on whole shingle sets. Each verified link of similarity s had the
+chance 1 - (1 - s**depth)**trees of being found, so one over that chance, summed over the links, estimates how many there
+are; while the links found are fewer than `target_recall` of them, all prefixes are shortened by a value and the join is
+taken again.
+
+Nodes are not verified one by one, since near copies share a node in most trees. All nodes that have the same head (the
+first class below them, in one order of the classes for all trees) are one group, and a class joins the groups of its
+distinct heads. Two classes that share a node share its head; the pair counts in the group of its first common head
+only. Groups are not closed transitively: all members share a node with the head. Groups are compared block against
+block; a task returns counts of links and the edges of a spanning star, never pairs.
+
+Work of a group grows with the square of its distinct texts, as every link counts, divided by BLOCK_ROWS in rows moved.
 
 Edge cases: null and empty texts, and texts without words, have no shingles; those with the same (null as empty) text
-are one class and link to each other only. A text of one to four words is one shingle. Repeated doc_ids keep all their
-rows and count as copies; a doc_id is taken to name one text. Rows without a doc_id take no part, and `one_of_each`
-keeps them. Extra columns are not carried by `ngram_join`.
+are one class and link to each other only. A text of one to four words is one shingle. Repeated rows are copies, as are
+texts of one shingle set under any doc_ids; several texts under one doc_id, and rows without a doc_id, are told apart by
+their texts and all take part. class_id and copy_id are null where no row of the class has a doc_id. Extra columns are
+not carried by `ngram_join`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perimetra.llm.common import list_array, map_texts, materialize, mix, shingles
+from perimetra.llm.common import bounded_batches, discard, map_texts, materialize, mix, shingles, spare_name
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 24
 MAX_DEPTH = 8
 TARGET_RECALL = 0.9995
+#: Chance with which a pair just at the threshold must meet, at least.
+FLOOR = 0.999
 #: A block holds at most so many classes and about so many shingles.
 BLOCK_ROWS = 160
 BLOCK_SHINGLES = 60_000
 
 
-def forest_depth(threshold: float, trees: int, max_depth: int, target: float) -> int:
-    """Shorten the prefix, one value at a time, until a pair at the threshold meets in some tree with probability `target`."""
-    for depth in range(max_depth, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
-            return depth
-    return 1
+def chance(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """That a pair shares a prefix of `depth` values in one of the trees."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def first_depth(threshold: float, trees: int, max_depth: int, floor: float = FLOOR) -> int:
+    """The longest prefix by which a pair at the threshold meets with the chance `floor`."""
+    return next((d for d in range(max_depth, 1, -1) if chance(threshold, d, trees) >= floor), 1)
 
 
 def _signatures(hashes: np.ndarray, first: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """Key of the node at `depth` in each tree, for each text with shingles: texts x trees."""
+    """Minhash values, 32 bits each, of the texts with shingles: texts x trees x depth."""
     seeds = mix(np.arange(1, 2 * trees * depth + 1, dtype=np.uint64))
     begin = first[:-1][np.diff(first) > 0]
-    keys = np.zeros((len(begin), trees), np.uint64)
-    if not len(begin):
-        return keys
-    for tree in range(trees):
-        for level in range(depth):
-            k = 2 * (tree * depth + level)
-            values = (hashes ^ seeds[k]) * (seeds[k + 1] | np.uint64(1))
-            keys[:, tree] = mix(keys[:, tree] * np.uint64(31) + mix(np.minimum.reduceat(values, begin)))
-    return keys
-
-
-def _set_digests(hashes: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The sorted distinct shingles of each text, and a 128-bit digest of that set as two numbers."""
-    sets, digest = [], np.zeros((len(first) - 1, 2), np.uint64)
-    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-        own = np.unique(hashes[a:b])
-        sets.append(own)
+    values = np.zeros((len(begin), trees * depth), np.uint32)
+    if len(begin):
+        for k in range(trees * depth):
+            least = np.minimum.reduceat((hashes ^ seeds[2 * k]) * (seeds[2 * k + 1] | np.uint64(1)), begin)
+            values[:, k] = mix(least) >> np.uint64(32)
+    return values.reshape(len(begin), trees, depth)
+
+
+def _set_digest(own: np.ndarray) -> tuple[int, int]:
+    return int(np.add.reduce(mix(own))), int(np.add.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D))))
+
+
+def _sets(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sorted distinct shingles of each text, and a 128-bit digest of that set (without shingles: of the text) as two numbers."""
+    hashes, first = shingles(texts, SHINGLE)
+    sets = [np.unique(hashes[a:b]) for a, b in itertools.pairwise(first.tolist())]
+    digest = np.zeros((len(sets), 2), np.uint64)
+    for i, own in enumerate(sets):
         if len(own):
-            digest[i] = np.add.reduce(mix(own)), np.add.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D)))
-    return sets, digest
+            digest[i] = _set_digest(own)
+        else:
+            raw = (texts[i] or "").encode()
+            digest[i] = len(raw), int.from_bytes(hashlib.sha256(raw).digest()[:8], "big")
+    return sets, digest.view(np.int64)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row_key, by which a class finds the row that stands for it."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
 
 
 def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """doc_id, set_hi, set_lo (digest of the shingle set), n_shingles, keys (a node of each tree)."""
+    """doc_id, row_key, set_hi, set_lo (digest of the shingle set), n_shingles, strings (of minhash values, one for each tree)."""
 
     def work(texts: list[str | None]) -> dict[str, object]:
-        hashes, first = shingles(texts, SHINGLE)
-        sets, digest = _set_digests(hashes, first)
+        sets, digest = _sets(texts)
         size = np.array([len(s) for s in sets], np.int64)
-        keys = _signatures(np.concatenate(sets), np.concatenate(([0], np.cumsum(size))), trees, depth)
-        for i in np.flatnonzero(size == 0):  # without words: a class for each text
-            raw = (texts[i] or "").encode()
-            digest[i] = len(raw), int.from_bytes(hashlib.sha256(raw).digest()[:8], "big")
-        return {
-            "set_hi": digest[:, 0].view(np.int64),
-            "set_lo": digest[:, 1].view(np.int64),
-            "n_shingles": size,
-            "keys": list_array(keys.view(np.int64).ravel(), np.concatenate(([0], np.cumsum((size > 0) * trees)))),
-        }
+        made = _signatures(np.concatenate(sets), np.concatenate(([0], np.cumsum(size))), trees, depth)
+        strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * depth), made.size // depth, [None, pa.py_buffer(made.astype(">u4").tobytes())])
+        first = pa.array(np.concatenate(([0], np.cumsum((size > 0) * trees))).astype(np.int32))
+        return {"set_hi": digest[:, 0], "set_lo": digest[:, 1], "n_shingles": size, "strings": pa.ListArray.from_arrays(first, strings.cast(pa.binary()))}
 
-    return map_texts(docs.filter("doc_id is not null"), work, "set_hi long, set_lo long, n_shingles long, keys array<long>")
+    return map_texts(_rows(docs), work, "set_hi long, set_lo long, n_shingles long, strings array<binary>", keep=("doc_id", "row_key"))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, label (its component's smallest node) of the undirected edges (a, b): labels spread to neighbours and then jump to the label's label."""
+    """node, label (its component's smallest node) of the undirected edges (a, b): labels spread to neighbours and then
+    jump to the label's label. Every round but the last makes some label smaller, so the rounds end."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), f"{name}-0")
-    for step in range(1, 60):
+    for step in itertools.count(1):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = materialize(spread.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), f"{name}-{step}")
+        discard(labels)
         if after.filter("old <> label").isEmpty():
+            discard(both)
             return after.select("node", "label")
         labels = after.select("node", "label")
-    raise RuntimeError("components did not settle")
-
 
-def _sets_of(docs: DataFrame) -> DataFrame:
-    """Adds `shingles` (sorted distinct 64-bit numbers, as bytes) to rows with text, and drops the text."""
-
-    def work(texts: list[str | None]) -> dict[str, object]:
-        hashes, first = shingles(texts, SHINGLE)
-        return {"shingles": [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]}
 
-    return map_texts(docs, work, "shingles binary", ("rep", "part", "blocks", "block", "copies"))
+def _groups(classes: DataFrame, depth: int) -> DataFrame:
+    """node, heads: the classes that share a node of `depth` with another, and the distinct heads of their nodes (one for each tree at most)."""
+    prefix = F.transform("strings", lambda s, tree: F.xxhash64(tree, F.substring(s, 1, 4 * depth)))
+    nodes = classes.filter("n_shingles > 0").select("node", F.explode(prefix).alias("prefix"))
+    heads = nodes.groupBy("prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix", "head")
+    return nodes.join(heads, "prefix").groupBy("node").agg(F.sort_array(F.collect_set("head")).alias("heads"))
 
 
-def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, threshold: float) -> pd.DataFrame:
-    """Links of left x right, exactly, from the sizes of set intersections; as counts for each class and a star for each clump."""
+def _compare(nodes: np.ndarray, copies: np.ndarray, earlier: list[np.ndarray], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, threshold: float, chance_of) -> pd.DataFrame:
+    """Links of left x right that have no earlier head in common, exactly, from the sizes of set intersections; as counts
+    for each class and a star for each clump. seen, due: number of links and the sum of one over their chances."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -151,8 +170,12 @@ def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], left:
         np.fill_diagonal(linked, False)
     i, j = np.nonzero(linked)
     a, b = left[i], right[j]
+    fresh = ~_share(earlier, a, b)
+    a, b, i, j = a[fresh], b[fresh], i[fresh], j[fresh]
     if not len(a):
-        return pd.DataFrame({"a": [], "b": [], "links": []}, dtype=np.int64)
+        return _NO_LINKS
+    found_by = chance_of(common[i, j] / np.maximum(either[i, j], 1))
+    found_by = np.where(a < b, 1 / found_by, 0.0) if same else 1 / found_by  # each pair once
     links = np.zeros(len(sets), np.int64)
     np.add.at(links, a, copies[b])
     if not same:
@@ -167,7 +190,89 @@ def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], left:
             break
         top = new
     found = np.flatnonzero(links)
-    return pd.DataFrame({"a": ids[found], "b": ids[top[found]], "links": links[found]})
+    out = pd.DataFrame({"a": nodes[found], "b": nodes[top[found]], "links": links[found], "seen": 0, "due": 0.0})
+    out.loc[0, ["seen", "due"]] = float(np.count_nonzero(found_by)), found_by.sum()
+    return out.astype(_LINKS)
+
+
+_LINKS = {"a": "int64", "b": "int64", "links": "int64", "seen": "float64", "due": "float64"}
+_NO_LINKS = pd.DataFrame({k: [] for k in _LINKS}).astype(_LINKS)
+
+
+def _share(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have an entry of their lists in common."""
+    width = max(map(len, lists), default=0)
+    out = np.zeros(len(a), np.bool_)
+    if not width:
+        return out
+    table = np.full((len(lists), width), -1, np.int64)
+    for row, own in zip(table, lists, strict=True):
+        row[: len(own)] = own
+    for low in range(0, len(a), 4096):
+        x, y = table[a[low : low + 4096]], table[b[low : low + 4096]]
+        hit = np.zeros(len(x), np.bool_)
+        for k in range(width):
+            hit |= ((x[:, k : k + 1] == y) & (y >= 0)).any(axis=1)
+        out[low : low + 4096] = hit
+    return out
+
+
+def _verified(docs: DataFrame, classes: DataFrame, depth: int, trees: int, threshold: float) -> DataFrame:
+    """a, b, links, seen, due: counts of links (a's own) and edges (a, b) of spanning stars, from all groups of `depth`."""
+    about = classes.select("node", "set_hi", "set_lo", "row_key", "copies", F.col("n_shingles").alias("weight"))
+    members = materialize(_groups(classes, depth).join(about, "node"), "members")
+    sizes = members.select(F.explode("heads").alias("head"), "weight").groupBy("head").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("total"))
+    blocks = F.least(F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)), "rows").cast("int")
+    by_head = members.select("node", F.explode("heads").alias("head")).join(sizes.select("head", blocks.alias("blocks")), "head")
+    placed = by_head.groupBy("node").agg(F.collect_list(F.struct("head", "blocks")).alias("places"))  # TREES at most
+    texts = _rows(docs).join(members.join(placed, "node").select("row_key", "node", "set_hi", "set_lo", "copies", "heads", "places"), "row_key")
+
+    def to_sets(texts: list[str | None]) -> dict[str, object]:
+        sets, digest = _sets(texts)
+        return {"shingles": [s.tobytes() for s in sets], "own_hi": digest[:, 0], "own_lo": digest[:, 1]}
+
+    sets = map_texts(texts, to_sets, "shingles binary, own_hi long, own_lo long", ("node", "set_hi", "set_lo", "copies", "heads", "places"))
+    sets = sets.filter("own_hi = set_hi and own_lo = set_lo")  # a row_key may name another row too
+    met = sets.select("node", "copies", "heads", "shingles", F.explode("places").alias("place"))
+    met = met.select("node", "copies", "heads", "shingles", F.col("place.head").alias("head"), F.col("place.blocks").alias("blocks"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("node", "head"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "copies", "heads", "shingles", "head", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        head, low, high = key
+        block = pdf["block"].to_numpy()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        if not len(left) or not len(right) or len(pdf) < 2:
+            return _NO_LINKS
+        own = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+        earlier = [np.asarray(h)[np.asarray(h) < head] for h in pdf["heads"]]
+        return _compare(pdf["node"].to_numpy(), pdf["copies"].to_numpy(), earlier, own, left, right, low == high, threshold, lambda s: chance(s, depth, trees))
+
+    found = materialize(met.groupBy("head", "low", "high").applyInPandas(verify, "a long, b long, links long, seen double, due double"), "links")
+    discard(members)
+    return found
+
+
+def _joined(docs: DataFrame, threshold: float, trees: int, max_depth: int, target_recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row_key, set_hi, set_lo, n_shingles) and classes (set_hi, set_lo, row_key, copy_id, copies, links, label)."""
+    bounded_batches(docs.sparkSession)
+    depth = first_depth(threshold, trees, max_depth)
+    known = materialize(signatures(docs, trees, depth), "signatures")
+    alike = [F.first(c).alias(c) for c in ("n_shingles", "strings")]  # the same for all texts of a set
+    same_set = known.groupBy("set_hi", "set_lo").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), *alike)
+    classes = materialize(same_set.withColumn("node", F.monotonically_increasing_id()), "classes")
+    while True:
+        found = _verified(docs, classes, depth, trees, threshold)
+        seen = found.agg(F.sum("seen").alias("seen"), F.sum("due").alias("due")).first()
+        if depth == 1 or not seen["due"] or seen["seen"] >= target_recall * seen["due"]:
+            break
+        discard(found)
+        depth -= 1
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    label = components(found.filter("a <> b"), "links")
+    own = classes.drop("strings").join(links, "node", "left").join(label, "node", "left")
+    return known.drop("strings"), own.select("set_hi", "set_lo", "row_key", "copy_id", "copies", "links", F.coalesce("label", "node").alias("label"))
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -177,54 +282,21 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
     the smallest doc_id with the same shingle set; n_links the number of other documents at >= threshold, copies
     included.
     """
-    depth = forest_depth(threshold, trees, max_depth, target_recall)
-    known = materialize(signatures(docs, trees, depth), "signatures")
-    classes = materialize(known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("weight")), "classes")
-    rows = known.filter("n_shingles > 0").dropDuplicates(["doc_id", "set_hi", "set_lo"]).join(classes.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"], "left_semi")
-    nodes = rows.select(F.col("doc_id").alias("rep"), F.posexplode("keys").alias("tree", "key"))
-    heads = nodes.groupBy("tree", "key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    star = nodes.join(heads, ["tree", "key"]).filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    parts = components(star, "candidates")
-    heavy = parts.join(classes.select(F.col("rep").alias("node"), "copies", "weight"), "node")
-    sizes = heavy.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    placed = heavy.join(sizes.select("label", blocks.alias("blocks")), "label").select(
-        F.col("node").alias("rep"), F.col("label").alias("part"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "copies"
-    )
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep").select("rep", "part", "blocks", "block", "copies", "text")
-    weighed = _sets_of(texts)
-    met = weighed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "rep", "part", "block", "copies", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    )
-
-    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values("rep")
-        low, high = key[1], key[2]
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-        block = pdf["block"].to_numpy()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if not len(left) or not len(right) or len(sets) < 2:
-            return pd.DataFrame({"a": [], "b": [], "links": []}, dtype=np.int64)
-        return _compare(pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), sets, left, right, low == high, threshold)
-
-    found = materialize(met.groupBy("part", "low", "high").applyInPandas(verify, "a long, b long, links long"), "links")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    label = components(found.filter("a <> b").select("a", "b"), "links")
-    done = (
-        classes.join(links, "rep", "left")
-        .join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("set_hi", "set_lo", F.col("rep").alias("copy_id"), F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
-    return known.drop("keys").join(done, ["set_hi", "set_lo"]).select("doc_id", "class_id", "copy_id", "n_links", "n_shingles")
+    known, classes = _joined(docs, threshold, trees, max_depth, target_recall)
+    named = classes.groupBy("label").agg(F.min("copy_id").alias("class_id"))
+    done = classes.join(named, "label").select("set_hi", "set_lo", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return known.drop("row_key").join(done, ["set_hi", "set_lo"]).select("doc_id", "class_id", "copy_id", "n_links", "n_shingles")
 
 
 def one_of_each(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents with the smallest doc_id of their class, all columns kept; rows that repeat that doc_id become one.
-
-    Rows without a doc_id cannot be told apart by it and all stay.
-    """
-    kept = ngram_join(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
-    left = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    named, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
-    repeated = not named.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return (left.dropDuplicates(["doc_id"]) if repeated else left).unionByName(nameless)
+    """One document of each class, all columns kept: the row with the smallest doc_id (rows without one come last)."""
+    settings = {"threshold": THRESHOLD, "trees": TREES, "max_depth": MAX_DEPTH, "target_recall": TARGET_RECALL} | options
+    known, classes = _joined(docs, **settings)
+    label = known.join(classes.select("set_hi", "set_lo", "label"), ["set_hi", "set_lo"])
+    first = label.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("row_key"))
+    kept = materialize(label.select("row_key").join(first, "row_key", "left_semi").groupBy("row_key").count(), "kept")
+    name = spare_name(docs, "row_key")
+    keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    once, often = (kept.filter(f"count {sign} 1").select(F.col("row_key").alias(name)) for sign in ("=", ">"))
+    repeated = keyed.join(often, name, "left_semi").dropDuplicates([name])
+    return keyed.join(once, name, "left_semi").unionByName(repeated).select(docs.columns)

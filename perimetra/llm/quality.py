@@ -8,7 +8,7 @@ The tables are learned from at most TRAIN_ROWS labelled texts, those first by a
 scored whole. Inputs are counts over the text alone.
 
 Edge cases: null and empty texts have all-zero features and are scored like any; texts without a label, with a null one
-or with contradictory ones teach nothing; with no label or one class only, every score is that class's share (0.5
+or with contradictory ones teach nothing; of several texts under one doc_id the first by hash teaches; with no label or one class only, every score is that class's share (0.5
 without labels); rows without a doc_id and repeated rows are scored, held_out being null without a doc_id; ties in a
 split go to the lower bin; extra columns are not carried.
 """
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perimetra.llm.common import joined, map_texts, prefix_hash, span_hash
+from perimetra.llm.common import joined, map_texts, span_counts, span_hashes, spans, spare_name
 
 TRAIN_ROWS = 20_000
 CUTOFF = 0.3
@@ -41,62 +41,59 @@ _KIND[128:] = 9
 _GAP = (_KIND == 4) | (_KIND == 5)
 
 
-def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(values, dtype=np.float64)))
-    return total[first[1:]] - total[first[:-1]]
+def _repeats(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each text (cut at the offsets `first`), and how often its commonest one comes."""
+    distinct, top = np.zeros(len(first) - 1), np.zeros(len(first) - 1)
+    for i in np.flatnonzero(np.diff(first)):
+        own = np.sort(hashes[first[i] : first[i + 1]])
+        ends = np.flatnonzero(np.append(own[1:] != own[:-1], True))
+        distinct[i], top[i] = len(ends), np.diff(ends, prepend=-1).max()
+    return distinct, top
 
 
 def features(texts: list[str | None]) -> np.ndarray:
-    """Texts x NAMES, from counts of bytes, words (between white space) and lines."""
+    """Texts x NAMES, from counts of bytes, words (between white space) and lines.
+
+    Bytes are counted block by block; only starts, ends, hashes and three counts of each word are held for the whole slice.
+    """
     buffer, offsets = joined(texts)
     n = len(texts)
-    kind = _KIND[buffer]
-    size = np.maximum(np.diff(offsets) - 1, 1).astype(float)
-    count = [_per_text(kind == k, offsets) for k in range(10)]
-    gap = np.concatenate(([True], _GAP[buffer], [True]))
-    edge = np.flatnonzero(np.diff(gap.view(np.int8)))
-    start, end = edge[0::2], edge[1::2]
+    bytes_of = np.diff(offsets) - 1
+    size = np.maximum(bytes_of, 1).astype(float)
+    full = np.flatnonzero(bytes_of)
+    count = np.zeros((10, n))
+    for k, found in span_counts(buffer, offsets[full], offsets[full + 1] - 1, _KIND, range(10)).items():
+        count[k, full] = found
+
+    start, end = spans(buffer, ~_GAP)
     first = np.searchsorted(start, offsets)
     words = np.diff(first)
     some = np.maximum(words, 1).astype(float)
-    prefix = prefix_hash(buffer)
-    hashes = span_hash(prefix, start, end)
-    length = end - start
-    sums = {k: np.concatenate(([0], np.cumsum(kind == k))) for k in (1, 2, 7, 8, 9)}
-    inside = {k: s[end] - s[start] for k, s in sums.items()}
+    owner = np.repeat(np.arange(n, dtype=np.int32), words)
+    inside = span_counts(buffer, start, end, _KIND, (1, 2, 7))
     upper = (inside[2] > 1) & (inside[1] == 0)
-    mixed = (inside[2] > 0) & (inside[1] > 0) & (inside[2] > 1)
+    mixed = (inside[2] > 1) & (inside[1] > 0)
     marked = inside[7] > 0
-    owner = np.repeat(np.arange(n), words)
+    hashes, length = span_hashes(buffer, start, end), end - start
+    del inside, start, end
     same = np.zeros(len(hashes), np.bool_)
     same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+    distinct, top = _repeats(hashes, first)
     run_start = np.flatnonzero(~same)
-    run = np.diff(np.concatenate((run_start, [len(hashes)])))
     longest = np.zeros(n)
-    if len(run):
-        np.maximum.at(longest, owner[run_start], run)
-    order = np.lexsort((hashes, owner))
-    fresh = np.ones(len(order), np.bool_)
-    fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    distinct = np.bincount(owner[order][fresh], minlength=n)
-    top = np.zeros(n)
-    if len(order):
-        at = np.flatnonzero(fresh)
-        np.maximum.at(top, owner[order][at], np.diff(np.concatenate((at, [len(order)]))))
-    breaks = np.flatnonzero(kind == 5)
-    line_start = np.concatenate(([0], breaks[:-1] + 1)) if len(breaks) else np.zeros(0, np.int64)
-    line_owner = np.searchsorted(offsets, line_start, side="right") - 1
-    keep = breaks > line_start
-    line_hash, line_owner = span_hash(prefix, line_start[keep], breaks[keep]), line_owner[keep]
-    lines = np.bincount(line_owner, minlength=n).astype(float)
-    order = np.lexsort((line_hash, line_owner))
-    again = np.zeros(len(order), np.bool_)
-    again[1:] = (line_hash[order][1:] == line_hash[order][:-1]) & (line_owner[order][1:] == line_owner[order][:-1])
-    repeated_lines = np.bincount(line_owner[order][again], minlength=n)
-    total = lambda flag: _per_text(flag, first)
-    long_words = total(length > 20)
+    np.maximum.at(longest, owner[run_start], np.diff(run_start, append=len(hashes)))
+    del hashes, run_start
+
+    line_start, line_end = spans(buffer, _KIND != 5)
+    line_first = np.searchsorted(line_start, offsets)
+    lines = np.diff(line_first).astype(float)
+    repeated_lines = lines - _repeats(span_hashes(buffer, line_start, line_end), line_first)[0]
+
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, values, n)
+
     return np.column_stack((
-        np.log1p(np.diff(offsets) - 1), np.log1p(words), total(length) / some, long_words / some, total(upper) / some, total(mixed) / some,
+        np.log1p(bytes_of), np.log1p(words), total(length) / some, total(length > 20) / some, total(upper) / some, total(mixed) / some,
         count[3] / size, count[7] / size, count[6] / size, (count[4] + count[5]) / size, count[9] / size,
         total(same) / some, np.log1p(longest), distinct / some, np.log1p(lines), repeated_lines / np.maximum(lines, 1), total(marked) / some,
         np.log1p(total(marked)), np.log1p(total(upper)), np.log1p(total(same)), np.log1p(count[8]), top / some,
@@ -206,9 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """Learn `label` (0 or 1) of the labelled documents that are not held out."""
     clear = labels.filter(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most")
     chosen = clear.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = map_texts(texts, lambda t: {"x": features(t).tolist()}, "x array<double>", keep=("doc_id", "label")).toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(F.broadcast(chosen), "doc_id")
+    got = map_texts(texts, lambda t: {"x": features(t).tolist()}, "x array<double>", keep=("doc_id", "digest", "label")).toPandas()
+    got = got.sort_values(["doc_id", "digest"]).drop_duplicates("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))
     return fit(x, got["label"].to_numpy(float))
 
@@ -222,6 +219,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF,
 
 def keep_good(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that the classifier accepts, all columns kept."""
-    model = train(docs, labels, rows=rows)
-    scored = map_texts(docs, lambda t: {"__score": model.score(features(t))}, "__score double", keep=docs.columns)
-    return scored.filter(F.col("__score") >= cutoff).select(docs.columns)
+    model, name = train(docs, labels, rows=rows), spare_name(docs, "score")
+    scored = map_texts(docs, lambda t: {name: model.score(features(t))}, f"{name} double", keep=docs.columns)
+    return scored.filter(F.col(name) >= cutoff).select(docs.columns)

@@ -60,7 +60,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.fit_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rates.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), "rate")
+    return rates.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), "rate", "miss")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
