@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from perimetra.llm import mixing, ngram_join, piece_codec, quality, secrets
-from perimetra.llm.common import materialize, table
+from perimetra.llm.common import discard, materialize, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        kept = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(docs)
+        docs = kept
     return docs
