@@ -225,7 +225,8 @@ def _verified(docs: DataFrame, classes: DataFrame, depth: int, trees: int, thres
     blocks = F.least(F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)), "rows").cast("int")
     by_head = members.select("node", F.explode("heads").alias("head")).join(sizes.select("head", blocks.alias("blocks")), "head")
     placed = by_head.groupBy("node").agg(F.collect_list(F.struct("head", "blocks")).alias("places"))  # TREES at most
-    texts = _rows(docs).join(members.join(placed, "node").select("row_key", "node", "set_hi", "set_lo", "copies", "heads", "places"), "row_key")
+    wanted = members.join(placed, "node").select("row_key", "node", "set_hi", "set_lo", "copies", "heads", "places")
+    texts = _rows(docs).join(wanted.hint("merge"), "row_key")  # members grow with the data, so they are not to be broadcast
 
     def to_sets(texts: list[str | None]) -> dict[str, object]:
         sets, digest = _sets(texts)
@@ -254,8 +255,8 @@ def _verified(docs: DataFrame, classes: DataFrame, depth: int, trees: int, thres
     return found
 
 
-def _joined(docs: DataFrame, threshold: float, trees: int, max_depth: int, target_recall: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, row_key, set_hi, set_lo, n_shingles) and classes (set_hi, set_lo, row_key, copy_id, copies, links, label)."""
+def _joined(docs: DataFrame, threshold: float, trees: int, max_depth: int, target_recall: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows (doc_id, row_key, set_hi, set_lo, n_shingles), classes (set_hi, set_lo, row_key, copy_id, copies, links, label), and the tables that both read."""
     bounded_batches(docs.sparkSession)
     depth = first_depth(threshold, trees, max_depth)
     known = materialize(signatures(docs, trees, depth), "signatures")
@@ -272,7 +273,8 @@ def _joined(docs: DataFrame, threshold: float, trees: int, max_depth: int, targe
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     label = components(found.filter("a <> b"), "links")
     own = classes.drop("strings").join(links, "node", "left").join(label, "node", "left")
-    return known.drop("strings"), own.select("set_hi", "set_lo", "row_key", "copy_id", "copies", "links", F.coalesce("label", "node").alias("label"))
+    own = own.select("set_hi", "set_lo", "row_key", "copy_id", "copies", "links", F.coalesce("label", "node").alias("label"))
+    return known.drop("strings"), own, [known, classes, found, label]
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -282,7 +284,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
     the smallest doc_id with the same shingle set; n_links the number of other documents at >= threshold, copies
     included.
     """
-    known, classes = _joined(docs, threshold, trees, max_depth, target_recall)
+    known, classes, _ = _joined(docs, threshold, trees, max_depth, target_recall)
     named = classes.groupBy("label").agg(F.min("copy_id").alias("class_id"))
     done = classes.join(named, "label").select("set_hi", "set_lo", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return known.drop("row_key").join(done, ["set_hi", "set_lo"]).select("doc_id", "class_id", "copy_id", "n_links", "n_shingles")
@@ -291,11 +293,12 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
 def one_of_each(docs: DataFrame, **options: object) -> DataFrame:
     """One document of each class, all columns kept: the row with the smallest doc_id (rows without one come last)."""
     settings = {"threshold": THRESHOLD, "trees": TREES, "max_depth": MAX_DEPTH, "target_recall": TARGET_RECALL} | options
-    known, classes = _joined(docs, **settings)
+    known, classes, held = _joined(docs, **settings)
     label = known.join(classes.select("set_hi", "set_lo", "label"), ["set_hi", "set_lo"])
     first = label.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("row_key"))
     kept = materialize(label.select("row_key").join(first, "row_key", "left_semi").groupBy("row_key").count(), "kept")
     name = spare_name(docs, "row_key")
+    discard(*held)
     keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
     once, often = (kept.filter(f"count {sign} 1").select(F.col("row_key").alias(name)) for sign in ("=", ">"))
     repeated = keyed.join(often, name, "left_semi").dropDuplicates([name])

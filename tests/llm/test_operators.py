@@ -226,6 +226,7 @@ def test_piece_codec_equals_the_library(docs, empty):
     path = piece_codec.model_path()
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [r[1] for r in awkward()] + [" ", "  lead", "trail  ", "x" * 400, "------ ====", "\u2581odd", "if a:\n\treturn", "Ünïcödé naïve", " \0 x"]
+    texts += ["日本語テキスト処理" * 400, "東京tower" * 300 + " ok", "QUJD" * 900 + "==", "é" * 3000 + "word" * 500, "a,b;" * 500]
     texts += ["".join(np.random.default_rng(i).choice(list("ab -=.the iné"), 70)) for i in range(200)]
     own = piece_codec.codec(path)
     ids, first = own.encode(texts)
@@ -296,6 +297,14 @@ def test_shards_hold_equal_bytes_and_gapless_slots(docs, empty, spark):
     assert sharding.shard_documents(docs, 40).count() == docs.count() and sharding.shard_documents(empty, 40).count() == 0
 
 
+def test_op8_stores_two_versions_of_its_map(spark, docs, tmp_path):
+    path = str(tmp_path / "maps")
+    got = sharding.sharded_with_next(docs, path, 40, 512).collect()
+    assert len(got) == docs.count() and {r["version"] for r in got} == {1}
+    one, two = ({r["vslot"]: r["shard"] for r in sharding.load_map(spark, path, v).collect()} for v in (1, 2))
+    assert one.keys() == two.keys() and all((r["shard"], r["next_shard"]) == (one[r["vslot"]], two[r["vslot"]]) for r in got)
+
+
 def test_slot_map_grows_by_few_moves(spark, tmp_path):
     d = spark.createDataFrame([(i, prose(30, i)) for i in range(3000)], "doc_id long, text string")
     sizes = sharding.slot_sizes(sharding.records(d, 512)).persist()

@@ -52,3 +52,26 @@ def test_stages(spark, folder):
     for r in docs.collect():
         assert own.decode(np.array(r["ids"]), np.array([0, len(r["ids"])])) == [texts[r["doc_id"]]]
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_awkward_rows_pass_every_stage(spark, tmp_path):
+    from tests.llm.test_operators import awkward
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens long, row_key string, posterior string"
+    rows = [(r[0], r[1], r[2], r[3], r[4], 0.5, 1, "k", "p") for r in awkward()]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 0 if i in (9, 10) else 1, int(i == 16)) for i in range(34)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, str(tmp_path)), name)
+        if name != "token_ids":
+            assert docs.columns == before.columns
+            assert {(r["score"], r["n_tokens"], r["row_key"], r["posterior"]) for r in docs.collect()} <= {(0.5, 1, "k", "p")}
+    assert docs.count() == before.count() > 0
+
+
+def test_empty_tables_pass_every_stage(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
