@@ -112,8 +112,12 @@ class Scan:
                     low = int(self.offsets[i]) + (a if self.texts[i].isascii() else len(self.texts[i][:a].encode()))
                     free[low : low + len(self.texts[i][a:b].encode())] = 0
         start, end = spans(free, _INNER)
-        trim = np.flatnonzero(~_EDGE[free[start]] | ~_EDGE[free[end - 1]])
-        for k in trim.tolist():
+        rough = np.flatnonzero(~(_EDGE[free[start]] & _EDGE[free[end - 1]]))
+        for _ in range(8):  # most runs lose a character or two
+            start[rough] += ~_EDGE[free[start[rough]]] & (start[rough] < end[rough])
+            end[rough] -= ~_EDGE[free[end[rough] - 1]] & (start[rough] < end[rough])
+            rough = rough[(start[rough] < end[rough]) & ~(_EDGE[free[start[rough]]] & _EDGE[free[end[rough] - 1]])]
+        for k in rough.tolist():
             kept = np.flatnonzero(_EDGE[free[start[k] : end[k]]])
             start[k], end[k] = (start[k] + kept[0], start[k] + kept[-1] + 1) if len(kept) else (start[k], start[k])
         for _ in range(2):
@@ -310,7 +314,11 @@ class Model:
 
     def at_large(self, values: Sequence[str]) -> np.ndarray:
         """Log-likelihood of each value as a token at large."""
-        return np.array([np.bincount(_symbols(v), minlength=SYMBOLS) @ self.plain for v in values]) if len(values) else np.zeros(0)
+        joined = np.frombuffer("|".join([*values, ""]).encode("ascii", "replace"), np.uint8)
+        if not len(joined):
+            return np.zeros(0)
+        costs = np.where(joined == ord("|"), self.plain[END], self.plain[_CLASSES[joined & 127]])  # a bar ends a value
+        return np.add.reduceat(costs, np.concatenate(([0], np.cumsum([len(v) + 1 for v in values[:-1]]))).astype(np.int64))
 
     def kinds_of(self, values: Sequence[str]) -> list[int]:
         """Place in KINDS of the format that each value fits best of those it fits as well as credentials do, against all odds; -1 if none."""
