@@ -4,7 +4,9 @@ Vectors, lifted so that the largest inner product is the nearest point, are proj
 shifted; the Hilbert curve through that space gives each a key. Several projections give several orderings. Each
 ordering is range-partitioned at quantiles of its keys into windows of about equal numbers of rows; ties of a key are
 broken by a hash of the id, so that many equal vectors still spread. A query meets the rows of its own window and of the
-neighbouring ones, in every ordering; the best of each window are merged and ranked again by the exact measure.
+neighbouring ones, in every ordering. A task meets one window with one block of the queries that reach it, so that it
+holds about WINDOW_ROWS rows and about BLOCK_QUERIES queries, whatever the data; the best of each are merged in two
+stages, by groups of MERGED windows and then by query, and ranked by the exact measure.
 
 How many neighbouring windows are needed depends on the data. They are chosen on a sample of bounded size (documented
 parameters) as the fewest that find `target` of the sample's true neighbours; every row is indexed.
@@ -16,14 +18,16 @@ empty table gives no rows; extra columns are not carried.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from perimetra.llm.common import materialize, mix
+from perimetra.llm.common import mix
 
 ORDERINGS = 8
 DIMENSIONS = 4
@@ -36,6 +40,9 @@ SAMPLE_QUERIES = 300
 #: A window holds about so many rows at most; there are MIN_WINDOWS at least.
 WINDOW_ROWS = 20_000
 MIN_WINDOWS = 32
+#: About so many queries meet a window in one task; a first merge joins the lists of so many neighbouring windows.
+BLOCK_QUERIES = 4000
+MERGED = 64
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -119,6 +126,16 @@ def _best(scores: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
     return np.argsort(-scores, axis=1, kind="stable")
 
 
+def _merge(ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best of a list, an id once at its best score, ties to smaller ids."""
+    order = np.lexsort((-scores, ids))
+    ids, scores = ids[order], scores[order]
+    first = np.concatenate(([True], ids[1:] != ids[:-1]))[: len(ids)]
+    ids, scores = ids[first], scores[first]
+    order = np.lexsort((ids, -scores))[:top]
+    return ids[order], scores[order]
+
+
 def choose_reach(curves: Curves, ids: np.ndarray, vectors: np.ndarray, windows: int, top: int, target: float) -> int:
     """The fewest neighbouring windows on each side by which the sample's queries find `target` of their true neighbours."""
     if len(ids) < 2:
@@ -169,24 +186,36 @@ def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, target: f
     for r in found:
         cuts[r["ordering"]] = np.array(r["cuts"], np.int64)
 
+    def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            i, v = _usable(pdf, width)
+            keys = curves.keys(v, i, True)
+            yield pd.DataFrame({"ordering": np.tile(np.arange(orderings), len(i)), "window": np.column_stack([np.searchsorted(cuts[o], keys[:, o]) for o in range(orderings)]).ravel()})
+
+    asking = asked.mapInPandas(windows_of, "ordering int, window int").groupBy("ordering", "window").agg(F.count(F.lit(1)).alias("n"))
+    near = Window.partitionBy("ordering").orderBy("window").rangeBetween(-reach, reach)
+    most = asking.select(F.sum("n").over(near).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // BLOCK_QUERIES))
+
     def placed(batches: Iterator[pd.DataFrame], as_query: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             i, v = _usable(pdf, width)
             keys = curves.keys(v, i, as_query)
             raw = [x.tobytes() for x in v]
+            own = (mix(i.astype(np.uint64)) >> np.uint64(8)).astype(np.int64) % blocks
             parts = []
             for o in range(orderings):
                 at = np.searchsorted(cuts[o], keys[:, o])
-                for step in range(-reach, reach + 1) if as_query else (0,):
+                for step, block in itertools.product(range(-reach, reach + 1), (None,)) if as_query else itertools.product((0,), range(blocks)):
                     to = at + step
                     inside = np.flatnonzero((to >= 0) & (to < windows))
-                    parts.append(pd.DataFrame({"ordering": o, "window": to[inside], "vec_id": i[inside], "vector": [raw[k] for k in inside]}))
+                    parts.append(pd.DataFrame({"ordering": o, "window": to[inside], "block": own[inside] if block is None else block, "vec_id": i[inside], "vector": [raw[k] for k in inside]}))
             if parts:
                 yield pd.concat(parts)
 
     def rank(key: tuple, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asks):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "ids": pd.Series([], dtype=object), "scores": pd.Series([], dtype=object)})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "part": np.zeros(0, np.int32), "ids": pd.Series([], dtype=object), "scores": pd.Series([], dtype=object)})
         own = own.drop_duplicates(["vec_id", "vector"]).sort_values("vec_id", kind="stable")
         ids = own["vec_id"].to_numpy()
         block = np.frombuffer(b"".join(own["vector"]), np.float64).reshape(len(own), width)
@@ -199,27 +228,26 @@ def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, target: f
             best = _best(scores, ids, top)
             values = np.take_along_axis(scores, best, axis=1)
             fine = np.isfinite(values)
-            parts.append(pd.DataFrame({"query_id": who, "ids": [ids[b[f]] for b, f in zip(best, fine, strict=True)], "scores": [v[f] for v, f in zip(values, fine, strict=True)]}))
+            parts.append(pd.DataFrame({"query_id": who, "part": key[1] // MERGED, "ids": [ids[b[f]] for b, f in zip(best, fine, strict=True)], "scores": [v[f] for v, f in zip(values, fine, strict=True)]}))
         return pd.concat(parts)
 
-    schema = "ordering int, window int, vec_id long, vector binary"
+    schema = "ordering int, window int, block int, vec_id long, vector binary"
+    where = ("ordering", "window", "block")
     table = rows.mapInPandas(lambda b: placed(b, False), schema)
     asks = asked.mapInPandas(lambda b: placed(b, True), schema)
-    met = table.groupBy("ordering", "window").cogroup(asks.groupBy("ordering", "window")).applyInPandas(rank, "query_id long, ids array<long>, scores array<double>")
-    lists = met.groupBy("query_id").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
+    met = table.groupBy(*where).cogroup(asks.groupBy(*where)).applyInPandas(rank, "query_id long, part int, ids array<long>, scores array<double>")
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for query, ids, scores in zip(pdf["query_id"], pdf["ids"], pdf["scores"], strict=True):
-                who, score = np.concatenate(ids).astype(np.int64), np.concatenate(scores)
-                order = np.lexsort((-score, who))
-                who, score = who[order], score[order]
-                first = np.concatenate(([True], who[1:] != who[:-1]))[: len(who)]
-                who, score = who[first], score[first]
-                order = np.lexsort((who, -score))[:top]
-                parts.append(pd.DataFrame({"query_id": query, "rank": np.arange(1, len(order) + 1), "vec_id": who[order], "score": score[order]}))
-            if parts:
-                yield pd.concat(parts)
+    def merged(lists: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        """The best of all lists of a query (and part), as rows query_id, part, ids, scores."""
+        joined = lists.groupBy(*by).agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("scores")).alias("scores"))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                kept = [_merge(np.asarray(i, np.int64), np.asarray(s, float), top) for i, s in zip(pdf["ids"], pdf["scores"], strict=True)]
+                yield pd.DataFrame({**{c: pdf[c] for c in by}, "ids": [k[0] for k in kept], "scores": [k[1] for k in kept]})
+
+        return joined.mapInPandas(best, ", ".join(f"{c} {lists.schema[c].dataType.simpleString()}" for c in by) + ", ids array<long>, scores array<double>")
 
-    return lists.mapInPandas(merge, out)
+    lists = merged(merged(met, ("query_id", "part")), ("query_id",))
+    ranked = lists.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("rank", "x"))
+    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Sequence
 
@@ -33,7 +34,9 @@ from perimetra.llm.common import list_array, map_texts, mix
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CACHE_WORDS = 600_000
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
+#: Words from this length on are cut where no piece can lie, and are looked at so many characters at once.
+LONG_WORD, PART_CHARS = 48, 1 << 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _NEVER = float("-inf")
 #: Stands for the piece before the first.
@@ -199,6 +202,7 @@ class PieceCodec:
         self.pairs = _Sorted(np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.new_pairs: dict[int, bool] = {}
         self.longest = max(map(len, ids), default=1)
+        self.inner = np.unique(np.array([(ord(a) << 32) | ord(b) for p in self.id_of for a, b in itertools.pairwise(p)] or [0], np.int64))
 
     def _pairs_open(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         pair = (one << 32) | two
@@ -269,6 +273,22 @@ class PieceCodec:
             out += [self.id_of[p]] if p in self.id_of else [i for c in p for i in self._spelled(c)]
         return out
 
+    def _parts(self, word: str) -> list[str]:
+        """The word cut between any two characters that stand side by side in no piece, which no piece and no merge can cross."""
+        cuts = [0]
+        for low in range(0, len(word) - 1, PART_CHARS):
+            chars = np.frombuffer(word[low : low + PART_CHARS + 1].encode("utf-32-le"), np.uint32).astype(np.int64)
+            pair = (chars[:-1] << 32) | chars[1:]
+            known = self.inner[np.minimum(np.searchsorted(self.inner, pair), len(self.inner) - 1)] == pair
+            cuts += (np.flatnonzero(~known) + low + 1).tolist()
+        return [word[a:b] for a, b in itertools.pairwise([*cuts, len(word)])]
+
+    def _encode_long(self, words: list[str]) -> list[bytes]:
+        parts = [self._parts(w) for w in words]
+        distinct = list(dict.fromkeys(p for own in parts for p in own))
+        known = dict(zip(distinct, self.encode_words(distinct), strict=True))
+        return [b"".join(map(known.__getitem__, own)) for own in parts]
+
     def encode_words(self, words: Sequence[str]) -> list[bytes]:
         """Ids (32-bit) of each word; words of equal length advance together."""
         out: list[bytes] = [b""] * len(words)
@@ -339,8 +359,10 @@ class PieceCodec:
         if len(cache) + len(missing) > CACHE_WORDS:
             cache.clear()
             missing = list(index)
-        plain = [w for w in missing if w[:1] != "\0"]
+        plain = [w for w in missing if w[:1] != "\0" and len(w) < LONG_WORD]
         cache.update(zip(plain, self.encode_words([SPACE + w for w in plain]), strict=True))
+        long = [w for w in missing if w[:1] != "\0" and len(w) >= LONG_WORD]
+        cache.update(zip(long, self._encode_long([SPACE + w for w in long]), strict=True))
         for w in missing:
             if w[:1] == "\0":
                 cache[w] = np.array(self._by_merging(w[1:]), np.int32).tobytes() if self.bpe else self.encode_words([w[1:]])[0]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perimetra.llm import ann, media, mixing, ngram_join, piece_codec, quality, secrets, sharding, token_counts, warc
-from perimetra.llm.common import table
+from perimetra.llm.common import shared_dir, table
 
 
 def op1_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +73,12 @@ def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), keep_codes=False)
+    return media.media_columns(table(spark, sf_dir, "documents"))
 
 
 def op8_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    dealt = sharding.sharded_with_next(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/perimetra/slot-maps-{uuid.uuid4().hex}", 40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "version", "next_shard")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

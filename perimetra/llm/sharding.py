@@ -85,25 +85,40 @@ def save_map(slot_map: DataFrame, path: str) -> None:
 
 def load_map(spark, path: str, version: int | None = None) -> DataFrame:
     """The map of `version`, or the latest."""
-    maps = spark.read.parquet(path)
+    maps = spark.read.schema("vslot int, shard int, version int").parquet(path)
     last = maps.agg(F.max("version")).first()[0] if version is None else version
     return maps.filter(F.col("version") == last).select(F.col("version").cast("int").alias("version"), "vslot", "shard")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
-    """Each document with its shard and its place there: doc_id, size, text_crc32, shard, slot, vslot, version.
+def placed(rows: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Each record with its shard and its place there: doc_id, size, text_crc32, shard, slot, vslot, version.
 
     slot counts from 0 without gaps within a shard: the rows of the shard's earlier virtual slots, then the place among
     the virtual slot's own rows.
     """
-    rows = materialize(records(docs, slots), "records")
-    sizes = materialize(slot_sizes(rows), "slot-sizes")
-    chosen = materialize(slot_map if slot_map is not None else new_map(sizes, shards), "slot-map")
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    starts = sizes.join(F.broadcast(chosen), "vslot").select("vslot", "shard", "version", before.alias("start"))
+    starts = sizes.join(F.broadcast(slot_map), "vslot").select("vslot", "shard", "version", before.alias("start"))
     own = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
         rows.withColumn("own", own)
         .join(F.broadcast(starts), "vslot")
         .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("own")).alias("slot"), "vslot", "version")
     )
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
+    """The documents placed by `slot_map`, or by a first map of their own."""
+    rows = materialize(records(docs, slots), "records")
+    sizes = materialize(slot_sizes(rows), "slot-sizes")
+    return placed(rows, sizes, materialize(slot_map if slot_map is not None else new_map(sizes, shards), "slot-map"))
+
+
+def sharded_with_next(docs: DataFrame, maps: str, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+    """The documents placed by version 1 of a map stored at `maps`, with next_shard: where version 2, edited for one more shard, has them."""
+    rows = materialize(records(docs, slots), "records")
+    sizes = materialize(slot_sizes(rows), "slot-sizes")
+    save_map(new_map(sizes, shards), maps)
+    spark = docs.sparkSession
+    save_map(edited_map(load_map(spark, maps, 1), sizes, shards + 1, 2), maps)
+    following = load_map(spark, maps, 2).select("vslot", F.col("shard").alias("next_shard"))
+    return placed(rows, sizes, load_map(spark, maps, 1)).join(F.broadcast(following), "vslot")
