@@ -10,16 +10,24 @@ Point = tuple[float, float]
 TRUSTED = 0.05
 
 
+def _centred(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points moved to their centre and scaled to a mean distance of sqrt 2, as rows (x, y, 1), and the matrix that does it."""
+    centre = points.mean(axis=0)
+    scale = np.sqrt(2) / max(float(np.linalg.norm(points - centre, axis=1).mean()), 1e-12)
+    move = np.array([[scale, 0, -scale * centre[0]], [0, scale, -scale * centre[1]], [0, 0, 1]])
+    return np.column_stack((points, np.ones(len(points)))) @ move.T, move
+
+
 def calibrate(image: Sequence[Point], world: Sequence[Point]) -> np.ndarray:
-    """The 3x3 matrix from pixels to metres that fits four or more point pairs best, by singular values."""
-    if len(image) != len(world) or len(image) < 4:
+    """The 3x3 matrix from pixels to metres that fits four or more point pairs best, by singular values of centred points."""
+    pixels, metres = np.asarray(image, float), np.asarray(world, float)
+    if pixels.shape != metres.shape or len(pixels) < 4:
         raise ValueError("four point pairs at least")
-    rows = []
-    for (u, v), (x, y) in zip(image, world, strict=True):
-        rows += [[-u, -v, -1, 0, 0, 0, x * u, x * v, x], [0, 0, 0, -u, -v, -1, y * u, y * v, y]]
-    _, _, vt = np.linalg.svd(np.array(rows, float))
-    h = vt[-1].reshape(3, 3)
-    if abs(h[2, 2]) < 1e-12:
+    (p, from_pixels), (q, to_metres) = _centred(pixels), _centred(metres)
+    zero = np.zeros_like(p)
+    conditions = np.concatenate((np.hstack((p, zero, -q[:, :1] * p)), np.hstack((zero, p, -q[:, 1:2] * p))))
+    h = np.linalg.inv(to_metres) @ np.linalg.svd(conditions)[2][-1].reshape(3, 3) @ from_pixels
+    if abs(h[2, 2]) < 1e-12 * np.abs(h).max():
         raise ValueError("degenerate points")
     return h / h[2, 2]
 

@@ -52,9 +52,26 @@ def poisson_upper(k: int, alpha: float = 0.05) -> float:
     return 3.0 if k == 0 else _solve(0.0, k + 10 * math.sqrt(k + 1) + 20, True, alpha, lambda m: _poisson_below(k, m))
 
 
-def frames_needed(budget: float, upper_at_zero: float = 3.0) -> int:
-    """Frames without an event that show a rate within the budget."""
-    return math.ceil(upper_at_zero / budget)
+#: Upper bound of a mean after no event, as a rule of thumb, and the chance beyond a one-sided bound.
+RULE_OF_THREE, TAIL = 3.0, 0.05
+
+
+def frames_needed(budget: float, count: int = 0) -> int:
+    """Frames with `count` events that would show a rate within the budget."""
+    return math.ceil(poisson_upper(count) / budget)
+
+
+def poisson_below(k: Column, mean: float) -> Column:
+    """P(X <= k) of a Poisson variable."""
+    first = F.struct(F.lit(-mean).alias("log"), F.lit(math.exp(-mean)).alias("sum"))
+    add = lambda a, i: F.struct((a["log"] + F.log(mean / i)).alias("log"), (a["sum"] + F.exp(a["log"] + F.log(mean / i))).alias("sum"))
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<long>"))
+    return F.aggregate(terms, first, add)["sum"]
+
+
+def poisson_uppers(k: Column) -> Column:
+    """`poisson_upper` of a column of counts."""
+    return F.pandas_udf(lambda values: values.map(lambda v: poisson_upper(int(v))).astype(float), "double")(k)
 
 
 def poisson_columns(k: Column) -> Column:
@@ -66,10 +83,10 @@ def poisson_columns(k: Column) -> Column:
     return F.pandas_udf(of, "low double, high double")(k)
 
 
-def ap_of(conf: np.ndarray, hit: np.ndarray, weight: np.ndarray, n_gt: float) -> float:
-    """Area under the precision envelope at 101 recalls for weighted predictions."""
+def ap_of(conf: np.ndarray, hits: np.ndarray, misses: np.ndarray, n_gt: float) -> float:
+    """Area under the precision envelope at 101 recalls for weighted counts of right and wrong predictions by confidence."""
     order = np.argsort(-conf, kind="stable")
-    tp, fp = np.cumsum(hit[order] * weight[order]), np.cumsum((1 - hit[order]) * weight[order])
+    tp, fp = np.cumsum(hits[order]), np.cumsum(misses[order])
     recall = np.concatenate(([0.0], tp / n_gt, [1.0]))
     precision = np.concatenate(([1.0], tp / np.maximum(tp + fp, 1e-16), [0.0]))
     envelope = np.maximum.accumulate(precision[::-1])[::-1]
@@ -77,19 +94,30 @@ def ap_of(conf: np.ndarray, hit: np.ndarray, weight: np.ndarray, n_gt: float) ->
     return float(np.trapezoid(np.interp(marks, recall, envelope), marks))
 
 
-def poisson_bootstrap_ap(conf: np.ndarray, hit: np.ndarray, n_gt: np.ndarray, cluster: np.ndarray, replicates: int, seed: str) -> np.ndarray:
-    """AP of each replicate, clusters weighted by draws that depend on their name, the replicate and the seed."""
-    names, at = np.unique(cluster, return_inverse=True)
+def _split(counts: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    real = (counts["conf"] >= 0).to_numpy()
+    return (real, *(counts[c].to_numpy(float) for c in ("conf", "hits", "misses", "n_gt")))
+
+
+def plain_ap(counts: pd.DataFrame) -> float:
+    real, conf, hits, misses, n_gt = _split(counts)
+    return ap_of(conf[real], hits[real], misses[real], n_gt.sum()) if n_gt.sum() > 0 else float("nan")
+
+
+def poisson_bootstrap_ap(counts: pd.DataFrame, replicates: int, seed: str) -> np.ndarray:
+    """AP of each replicate of counts (cluster, conf, hits, misses, n_gt; conf -1 counts ground truth), clusters weighted by
+    draws that depend on their name, the replicate and the seed; NaN where no ground truth is drawn."""
+    real, conf, hits, misses, n_gt = _split(counts)
+    names, at = np.unique(counts["cluster"].astype(str).to_numpy(), return_inverse=True)
     start = [int.from_bytes(hashlib.sha256(f"{seed}:{n}".encode()).digest()[:8], "big") for n in names]
     weights = np.stack([np.random.default_rng(s).poisson(1.0, replicates) for s in start])
-    out = []
+    out = np.full(replicates, np.nan)
     for r in range(replicates):
         w = weights[at, r].astype(float)
         total = float((w * n_gt).sum())
         if total > 0:
-            real = conf >= 0
-            out.append(ap_of(conf[real], hit[real], w[real], total))
-    return np.array(out)
+            out[r] = ap_of(conf[real], (w * hits)[real], (w * misses)[real], total)
+    return out
 
 
 def percentile_interval(values: np.ndarray, level: float = 0.95, least: int = 20) -> tuple[float | None, float | None]:

@@ -11,12 +11,15 @@ FLOOR = 0.35
 SPREAD = 4 * 1.4826
 
 
-def cell_thresholds(cells: DataFrame, camera: Sequence[str], cell: Sequence[str], least: int = 5, floor: float = FLOOR) -> DataFrame:
-    """tau per cell: median + 4 scaled MADs of `energy`, at least `floor`; cells with fewer samples get the median tau of their camera."""
+def cell_thresholds(cells: DataFrame, camera: Sequence[str], cell: Sequence[str], least: int = 5, floor: float = FLOOR, frame: str = "t") -> DataFrame:
+    """tau per cell: median + 4 scaled MADs of `energy`, at least `floor`; cells with fewer samples than `least` and than a
+    tenth of their camera's frames (distinct `frame`s) get the median tau of their camera."""
+    frames = cells.groupBy(*camera).agg(F.count_distinct(frame).alias("frames"))
     key = [*camera, *cell]
     medians = cells.groupBy(*key).agg(F.percentile("energy", 0.5).alias("m"), F.count("energy").alias("samples"))
     spread = cells.join(medians.select(*key, "m"), key).groupBy(*key).agg(F.percentile(F.abs(F.col("energy") - F.col("m")), 0.5).alias("mad"))
-    own = medians.join(spread, key).withColumn("tau", F.when(F.col("samples") >= least, F.greatest(F.lit(floor), F.col("m") + SPREAD * F.col("mad"))))
+    enough = F.greatest(F.lit(least), F.floor(F.col("frames") / 10))
+    own = medians.join(spread, key).join(frames, list(camera)).withColumn("tau", F.when(F.col("samples") >= enough, F.greatest(F.lit(floor), F.col("m") + SPREAD * F.col("mad"))))
     whole = own.groupBy(*camera).agg(F.percentile("tau", 0.5).alias("camera_tau"))
     return own.join(whole, list(camera)).select(*key, "samples", F.coalesce("tau", "camera_tau", F.lit(floor)).alias("tau"))
 

@@ -131,6 +131,54 @@ def majority(rows: DataFrame, key: str, value: str, priority: Sequence[str]) ->
     return n.groupBy(key).agg(F.max_by(value, F.struct("votes", -rank)).alias(value))
 
 
+def modality_of(stem: Column) -> Column:
+    """visible or lwir, by the ending of a file's stem; null where it has neither."""
+    return F.nullif(F.regexp_extract(stem, r"_(visible|lwir)$", 1), F.lit(""))
+
+
+def with_tiles(frames: DataFrame, excluded: DataFrame, tiles: DataFrame, key: str = "image") -> DataFrame:
+    """Frames that are not excluded, and the tiles cut from frames."""
+    return frames.join(excluded.select(key), key, "left_anti").unionByName(tiles.select(frames.columns))
+
+
+def blocked(rows: DataFrame, natives: str, blocking: Sequence[str]) -> DataFrame:
+    """Rows with the native classes that block them, sorted; only those that have any."""
+    found = F.array_sort(F.array_intersect(F.col(natives), F.array(*[F.lit(b) for b in blocking])))
+    return rows.withColumn("blocked_by", found).filter(F.size("blocked_by") > 0)
+
+
+def ranked_candidates(rows: DataFrame, small: str, key: str, n: int) -> DataFrame:
+    """The n candidates with most small objects, ties by key."""
+    return rows.orderBy(F.desc(small), key).limit(n)
+
+
+def class_gate(sheet: DataFrame, cls: str, least: int, verdict: str = "verdict") -> DataFrame:
+    """One row on a class that people reviewed: candidates, verified, rejected, unreviewed, and whether it is shipped (`least` verified)."""
+    own = F.lower(F.trim(F.coalesce(verdict, F.lit(""))))
+    counts = sheet.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(own == cls).alias("verified"), F.count_if(own.isin(f"not_{cls}", f"not{cls}", "no")).alias("rejected"))
+    counts = counts.withColumn("unreviewed", F.col("candidates") - F.col("verified") - F.col("rejected"))
+    return counts.withColumn("decision", F.when(F.col("verified") >= least, "ship").otherwise("withdraw"))
+
+
+def placement(wanted: DataFrame, listing: DataFrame) -> DataFrame:
+    """What it takes to make a listing (path, bytes) what is wanted: place, replace (another size), keep, or remove (stale)."""
+    both = wanted.select("path", F.col("bytes").alias("want")).join(listing.select("path", F.col("bytes").alias("have")), "path", "full")
+    action = F.when(F.col("want").isNull(), "remove").when(F.col("have").isNull(), "place").when(F.col("want") != F.col("have"), "replace").otherwise("keep")
+    return both.select("path", action.alias("action"), F.col("want").alias("bytes"))
+
+
+def split_copies(rows: DataFrame, most: int = 10) -> DataFrame:
+    """Pairs of rows (image, split, hash) of different splits whose hashes agree in the 16 highest bits and differ in `most` bits at most.
+
+    Rows of one hash and split stand as one, with their number, so that copies do not multiply.
+    """
+    one = rows.groupBy("split", "hash", F.shiftrightunsigned("hash", 48).alias("bucket")).agg(F.min("image").alias("image"), F.count(F.lit(1)).alias("n"))
+    a, b = (one.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("split", "hash", "image", "n")]) for side in ("a", "b"))
+    distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
+    met = a.join(b, "bucket").filter((F.col("split_a") < F.col("split_b")) & (distance <= most))
+    return met.select("split_a", "split_b", "image_a", "image_b", "n_a", "n_b", distance.cast("int").alias("distance"))
+
+
 def gate(ident: str, name: str, threshold: str, observed: DataFrame, passed: Column, skip: Column | None = None) -> DataFrame:
     """One gate's row from an aggregate with a column `observed`; a skipped gate has not passed."""
     result = F.when(passed, "PASS").otherwise("FAIL")
@@ -138,18 +186,28 @@ def gate(ident: str, name: str, threshold: str, observed: DataFrame, passed: Col
     return observed.select(F.lit(ident).alias("gate"), F.lit(name).alias("name"), F.lit(threshold).alias("threshold"), F.col("observed").cast("double").alias("observed"), result.alias("result"))
 
 
-def hard_set(rows: DataFrame, buckets: Sequence[tuple[str, Column, int]], filler: int, seed: str, key: str) -> DataFrame:
-    """A set of hard rows: each bucket (name, condition, number) in turn takes its share of rows not yet taken, then others fill up: adds `bucket`.
+def hard_set(rows: DataFrame, buckets: Sequence[tuple[str, Column, int, Sequence[str], float | None]], total: int, key: str) -> DataFrame:
+    """A set of `total` hard rows, those of each bucket in turn: adds `bucket`.
 
-    A row belongs to the first bucket whose condition it meets.
+    A bucket (name, condition, number, order, share) takes the first `number` of the rows that meet its condition and that
+    no bucket before took; with a share, only of that share of all rows that meet it (one at least), first in its order.
+    Rows that a full bucket leaves may go to a later one. Others then fill up by `key`. Numbers bound what is taken, so
+    taken keys are few.
     """
-    own = F.lit(None).cast("string")
-    for name, condition, _ in reversed(buckets):
-        own = F.when(condition, name).otherwise(own)
-    most = F.create_map(*[x for name, _, n in buckets for x in (F.lit(name), F.lit(n))], F.lit("filler"), F.lit(filler))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(shuffle_key(seed, F.col(key)), key))
-    marked = rows.withColumn("bucket", F.coalesce(own, F.lit("filler"))).withColumn("__rank", rank)
-    return marked.filter(F.col("__rank") <= most[F.col("bucket")]).drop("__rank")
+    taken, parts = None, []
+    for place, (name, condition, number, order, share) in enumerate([*buckets, ("filler", F.lit(True), total, (key,), None)]):
+        fit = rows.filter(condition)
+        if share is not None:
+            so_far = sum(n for _, _, n, _, _ in buckets[:place])
+            fit = fit.orderBy(*order).limit(min(max(1, int(fit.count() * share)), so_far + number))
+        fit = fit if taken is None else fit.join(taken, key, "left_anti")
+        part = fit.orderBy(*order).limit(number).withColumn("bucket", F.lit(name)).withColumn("__place", F.lit(place))
+        parts.append(part.withColumn("__rank", F.row_number().over(Window.partitionBy("__place").orderBy(*order))))
+        taken = part.select(key) if taken is None else taken.unionByName(part.select(key))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.orderBy("__place", "__rank").limit(total).drop("__place", "__rank")
 
 
 def reconcile(manifest: DataFrame, listing: DataFrame, stem: Column) -> DataFrame:

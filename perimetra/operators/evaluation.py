@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from perimetra.functions import geometry as g
 from perimetra.functions import stats
 
 BOX = ("x1", "y1", "x2", "y2")
+#: The ten overlaps that AP50-95 averages.
+TEN = tuple(k / 100 for k in range(50, 100, 5))
 #: Edges between size buckets, largest first, as geometric means of neighbouring levels in pixels.
 SIZE_LEVELS = (77, 54, 38, 27, 19, 14, 9)
 
@@ -90,9 +93,11 @@ def _join_ranges(rows: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataF
     return rows.join(other, met).drop(*[f"__{c}" for c in keys])
 
 
-def average_precision(curves: DataFrame, gt: DataFrame, by: Sequence[str] = ("cls",)) -> DataFrame:
+def average_precision(curves: DataFrame, gt: DataFrame, by: Sequence[str] = ("cls",), predicted: DataFrame | None = None) -> DataFrame:
     """AP by the area under the envelope at 101 recalls, linearly interpolated: null without ground truth, 0 without predictions.
 
+    predicted: rows whose keys get a row even where there is no ground truth.
+
     Between two marks only the curve's last point up to the upper one and its first point above the lower one matter;
     both are plain aggregates, and windows run over the marks alone.
     """
@@ -119,8 +124,47 @@ def average_precision(curves: DataFrame, gt: DataFrame, by: Sequence[str] = ("cl
     value = F.when(high["r"].isNull() | (high["r"] == low["r"]), low["v"]).otherwise(low["v"] + (r - low["r"]) / (high["r"] - low["r"]) * (high["v"] - low["v"]))
     area = (F.col("v") + F.lag("v").over(rising)) / 2 * 0.01
     ap = both.select(*by, "mark", value.alias("v")).withColumn("area", area).groupBy(*by).agg(F.sum("area").alias("ap"))
-    n = gt.groupBy(*by).agg(F.count(F.lit(1)).alias("n_gt"))
-    return n.join(ap, list(by), "left").select(*by, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    n = gt.select(*by, F.lit(1).alias("one"))
+    n = n if predicted is None else n.unionByName(predicted.select(*by).distinct().withColumn("one", F.lit(0)))
+    n = n.groupBy(*by).agg(F.sum("one").alias("n_gt"))
+    return n.join(ap, list(by), "left").select(*by, "n_gt", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+
+
+def match_at(gt: DataFrame, pred: DataFrame, thresholds: Sequence[float], key: Sequence[str] = ("image", "cls")) -> DataFrame:
+    """Predictions (key, pred_id, conf) once for each threshold, with hit: as `match` at that threshold.
+
+    Boxes meet once, at the lowest threshold; each pair then stands for the thresholds that its overlap reaches. A
+    prediction's best partner is the same at all of them, so only who gets a ground truth is decided for each.
+    """
+    grid = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
+    a = gt.select(*key, "gt_id", *[F.col(c).alias(f"g{c}") for c in BOX])
+    over = g.iou(tuple(F.col(c) for c in BOX), tuple(F.col(f"g{c}") for c in BOX))
+    pairs = pred.join(a, list(key)).withColumn("iou", over).filter(F.col("iou") >= min(thresholds))
+    best = pairs.groupBy(*key, "pred_id").agg(F.max_by(F.struct("gt_id", "iou", "conf"), F.struct("iou", -F.col("gt_id"))).alias("m")).select(*key, "pred_id", "m.*")
+    reached = best.withColumn("threshold", F.explode(F.filter(grid, lambda t: F.col("iou") >= t)))
+    own = reached.groupBy(*key, "gt_id", "threshold").agg(F.max_by("pred_id", F.struct("conf", -F.col("pred_id"))).alias("pred_id"))
+    hits = own.groupBy(*key, "pred_id").agg(F.collect_set("threshold").alias("hits"))
+    spread = pred.select(*key, "pred_id", "conf").join(hits, [*key, "pred_id"], "left").withColumn("threshold", F.explode(grid))
+    return spread.select(*key, "pred_id", "conf", "threshold", F.coalesce(F.array_contains("hits", F.col("threshold")), F.lit(False)).alias("hit"))
+
+
+def average_precisions(gt: DataFrame, pred: DataFrame, by: Sequence[str] = ("cls",), thresholds: Sequence[float] = TEN, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """by, n_gt, ap50 and ap50_95 (the mean over `thresholds`; the first is 0.5): null without ground truth.
+
+    settle: writes the matches out, which the curve reads several times.
+    """
+    key = list(dict.fromkeys(["image", "cls", *by]))
+    met = settle(match_at(gt, pred, thresholds, key).withColumn("gt_id", F.when(F.col("hit"), 1)))
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    many = gt.select(*by, grid)
+    ap = average_precision(curve(met, many, [*by, "threshold"]), many, [*by, "threshold"], met)
+    return ap.groupBy(*by).agg(F.max("n_gt").alias("n_gt"), F.max(F.when(F.col("threshold") == min(thresholds), F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+
+
+def mean_over_present(rows: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Means over the classes that have ground truth, and how many they are; null where none has."""
+    present = F.col("n_gt") > 0
+    return rows.groupBy(*by).agg(F.count_if(present).alias("classes"), *[F.avg(F.when(present, F.col(v))).alias(v) for v in values])
 
 
 def at_thresholds(matched: DataFrame, gt: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("cls",)) -> DataFrame:
@@ -144,11 +188,24 @@ def best_f1(points: DataFrame, by: Sequence[str] = ("cls",)) -> DataFrame:
 
 
 def budget_point(points: DataFrame, images: int, allowed: float, by: Sequence[str] = ("cls",)) -> DataFrame:
-    """The lowest threshold whose false positives per image are within the budget, and how sure that is: met, vacuous (nothing found) or unreachable."""
-    ok = points.filter(F.col("fp") <= allowed * images).groupBy(*by).agg(F.min_by(F.struct("threshold", "recall", "tp"), "threshold").alias("b"))
-    every = points.select(*by).distinct()
-    status = F.when(F.col("b").isNull(), "unreachable").when(F.col("b.tp") == 0, "vacuous").otherwise("met")
-    return every.join(ok, list(by), "left").select(*by, status.alias("status"), F.col("b.threshold").alias("threshold"), F.col("b.recall").alias("recall"))
+    """The point of `at_thresholds` that keeps false positives per image within `allowed`, and how sure that is.
+
+    met: the one-sided 95 % upper bound of the count fits the budget; of such points the one with most recall, then
+    fewest false positives, then the highest threshold. unresolvable: only the count itself fits. unreachable: not even
+    that; the point with fewest false positives. vacuous: there is ground truth and nothing of it is found. frames_needed:
+    images that would have to be seen, without a further false positive, to meet the budget (0 if met, null if unreachable).
+    """
+    most = allowed * images
+    within = F.col("fp") <= most + 1e-9
+    fits = within & F.when(F.col("fp") == 0, F.lit(stats.RULE_OF_THREE <= most)).otherwise(stats.poisson_below(F.col("fp"), most) <= stats.TAIL)
+    level = F.when(fits, 2).when(within, 1).otherwise(0)
+    recall, fewest = F.col("recall").cast("double"), (-F.col("fp")).cast("double")
+    first, second = F.when(level > 0, recall).otherwise(fewest), F.when(level > 0, fewest).otherwise(recall)
+    chosen = F.max_by(F.struct(level.alias("level"), "threshold", "recall", "tp", "fp", "n_gt"), F.struct(level, first, second, "threshold")).alias("b")
+    point = points.groupBy(*by).agg(chosen).select(*by, "b.*")
+    status = F.when(F.col("level") == 2, "met").when(F.col("level") == 1, "unresolvable").otherwise("unreachable")
+    needed = F.when(F.col("level") == 2, 0).when(F.col("level") == 1, F.ceil(stats.poisson_uppers(F.col("fp")) / allowed))
+    return point.select(*by, status.alias("status"), ((F.col("n_gt") > 0) & (F.col("tp") == 0)).alias("vacuous"), "threshold", "recall", "fp", needed.cast("long").alias("frames_needed"))
 
 
 def single_modality(images: DataFrame, slice_col: str = "slice", modality: str = "modality") -> DataFrame:
@@ -157,19 +214,47 @@ def single_modality(images: DataFrame, slice_col: str = "slice", modality: str =
     return images.withColumn("__n", F.assert_true(n <= 1, F.lit("a slice holds more than one modality"))).filter(F.col("__n").isNull()).drop("__n")
 
 
+def _cluster_counts(matched: DataFrame, gt: DataFrame, cluster: str, by: Sequence[str]) -> DataFrame:
+    """by, cluster, conf, hits, misses, n_gt: predictions counted by confidence, and rows of conf -1 that count the ground truth."""
+    hit = F.col("gt_id").isNotNull().cast("long")
+    zero = F.lit(0).cast("long")
+    own = matched.groupBy(*by, F.col(cluster).alias("cluster"), "conf").agg(F.sum(hit).alias("hits"), F.sum(1 - hit).alias("misses")).withColumn("n_gt", zero)
+    base = gt.groupBy(*by, F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n_gt")).withColumn("conf", F.lit(-1.0)).withColumn("hits", zero).withColumn("misses", zero)
+    return own.unionByName(base)
+
+
 def bootstrap_ap(matched: DataFrame, gt: DataFrame, cluster: str, replicates: int = 200, seed: str = "boot", by: Sequence[str] = ("cls",), level: float = 0.95) -> DataFrame:
-    """Percentile interval of AP over replicates that weight whole clusters by hash-seeded Poisson draws; null below 20 valid ones."""
+    """Percentile interval of AP over replicates that weight whole clusters by hash-seeded Poisson draws; null below 20 valid ones.
+
+    Replicates see counts by cluster and confidence only; predictions of one confidence stand together.
+    """
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = stats.poisson_bootstrap_ap(pdf["conf"].to_numpy(), pdf["hit"].to_numpy(), pdf["n_gt"].to_numpy(), pdf["cluster"].astype(str).to_numpy(), replicates, f"{seed}:{key}")
+        values = stats.poisson_bootstrap_ap(pdf, replicates, f"{seed}:{key}")
+        values = values[np.isfinite(values)]
         low, high = stats.percentile_interval(values, level)
         return pd.DataFrame([(*key, len(values), low, high)], columns=[*by, "replicates", "low", "high"])
 
-    n = gt.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n_gt"))
-    hits = matched.select(*by, F.col(cluster).alias("cluster"), "conf", F.col("gt_id").isNotNull().cast("double").alias("hit"), F.lit(0).cast("long").alias("n_gt"))
-    base = n.select(*by, F.col(cluster).alias("cluster"), F.lit(-1.0).alias("conf"), F.lit(0.0).alias("hit"), "n_gt")
     kinds = ", ".join(f"{c} {matched.schema[c].dataType.simpleString()}" for c in by)
-    return hits.unionByName(base).groupBy(*by).applyInPandas(one, f"{kinds}, replicates long, low double, high double")
+    return _cluster_counts(matched, gt, cluster, by).groupBy(*by).applyInPandas(one, f"{kinds}, replicates long, low double, high double")
+
+
+def bootstrap_delta(before: DataFrame, after: DataFrame, gt: DataFrame, cluster: str, replicates: int = 200, seed: str = "delta", by: Sequence[str] = ("cls",), level: float = 0.95) -> DataFrame:
+    """Change of AP between two models' matches of the same images and its percentile interval: both get the same weights in
+    each replicate. Null below 20 replicates that are valid for both."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [pdf[(pdf["model"] == m) | (pdf["conf"] < 0)] for m in (0, 1)]
+        first, second = (stats.poisson_bootstrap_ap(p, replicates, f"{seed}:{key}") for p in parts)
+        values = (second - first)[np.isfinite(first) & np.isfinite(second)]
+        low, high = stats.percentile_interval(values, level)
+        delta = float(stats.plain_ap(parts[1]) - stats.plain_ap(parts[0]))
+        return pd.DataFrame([(*key, len(values), delta, low, high)], columns=[*by, "replicates", "delta", "low", "high"])
+
+    rows = [_cluster_counts(m, gt, cluster, by).withColumn("model", F.lit(k)) for k, m in enumerate((before, after))]
+    both = rows[0].unionByName(rows[1].filter("conf >= 0"))
+    kinds = ", ".join(f"{c} {before.schema[c].dataType.simpleString()}" for c in by)
+    return both.groupBy(*by).applyInPandas(one, f"{kinds}, replicates long, delta double, low double, high double")
 
 
 def character_errors(reference: Column, hypothesis: Column) -> Column:

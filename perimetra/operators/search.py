@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,15 +49,43 @@ def percent(score: Column, scale: float, bias: float) -> Column:
     return F.bround(100.0 / (1.0 + F.exp(-(score * scale + bias)))).cast("int")
 
 
-def search_batch(keyframes: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
-    """The k best clips of each query (query_id, vector): query_id, rank, clip_id, keyframe_id, score. Queries are few; each row meets all of them within one array."""
-    asked = queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-    met = keyframes.join(F.broadcast(asked)).select("clip_id", "keyframe_id", F.explode(F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), dot(F.col("embedding"), q["vector"]).alias("score")))).alias("s"))
-    best = met.groupBy("s.query_id", "clip_id").agg(F.max_by(F.struct("keyframe_id", F.col("s.score").alias("score")), F.struct("s.score", -F.col("keyframe_id"))).alias("b"))
+def search_batch(keyframes: DataFrame, queries: DataFrame, k: int = 6, most: int = 1000) -> DataFrame:
+    """The k best clips of each query (query_id, vector): query_id, rank, clip_id, keyframe_id, score.
+
+    Queries go to every task, so that they are `most` at most; more is an error. A batch of keyframes keeps the k best
+    clips of each query by their best keyframe in it, which no clip of the overall best can miss.
+    """
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(most + 1).toPandas()
+    if len(asked) > most:
+        raise ValueError(f"{most} queries at most")
+    names, matrix = asked["query_id"].to_numpy(), np.array(asked["vector"].tolist(), float).reshape(len(asked), -1)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf) or not len(names):
+                continue
+            pdf = pdf.sort_values("keyframe_id")
+            ids, clips = pdf["keyframe_id"].to_numpy(), pdf["clip_id"].to_numpy()
+            for name, scores in zip(names, matrix @ np.array(pdf["embedding"].tolist(), float).T, strict=True):
+                order = np.argsort(-scores, kind="stable")
+                firsts = order[np.sort(np.unique(clips[order], return_index=True)[1])[:k]]
+                yield pd.DataFrame({"query_id": name, "clip_id": clips[firsts], "keyframe_id": ids[firsts], "score": scores[firsts]})
+
+    kinds = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for frame, c in ((queries, "query_id"), (keyframes, "clip_id"), (keyframes, "keyframe_id")))
+    met = keyframes.select("clip_id", "keyframe_id", "embedding").mapInPandas(best, f"{kinds}, score double")
+    own = met.groupBy("query_id", "clip_id").agg(F.max_by(F.struct("keyframe_id", "score"), F.struct("score", -F.col("keyframe_id"))).alias("b"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b.score"), "b.keyframe_id"))
-    return best.select("query_id", rank.alias("rank"), "clip_id", "b.keyframe_id", "b.score").filter(F.col("rank") <= k)
+    return own.select("query_id", rank.alias("rank"), "clip_id", "b.keyframe_id", "b.score").filter(F.col("rank") <= k)
+
 
+def response(best: DataFrame, cameras: DataFrame, clips: DataFrame) -> DataFrame:
+    """What a search answers: position (from 0), clip_id, keyframe_id, percent, the camera's name (its id where it is not known), at and chips, best first.
 
+    best: clip_id, keyframe_id, score; clips: clip_id, camera_id, at, chips; cameras: id, name.
+    """
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "keyframe_id")) - 1  # the few best only
+    rows = best.withColumn("position", place).join(clips, "clip_id", "left").join(cameras.select(F.col("id").alias("camera_id"), "name"), "camera_id", "left")
+    return rows.select("position", "clip_id", "keyframe_id", percent(F.col("score"), 10.0, -2.0).alias("percent"), F.coalesce("name", F.col("camera_id").cast("string")).alias("camera"), "at", "chips")
 def window_scanned(rows: DataFrame, at: str) -> DataFrame:
     """Span of the index in days, or in weeks from 14 days on; timestamps that do not parse are left out."""
     ts = F.try_to_timestamp(F.col(at))
@@ -105,6 +133,19 @@ def simhashes(text: Column) -> Column:
     return F.pandas_udf(lambda t: pd.Series([simhash(x) for x in t], dtype="int64"), "long")(text)
 
 
+def word_simhash_of(text: str | None) -> int:
+    """60-bit simhash over a text's distinct words, cut at blanks: the majority of each bit of their SHA-256; 0 without words."""
+    words = {w for w in (text or "").lower().split(" ") if w}
+    digests = b"".join(hashlib.sha256(w.encode()).digest()[:8] for w in words)
+    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    ones = sum(np.unpackbits(rows[i : i + DIGESTS], axis=1).sum(0, dtype=np.int64) for i in range(0, len(rows), DIGESTS)) if words else np.zeros(64)
+    return int(np.packbits(2 * ones > len(rows)).view(">u8")[0]) >> 4
+
+
+def word_simhash(text: Column) -> Column:
+    return F.pandas_udf(lambda t: pd.Series([word_simhash_of(x) for x in t], dtype="int64"), "long")(text)
+
+
 def bands(hash64: Column) -> Column:
     """The hash's 16-bit bands with their number, so that equal bands meet."""
     return F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(hash64, 16 * b).bitwiseAND(0xFFFF).alias("bits")) for b in range(BANDS)])

@@ -138,6 +138,38 @@ def apply_patches(alerts: DataFrame, patches: DataFrame, key: str, order: str, c
     return j.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in alerts.columns], changed.alias("changed")), refused
 
 
+def of_sector(rows: DataFrame, sector: str | None, column: str = "sector") -> DataFrame:
+    """Rows of a sector; all of them for 'all' or None."""
+    return rows if sector is None or sector.lower() == "all" else rows.filter(F.col(column) == sector)
+
+
+def in_days(rows: DataFrame, first: str | None, last: str | None, day: str = "day") -> DataFrame:
+    """Rows whose day (a date or its ISO text) lies between first and last, both included; None leaves an end open."""
+    own = F.col(day).cast("string")
+    return rows.filter((F.lit(True) if first is None else own >= first) & (F.lit(True) if last is None else own <= last))
+
+
+def by_policy(rows: DataFrame, policy: str = "rules", rules: str = "n_rules") -> DataFrame:
+    """kind: alert where a rule fired (policy 'rules') or for every row (policy 'all'), else observation."""
+    if policy not in ("rules", "all"):
+        raise ValueError("policy is 'rules' or 'all'")
+    return rows.withColumn("kind", F.when((F.col(rules) > 0) | F.lit(policy == "all"), "alert").otherwise("observation"))
+
+
+def to_wall_clock(rows: DataFrame, stamps: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows whose t is moved from the event clock to the wall clock by what their event's captured_at is ahead of its timestamp."""
+    ahead = stamps.select(*key, (F.col("captured_at") - F.col("timestamp")).alias("__ahead"))
+    return rows.join(ahead, list(key)).withColumn("t", F.col("t") + F.col("__ahead")).drop("__ahead")
+
+
+def reasons_counted(*rejects: DataFrame) -> DataFrame:
+    """How many rows each step skipped, by step and reason: nothing goes without being counted."""
+    every = rejects[0].select("step", "reason")
+    for r in rejects[1:]:
+        every = every.unionByName(r.select("step", "reason"))
+    return every.groupBy("step", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def rate_limited(rows: DataFrame, by: Sequence[str], most: int, width: int = 60) -> DataFrame:
     """Rows (t in seconds, seq) with `allowed`: whether they are among the first `most` of their key in their interval."""
     w = Window.partitionBy(*by, F.floor(F.col("t") / width)).orderBy("t", "seq")

@@ -6,8 +6,8 @@ without holding a group in memory; `perimetra.streaming` runs the same fold with
 
 from __future__ import annotations
 
+import bisect
 import math
-
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 from typing import Protocol
@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 class Fold(Protocol):
@@ -39,11 +40,14 @@ def batch(rows: DataFrame, key: Sequence[str], make: Callable[[], Fold], order:
         now, state = None, None
         for pdf in batches:
             out = []
-            keys = list(zip(*[pdf[k] for k in key], strict=True))
-            for k, row in zip(keys, pdf[list(fold.columns)].itertuples(index=False, name=None), strict=True):
+            new = (pdf[list(key)] != pdf[list(key)].shift()).any(axis=1).to_numpy()
+            rows = list(pdf[list(fold.columns)].itertuples(index=False, name=None))
+            cuts = [*np.flatnonzero(new).tolist(), len(pdf)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                k = tuple(pdf.iloc[a][list(key)])
                 if k != now:
                     now, state = k, make()
-                out += [(*k, *made) for made in state.step(row)]
+                out += [(*k, *made) for row in rows[a:b] for made in state.step(row)]
             yield pd.DataFrame(out, columns=names)
 
     return ready.mapInPandas(run, f"{kinds}, {fold.output}")
@@ -102,29 +106,59 @@ class MinGap:
             yield seq, t
 
 
+def judged(rows: DataFrame, weight: float = 0.5, threshold: float = 0.35, a_min: float = 0.25, m_min: float = 0.02, iou_min: float = 0.1, oldest: int = 5, by: Sequence[str] = ("camera_id", "track_id")) -> DataFrame:
+    """Rows (appearance, age, motion, iou, status, t, seq) with fused and agree, and what `Fusion` reads beside: the
+    camera's frame number and the time of its frame before.
+
+    An appearance of more than `oldest` frames counts as 0; weight is that of appearance. Two signals agree if both reach
+    their floors, the box overlaps the motion, their weighted sum reaches the threshold, and the status is ok.
+    """
+    appearance = F.when(F.col("age") <= oldest, F.col("appearance")).otherwise(0.0)
+    fused = weight * appearance + (1 - weight) * F.col("motion")
+    agree = (appearance >= a_min) & (F.col("motion") >= m_min) & (F.col("iou") >= iou_min) & (fused >= threshold) & (F.col("status") == "ok")
+    camera = Window.partitionBy(by[0]).orderBy("t")
+    frames = rows.select(by[0], "t").distinct().withColumn("frame", F.row_number().over(camera)).withColumn("before", F.lag("t").over(camera))
+    return rows.withColumn("fused", fused).withColumn("agree", F.coalesce(agree, F.lit(False))).join(frames, [by[0], "t"])
+
+
 class Fusion:
-    """Two signals that agree for `streak` rows in a row fire once, and again only after agreement was broken for `rearm` seconds."""
+    """A track fires once its two signals have agreed on `streak` of the camera's frames in a row.
 
-    columns, output = ("t", "seq", "agree"), "seq long, t double, streak long, started double"
+    It is armed again by a frame on which they disagree `rearm` seconds or more after the first disagreement since it
+    fired, if no agreement lies between. A frame without the track ends a streak but is no disagreement; a track that is
+    away for more than `rearm` and `away` seconds is forgotten. best_seq is the row of the streak's best fused score so far.
+    """
+
+    columns, output = ("t", "seq", "agree", "fused", "frame", "before"), "seq long, t double, streak long, started double, best_seq long, best double"
+
+    def __init__(self, streak: int = 3, rearm: float = 10.0, away: float = 30.0) -> None:
+        self.need, self.rearm, self.away, self.frame, self.seen = streak, rearm, max(rearm, away), None, None
+        self.forget()
 
-    def __init__(self, streak: int = 3, rearm: float = 10.0) -> None:
-        self.need, self.rearm = streak, rearm
-        self.run, self.started, self.broken, self.armed = 0, None, None, True
+    def forget(self) -> None:
+        self.run, self.started, self.broken, self.fired, self.best = 0, None, None, False, None
 
     def step(self, row: tuple) -> Iterator[tuple]:
-        t, seq, agree = row
-        if not agree:
-            self.broken = t if self.broken is None else self.broken
-            self.run = 0
-            self.armed = self.armed or t - self.broken >= self.rearm
+        t, seq, agree, fused, frame, before = row
+        if self.frame is not None and frame > self.frame + 1:  # the camera had frames without this track
+            self.run, self.best = 0, None
+            if before - self.seen > self.away:
+                self.forget()
+        self.frame, self.seen = frame, t
+        if agree:
+            self.started = self.started if self.run else t
+            self.run, self.broken = self.run + 1, None
+            if self.best is None or fused > self.best[1]:
+                self.best = seq, fused
+            if self.run >= self.need and not self.fired:
+                self.fired = True
+                yield seq, t, self.run, self.started, *self.best
             return
-        if self.run == 0:
-            self.armed = self.armed or (self.broken is not None and t - self.broken >= self.rearm)
-            self.started = t
-        self.run, self.broken = self.run + 1, None
-        if self.armed and self.run >= self.need:
-            self.armed = False
-            yield seq, t, self.run, self.started
+        self.run, self.best = 0, None
+        if self.fired:
+            self.broken = t if self.broken is None else self.broken
+            if t - self.broken >= self.rearm:
+                self.fired, self.broken = False, None
 
 
 class Hysteresis:
@@ -215,22 +249,26 @@ class Leaders:
         yield seq, seq
 
 
-def match_in_time(truth: DataFrame, found: DataFrame, by: Sequence[str], tolerance: float) -> DataFrame:
-    """One-to-one matches of two event lists: earliest truth first takes the nearest free detection within the tolerance."""
+def match_in_time(truth: DataFrame, found: DataFrame, by: Sequence[str], tolerance: float, reach: float | None = None) -> DataFrame:
+    """One-to-one matches of two event lists (id, t, and with `reach` x and y): earliest truth first takes the free
+    detection nearest in time within the tolerance, and within `reach` of its place; of equals the smallest id."""
+    place = ("x", "y") if reach is not None else ()
 
     def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(["t", "id"]), b.sort_values(["t", "id"])
-        free, out = dict(zip(b["id"], b["t"], strict=True)), []
-        for i, t in zip(a["id"], a["t"], strict=True):
-            near = [(abs(u - t), j) for j, u in free.items() if abs(u - t) <= tolerance]
+        times, rows, out = b["t"].tolist(), list(b[["id", *place]].itertuples(index=False, name=None)), []
+        for i, t, *at in a[["id", "t", *place]].itertuples(index=False, name=None):
+            low, high = bisect.bisect_left(times, t - tolerance - 1e-9), bisect.bisect_right(times, t + tolerance + 1e-9)
+            near = [(abs(times[k] - t), rows[k][0], k) for k in range(low, high) if abs(times[k] - t) <= tolerance and (reach is None or math.dist(at, rows[k][1:]) <= reach)]
             if near:
-                gap, j = min(near)
-                del free[j]
+                gap, j, k = min(near)
+                del times[k], rows[k]
                 out.append((*key, i, j, gap))
         return pd.DataFrame(out, columns=[*by, "truth_id", "found_id", "gap"])
 
     kinds = ", ".join(f"{k} {truth.schema[k].dataType.simpleString()}" for k in by)
-    return truth.groupBy(*by).cogroup(found.groupBy(*by)).applyInPandas(one, f"{kinds}, truth_id long, found_id long, gap double")
+    columns = [*by, "id", "t", *place]
+    return truth.select(*columns).groupBy(*by).cogroup(found.select(*columns).groupBy(*by)).applyInPandas(one, f"{kinds}, truth_id long, found_id long, gap double")
 
 
 class Suppress:

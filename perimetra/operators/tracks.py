@@ -18,6 +18,12 @@ from perimetra.functions import timeutil
 KEY = ("camera_id", "track_id")
 
 
+def for_rules(tracks: DataFrame, points: DataFrame, ids: DataFrame | None = None, key: Sequence[str] = KEY) -> DataFrame:
+    """Tracks that rules look at: confirmed ones with a history, of `ids` only if given."""
+    known = tracks.filter("not tentative").join(points.select(*key).distinct(), list(key), "left_semi")
+    return known if ids is None else known.join(ids, list(key), "left_semi")
+
+
 def features(points: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Per track: n, t0, t1, dwell, x0, y0, x1, y1, net, path, vx, vy. One point has no movement; no elapsed time, no velocity."""
     order = Window.partitionBy(*key).orderBy("t", "seq")
@@ -92,7 +98,7 @@ def footfall(points: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 def wrong_direction(feats: DataFrame, baseline: DataFrame, min_net: float = 40.0, opposing: float = 90.0) -> DataFrame:
     """Moved far enough, and against the camera's baseline heading."""
-    known = feats.join(F.broadcast(baseline.select("camera_id", "baseline")), "camera_id").filter((F.col("net") >= min_net) & ((F.col("vx") != 0) | (F.col("vy") != 0)))
+    known = feats.join(baseline.select("camera_id", "baseline"), "camera_id").filter((F.col("net") >= min_net) & ((F.col("vx") != 0) | (F.col("vy") != 0)))
     return known.withColumn("heading", g.heading(F.col("vx"), F.col("vy"))).withColumn("difference", g.angle_between(F.col("heading"), F.col("baseline"))).filter(F.col("difference") >= 180.0 - opposing)
 
 
@@ -100,10 +106,29 @@ def out_of_hours(feats: DataFrame, windows: DataFrame, zone: str = timeutil.LOCA
     """Tracks whose last point lies outside all sanctioned windows (camera_id, start, end in minutes) of its camera, if it has any."""
     minute = timeutil.minute_of_day(timeutil.local(timeutil.from_epoch(F.col("t1")), zone))
     spans = windows.groupBy("camera_id").agg(F.collect_list(F.struct("start", "end")).alias("windows"))
-    known = feats.withColumn("minute", minute).join(F.broadcast(spans), "camera_id")
+    known = feats.withColumn("minute", minute).join(spans, "camera_id")
     return known.filter(~F.exists("windows", lambda w: timeutil.in_window(F.col("minute"), w["start"], w["end"]))).drop("windows")
 
 
+def rule_table(points: DataFrame, segments: DataFrame, windows: DataFrame, key: Sequence[str] = KEY, dwell: float = 3.0, net: float = 90.0, min_net: float = 40.0, opposing: float = 90.0) -> DataFrame:
+    """Features of every track with what each rule says of it: crossed (directions of the fences it crossed), loitered,
+    against_flow, outside_hours, minute.
+
+    Points are dealt by track once; features, fence hits and their join use that partitioning. Baselines and hours are
+    joined by camera.
+    """
+    placed = points.select(*key, "seq", "t", "x", "y").repartition(*[F.col(k) for k in key])
+    feats = features(placed, key)
+    crossed = fence_crossings(placed, segments, key).groupBy(*key).agg(F.array_sort(F.collect_set("direction")).alias("crossed"))
+    base = learn_baseline(feats).select("camera_id", "baseline")
+    spans = windows.groupBy("camera_id").agg(F.collect_list(F.struct("start", "end")).alias("windows"))
+    away = (F.col("net") >= min_net) & ((F.col("vx") != 0) | (F.col("vy") != 0)) & (g.angle_between(g.heading(F.col("vx"), F.col("vy")), F.col("baseline")) >= 180.0 - opposing)
+    minute = timeutil.minute_of_day(timeutil.local(timeutil.from_epoch(F.col("t1")), timeutil.LOCAL_ZONE))
+    every = feats.join(crossed, list(key), "left").join(base, "camera_id", "left").join(spans, "camera_id", "left").withColumn("minute", minute)
+    outside = F.col("windows").isNotNull() & ~F.exists("windows", lambda w: timeutil.in_window(F.col("minute"), w["start"], w["end"]))
+    return every.select(*feats.columns, "crossed", ((F.col("dwell") >= dwell) & (F.col("net") < net)).alias("loitered"), F.coalesce(away, F.lit(False)).alias("against_flow"), F.coalesce(outside, F.lit(False)).alias("outside_hours"), "minute")
+
+
 def verdicts(feats: DataFrame, hits: Sequence[tuple[str, DataFrame, Column]], key: Sequence[str] = KEY) -> DataFrame:
     """Every track with rule_fired (joined by ' + ' in the order given), reason (joined by '; ') and n_rules.
 

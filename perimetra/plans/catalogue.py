@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from perimetra.plans import q_data, q_evaluation, q_evidence, q_more, q_retention, q_search, q_serving, q_stateful, q_text, q_tracks  # noqa: F401  they register their queries
+from perimetra.plans import q_data, q_evaluation, q_events, q_evidence, q_more, q_retention, q_search, q_serving, q_stateful, q_text, q_tracks  # noqa: F401  they register their queries
 from perimetra.plans.registry import QUERIES, SQL, Query
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perimetra.functions import stats
 from perimetra.operators import evaluation
-from perimetra.plans.bind import POINTS_SQL, table, track_points
+from perimetra.plans.bind import POINTS_SQL, settled, table, track_points
 from perimetra.plans.registry import query
 
 _EVAL_SQL = """
@@ -45,7 +45,7 @@ def _boxes(spark: SparkSession, sf_dir: str, varied: bool = False) -> tuple[Data
 
 def _curves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     gt, pred = _boxes(spark, sf_dir)
-    matched = evaluation.match(gt, pred)
+    matched = settled(evaluation.match(gt, pred))
     return gt, matched, evaluation.curve(matched, gt)
 
 
@@ -84,10 +84,71 @@ def f1_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.best_f1(evaluation.at_thresholds(matched, gt, _GRID)).select("cls", "threshold", F.round("f1", 6).alias("f1"))
 
 
-@query(f"WITH {_AT_SQL}, ok AS (SELECT cls, min(threshold) AS threshold FROM ff WHERE fp <= 0.5 * 1000 GROUP BY cls) SELECT c.cls, CASE WHEN ok.threshold IS NULL THEN 'unreachable' WHEN tp = 0 THEN 'vacuous' ELSE 'met' END AS status, ok.threshold, round(r, 6) AS recall FROM (SELECT DISTINCT cls FROM ff) c LEFT JOIN ok USING (cls) LEFT JOIN ff ON ff.cls = c.cls AND ff.threshold = ok.threshold")
+@query(f"""WITH {_AT_SQL}, cut AS (SELECT cls, CASE cls WHEN 'A' THEN 0.02::DOUBLE WHEN 'N' THEN 0.0025::DOUBLE ELSE 0.00001::DOUBLE END AS allowed FROM (SELECT DISTINCT cls FROM ff)),
+lv AS (SELECT ff.*, allowed * 15000 AS most, allowed, CASE WHEN fp > allowed * 15000 + 1e-9 THEN 0 WHEN fp = 0 AND 3.0 <= allowed * 15000 THEN 2
+  WHEN fp > 0 AND list_sum(list_transform(range(CAST(fp AS BIGINT) + 1), lambda i: exp(-(allowed * 15000) + i * ln(allowed * 15000) - lgamma(i + 1)))) <= 0.05 THEN 2 ELSE 1 END AS level FROM ff JOIN cut USING (cls)),
+k AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY level DESC, CASE WHEN level > 0 THEN -r ELSE fp END, CASE WHEN level > 0 THEN fp ELSE -r END, threshold DESC) AS k FROM lv)
+SELECT cls, CASE level WHEN 2 THEN 'met' WHEN 1 THEN 'unresolvable' ELSE 'unreachable' END AS status, n_gt > 0 AND tp = 0 AS vacuous, threshold, round(r, 6) AS recall, fp FROM k WHERE k = 1""")
 def false_alert_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget of each class: one that can be shown to be met, one that may be, one out of reach."""
     gt, matched, _ = _curves(spark, sf_dir)
-    return evaluation.budget_point(evaluation.at_thresholds(matched, gt, _GRID), 1000, 0.5).withColumn("recall", F.round("recall", 6))
+    points = evaluation.at_thresholds(matched, gt, _GRID)
+    found = None
+    for cls, allowed in (("A", 0.02), ("N", 0.0025), ("R", 0.00001)):
+        own = evaluation.budget_point(points.filter(F.col("cls") == cls), 15000, allowed)
+        found = own if found is None else found.unionByName(own)
+    return found.select("cls", "status", "vacuous", "threshold", F.round("recall", 6).alias("recall"), "fp")
+
+
+_TEN_SQL = _EVAL_SQL.split("pairs AS")[0] + """
+g2 AS (SELECT *, CASE WHEN image % 2 = 0 THEN 'day' ELSE 'night' END AS slice FROM gt WHERE NOT (image % 2 = 1 AND cls = 'R')), p2 AS (SELECT *, CASE WHEN image % 2 = 0 THEN 'day' ELSE 'night' END AS slice FROM pred),
+overs AS (SELECT p.slice, p.image, p.cls, p.pred_id, p.conf, g.gt_id, greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1), 0) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1), 0) AS common,
+  (p.x2 - p.x1) * (p.y2 - p.y1) AS ap, (g.x2 - g.x1) * (g.y2 - g.y1) AS ag FROM p2 p JOIN g2 g ON p.slice = g.slice AND p.image = g.image AND p.cls = g.cls),
+ths AS (SELECT k / 100.0::DOUBLE AS th FROM range(50, 100, 5) r(k)),
+oks AS (SELECT *, common / (ap + ag - common) AS iou FROM overs, ths WHERE common / (ap + ag - common) >= th),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY th, slice, image, cls, pred_id ORDER BY iou DESC, gt_id) AS r1 FROM oks),
+m2 AS (SELECT *, row_number() OVER (PARTITION BY th, slice, image, cls, gt_id ORDER BY conf DESC, pred_id) AS r2 FROM m1 WHERE r1 = 1),
+mt AS (SELECT p.slice, p.image, p.cls, p.pred_id, p.conf, ths.th, m.gt_id FROM p2 p CROSS JOIN ths LEFT JOIN (SELECT * FROM m2 WHERE r2 = 1) m ON m.th = ths.th AND p.slice = m.slice AND p.image = m.image AND p.cls = m.cls AND p.pred_id = m.pred_id),
+n AS (SELECT slice, cls, count(*) AS n_gt FROM g2 GROUP BY 1, 2),
+cum AS (SELECT m.slice, m.cls, m.th, n_gt, row_number() OVER w AS pos, count(gt_id) OVER w AS tp FROM mt m JOIN n USING (slice, cls) WINDOW w AS (PARTITION BY slice, cls, th ORDER BY conf DESC, image, pred_id ROWS UNBOUNDED PRECEDING)),
+env AS (SELECT *, tp / n_gt AS recall, max(tp / pos) OVER (PARTITION BY slice, cls, th ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM cum),
+keys AS (SELECT slice, cls, th FROM n, ths),
+known AS (SELECT slice, cls, th, recall AS r, pos AS p, envelope AS v FROM env UNION ALL SELECT slice, cls, th, 0.0, 0, 1.0 FROM keys UNION ALL SELECT slice, cls, th, 1.0, 1000000000, 0.0 FROM keys),
+marks AS (SELECT k / 100.0::DOUBLE AS m FROM range(101) r(k)),
+lo AS (SELECT slice, cls, th, m, arg_max(struct_pack(r := r, v := v), struct_pack(r := r, p := p)) AS a FROM known JOIN marks ON r <= m GROUP BY 1, 2, 3, 4),
+hi AS (SELECT slice, cls, th, m, arg_min(struct_pack(r := r, v := v), struct_pack(r := r, p := p)) AS b FROM known JOIN marks ON r > m GROUP BY 1, 2, 3, 4),
+val AS (SELECT slice, cls, th, m, CASE WHEN b IS NULL OR b.r = a.r THEN a.v ELSE a.v + (m - a.r) / (b.r - a.r) * (b.v - a.v) END AS v FROM lo LEFT JOIN hi USING (slice, cls, th, m)),
+ar AS (SELECT slice, cls, th, (v + lag(v) OVER (PARTITION BY slice, cls, th ORDER BY m)) / 2 * 0.01 AS area FROM val),
+aps AS (SELECT slice, cls, th, sum(area) AS ap FROM ar GROUP BY 1, 2, 3),
+both_ap AS (SELECT slice, cls, max(ap) FILTER (th = 0.5) AS ap50, avg(ap) AS ap50_95 FROM aps GROUP BY 1, 2),
+rows_ap AS (SELECT c.slice, c.cls, coalesce(n_gt, 0) AS n_gt, CASE WHEN n_gt > 0 THEN coalesce(ap50, 0) END AS ap50, CASE WHEN n_gt > 0 THEN coalesce(ap50_95, 0) END AS ap50_95 FROM (SELECT DISTINCT slice, cls FROM p2) c LEFT JOIN n USING (slice, cls) LEFT JOIN both_ap USING (slice, cls))"""
+
+
+def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("image") % 2 == 0, "day").otherwise("night").alias("slice")
+    gt, pred = (b.select("*", name) for b in _boxes(spark, sf_dir))
+    return evaluation.average_precisions(gt.filter("not (slice = 'night' and cls = 'R')"), pred, ["slice", "cls"], settle=settled)
+
+
+@query(f"WITH {_TEN_SQL} SELECT slice, cls, n_gt, round(ap50, 6) AS ap50, round(ap50_95, 6) AS ap50_95 FROM rows_ap")
+def ap_ten_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP50 and AP50-95 of each slice and class, null for a class without ground truth."""
+    return _sliced(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("ap50", "ap50_95")})
+
+
+@query(f"WITH {_TEN_SQL} SELECT slice, count(*) FILTER (n_gt > 0) AS classes, round(avg(ap50), 6) AS ap50, round(avg(ap50_95), 6) AS ap50_95 FROM rows_ap GROUP BY slice")
+def slice_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over the classes that a slice has ground truth for."""
+    return evaluation.mean_over_present(_sliced(spark, sf_dir), ["slice"], ["ap50", "ap50_95"]).withColumns({c: F.round(c, 6) for c in ("ap50", "ap50_95")})
+
+
+@query()
+def bootstrap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of AP when confidences are rounded to tenths, paired by cluster; its draws have no SQL form."""
+    gt, matched, _ = _curves(spark, sf_dir)
+    cluster = (F.col("image") % 50).alias("cluster")
+    rounded = matched.withColumn("conf", F.floor(F.col("conf") * 10) / 10)
+    return evaluation.bootstrap_delta(matched.select("*", cluster), rounded.select("*", cluster), gt.select("*", cluster), "cluster", 100)
 
 
 @query()
@@ -207,8 +268,9 @@ def source_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("source", F.round("others", 6).alias("others"), F.round("impact", 6).alias("impact"), evaluation.verdict(F.col("ap"), F.lit(0.6), F.col("ap") - 0.05).alias("verdict"))
 
 
-@query(f"""WITH {POINTS_SQL}, med AS (SELECT camera_id, class_name, quantile_cont(x, 0.5) AS m, count(*) AS n FROM pts GROUP BY 1, 2), dev AS (SELECT camera_id, class_name, quantile_cont(abs(x - m), 0.5) AS mad FROM pts JOIN med USING (camera_id, class_name) GROUP BY 1, 2)
-SELECT camera_id, class_name, n, round(greatest(0.35::DOUBLE, m + 4 * 1.4826::DOUBLE * mad), 6) AS tau FROM med JOIN dev USING (camera_id, class_name)""")
+@query(f"""WITH {POINTS_SQL}, med AS (SELECT camera_id, class_name, quantile_cont(x, 0.5) AS m, count(*) AS n FROM pts GROUP BY 1, 2), dev AS (SELECT camera_id, class_name, quantile_cont(abs(x - m), 0.5) AS mad FROM pts JOIN med USING (camera_id, class_name) GROUP BY 1, 2), fr AS (SELECT camera_id, count(DISTINCT t) AS frames FROM pts GROUP BY 1),
+own AS (SELECT camera_id, class_name, n, CASE WHEN n >= greatest(5, frames // 10) THEN greatest(0.35::DOUBLE, m + 4 * 1.4826::DOUBLE * mad) END AS tau FROM med JOIN dev USING (camera_id, class_name) JOIN fr USING (camera_id)),
+cam AS (SELECT camera_id, quantile_cont(tau, 0.5) AS camera_tau FROM own GROUP BY 1) SELECT camera_id, class_name, n, round(coalesce(tau, camera_tau, 0.35), 6) AS tau FROM own JOIN cam USING (camera_id)""")
 def cell_thresholds_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust threshold of each cell."""
     from perimetra.operators import calibration

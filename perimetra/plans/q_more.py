@@ -38,11 +38,17 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.rate_limited(track_points(spark, sf_dir), ["camera_id"], 2, 3600).select("camera_id", "seq", "allowed")
 
 
-@query("""WITH b AS (SELECT doc_id, CASE WHEN n_chars < 100 THEN 'tiny' WHEN lang = 'es' THEN 'rare' ELSE 'filler' END AS bucket FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sha256('hard:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM b)
-SELECT doc_id, bucket FROM r WHERE k <= CASE bucket WHEN 'tiny' THEN 20 WHEN 'rare' THEN 30 ELSE 50 END""")
+@query("""WITH d AS (SELECT doc_id, lang, n_chars FROM documents), tiny AS (SELECT doc_id FROM d WHERE n_chars < 150 ORDER BY doc_id LIMIT 20),
+es AS (SELECT *, row_number() OVER (ORDER BY n_chars, doc_id) AS k, count(*) OVER () AS n FROM d WHERE lang = 'es'), decile AS (SELECT doc_id, n_chars FROM es WHERE k <= greatest(1, n // 10)),
+rare AS (SELECT doc_id FROM decile WHERE doc_id NOT IN (SELECT doc_id FROM tiny) ORDER BY n_chars, doc_id LIMIT 30),
+short AS (SELECT doc_id FROM d WHERE n_chars < 400 AND doc_id NOT IN (SELECT doc_id FROM tiny) AND doc_id NOT IN (SELECT doc_id FROM rare) ORDER BY doc_id LIMIT 10),
+taken AS (SELECT doc_id, 'tiny' AS bucket FROM tiny UNION ALL SELECT doc_id, 'rare' FROM rare UNION ALL SELECT doc_id, 'short' FROM short)
+SELECT * FROM taken UNION ALL (SELECT doc_id, 'filler' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM taken) ORDER BY doc_id LIMIT (SELECT 90 - count(*) FROM taken))""")
 def hard_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short documents, the shortest tenth of a language, then short ones that the first bucket left, and others."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return datasets.hard_set(d, [("tiny", F.col("n_chars") < 100, 20), ("rare", F.col("lang") == "es", 30)], 50, "hard", "doc_id").select("doc_id", "bucket")
+    buckets = [("tiny", F.col("n_chars") < 150, 20, ("doc_id",), None), ("rare", F.col("lang") == "es", 30, ("n_chars", "doc_id"), 0.1), ("short", F.col("n_chars") < 400, 10, ("doc_id",), None)]
+    return datasets.hard_set(d, buckets, 90, "doc_id").select("doc_id", "bucket")
 
 
 @query("""WITH m AS (SELECT DISTINCT CAST(doc_id * 2 AS VARCHAR) AS entry FROM labels), f AS (SELECT CAST(doc_id - doc_id % 10 // 9 AS VARCHAR) AS entry, 'p' || CAST(doc_id AS VARCHAR) AS path FROM documents), g AS (SELECT entry, count(*) AS n, min(path) AS path FROM f GROUP BY 1)

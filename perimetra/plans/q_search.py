@@ -100,14 +100,15 @@ def simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.dedupe(whole_hashes(spark, sf_dir)).select("seq", "sequence", "dropped", "within")
 
 
-#: Only the SQL-checked band_lsh queries: a 60-bit hash of a text's first 24 characters, with flips of low bits that make near ones.
-_HASH_SQL = """h AS (SELECT doc_id AS seq, source AS sequence, lang AS modality, xor(('0x' || substr(sha256(substr(text, 1, 24)), 1, 15))::BIGINT, CAST(pow(2, doc_id % 3) AS BIGINT)) AS hash FROM documents)"""
+#: A 60-bit simhash of a text's distinct words: each bit is the majority of that bit in the words' hashes.
+_HASH_SQL = """w AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents), hw AS (SELECT doc_id, ('0x' || substr(sha256(word), 1, 15))::BIGINT AS v FROM w WHERE word <> ''),
+votes AS (SELECT doc_id, b, 2 * sum((v >> b) & 1) > count(*) AS one FROM hw, range(60) r(b) GROUP BY 1, 2), bits AS (SELECT doc_id, sum(CASE WHEN one THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS hash FROM votes GROUP BY 1),
+h AS (SELECT doc_id AS seq, source AS sequence, lang AS modality, coalesce(hash, 0) AS hash FROM documents LEFT JOIN bits USING (doc_id))"""
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.conv(F.substring(F.sha2(F.substring("text", 1, 24), 256), 1, 15), 16, 10).cast("long")
-    flip = F.pow(F.lit(2.0), F.col("doc_id") % 3).cast("long")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("sequence"), F.col("lang").alias("modality"), base.bitwiseXOR(flip).alias("hash"))
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("seq"), F.col("source").alias("sequence"), F.col("lang").alias("modality"), search.word_simhash(F.col("text")).alias("hash"))
 
 
 _NEAR_SQL = f"""{_HASH_SQL}, d AS (SELECT DISTINCT hash FROM h), near AS (SELECT a.hash AS ha, b.hash AS hb, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM d a JOIN d b ON a.hash <= b.hash AND bit_count(xor(a.hash, b.hash)) <= 4

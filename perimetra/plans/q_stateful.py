@@ -29,12 +29,33 @@ def agreement_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("camera_id", "seq", F.row_number().over(Window.partitionBy("camera_id", "island").orderBy("t", "seq")).cast("long").alias("streak"))
 
 
-@query()
+_STEPS_SQL = f"{POINTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY t, seq) AS rn FROM pts)"
+
+
+@query(f"""WITH RECURSIVE {POINTS_SQL}, fr AS (SELECT camera_id, t, row_number() OVER (PARTITION BY camera_id ORDER BY t) AS frame, lag(t) OVER (PARTITION BY camera_id ORDER BY t) AS before FROM (SELECT DISTINCT camera_id, t FROM pts)),
+j AS (SELECT p.camera_id, p.track_id, p.seq, p.t, frame, before, 0.5 * (x / 500) + 0.5 * (y / 100) AS fused, x / 500 >= 0.02 AND y / 100 >= 0.15 AND 0.5 * (x / 500) + 0.5 * (y / 100) >= 0.1 AND p.seq % 11 <> 0 AS agree,
+  row_number() OVER (PARTITION BY p.camera_id, p.track_id ORDER BY p.t, p.seq) AS rn FROM pts p JOIN fr USING (camera_id, t)),
+s AS (SELECT camera_id, track_id, rn, seq, t, frame, CASE WHEN agree THEN 1 ELSE 0 END AS run, CASE WHEN agree THEN t END AS started, NULL::DOUBLE AS broken, agree AND 1 >= 1 AS fired, agree AS fires FROM j WHERE rn = 1
+  UNION ALL SELECT camera_id, track_id, rn, seq, t, frame, CASE WHEN agree THEN run + 1 ELSE 0 END, CASE WHEN NOT agree THEN started WHEN run = 0 THEN t ELSE started END,
+    CASE WHEN agree THEN NULL WHEN NOT fired THEN broken WHEN t - coalesce(broken, t) >= 7200 THEN NULL ELSE coalesce(broken, t) END,
+    CASE WHEN agree THEN fired OR run + 1 >= 1 WHEN fired AND t - coalesce(broken, t) >= 7200 THEN false ELSE fired END, agree AND NOT fired AND run + 1 >= 1
+  FROM (SELECT j.camera_id, j.track_id, j.rn, j.seq, j.t, j.frame, j.agree, CASE WHEN j.frame > s.frame + 1 THEN 0 ELSE s.run END AS run, s.started,
+      CASE WHEN j.frame > s.frame + 1 AND j.before - s.t > 86400 THEN NULL ELSE s.broken END AS broken, NOT (j.frame > s.frame + 1 AND j.before - s.t > 86400) AND s.fired AS fired
+    FROM s JOIN j ON j.camera_id = s.camera_id AND j.track_id = s.track_id AND j.rn = s.rn + 1))
+SELECT camera_id, track_id, seq, t, CAST(run AS BIGINT) AS streak, started FROM s WHERE fires""")
 def fusion_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stateful.batch(_agree(spark, sf_dir), ["camera_id"], partial(stateful.Fusion, 3, 1800.0))
-
-
-@query()
+    """Tracks whose two signals agree, armed again after two hours of disagreement and forgotten after a day."""
+    p = track_points(spark, sf_dir).select("camera_id", "track_id", "seq", "t", (F.col("y") / 100).alias("appearance"), (F.col("x") / 500).alias("motion"), F.lit(1.0).alias("iou"), F.lit(0).alias("age"), F.when(F.col("seq") % 11 == 0, "camera_state").otherwise("ok").alias("status"))
+    judged = stateful.judged(p, threshold=0.1, a_min=0.15, m_min=0.02)
+    return stateful.batch(judged, ["camera_id", "track_id"], partial(stateful.Fusion, 1, 7200.0, 86400.0)).select("camera_id", "track_id", "seq", "t", "streak", "started")
+
+
+@query(f"""WITH RECURSIVE {_STEPS_SQL}, h AS (SELECT camera_id, rn, seq, t, x < 30 AS hit FROM r),
+s AS (SELECT camera_id, rn, seq, t, CASE WHEN hit THEN 1 ELSE 0 END AS hits, CASE WHEN hit THEN 0 ELSE 1 END AS misses, false AS active, NULL::VARCHAR AS event FROM h WHERE rn = 1
+  UNION ALL SELECT h.camera_id, h.rn, h.seq, h.t, CASE WHEN hit THEN hits + 1 ELSE 0 END, CASE WHEN hit THEN 0 ELSE misses + 1 END,
+    CASE WHEN NOT active AND hit AND hits + 1 >= 3 THEN true WHEN active AND NOT hit AND misses + 1 >= 5 THEN false ELSE active END,
+    CASE WHEN NOT active AND hit AND hits + 1 >= 3 THEN 'raised' WHEN active AND NOT hit AND misses + 1 >= 5 THEN 'cleared' END
+  FROM s JOIN h ON h.camera_id = s.camera_id AND h.rn = s.rn + 1) SELECT camera_id, seq, t, event FROM s WHERE event IS NOT NULL""")
 def hysteresis_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.batch(_agree(spark, sf_dir), ["camera_id"], stateful.Hysteresis)
 
@@ -45,17 +66,23 @@ def throttled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.batch(offers, ["site"], stateful.Throttle)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STEPS_SQL}, s AS (SELECT camera_id, rn, seq, t, true AS kept, greatest(t + 1800.0, t + 900.0) AS slot FROM r WHERE rn = 1
+  UNION ALL SELECT r.camera_id, r.rn, r.seq, r.t, r.t + 1e-9 >= slot, CASE WHEN r.t + 1e-9 >= slot THEN greatest(slot + 1800.0, r.t + 900.0) ELSE slot END FROM s JOIN r ON r.camera_id = s.camera_id AND r.rn = s.rn + 1)
+SELECT camera_id, seq, t FROM s WHERE kept""")
 def slot_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.batch(track_points(spark, sf_dir), ["camera_id"], partial(stateful.Sampler, 1 / 1800))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STEPS_SQL}, s AS (SELECT camera_id, rn, seq, t, true AS kept, t AS last FROM r WHERE rn = 1
+  UNION ALL SELECT r.camera_id, r.rn, r.seq, r.t, r.t - last >= 1800, CASE WHEN r.t - last >= 1800 THEN r.t ELSE last END FROM s JOIN r ON r.camera_id = s.camera_id AND r.rn = s.rn + 1)
+SELECT camera_id, seq, t FROM s WHERE kept""")
 def min_gap_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.batch(track_points(spark, sf_dir), ["camera_id"], partial(stateful.MinGap, 1800.0))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STEPS_SQL}, s AS (SELECT camera_id, rn, seq, t, true AS kept, 0 AS since, t AS last FROM r WHERE rn = 1
+  UNION ALL SELECT r.camera_id, r.rn, r.seq, r.t, since + 1 >= 3 OR r.t - last >= 3600, CASE WHEN since + 1 >= 3 OR r.t - last >= 3600 THEN 0 ELSE since + 1 END, CASE WHEN since + 1 >= 3 OR r.t - last >= 3600 THEN r.t ELSE last END FROM s JOIN r ON r.camera_id = s.camera_id AND r.rn = s.rn + 1)
+SELECT camera_id, seq, t FROM s WHERE kept""")
 def due_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.batch(track_points(spark, sf_dir), ["camera_id"], partial(stateful.DueSchedule, 3, 3600.0))
 

@@ -144,14 +144,16 @@ SELECT camera_id, track_id, day, coalesce(string_agg(rule, ' + ' ORDER BY rank),
 FROM feats LEFT JOIN hits USING (camera_id, track_id, day) GROUP BY camera_id, track_id, day""")
 def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over all trajectories."""
-    points, feats = track_points(spark, sf_dir), _feats(spark, sf_dir)
-    hits = [
-        ("fence crossed", tracks.fence_crossings(points, _segments(spark), TRACK), F.concat(F.lit("crossed line "), "direction")),
-        ("loitering", tracks.loitering(feats, DWELL, NET), F.concat(F.lit("stayed "), F.floor("dwell").cast("string"), F.lit(" s"))),
-        ("wrong direction", tracks.wrong_direction(feats, tracks.learn_baseline(feats), MOVE), F.lit("moved against the flow")),
-        ("out of hours", tracks.out_of_hours(feats, _windows(spark)), F.concat(F.lit("seen at minute "), F.col("minute").cast("string"))),
-    ]
-    return tracks.verdicts(feats, hits, TRACK)
+    rows = tracks.rule_table(track_points(spark, sf_dir), _segments(spark), _windows(spark), TRACK, DWELL, NET, MOVE)
+    rules = {
+        "fence crossed": (F.col("crossed").isNotNull(), F.array_join(F.transform("crossed", lambda d: F.concat(F.lit("crossed line "), d)), "; ")),
+        "loitering": (F.col("loitered"), F.concat(F.lit("stayed "), F.floor("dwell").cast("string"), F.lit(" s"))),
+        "wrong direction": (F.col("against_flow"), F.lit("moved against the flow")),
+        "out of hours": (F.col("outside_hours"), F.concat(F.lit("seen at minute "), F.col("minute").cast("string"))),
+    }
+    fired = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, (hit, _) in rules.items()]))
+    reasons = F.array_compact(F.array(*[F.when(hit, reason) for hit, reason in rules.values()]))
+    return rows.select(*TRACK, F.array_join(fired, " + ").alias("rule_fired"), F.array_join(reasons, "; ").alias("reason"), F.size(fired).cast("long").alias("n_rules"))
 
 
 @query(f"""WITH {FEATURES_SQL}, h AS (SELECT *, (degrees(atan2(vy, vx)) + 360.0) % 360.0 AS heading FROM feats WHERE vx <> 0 OR vy <> 0)

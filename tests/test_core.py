@@ -48,8 +48,7 @@ def test_ten_tracks_give_the_published_verdicts(spark, points, segments):
 
 def test_point_on_the_fence_counts_once_and_a_touch_does_not(spark, segments):
     got = tracks.fence_crossings(_points(spark, {1: ([300, 320, 340], 2.0), 2: ([300, 320, 300], 2.0), 3: ([340, 300], 1.0)}), segments).collect()
-    assert {(r["track_id"], r["t"], r["direction"]) for r in got} == {(1, 1002.0, "out"), (3, 1001.0, "in")} or {(r["track_id"], r["t"]) for r in got} == {(1, 1002.0), (3, 1001.0)}
-    assert len({r["direction"] for r in got}) == 2
+    assert {(r["track_id"], r["t"], r["direction"]) for r in got} == {(1, 1002.0, "in"), (3, 1001.0, "out")}
 
 
 def test_features_of_one_point_and_of_no_elapsed_time(spark):
@@ -82,9 +81,34 @@ def _folded(fold, rows):
     return [out for row in rows for out in fold.step(row)]
 
 
-def test_fusion_fires_once_and_rearms():
-    rows = [(float(i), i, True) for i in range(6)] + [(6.0, 6, False), (7.0, 7, True), (8.0, 8, True), (9.0, 9, True), (10.0, 10, False), (25.0, 11, True), (26.0, 12, True), (27.0, 13, True)]
-    assert [o[0] for o in _folded(stateful.Fusion(), rows)] == [2, 13]
+def _fusion(rows, **options):
+    """rows: (t, agree, fused) with the frame numbers and times of a camera that sees the track in every frame, or (t, agree, fused, frame, before)."""
+    full = [(float(r[0]), i, r[1], r[2], *(r[3:] or (i, float(rows[i - 1][0]) if i else None))) for i, r in enumerate(rows)]
+    return _folded(stateful.Fusion(**options), full)
+
+
+def test_fusion_is_armed_by_a_late_disagreement_only():
+    agree, break_ = [(0, True, 0.5), (1, True, 0.7), (2, True, 0.6)], (3, False, 0.0)
+    again = [(14, True, 0.5), (15, True, 0.5), (16, True, 0.9)]
+    assert [(o[0], o[2], o[3], o[4]) for o in _fusion([*agree, break_, *again])] == [(2, 3, 0.0, 1)]
+    late = _fusion([*agree, break_, (13.5, False, 0.0), *again])
+    assert [(o[0], o[4], o[5]) for o in late] == [(2, 1, 0.7), (7, 7, 0.9)]
+    between = _fusion([*agree, break_, (8, True, 0.5), (9, False, 0.0), (14, False, 0.0), *again])
+    assert [o[0] for o in between] == [2]  # agreement in between ends the break, and the next one is too short
+
+
+def test_fusion_counts_frames_without_the_track_as_breaks_of_the_streak():
+    gap = [(0, True, 0.5, 0, None), (1, True, 0.5, 1, 0.0), (3, True, 0.5, 3, 2.0), (4, True, 0.5, 4, 3.0)]
+    assert _fusion(gap) == [] and len(_fusion([*gap, (5, True, 0.5, 5, 4.0)])) == 1
+    fired = [(0, True, 0.5, 0, None), (1, True, 0.5, 1, 0.0), (2, True, 0.5, 2, 1.0)]
+    back = lambda t: [(t + k, True, 0.5, 100 + k, t + k - 1.0) for k in range(3)]
+    assert len(_fusion([*fired, *back(20)])) == 1 and len(_fusion([*fired, *back(50)])) == 2
+
+
+def test_fusion_gates(spark):
+    rows = [(1, 1, float(i), i, 0.8, age, 0.6, iou, status) for i, (age, iou, status) in enumerate([(0, 0.5, "ok"), (9, 0.5, "ok"), (0, 0.05, "ok"), (0, 0.5, "camera_state"), (0, 0.5, "ok")])]
+    judged = stateful.judged(spark.createDataFrame(rows, "camera_id long, track_id long, t double, seq long, appearance double, age int, motion double, iou double, status string"))
+    assert [r["agree"] for r in judged.orderBy("seq").collect()] == [True, False, False, False, True]
 
 
 def test_hysteresis_and_samplers():
@@ -97,8 +121,8 @@ def test_hysteresis_and_samplers():
 
 
 def test_folds_do_not_depend_on_input_order(spark):
-    rows = [(k, float(i), i * 10 + k, bool((i + k) % 7)) for k in range(5) for i in range(40)]
-    df = spark.createDataFrame(rows, "camera_id long, t double, seq long, agree boolean")
+    rows = [(k, float(i), i * 10 + k, bool((i + k) % 7), 0.5, i, i - 1.0) for k in range(5) for i in range(40)]
+    df = spark.createDataFrame(rows, "camera_id long, t double, seq long, agree boolean, fused double, frame long, before double")
     one = sorted(map(tuple, stateful.batch(df, ["camera_id"], stateful.Fusion).collect()))
     two = sorted(map(tuple, stateful.batch(df.orderBy(F.desc("seq")).repartition(7), ["camera_id"], stateful.Fusion).collect()))
     assert one == two and one
@@ -107,8 +131,8 @@ def test_folds_do_not_depend_on_input_order(spark):
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     from perimetra.streaming import folds
 
-    rows = [(k, float(i), i * 10 + k, bool((i + k) % 7)) for k in range(4) for i in range(30)]
-    df = spark.createDataFrame(rows, "camera_id long, t double, seq long, agree boolean").withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000))
+    rows = [(k, float(i), i * 10 + k, bool((i + k) % 7), 0.5, i, i - 1.0) for k in range(4) for i in range(30)]
+    df = spark.createDataFrame(rows, "camera_id long, t double, seq long, agree boolean, fused double, frame long, before double").withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = folds.stream(live, ["camera_id"], stateful.Fusion).writeStream.format("memory").queryName("fused").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -145,7 +169,54 @@ def test_perfect_detector_and_no_truth(spark):
     m = evaluation.match(gt, pred)
     ap = {r["cls"]: r["ap"] for r in evaluation.average_precision(evaluation.curve(m, gt), gt).collect()}
     assert ap["b"] == 0.0 and ap["a"] == pytest.approx(0.995, abs=1e-9)
-    assert stats.ap_of(np.full(20, 0.9), np.ones(20), np.ones(20), 20.0) == pytest.approx(0.995)
+    assert stats.ap_of(np.full(20, 0.9), np.ones(20), np.zeros(20), 20.0) == pytest.approx(0.995)
+    extra = pred.limit(1).withColumn("cls", F.lit("z"))
+    rows = {r["cls"]: (r["n_gt"], r["ap50"], r["ap50_95"]) for r in evaluation.average_precisions(gt, pred.unionByName(extra)).collect()}
+    assert rows["z"] == (0, None, None) and rows["b"] == (1, 0.0, 0.0) and rows["a"][1:] == pytest.approx((0.995, 0.995), abs=1e-9)
+    mean = evaluation.mean_over_present(spark.createDataFrame([("s", c, *v) for c, v in rows.items()], "slice string, cls string, n_gt long, ap50 double, ap50_95 double"), ["slice"], ["ap50"]).first()
+    assert (mean["classes"], mean["ap50"]) == (2, pytest.approx(0.995 / 2, abs=1e-9))
+
+
+def test_ten_overlaps_match_like_one_each(spark):
+    rng = np.random.default_rng(5)
+    box = "image long, cls string, {} long, x1 double, y1 double, x2 double, y2 double"
+    boxes = [(int(i % 12), "a", i, *(xy := rng.integers(0, 40, 2).astype(float)), *(xy + rng.integers(8, 20, 2))) for i in range(150)]
+    moved = [(im, c, i, *(np.array(b) + rng.integers(-3, 4, 4)).tolist(), float(rng.random())) for im, c, i, *b in boxes]
+    gt, pred = spark.createDataFrame([tuple(map(lambda v: v.item() if hasattr(v, "item") else v, b)) for b in boxes], box.format("gt_id")), spark.createDataFrame(moved, box.format("pred_id") + ", conf double")
+    every = evaluation.match_at(gt, pred, evaluation.TEN)
+    for t in (0.5, 0.7, 0.9):
+        one = {r["pred_id"] for r in evaluation.match(gt, pred, t).filter("gt_id is not null").collect()}
+        assert {r["pred_id"] for r in every.filter((F.col("threshold") == t) & F.col("hit")).collect()} == one
+
+
+def test_budget_points(spark):
+    points = spark.createDataFrame([("a", 0.1, 50, 40, 100, 0.8), ("a", 0.5, 50, 10, 2, 0.2), ("a", 0.9, 50, 0, 0, 0.0), ("b", 0.1, 50, 40, 9, 0.8), ("b", 0.2, 50, 30, 9, 0.6), ("c", 0.1, 50, 40, 90, 0.8), ("c", 0.2, 50, 0, 80, 0.0)], "cls string, threshold double, n_gt long, tp long, fp long, recall double")
+    at = lambda images, allowed: {r["cls"]: r for r in evaluation.budget_point(points, images, allowed).collect()}
+    wide = at(1000, 0.01)  # ten false positives: two are sure enough, nine are not
+    assert (wide["a"]["status"], wide["a"]["threshold"], wide["a"]["frames_needed"]) == ("met", 0.5, 0)
+    assert (wide["b"]["status"], wide["b"]["threshold"], wide["b"]["frames_needed"]) == ("unresolvable", 0.1, -(-stats.poisson_upper(9) // 0.01))
+    assert (wide["c"]["status"], wide["c"]["threshold"], wide["c"]["vacuous"], wide["c"]["frames_needed"]) == ("unreachable", 0.2, True, None)
+    tight = at(1000, 0.001)["a"]  # only no false positive fits, which a thousand images cannot show
+    assert (tight["status"], tight["vacuous"], tight["frames_needed"]) == ("unresolvable", True, 3000)
+
+
+def test_hard_set_offers_leftovers_to_later_buckets(spark):
+    rows = spark.createDataFrame([(i, i < 6, i < 8) for i in range(20)], "id long, tiny boolean, crowd boolean")
+    got = {r["id"]: r["bucket"] for r in datasets.hard_set(rows, [("tiny", F.col("tiny"), 3, ("id",), None), ("crowd", F.col("crowd"), 4, ("id",), None)], 10, "id").collect()}
+    assert got == {0: "tiny", 1: "tiny", 2: "tiny", 3: "crowd", 4: "crowd", 5: "crowd", 6: "crowd", 7: "filler", 8: "filler", 9: "filler"}
+    share = datasets.hard_set(rows, [("tenth", F.lit(True), 5, (F.desc("id"),), 0.1)], 3, "id").collect()
+    assert {r["id"]: r["bucket"] for r in share} == {19: "tenth", 18: "tenth", 0: "filler"}
+
+
+def test_paired_change_is_zero_for_equal_models(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", i, i % 25, float(rng.random()), i if rng.random() < 0.7 else None) for i in range(300)]
+    matched = spark.createDataFrame(rows, "cls string, pred_id long, cluster long, conf double, gt_id long")
+    gt = spark.createDataFrame([("a", i, i % 25) for i in range(320)], "cls string, gt_id long, cluster long")
+    same = evaluation.bootstrap_delta(matched, matched, gt, "cluster", 40).first()
+    assert (same["delta"], same["low"], same["high"], same["replicates"]) == (0.0, 0.0, 0.0, 40)
+    worse = evaluation.bootstrap_delta(matched, matched.withColumn("gt_id", F.when(F.col("pred_id") % 3 != 0, F.col("gt_id"))), gt, "cluster", 40).first()
+    assert worse["delta"] < 0 and worse["high"] < 0
 
 
 @pytest.mark.parametrize("bins", [1, 7, 1000])
@@ -169,7 +240,7 @@ def test_curve_ranges_agree_with_one_ordered_pass(spark, bins):
             assert (f["image"], f["tp"], f["fp"]) == (r[1], tp[k], k + 1 - tp[k]) and f["envelope"] == pytest.approx(envelope[k])
         marks = np.linspace(0, 1, 101)
         value = np.interp(marks, np.r_[0.0, tp / 130, 1.0], np.r_[1.0, envelope, 0.0])
-        assert ap[cls] == pytest.approx(((value[1:] + value[:-1]) / 2 * 0.01).sum(), abs=2e-3)
+        assert ap[cls] == pytest.approx(((value[1:] + value[:-1]) / 2 * 0.01).sum(), abs=1e-9)
         for t in (0.0, 0.5, 0.9):
             hits = [r[4] is not None for r in own if r[3] >= t]
             assert at[cls, t] == (sum(hits), len(hits) - sum(hits))
@@ -207,11 +278,55 @@ def test_homography_recovers_a_known_map():
 def test_plates_and_sentences():
     assert text.plate_fields("बा२च९५८५")[0] == "zone" and text.plate_fields("BP-1-A1234")[0] == "bhutan" and text.plate_fields("BAGMATI B AC 5763")[0] == "embossed"
     assert text.best_plate("बतपरेश०४बा२च९५८५") == "बा२च९५८५" and text.plate_fields("nonsense") is None
-    facts = text.Facts(frozenset({"loitering"}), "10:30", (12.0,))
+    facts = text.Facts(frozenset({"loitering"}), "10:30", (("duration_s", 12.0),))
     assert text.violations(text.repaired('- "Reason: one person waited 12 s near the road at 10:30"'), facts) == []
     assert set(text.violations(text.repaired("He may be a smuggler."), facts)) >= {"speculation", "person_identity", "missing_time", "missing_reason"}
 
 
+@pytest.mark.parametrize(("sentence", "facts", "codes"), [
+    ("One person waited 3 min near Pillar 42 at 10:30.", {"measures": (("duration_s", 170.0), ("label", 42.0)), "names": frozenset({"pillar"})}, []),
+    ("One person waited 3 h near the road at 10:30.", {"measures": (("duration_s", 170.0),)}, ["invented_number"]),
+    ("Several persons waited near the road at 10:30.", {"count": 3, "measures": (("count", 3.0),)}, []),
+    ("Two trucks waited near the road at 10:30.", {"count": 2, "measures": (("count", 2.0),)}, ["invented_object"]),
+    ("A person waited and went north-east at 10:30.", {"bearing": 90.0}, []),
+    ("A person waited and went west at 10:30 am.", {"bearing": 90.0}, ["invented_direction"]),
+    ("A person waited left to right at 10:30 by night.", {"motion": "left to right", "night": True}, []),
+    ("A person waited at noon in infrared at 10:30.", {"night": True}, ["invented_claim"]),
+    ("A person waited at 10:30 pm near the road.", {}, ["invented_time", "missing_time"]),
+    ("A muslim in a turban waited at 10:30 near the road.", {}, ["person_identity"]),
+    ("A person in a group waited near the road at 10:30.", {}, ["invented_claim"]),
+    ("A person went south near the road at 10:30.", {"rules": frozenset({"wrong direction"}), "bearing": 180.0}, []),
+    ("A person of Acme waited near the road at 10:30.", {"names": frozenset({"acme"}), "vendors": ("s:", frozenset({hashlib.sha256(b"s:acme").hexdigest()[:16]}))}, ["vendor"]),
+])
+def test_sentences_may_state_facts_only(sentence, facts, codes):
+    assert text.violations(sentence, text.Facts(**({"rules": frozenset({"loitering"}), "hhmm": "10:30"} | facts))) == codes
+
+
+def test_search_batch_equals_a_plain_search(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(200, 8))
+    rows = [(i, i // 7, v[i].tolist()) for i in range(200)]
+    frames = spark.createDataFrame(rows, "keyframe_id long, clip_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(q, v[q].tolist()) for q in (3, 50)], "query_id long, vector array<double>")
+    got = search.search_batch(frames, asked, 4).collect()
+    for q in (3, 50):
+        best = {}
+        for i, c, x in rows:
+            best[c] = max(best.get(c, (-9.0, 0)), (float(np.dot(v[q], x)), -i))
+        want = sorted(((s, -m, c) for c, (s, m) in best.items()), key=lambda b: (-b[0], b[1]))[:4]
+        assert [(r["clip_id"], r["keyframe_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(c, k) for _, k, c in want]
+    with pytest.raises(ValueError, match="at most"):
+        search.search_batch(frames, asked, 4, most=1)
+
+
+def test_matching_in_time_within_reach(spark):
+    kind = "camera_id long, id long, t double, x double, y double"
+    truth = spark.createDataFrame([(1, 1, 10.0, 0.0, 0.0), (1, 2, 11.0, 0.0, 0.0)], kind)
+    found = spark.createDataFrame([(1, 5, 10.5, 300.0, 0.0), (1, 6, 12.0, 3.0, 4.0), (1, 7, 13.0, 0.0, 5.0)], kind)
+    got = {(r["truth_id"], r["found_id"]) for r in stateful.match_in_time(truth, found, ["camera_id"], 2.0, 250.0).collect()}
+    assert got == {(1, 6), (2, 7)} and {(r["truth_id"], r["found_id"]) for r in stateful.match_in_time(truth, found, ["camera_id"], 2.0).collect()} == {(1, 5), (2, 6)}
+
+
 def test_split_leaks_and_tiles(spark):
     rows = spark.createDataFrame([("a", "train"), ("a", "val"), ("b", "train")], "sequence_key string, split string")
     assert [r["sequence_key"] for r in datasets.leaks(rows).collect()] == ["a"]
@@ -285,9 +400,13 @@ def test_band_join_and_asof(spark):
 
 
 def test_cell_threshold_floor_and_fallback(spark):
-    rows = spark.createDataFrame([(1, 0, 0.01)] * 6 + [(1, 1, 1.0)] * 6 + [(1, 2, 9.0)], "camera long, cell long, energy double")
-    got = {r["cell"]: r["tau"] for r in calibration.cell_thresholds(rows, ["camera"], ["cell"]).collect()}
+    rows = [(1, 0, 0.01, float(i)) for i in range(6)] + [(1, 1, 1.0, float(i)) for i in range(6)] + [(1, 2, 9.0, 0.0)]
+    schema = "camera long, cell long, energy double, t double"
+    got = {r["cell"]: r["tau"] for r in calibration.cell_thresholds(spark.createDataFrame(rows, schema), ["camera"], ["cell"]).collect()}
     assert got == {0: 0.35, 1: 1.0, 2: pytest.approx(0.675)}
+    longer = [*rows, *((1, 1, 1.0, 10.0 + i) for i in range(60))]  # of 66 frames, six samples are a tenth, five are not
+    got = {r["cell"]: r["tau"] for r in calibration.cell_thresholds(spark.createDataFrame(longer[1:], schema), ["camera"], ["cell"]).collect()}
+    assert got[0] == got[2] == 1.0
 
 
 def test_nms_and_time_matching(spark):
