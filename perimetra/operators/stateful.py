@@ -44,7 +44,7 @@ def batch(rows: DataFrame, key: Sequence[str], make: Callable[[], Fold], order:
             rows = list(pdf[list(fold.columns)].itertuples(index=False, name=None))
             cuts = [*np.flatnonzero(new).tolist(), len(pdf)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                k = tuple(pdf.iloc[a][list(key)])
+                k = tuple(pdf[c].iloc[a] for c in key)
                 if k != now:
                     now, state = k, make()
                 out += [(*k, *made) for row in rows[a:b] for made in state.step(row)]
@@ -255,6 +255,9 @@ def match_in_time(truth: DataFrame, found: DataFrame, by: Sequence[str], toleran
     place = ("x", "y") if reach is not None else ()
 
     def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame([], columns=[*by, "truth_id", "found_id", "gap"])
+        b.columns = a.columns
         a, b = a.sort_values(["t", "id"]), b.sort_values(["t", "id"])
         times, rows, out = b["t"].tolist(), list(b[["id", *place]].itertuples(index=False, name=None)), []
         for i, t, *at in a[["id", "t", *place]].itertuples(index=False, name=None):
@@ -268,7 +271,12 @@ def match_in_time(truth: DataFrame, found: DataFrame, by: Sequence[str], toleran
 
     kinds = ", ".join(f"{k} {truth.schema[k].dataType.simpleString()}" for k in by)
     columns = [*by, "id", "t", *place]
-    return truth.select(*columns).groupBy(*by).cogroup(found.select(*columns).groupBy(*by)).applyInPandas(one, f"{kinds}, truth_id long, found_id long, gap double")
+    other = found.select(*[F.col(c).alias(f"found_{c}") for c in columns])  # both may stem from one frame, so their columns must differ
+    return truth.select(*columns).groupBy(*by).cogroup(other.groupBy(*[f"found_{c}" for c in by])).applyInPandas(one, f"{kinds}, truth_id long, found_id long, gap double")
+
+
+#: Square pixels by which an overlap must pass the threshold, so that rounding decides no tie.
+TIE = 1e-9
 
 
 class Suppress:
@@ -286,16 +294,16 @@ class Suppress:
             return
         for a1, b1, a2, b2, other in self.kept:
             common = max(min(x2, a2) - max(x1, a1), 0.0) * max(min(y2, b2) - max(y1, b1), 0.0)
-            if common > self.iou * max(area + other - common, 1e-12):
+            if common > self.iou * max(area + other - common, 1e-12) + TIE:
                 return
         self.kept.append((x1, y1, x2, y2, area))
         yield row
 
 
 def nms(boxes: DataFrame, by: Sequence[str], iou: float = 0.5, most: int = 300) -> DataFrame:
-    """Boxes (id, x1, y1, x2, y2, score) that are kept in each group, at most `most`; equal scores go by id."""
+    """Boxes (id, x1, y1, x2, y2, score) that are kept in each group, at most `most`; equal scores go by id, then by place."""
     ranked = boxes.withColumn("id", F.col("id").cast("long")).withColumn("__minus", -F.col("score"))
-    return batch(ranked, by, partial(Suppress, iou, most), ("__minus", "id"))
+    return batch(ranked, by, partial(Suppress, iou, most), ("__minus", "id", "x1", "y1", "x2", "y2"))
 
 
 def track_boxes(detections: DataFrame, by: Sequence[str], iou_high: float = 0.2, iou_low: float = 0.5, high: float = 0.5, low: float = 0.1, new: float = 0.6, buffer: float = 1.5, confirm: int = 2) -> DataFrame:

@@ -225,13 +225,18 @@ def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("source", "k", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS_SQL}, n AS (SELECT camera_id, count(*) AS k, count(DISTINCT day) AS days FROM pts WHERE class_name = 'error' GROUP BY 1), g AS (SELECT *, k + 10 * sqrt(k + 1) + 20 AS top FROM n),
+s AS (SELECT camera_id, k, days, 0 AS step, 0.0::DOUBLE AS la, top::DOUBLE AS lb, 0.0::DOUBLE AS ha, top::DOUBLE AS hb FROM g
+  UNION ALL SELECT camera_id, k, days, step + 1, CASE WHEN 1 - below_l > 0.025 THEN la ELSE (la + lb) / 2 END, CASE WHEN 1 - below_l > 0.025 THEN (la + lb) / 2 ELSE lb END, CASE WHEN below_h > 0.025 THEN (ha + hb) / 2 ELSE ha END, CASE WHEN below_h > 0.025 THEN hb ELSE (ha + hb) / 2 END
+  FROM (SELECT *, list_sum(list_transform(range(k), lambda i: exp(-(la + lb) / 2 + i * ln((la + lb) / 2) - lgamma(i + 1)))) AS below_l, list_sum(list_transform(range(k + 1), lambda i: exp(-(ha + hb) / 2 + i * ln((ha + hb) / 2) - lgamma(i + 1)))) AS below_h FROM s WHERE step < 90))
+SELECT camera_id, k, days, round(k / days, 6) AS rate, round((la + lb) / 2 / days, 6) AS low, round((ha + hb) / 2 / days, 6) AS high FROM s WHERE step = 90""")
 def poisson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts per camera and day with exact intervals; their quantiles have no SQL form."""
+    """Alerts per camera and day with exact intervals."""
     p = track_points(spark, sf_dir).filter("class_name = 'error'")
     n = p.groupBy("camera_id").agg(F.count(F.lit(1)).alias("k"), (F.count_distinct("day")).alias("days"))
     ci = n.withColumn("ci", stats.poisson_columns(F.col("k")))
-    return ci.select("camera_id", "k", "days", (F.col("k") / F.col("days")).alias("rate"), (F.col("ci.low") / F.col("days")).alias("low"), (F.col("ci.high") / F.col("days")).alias("high"))
+    per_day = {"rate": F.col("k"), "low": F.col("ci.low"), "high": F.col("ci.high")}
+    return ci.select("camera_id", "k", "days", *[F.round(v / F.col("days"), 6).alias(name) for name, v in per_day.items()])
 
 
 @query(f"""WITH {POINTS_SQL}, f AS (SELECT camera_id, min(t) AS t0, max(t) AS t1 FROM pts GROUP BY 1), g AS (SELECT camera_id, unnest(range(1, CAST(floor((t1 - t0) / 86400) AS BIGINT) + 1)) AS bucket FROM f),

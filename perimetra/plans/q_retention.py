@@ -9,6 +9,7 @@ from perimetra.functions import geometry as g
 from perimetra.operators import calibration, datasets, ranging, retention, serving, stateful, tracks
 from perimetra.plans.bind import POINTS_SQL, TRACK, table, track_points
 from perimetra.plans.q_data import BOXES_SQL, boxes
+from perimetra.plans.q_tracks import FEATURES_SQL
 from perimetra.plans.registry import query
 
 
@@ -51,12 +52,18 @@ def plate_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("image", "box", "x1", F.coalesce(F.round(score, 6), F.lit(-1.0)).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FEATURES_SQL}, d AS (SELECT camera_id, track_id AS seq, dwell, net >= 40 AS wrong, (degrees(atan2(vy, vx)) + 360.0) % 360.0 AS heading, row_number() OVER (PARTITION BY camera_id ORDER BY t1, track_id) AS rn FROM feats WHERE net > 0),
+s AS (SELECT camera_id, rn, seq, CASE WHEN wrong THEN heading END AS majority, CASE WHEN wrong THEN 0.0::DOUBLE ELSE 0.15 * dwell END AS typical FROM d WHERE rn = 1
+  UNION ALL SELECT d.camera_id, d.rn, d.seq, CASE WHEN NOT wrong THEN majority WHEN majority IS NULL THEN heading
+      ELSE (degrees(atan2(0.85 * sin(radians(majority)) + 0.15 * sin(radians(heading)), 0.85 * cos(radians(majority)) + 0.15 * cos(radians(heading)))) + 360.0) % 360.0 END,
+    CASE WHEN wrong THEN typical ELSE 0.85 * typical + 0.15 * dwell END FROM s JOIN d ON d.camera_id = s.camera_id AND d.rn = s.rn + 1)
+SELECT camera_id, seq, round(majority, 5) AS majority, round(typical, 3) AS typical_dwell, rn AS dismissals FROM s""")
 def dismissal_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each camera's baseline as its alerts are dismissed one by one."""
     f = tracks.features(track_points(spark, sf_dir), TRACK).filter("net > 0")
     rows = f.select("camera_id", F.col("t1").alias("t"), F.col("track_id").alias("seq"), F.when(F.col("net") >= 40, "wrong direction").otherwise("loitering").alias("rule"), g.heading(F.col("vx"), F.col("vy")).alias("heading"), "dwell")
-    return stateful.batch(rows, ["camera_id"], stateful.Dismissals)
+    learnt = stateful.batch(rows, ["camera_id"], stateful.Dismissals)
+    return learnt.select("camera_id", "seq", F.round("majority", 5).alias("majority"), F.round("typical_dwell", 3).alias("typical_dwell"), "dismissals")
 
 
 @query(f"WITH {POINTS_SQL}, c AS (SELECT camera_id, avg(x) FILTER (y < 50) AS inside, avg(x) FILTER (y >= 50) AS outside, quantile_cont(x, 0.5) FILTER (y >= 50) AS floor, quantile_cont(x, 0.95) FILTER (y >= 50) AS p95 FROM pts GROUP BY 1) SELECT camera_id, round(inside / outside, 6) AS contrast, round(floor, 6) AS floor, round(p95, 6) AS p95 FROM c")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from perimetra.operators import stateful
 from perimetra.plans.bind import POINTS_SQL, table, track_points
-from perimetra.plans.q_data import boxes
+from perimetra.plans.q_data import BOXES_SQL, boxes
 from perimetra.plans.q_search import whole_hashes
 from perimetra.plans.registry import query
 
@@ -60,9 +60,16 @@ def hysteresis_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.batch(_agree(spark, sf_dir), ["camera_id"], stateful.Hysteresis)
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS_SQL}, r AS (SELECT camera_id % 3 AS site, camera_id AS c, track_id AS k, seq, t, row_number() OVER (PARTITION BY camera_id % 3 ORDER BY t, seq) AS rn FROM pts WHERE class_name = 'error'),
+s AS (SELECT site, rn, seq, t, c, k, 'admitted' AS decision, 1::BIGINT AS repeats, [struct_pack(c := c, k := k, f := t, l := t, n := 1::BIGINT)] AS alerts FROM r WHERE rn = 1
+  UNION ALL SELECT site, rn, seq, t, c, k, decision, CASE decision WHEN 'repeat' THEN own[1].n + 1 WHEN 'admitted' THEN 1 ELSE 0 END,
+    CASE decision WHEN 'repeat' THEN list_transform(live, lambda a: CASE WHEN a.c = o.c AND a.k = o.k THEN struct_pack(c := a.c, k := a.k, f := a.f, l := o.t, n := a.n + 1) ELSE a END) WHEN 'admitted' THEN list_append(live, struct_pack(c := o.c, k := o.k, f := o.t, l := o.t, n := 1::BIGINT)) ELSE live END
+  FROM (SELECT *, CASE WHEN len(own) > 0 THEN 'repeat' WHEN len(list_filter(live, lambda a: a.c = q.c AND q.t - a.f <= 86400)) < 5 AND len(list_filter(live, lambda a: q.t - a.f <= 43200)) < 12 THEN 'admitted' ELSE 'dropped' END AS decision
+    FROM (SELECT *, list_filter(live, lambda a: a.c = p.c AND a.k = p.k) AS own FROM (SELECT r.*, list_filter(s.alerts, lambda a: r.t - a.l <= 86400) AS live FROM s JOIN r ON r.site = s.site AND r.rn = s.rn + 1) p) q) o)
+SELECT site, seq, t, c AS camera_id, k AS track_id, 'error' AS rule, decision, repeats FROM s""")
 def throttled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = track_points(spark, sf_dir).filter("class_name = 'error'").withColumn("site", F.lit("all")).withColumn("rule", F.col("class_name"))
+    """Budgets of three sites of two cameras each."""
+    offers = track_points(spark, sf_dir).filter("class_name = 'error'").withColumn("site", F.col("camera_id") % 3).withColumn("rule", F.col("class_name"))
     return stateful.batch(offers, ["site"], stateful.Throttle)
 
 
@@ -99,16 +106,31 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.batch(whole_hashes(spark, sf_dir).withColumn("t", F.col("seq").cast("double")), ["sequence"], partial(stateful.Leaders, 4))
 
 
-@query()
+_RANKED_SQL = f"""{BOXES_SQL}, b AS (SELECT image, box AS id, x1, y1, x2, y2, ((image * 31 + box * 17) % 1000) / 1000.0::DOUBLE AS score FROM bx), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, id, x1, y1, x2, y2) AS rn FROM b)"""
+
+
+@query(f"""WITH RECURSIVE {_RANKED_SQL}, s AS (SELECT image, rn, id, x1, y1, x2, y2, score, true AS stays, [struct_pack(a := x1, b := y1, c := x2, d := y2)] AS kept FROM r WHERE rn = 1
+  UNION ALL SELECT image, rn, id, x1, y1, x2, y2, score, stays, CASE WHEN stays THEN list_append(kept, struct_pack(a := x1, b := y1, c := x2, d := y2)) ELSE kept END FROM (
+    SELECT r.*, s.kept, len(list_filter(s.kept, lambda k: greatest(least(r.x2, k.c) - greatest(r.x1, k.a), 0) * greatest(least(r.y2, k.d) - greatest(r.y1, k.b), 0)
+      > 0.3 * greatest((r.x2 - r.x1) * (r.y2 - r.y1) + (k.c - k.a) * (k.d - k.b) - greatest(least(r.x2, k.c) - greatest(r.x1, k.a), 0) * greatest(least(r.y2, k.d) - greatest(r.y1, k.b), 0), 1e-12) + 1e-9)) = 0 AS stays
+    FROM s JOIN r ON r.image = s.image AND r.rn = s.rn + 1))
+SELECT image, CAST(id AS BIGINT) AS id, score FROM s WHERE stays""")
 def box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).withColumn("score", F.pmod(F.xxhash64("image", "box", "x1"), F.lit(1000)) / 1000.0).withColumnRenamed("box", "id")
-    return stateful.nms(b, ["image"], 0.3)
+    b = boxes(spark, sf_dir).withColumn("score", (F.col("image") * 31 + F.col("box") * 17) % 1000 / 1000.0).withColumnRenamed("box", "id")
+    return stateful.nms(b, ["image"], 0.3).select("image", "id", "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS_SQL}, tr AS (SELECT camera_id, day, seq AS id, t, x, y, row_number() OVER (PARTITION BY camera_id, day ORDER BY t, seq) AS rn FROM pts WHERE class_name = 'error'),
+fd AS (SELECT camera_id, day, list(struct_pack(j := seq, t := t, x := x, y := y)) AS found FROM pts WHERE class_name = 'purchase' GROUP BY 1, 2),
+s AS (SELECT camera_id, day, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::STRUCT(gap DOUBLE, j BIGINT) AS hit, found AS free FROM fd
+  UNION ALL SELECT camera_id, day, rn, id, hit, CASE WHEN hit IS NULL THEN free ELSE list_filter(free, lambda f: f.j <> hit.j) END FROM (
+    SELECT tr.camera_id, tr.day, tr.rn, tr.id, s.free, list_sort(list_transform(list_filter(s.free, lambda f: abs(f.t - tr.t) <= 1800 AND sqrt(pow(f.x - tr.x, 2) + pow(f.y - tr.y, 2)) <= 60), lambda f: struct_pack(gap := abs(f.t - tr.t), j := f.j)))[1] AS hit
+    FROM s JOIN tr ON tr.camera_id = s.camera_id AND tr.day = s.day AND tr.rn = s.rn + 1))
+SELECT camera_id, day, id AS truth_id, hit.j AS found_id, round(hit.gap, 3) AS gap FROM s WHERE hit IS NOT NULL""")
 def crossing_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = track_points(spark, sf_dir).select("camera_id", "day", "class_name", "t", F.col("seq").alias("id"))
-    return stateful.match_in_time(p.filter("class_name = 'error'"), p.filter("class_name = 'purchase'"), ["camera_id", "day"], 1800.0)
+    """Half an hour and sixty pixels apart at most, one to one."""
+    p = track_points(spark, sf_dir).select("camera_id", "day", "class_name", "t", "x", "y", F.col("seq").alias("id"))
+    return stateful.match_in_time(p.filter("class_name = 'error'"), p.filter("class_name = 'purchase'"), ["camera_id", "day"], 1800.0, 60.0).withColumn("gap", F.round("gap", 3))
 
 
 @query()
