@@ -47,6 +47,8 @@ FLOOR = 0.999
 #: A block holds at most so many classes and about so many shingles.
 BLOCK_ROWS = 160
 BLOCK_SHINGLES = 60_000
+#: Join hint for tables that grow with the data: they are not broadcast, even where they are still small enough.
+GROWN = "merge"
 
 
 def chance(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
@@ -114,10 +116,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), f"{name}-0")
     for step in itertools.count(1):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label")).hint(GROWN), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        spread = labels.join(near.hint(GROWN), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = materialize(spread.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), f"{name}-{step}")
+        after = materialize(spread.join(jump.hint(GROWN), "label").select("node", "old", F.least("label", "further").alias("label")), f"{name}-{step}")
         discard(labels)
         if after.filter("old <> label").isEmpty():
             discard(both)
@@ -130,7 +132,7 @@ def _groups(classes: DataFrame, depth: int) -> DataFrame:
     prefix = F.transform("strings", lambda s, tree: F.xxhash64(tree, F.substring(s, 1, 4 * depth)))
     nodes = classes.filter("n_shingles > 0").select("node", F.explode(prefix).alias("prefix"))
     heads = nodes.groupBy("prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix", "head")
-    return nodes.join(heads, "prefix").groupBy("node").agg(F.sort_array(F.collect_set("head")).alias("heads"))
+    return nodes.join(heads.hint(GROWN), "prefix").groupBy("node").agg(F.sort_array(F.collect_set("head")).alias("heads"))
 
 
 def _compare(nodes: np.ndarray, copies: np.ndarray, earlier: list[np.ndarray], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, threshold: float, chance_of) -> pd.DataFrame:
@@ -220,13 +222,13 @@ def _share(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _verified(docs: DataFrame, classes: DataFrame, depth: int, trees: int, threshold: float) -> DataFrame:
     """a, b, links, seen, due: counts of links (a's own) and edges (a, b) of spanning stars, from all groups of `depth`."""
     about = classes.select("node", "set_hi", "set_lo", "row_key", "copies", F.col("n_shingles").alias("weight"))
-    members = materialize(_groups(classes, depth).join(about, "node"), "members")
+    members = materialize(_groups(classes, depth).join(about.hint(GROWN), "node"), "members")
     sizes = members.select(F.explode("heads").alias("head"), "weight").groupBy("head").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("total"))
     blocks = F.least(F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)), "rows").cast("int")
-    by_head = members.select("node", F.explode("heads").alias("head")).join(sizes.select("head", blocks.alias("blocks")), "head")
+    by_head = members.select("node", F.explode("heads").alias("head")).join(sizes.select("head", blocks.alias("blocks")).hint(GROWN), "head")
     placed = by_head.groupBy("node").agg(F.collect_list(F.struct("head", "blocks")).alias("places"))  # TREES at most
-    wanted = members.join(placed, "node").select("row_key", "node", "set_hi", "set_lo", "copies", "heads", "places")
-    texts = _rows(docs).join(wanted.hint("merge"), "row_key")  # members grow with the data, so they are not to be broadcast
+    wanted = members.join(placed.hint(GROWN), "node").select("row_key", "node", "set_hi", "set_lo", "copies", "heads", "places")
+    texts = _rows(docs).join(wanted.hint(GROWN), "row_key")
 
     def to_sets(texts: list[str | None]) -> dict[str, object]:
         sets, digest = _sets(texts)
@@ -272,7 +274,7 @@ def _joined(docs: DataFrame, threshold: float, trees: int, max_depth: int, targe
         depth -= 1
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     label = components(found.filter("a <> b"), "links")
-    own = classes.drop("strings").join(links, "node", "left").join(label, "node", "left")
+    own = classes.drop("strings").join(links.hint(GROWN), "node", "left").join(label.hint(GROWN), "node", "left")
     own = own.select("set_hi", "set_lo", "row_key", "copy_id", "copies", "links", F.coalesce("label", "node").alias("label"))
     return known.drop("strings"), own, [known, classes, found, label]
 
@@ -286,20 +288,20 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
     """
     known, classes, _ = _joined(docs, threshold, trees, max_depth, target_recall)
     named = classes.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    done = classes.join(named, "label").select("set_hi", "set_lo", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return known.drop("row_key").join(done, ["set_hi", "set_lo"]).select("doc_id", "class_id", "copy_id", "n_links", "n_shingles")
+    done = classes.join(named.hint(GROWN), "label").select("set_hi", "set_lo", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return known.drop("row_key").join(done.hint(GROWN), ["set_hi", "set_lo"]).select("doc_id", "class_id", "copy_id", "n_links", "n_shingles")
 
 
 def one_of_each(docs: DataFrame, **options: object) -> DataFrame:
     """One document of each class, all columns kept: the row with the smallest doc_id (rows without one come last)."""
     settings = {"threshold": THRESHOLD, "trees": TREES, "max_depth": MAX_DEPTH, "target_recall": TARGET_RECALL} | options
     known, classes, held = _joined(docs, **settings)
-    label = known.join(classes.select("set_hi", "set_lo", "label"), ["set_hi", "set_lo"])
+    label = known.join(classes.select("set_hi", "set_lo", "label").hint(GROWN), ["set_hi", "set_lo"])
     first = label.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("row_key"))
-    kept = materialize(label.select("row_key").join(first, "row_key", "left_semi").groupBy("row_key").count(), "kept")
+    kept = materialize(label.select("row_key").join(first.hint(GROWN), "row_key", "left_semi").groupBy("row_key").count(), "kept")
     name = spare_name(docs, "row_key")
     discard(*held)
     keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
-    once, often = (kept.filter(f"count {sign} 1").select(F.col("row_key").alias(name)) for sign in ("=", ">"))
+    once, often = (kept.filter(f"count {sign} 1").select(F.col("row_key").alias(name)).hint(GROWN) for sign in ("=", ">"))
     repeated = keyed.join(often, name, "left_semi").dropDuplicates([name])
     return keyed.join(once, name, "left_semi").unionByName(repeated).select(docs.columns)
