@@ -72,38 +72,61 @@ def verify(blocks: DataFrame, own_hash: Column, by: Sequence[str] = (), clip_ok:
     return rows.select(*blocks.columns, reasons.alias("reasons"), (~tainted & (F.size(reasons) == 0)).alias("ok"))
 
 
+#: Ids of an audit log that are looked at together; a stretch's first row is linked to the last row of the stretch before.
+STRETCH = 1 << 16
+
+
 def first_bad(blocks: DataFrame, own_hash: Column, order: str = "id") -> DataFrame:
-    """Hash and link checks of an audit log; the first bad id, null if none."""
-    link = F.lag("hash").over(Window.partitionBy(F.lit(1)).orderBy(order))
-    bad = (F.col("hash") != own_hash) | (F.col("prev_hash") != F.coalesce(link, F.lit(GENESIS)))
-    return blocks.withColumn("__bad", bad).filter("__bad").agg(F.min(order).alias("first_bad"))
+    """Hash and link checks of an audit log with numeric ids; the first bad id, null if none.
+
+    Rows are linked within stretches of ids; only the stretches' last hashes are ordered as a whole.
+    """
+    rows = blocks.withColumn("__own", own_hash).withColumn("__stretch", F.floor(F.col(order) / STRETCH))
+    ends = rows.groupBy("__stretch").agg(F.max_by("hash", order).alias("__last"))
+    before = ends.select("__stretch", F.lag("__last").over(Window.partitionBy(F.lit(1)).orderBy("__stretch")).alias("__before"))
+    own = F.lag("hash").over(Window.partitionBy("__stretch").orderBy(order))
+    linked = rows.withColumn("__link", own).join(before, "__stretch")
+    bad = (F.col("hash") != F.col("__own")) | (F.col("prev_hash") != F.coalesce("__link", "__before", F.lit(GENESIS)))
+    return linked.filter(bad).agg(F.min(order).alias("first_bad"))
+
+
+#: Halvings of one round of `merkle_root`, and rounds: 2**40 leaves a group at most.
+HALVINGS, ROUNDS = 10, 4
+
 
+def _subtree(hashes: Sequence[bytes], variant: str, alone: bool) -> bytes:
+    """The node that HALVINGS levels make of the hashes; an only block of a tree ends at its root."""
+    level = list(hashes)
+    for _ in range(HALVINGS):
+        if len(level) == 1 and (alone or variant == "promote"):
+            break
+        if variant == "promote":
+            level = [_parent(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        else:
+            pairs = [(level[i], level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+            level = [hashlib.sha256((a.hex() + b.hex()).encode()).digest() for a, b in pairs]
+    return level[0]
 
-def merkle_root(leaves: DataFrame, by: Sequence[str], variant: str = "promote", levels: int = 40) -> DataFrame:
-    """by, root, leaves: the Merkle root of each group's leaf hashes (columns place, hash), level by level.
+
+def merkle_root(leaves: DataFrame, by: Sequence[str], variant: str = "promote") -> DataFrame:
+    """by, root, leaves: the Merkle root of each group's leaf hashes (columns place, hash).
 
     promote: leaf H(00 || h), node H(01 || l || r), an odd last node moves up; duplicate: node H(hex l || hex r), an odd
-    last node is paired with itself. `levels` halvings at most; groups that are done stay as they are.
+    last node is paired with itself. Blocks of 2**HALVINGS neighbouring nodes become one node a round, wherever they are,
+    so that one group's tree is built by many tasks.
     """
     hashed = F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), F.unhex("hash")), 256)) if variant == "promote" else F.unhex("hash")
-    level = leaves.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("place")) - 1).cast("long").alias("place"), hashed.alias("h"))
-    size = leaves.groupBy(*by).agg(F.count(F.lit(1)).alias("leaves"))
-    most = size.agg(F.max("leaves")).first()[0] or 0
-    level = level.repartition(*[F.col(b) for b in by]) if by else level
-    for _ in range(min(levels, max(int(most) - 1, 0).bit_length())):
-        pair = F.array_sort(F.collect_list(F.struct("place", "h")))
-        level = level.groupBy(*by, F.floor(F.col("place") / 2).alias("place")).agg(pair.alias("p"))
-        left, right = F.col("p")[0]["h"], F.get(F.col("p"), F.lit(1))["h"]
-        if variant == "promote":
-            joined = F.when(F.size("p") == 1, left).otherwise(F.unhex(F.sha2(F.concat(F.unhex(F.lit("01")), left, right), 256)))
-        else:
-            pairs = F.concat(F.lower(F.hex(left)), F.lower(F.hex(F.coalesce(right, left))))
-            alone = (F.size("p") == 1) & (F.col("place") == 0) & (F.col("__n") == 1)
-            counts = level.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else None
-            level = level.join(counts, list(by)) if by else level.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-            joined = F.when(alone, left).otherwise(F.unhex(F.sha2(pairs, 256)))
-        level = level.select(*by, "place", joined.alias("h"))
-    return level.select(*by, F.lower(F.hex("h")).alias("root")).join(size, list(by)) if by else level.select(F.lower(F.hex("h")).alias("root"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    level = leaves.select(*by, (F.row_number().over(whole.orderBy("place")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(whole).alias("leaves"), hashed.alias("h"))
+
+    def fold(hashes: pd.Series, alone: pd.Series) -> pd.Series:
+        return pd.Series([_subtree([bytes(x) for x in own], variant, bool(only)) for own, only in zip(hashes, alone, strict=True)])
+
+    for k in range(ROUNDS):
+        blocks = level.groupBy(*by, "leaves", F.shiftright("place", HALVINGS).alias("place")).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("at"), "h"))).alias("p"))
+        alone = F.col("leaves") <= F.lit(1 << (HALVINGS * (k + 1)))
+        level = blocks.select(*by, "leaves", "place", F.pandas_udf(fold, "binary")(F.transform("p", lambda x: x["h"]), alone).alias("h"))
+    return level.select(*by, F.lower(F.hex("h")).alias("root"), "leaves")
 
 
 def _parent(left: bytes, right: bytes) -> bytes:

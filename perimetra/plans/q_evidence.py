@@ -43,16 +43,21 @@ def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("place"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"))
 
 
-def _merkle_sql(variant: str, levels: int = 7) -> str:
-    first = "unhex(sha256(unhex('00') || unhex(sha256(CAST(o_orderkey AS VARCHAR)))))" if variant == "promote" else "unhex(sha256(CAST(o_orderkey AS VARCHAR)))"
-    parts = [f"l0 AS (SELECT o_custkey AS chain, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, {first} AS h FROM orders), sz AS (SELECT chain, count(*) AS leaves FROM l0 GROUP BY chain)"]
+def _tree_sql(variant: str, source: str, levels: int = 7) -> str:
+    """Roots (g, root, leaves) of the groups g of a source (g, place, content), level by level."""
+    first = "unhex(sha256(unhex('00') || unhex(sha256(content))))" if variant == "promote" else "unhex(sha256(content))"
+    parts = [f"l0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY place) - 1 AS place, {first} AS h FROM ({source})), sz AS (SELECT g, count(*) AS leaves FROM l0 GROUP BY g)"]
     for k in range(levels):
         if variant == "promote":
             node = "CASE WHEN count(*) = 1 THEN any_value(h) ELSE unhex(sha256(unhex('01') || arg_min(h, place) || arg_max(h, place))) END"
         else:
             node = "CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE unhex(sha256(lower(hex(arg_min(h, place))) || lower(hex(arg_max(h, place))))) END"
-        parts.append(f"l{k + 1} AS (SELECT chain, place // 2 AS place, {node} AS h FROM (SELECT *, count(*) OVER (PARTITION BY chain) AS n FROM l{k}) GROUP BY chain, place // 2)")
-    return f"WITH {', '.join(parts)} SELECT chain, lower(hex(h)) AS root, leaves FROM l{levels} JOIN sz USING (chain)"
+        parts.append(f"l{k + 1} AS (SELECT g, place // 2 AS place, {node} AS h FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM l{k}) GROUP BY g, place // 2)")
+    return f"{', '.join(parts)}, roots AS (SELECT g, lower(hex(h)) AS root, leaves FROM l{levels} JOIN sz USING (g))"
+
+
+def _merkle_sql(variant: str) -> str:
+    return f"WITH {_tree_sql(variant, 'SELECT o_custkey AS g, o_orderkey AS place, CAST(o_orderkey AS VARCHAR) AS content FROM orders')} SELECT g AS chain, root, leaves FROM roots"
 
 
 @query(_merkle_sql("promote"))
@@ -65,15 +70,22 @@ def merkle_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.merkle_root(_leaves(spark, sf_dir), ["chain"], "duplicate")
 
 
-@query("""WITH r AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_orderkey)::BIGINT AS root FROM orders GROUP BY 1), a AS (SELECT day, root FROM r WHERE day_of_month(day) <> 3), b AS (SELECT day, CASE WHEN day_of_month(day) = 9 THEN root + 1 ELSE root END AS root FROM r WHERE day_of_month(day) <> 4),
-c AS (SELECT day, CASE WHEN day_of_month(day) = 15 THEN root + 1 ELSE root END AS root FROM r) SELECT day, CASE WHEN a.root IS NULL THEN 'no local root' WHEN b.root IS NULL THEN 'no mirror root' WHEN a.root <> b.root THEN 'mirror differs' WHEN a.root <> c.root THEN 'blocks differ' ELSE 'ok' END AS status
-FROM c LEFT JOIN a USING (day) LEFT JOIN b USING (day)""".replace("day_of_month(day)", "EXTRACT(day FROM day)"))
+_DAYS_SQL = """SELECT 'a' || strftime(o_orderdate, '%Y-%m-%d') AS g, o_orderkey AS place, CAST(o_orderkey AS VARCHAR) AS content FROM orders WHERE EXTRACT(day FROM o_orderdate) <> 3
+UNION ALL SELECT 'b' || strftime(o_orderdate, '%Y-%m-%d'), o_orderkey, CASE WHEN EXTRACT(day FROM o_orderdate) = 9 AND o_orderkey % 2 = 0 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END FROM orders WHERE EXTRACT(day FROM o_orderdate) <> 4
+UNION ALL SELECT 'c' || strftime(o_orderdate, '%Y-%m-%d'), o_orderkey, CASE WHEN EXTRACT(day FROM o_orderdate) = 15 AND o_orderkey % 2 = 0 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END FROM orders WHERE EXTRACT(day FROM o_orderdate) <> 21"""
+
+
+@query(f"""WITH {_tree_sql("promote", _DAYS_SQL)}, a AS (SELECT substr(g, 2) AS day, root FROM roots WHERE g LIKE 'a%'), b AS (SELECT substr(g, 2) AS day, root FROM roots WHERE g LIKE 'b%'), c AS (SELECT substr(g, 2) AS day, root FROM roots WHERE g LIKE 'c%')
+SELECT day, CASE WHEN a.root IS NULL THEN 'no local root' WHEN b.root IS NULL THEN 'no mirror root' WHEN c.root IS NULL THEN 'no blocks' WHEN a.root <> b.root THEN 'mirror differs' WHEN a.root <> c.root THEN 'blocks differ' ELSE 'ok' END AS status FROM a FULL JOIN b USING (day) FULL JOIN c USING (day)""")
 def root_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local, mirrored and recomputed daily roots."""
-    r = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_orderkey").alias("root"))
-    dom = F.dayofmonth("day")
-    local, mirror = r.filter(dom != 3), r.filter(dom != 4).withColumn("root", F.when(dom == 9, F.col("root") + 1).otherwise(F.col("root")))
-    return evidence.compare_roots(local, mirror, r.withColumn("root", F.when(dom == 15, F.col("root") + 1).otherwise(F.col("root"))))
+    """Local, mirrored and recomputed Merkle roots of the days, some lost and some of other blocks."""
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.dayofmonth("o_orderdate").alias("dom"), F.col("o_orderkey").alias("n"))
+
+    def roots(lost: int, changed: int) -> DataFrame:
+        content = F.when((F.col("dom") == changed) & (F.col("n") % 2 == 0), "x").otherwise(F.col("n").cast("string"))
+        return evidence.daily_roots(o.filter(F.col("dom") != lost).withColumn("block_hash", F.sha2(content, 256)), F.col("day"))
+
+    return evidence.compare_roots(roots(3, 0), roots(4, 9), roots(21, 15))
 
 
 @query(f"""WITH {POINTS_SQL}, m AS (SELECT camera_id, t, CASE WHEN class_name = 'purchase' THEN 'stopped' ELSE 'running' END AS state FROM pts), p AS (SELECT *, lag(t) OVER w AS start_t, lag(state) OVER w AS was FROM m WINDOW w AS (PARTITION BY camera_id ORDER BY t))

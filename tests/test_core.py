@@ -163,6 +163,35 @@ def test_merkle_roots_and_proofs(spark, count):
     assert not evidence.verify_inclusion("00" * 32, evidence.inclusion_proof(hashes, 0), 0, count, root)
 
 
+@pytest.mark.parametrize("count", [1024, 1025, 2049])
+def test_roots_of_several_blocks_equal_a_level_by_level_tree(spark, count):
+    hashes = [hashlib.sha256(str(i).encode()).digest() for i in range(count)]
+    leaves = spark.createDataFrame([("d", i, h.hex()) for i, h in enumerate(hashes)], "day string, place long, hash string")
+    for variant in ("promote", "duplicate"):
+        level = [hashlib.sha256(b"\0" + h).digest() for h in hashes] if variant == "promote" else hashes
+        while len(level) > 1:
+            if variant == "promote":
+                level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+            else:
+                level = [hashlib.sha256((level[i].hex() + level[min(i + 1, len(level) - 1)].hex()).encode()).digest() for i in range(0, len(level), 2)]
+        got = evidence.merkle_root(leaves, ["day"], variant).first()
+        assert (got["root"], got["leaves"]) == (level[0].hex(), count)
+
+
+def test_first_bad_entry_of_a_log(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "STRETCH", 16)
+    rows, before = [], evidence.GENESIS
+    for i in range(100):
+        own = hashlib.sha256(f"{i}{before}".encode()).hexdigest()
+        rows.append((i * 3, str(i), before, own))
+        before = own
+    own = F.sha2(F.concat("body", "prev_hash"), 256)
+    first = lambda r: evidence.first_bad(spark.createDataFrame(r, "id long, body string, prev_hash string, hash string"), own).first()[0]
+    assert first(rows) is None
+    assert first([r if r[0] != 150 else (150, "tampered", *r[2:]) for r in rows]) == 150
+    assert first([r for r in rows if r[0] != 96]) == 99 and first(rows[1:]) == 3
+
+
 def test_perfect_detector_and_no_truth(spark):
     gt = spark.createDataFrame([(i, "a", i, 0.0, 0.0, 10.0, 10.0) for i in range(20)] + [(99, "b", 1, 0.0, 0.0, 5.0, 5.0)], "image long, cls string, gt_id long, x1 double, y1 double, x2 double, y2 double")
     pred = gt.filter("cls = 'a'").withColumnRenamed("gt_id", "pred_id").withColumn("conf", F.lit(0.9))
