@@ -53,28 +53,6 @@ def batch(rows: DataFrame, key: Sequence[str], make: Callable[[], Fold], order:
     return ready.mapInPandas(run, f"{kinds}, {fold.output}")
 
 
-def whole_groups(rows: DataFrame, by: Sequence[str], order: Sequence[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: object) -> DataFrame:
-    """work on each group's rows in order. Groups are cut from sorted partitions, which costs many small groups less than a grouped map does; memory holds one group and one batch."""
-    ready = rows.repartition(*[F.col(b) for b in by]).sortWithinPartitions(*by, *order)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pd.concat([*left, pdf], ignore_index=True)
-            new = (pdf[list(by)] != pdf[list(by)].shift()).any(axis=1)
-            cuts = [*new.index[new].tolist(), len(pdf)]
-            done = [work(pdf.iloc[a:b]) for a, b in zip(cuts[:-2], cuts[1:-1], strict=True)]
-            left = [pdf.iloc[cuts[-2] :]]
-            if done:
-                yield pd.concat(done)
-        if left:
-            yield work(left[0])
-
-    return ready.mapInPandas(run, schema)
-
-
 class Sampler:
     """Keeps a frame when its media time reaches the next slot of 1 / fps; a late frame moves the slots on, not back."""
 
@@ -306,67 +284,6 @@ def nms(boxes: DataFrame, by: Sequence[str], iou: float = 0.5, most: int = 300)
     return batch(ranked, by, partial(Suppress, iou, most), ("__minus", "id", "x1", "y1", "x2", "y2"))
 
 
-def track_boxes(detections: DataFrame, by: Sequence[str], iou_high: float = 0.2, iou_low: float = 0.5, high: float = 0.5, low: float = 0.1, new: float = 0.6, buffer: float = 1.5, confirm: int = 2) -> DataFrame:
-    """Detections (t, seq, cls, score, x1, y1, x2, y2) with the track each belongs to, frame by frame.
-
-    Boxes move on at constant velocity. Confident detections are matched first to confirmed tracks, then unsure ones to
-    what is left, then confident ones to tentative tracks; pairs are taken by falling overlap, never across classes
-    other than car and truck. Tracks end `buffer` seconds after their last match.
-    """
-    import numpy as np
-
-    def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-        h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-        common = np.maximum(w, 0) * np.maximum(h, 0)
-        area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-        return common / np.maximum(area(a)[:, None] + area(b)[None, :] - common, 1e-12)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = tuple(pdf.iloc[0][list(by)])
-        tracks: list[dict] = []
-        count, out = 0, []
-        for t, frame in pdf.groupby("t", sort=True):
-            tracks = [x for x in tracks if t - x["t"] <= buffer]
-            box = frame[["x1", "y1", "x2", "y2"]].to_numpy(float)
-            score, cls, seq = frame["score"].to_numpy(), frame["cls"].to_numpy(), frame["seq"].to_numpy()
-            free = set(range(len(frame)))
-            taken: set[int] = set()
-
-            def take(who: list[int], what: list[int], least: float) -> None:
-                if not who or not what:
-                    return
-                ahead = np.stack([tracks[i]["box"] + tracks[i]["v"] * (t - tracks[i]["t"]) for i in who])
-                gain = overlap(ahead, box[what])
-                for at in np.argsort(-gain, axis=None, kind="stable"):
-                    i, j = who[at // len(what)], what[at % len(what)]
-                    if gain.flat[at] < least:
-                        return
-                    pair = {tracks[i]["cls"], cls[j]}
-                    if i in taken or j not in free or (len(pair) > 1 and pair != {"car", "truck"}):
-                        continue
-                    x, dt = tracks[i], max(t - tracks[i]["t"], 1e-6)
-                    x.update(v=0.5 * x["v"] + 0.5 * (box[j] - x["box"]) / dt, box=box[j], t=t, hits=x["hits"] + 1)
-                    taken.add(i)
-                    free.discard(j)
-                    out.append((*key, int(seq[j]), x["id"], x["hits"] >= confirm))
-
-            sure = [j for j in range(len(frame)) if score[j] >= high]
-            old = [i for i, x in enumerate(tracks) if x["hits"] >= confirm]
-            take(old, sure, iou_high)
-            take([i for i in old if i not in taken], [j for j in range(len(frame)) if low <= score[j] < high], iou_low)
-            take([i for i, x in enumerate(tracks) if x["hits"] < confirm], [j for j in sure if j in free], 0.3)
-            for j in sorted(free):
-                if score[j] >= new:
-                    count += 1
-                    tracks.append({"id": count, "box": box[j], "v": np.zeros(4), "t": t, "hits": 1, "cls": cls[j]})
-                    out.append((*key, int(seq[j]), count, False))
-        return pd.DataFrame(out, columns=[*by, "seq", "track", "confirmed"])
-
-    kinds = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in by)
-    return whole_groups(detections, by, ["t", "seq"], fold, f"{kinds}, seq long, track long, confirmed boolean")
-
-
 class Dismissals:
     """A camera's baseline after each dismissal: wrong-direction ones turn the heading, loitering ones move the dwell, by `rate`."""
 

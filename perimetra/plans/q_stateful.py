@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from perimetra.operators import stateful
+from perimetra.operators import stateful, tracker
 from perimetra.plans.bind import POINTS_SQL, table, track_points
 from perimetra.plans.q_data import BOXES_SQL, boxes
 from perimetra.plans.q_search import whole_hashes
@@ -135,9 +135,11 @@ def crossing_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def box_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes about all points, tracked by camera and day; the detector leaves out every fifth frame."""
     p = track_points(spark, sf_dir)
-    d = p.select("camera_id", "day", "t", "seq", F.lit("person").alias("cls"), (F.col("y") / 100).alias("score"), *[(F.col(a) + b).alias(n) for n, a, b in (("x1", "x", 0.0), ("y1", "y", 0.0), ("x2", "x", 60.0), ("y2", "y", 60.0))])
-    return stateful.track_boxes(d, ["camera_id", "day"], buffer=7200.0)
+    d = p.select("camera_id", "day", "t", "seq", F.when(F.col("seq") % 9 == 0, "truck").otherwise("car").alias("cls"), (F.col("y") / 100).alias("score"), *[(F.col(a) + b).alias(n) for n, a, b in (("x1", "x", 0.0), ("y1", "y", 0.0), ("x2", "x", 60.0), ("y2", "y", 60.0))])
+    frames = p.select("camera_id", "day", "t", (F.floor("t") % 5 != 0).alias("detected")).distinct()
+    return tracker.track_boxes(d, frames, ["camera_id", "day"], tracker.Settings(buffer=7200.0))
 
 
 @query(f"""WITH {POINTS_SQL}, p AS (SELECT *, t - lag(t) OVER (PARTITION BY track_id ORDER BY t, seq) AS gap FROM pts), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY t, seq) AS session FROM p)

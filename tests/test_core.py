@@ -1,13 +1,14 @@
 """Golden fixtures and invariants of the core operators."""
 
 import hashlib
+import itertools
 import re
 from functools import partial
 
 import numpy as np
 import pytest
 from perimetra.functions import homography, stats, text, timeutil
-from perimetra.operators import calibration, datasets, evaluation, evidence, grouping, ranging, search, serving, stateful, tracks, validate
+from perimetra.operators import calibration, datasets, evaluation, evidence, grouping, ranging, search, serving, stateful, tracker, tracks, validate
 from pyspark.sql import functions as F
 
 WAYPOINTS = {
@@ -447,11 +448,70 @@ def test_nms_and_time_matching(spark):
     assert [(r["truth_id"], r["found_id"]) for r in stateful.match_in_time(t, f, ["clip"], 2.0).collect()] == [(1, 7)]
 
 
-def test_tracker_follows_a_box_through_an_unsure_frame(spark):
-    rows = [(1, float(i) / 10, i, "person", 0.3 if i == 5 else 0.9, 5.0 * i, 0.0, 5.0 * i + 40, 80.0) for i in range(12)]
-    d = spark.createDataFrame(rows, "camera_id long, t double, seq long, cls string, score double, x1 double, y1 double, x2 double, y2 double")
-    got = stateful.track_boxes(d, ["camera_id"]).collect()
-    assert len(got) == 12 and {r["track"] for r in got} == {1}
+def test_assignment_is_optimal():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (3, 3), (4, 6), (6, 4), (5, 5)):
+        for _ in range(20):
+            cost = np.round(rng.random((n, m)), 2)
+            pairs = tracker.assigned(cost)
+            few, many = (cost, m) if n <= m else (cost.T, n)
+            best = min(sum(few[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(many), len(few)))
+            assert len(pairs) == min(n, m) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+            assert sum(cost[i, j] for i, j in pairs) == pytest.approx(best)
+
+
+def _tracked(frames, **options):
+    """frames: (t, detections or None where no detector looked); detections: (cls, score, box)."""
+    fold, out, seq = tracker.Tracks(tracker.Settings(**options)), [], 0
+    for t, found in frames:
+        ids = list(range(seq, seq + len(found or ())))
+        seq += len(ids)
+        rows = list(fold.step((t, found is not None, ids, [f[0] for f in found or ()], [f[1] for f in found or ()], [f[2] for f in found or ()])))
+        out.append({r[1]: r for r in rows})
+    return out
+
+
+def _box(x, y=100.0, w=40.0, h=80.0):
+    return [x, y, x + w, y + h]
+
+
+def test_tracks_keep_their_names_where_boxes_meet():
+    frames = [(k * 0.05, [("person", 0.9, _box(100 + 6 * k)), ("person", 0.9, _box(340 - 6 * k, 130))]) for k in range(40)]
+    got = _tracked(frames)
+    assert all(set(f) == {1, 2} for f in got)
+    assert got[-1][1][6] > 300 and got[-1][2][6] < 140  # both went on in their direction
+
+
+def test_unsure_detections_and_skipped_frames_carry_a_track_on():
+    frames = [(k * 0.05, [("person", 0.9 if k < 10 else 0.2, _box(100 + 4 * k))] if k % 2 == 0 else None) for k in range(20)]
+    got = _tracked(frames)
+    assert all(set(f) == {1} and f[1][3] == "confirmed" for f in got)
+    assert [f[1][2] is None for f in got] == [k % 2 == 1 for k in range(20)]
+    assert abs(got[11][1][6] - 144) < 3  # the predicted place
+
+
+def test_tracks_are_lost_and_end_by_seconds():
+    frames = [(k * 0.1, [("person", 0.9, _box(100))] if k < 5 else []) for k in range(25)]
+    got = _tracked(frames, buffer=1.0)
+    assert got[5][1][3] == "lost" and 1 in got[14] and 1 not in got[15]
+    late = _tracked([(0.0, []), (0.1, [("person", 0.9, _box(100))]), (0.2, [])])
+    assert late[1][1][3] == "tentative" and not late[2]
+
+
+def test_cars_may_turn_trucks_but_not_persons():
+    cars = _tracked([(0.0, [("car", 0.9, _box(100))]), (0.1, [("truck", 0.8, _box(101))])])
+    assert set(cars[1]) == {1} and cars[1][1][4] == "car"
+    mixed = _tracked([(0.0, [("car", 0.9, _box(100))]), (0.1, [("person", 0.8, _box(101))])])
+    assert set(mixed[1]) == {1, 2}
+
+
+def test_tracking_a_table_equals_folding_its_frames(spark):
+    rows = [(c, k * 0.1, c * 1000 + k, "car", 0.9, *_box(100.0 + 3 * k)) for c in (1, 2) for k in range(10) if k % 4]
+    kind = "camera_id long, t double, seq long, cls string, score double, x1 double, y1 double, x2 double, y2 double"
+    frames = spark.createDataFrame([(c, k * 0.1, True) for c in (1, 2) for k in range(10)], "camera_id long, t double, detected boolean")
+    got = tracker.track_boxes(spark.createDataFrame(rows, kind), frames, ["camera_id"]).filter("camera_id = 2").orderBy("t", "track").collect()
+    want = [r for f in _tracked([(k * 0.1, [("car", 0.9, _box(100.0 + 3 * k))] if k % 4 else []) for k in range(10)]) for r in f.values()]
+    assert [(r["t"], r["track"], r["state"], round(r["x1"], 6)) for r in got] == [(r[0], r[1], r[3], round(r[6], 6)) for r in want]
 
 
 def test_readers_report_what_does_not_parse(spark, tmp_path):
