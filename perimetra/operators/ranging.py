@@ -52,7 +52,30 @@ def dori_band(px_per_m: Column) -> Column:
     return out
 
 
-def dori_capability(rows: DataFrame) -> DataFrame:
-    """Largest range (column range_m) of each band over image rows with px_per_m."""
-    graded = rows.withColumn("band", dori_band(F.col("px_per_m"))).filter("band <> 'none'")
-    return graded.groupBy("camera_id", "band").agg(F.max("range_m").alias("max_range_m"))
+def on_plane(h: Column, u: Column, v: Column) -> tuple[Column, Column]:
+    """Metres on the ground of a pixel, by a homography of nine numbers in row order; null on the horizon."""
+    w = F.nullif(h[6] * u + h[7] * v + h[8], F.lit(0.0))
+    return (h[0] * u + h[1] * v + h[2]) / w, (h[3] * u + h[4] * v + h[5]) / w
+
+
+def dori_capability(cameras: DataFrame) -> DataFrame:
+    """camera_id, status, and for each band the farthest range at which the picture still has its pixels per metre (0 if nowhere).
+
+    cameras: camera_id, homography (nine numbers), width, height, trusted. The rows of the picture's middle column are
+    walked from the lowest on; range 0 is the lowest row. A camera whose homography is not trusted is refused: its ranges
+    are null.
+    """
+    middle, low = F.col("width") / 2.0, (F.col("height") - 1).cast("double")
+    rows = cameras.filter("trusted").select("camera_id", "homography", middle.alias("u"), low.alias("low"), F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("row"))
+    h, v = F.col("homography"), F.col("row").cast("double")
+    (x0, y0), (x, y), (x1, y1) = (on_plane(h, F.col("u"), at) for at in (F.col("low"), v, v + 1))
+    step, away = F.hypot(x1 - x, y1 - y), F.hypot(x - x0, y - y0)
+    seen = rows.select("camera_id", F.when(step > 0, 1 / step).alias("px_per_m"), away.alias("range_m"))
+    far = seen.groupBy("camera_id").agg(*[F.coalesce(F.max(F.when(F.col("px_per_m") >= least, F.col("range_m"))), F.lit(0.0)).alias(band) for band, least in DORI])
+    return cameras.select("camera_id", F.when(F.col("trusted"), "graded").otherwise("refused").alias("status")).join(far, "camera_id", "left")
+
+
+def capability_at(range_m: Column) -> Column:
+    """The strictest band of `dori_capability` that reaches a range; null beyond the last, which nothing is claimed for."""
+    bands = F.array(*[F.when(range_m <= F.col(band), F.lit(band)) for band, _ in DORI])
+    return F.when(range_m <= F.col(DORI[-1][0]), F.array_compact(bands)[0])

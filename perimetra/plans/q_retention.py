@@ -79,12 +79,32 @@ def calibration_warm_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.warmed_up(track_points(spark, sf_dir), ["camera_id"], 2500000.0, 1500).withColumn("elapsed", F.round("elapsed", 3))
 
 
-@query("""WITH r AS (SELECT k AS range_m, 1000.0 / k AS px FROM range(1, 101) r(k)), b AS (SELECT range_m, CASE WHEN px >= 250 THEN 'identification' WHEN px >= 125 THEN 'recognition' WHEN px >= 62 THEN 'observation' WHEN px >= 25 THEN 'detection' END AS band FROM r)
-SELECT CAST(1 AS BIGINT) AS camera_id, band, max(range_m) AS max_range_m FROM b WHERE band IS NOT NULL GROUP BY band""")
+_PLANES_SQL = """c AS (SELECT c_custkey AS camera_id, (0.004 + (c_custkey % 5) * 0.001)::DOUBLE AS s, ((c_custkey % 7) * 0.0003)::DOUBLE AS p, c_custkey % 11 <> 0 AS trusted FROM customer),
+r AS (SELECT c.*, v::DOUBLE AS v FROM c, range(480) x(v) WHERE trusted), pl AS (SELECT camera_id, v, (s * 320 - s * 320) / (p * v + 1 - 479 * p) AS x, (s * 479 - s * v) / (p * v + 1 - 479 * p) AS y, (s * 479 - s * (v + 1)) / (p * (v + 1) + 1 - 479 * p) AS y1 FROM r),
+far AS (SELECT camera_id, coalesce(max(abs(y)) FILTER (1 / abs(y1 - y) >= 250), 0) AS identification, coalesce(max(abs(y)) FILTER (1 / abs(y1 - y) >= 125), 0) AS recognition, coalesce(max(abs(y)) FILTER (1 / abs(y1 - y) >= 62), 0) AS observation, coalesce(max(abs(y)) FILTER (1 / abs(y1 - y) >= 25), 0) AS detection FROM pl GROUP BY 1)"""
+
+
+def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras with a homography of their own; every eleventh is not trusted."""
+    k = F.col("c_custkey")
+    s, p = 0.004 + (k % 5) * 0.001, (k % 7) * 0.0003
+    zero = F.lit(0.0)
+    h = F.array(s, zero, -320 * s, zero, -s, 479 * s, zero, p, 1 - 479 * p)
+    return table(spark, sf_dir, "customer").select(k.alias("camera_id"), h.alias("homography"), F.lit(640).alias("width"), F.lit(480).alias("height"), (k % 11 != 0).alias("trusted"))
+
+
+@query(f"WITH {_PLANES_SQL} SELECT camera_id, CASE WHEN trusted THEN 'graded' ELSE 'refused' END AS status, round(identification, 6) AS identification, round(recognition, 6) AS recognition, round(observation, 6) AS observation, round(detection, 6) AS detection FROM c LEFT JOIN far USING (camera_id)")
 def dori_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each band reaches."""
-    rows = spark.range(1, 101).select(F.lit(1).cast("long").alias("camera_id"), F.col("id").alias("range_m"), (1000.0 / F.col("id")).alias("px_per_m"))
-    return ranging.dori_capability(rows)
+    """How far each band of each camera reaches."""
+    bands = [name for name, _ in ranging.DORI]
+    return ranging.dori_capability(_planes(spark, sf_dir)).select("camera_id", "status", *[F.round(b, 6).alias(b) for b in bands])
+
+
+@query(f"WITH {_PLANES_SQL} SELECT camera_id, m AS range_m, CASE WHEN m > detection THEN NULL WHEN m <= identification THEN 'identification' WHEN m <= recognition THEN 'recognition' WHEN m <= observation THEN 'observation' WHEN m <= detection THEN 'detection' END AS band FROM c LEFT JOIN far USING (camera_id), (VALUES (0.5::DOUBLE), (2.0), (3.5), (40.0)) q(m)")
+def capability_at_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each camera can tell at some ranges."""
+    asked = F.explode(F.array(*[F.lit(m) for m in (0.5, 2.0, 3.5, 40.0)])).alias("range_m")
+    return ranging.dori_capability(_planes(spark, sf_dir)).select("*", asked).select("camera_id", "range_m", ranging.capability_at(F.col("range_m")).alias("band"))
 
 
 @query("WITH a AS (SELECT doc_id, 'one' AS source FROM documents WHERE lang = 'en'), b AS (SELECT doc_id, 'two' AS source FROM documents WHERE lang = 'de') SELECT * FROM a UNION ALL SELECT * FROM b")
