@@ -171,6 +171,18 @@ def compare_roots(local: DataFrame, mirror: DataFrame, recomputed: DataFrame) ->
     return j.select("day", status.alias("status"))
 
 
+def certificate(blocks: DataFrame, own_hash: Column, by: Sequence[str], day: Column, first: str | None = None, last: str | None = None) -> DataFrame:
+    """What is certified of each chain's blocks of the days first to last (ISO, both included, None for open ends): how many
+    there are, how many stand, the first that does not, its reasons, and the days' first and last. Chains are verified
+    whole, so that damage before the first day tells."""
+    checked = verify(blocks, own_hash, by).withColumn("__day", day.cast("string"))
+    within = checked.filter((F.lit(True) if first is None else F.col("__day") >= first) & (F.lit(True) if last is None else F.col("__day") <= last))
+    broken = F.when(~F.col("ok"), F.col("n"))
+    return within.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("blocks"), F.count_if("ok").alias("standing"), F.min(broken).alias("first_broken"), F.array_join(F.min_by("reasons", broken), ",").alias("reasons"), F.min("__day").alias("from_day"), F.max("__day").alias("to_day")
+    )
+
+
 def seal_days(sealed: DataFrame, roots: DataFrame) -> DataFrame:
     """Roots of days that are not sealed yet: a day is sealed once."""
     return roots.join(sealed.select("day"), "day", "left_anti")

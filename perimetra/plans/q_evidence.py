@@ -39,6 +39,15 @@ def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("chain", "n", F.array_join("reasons", ",").alias("reasons"), "ok")
 
 
+@query(f"""WITH RECURSIVE {_TAMPERED_SQL}, v AS (SELECT chain, n, strftime(to_timestamp(sealed_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, array_to_string(list_filter([CASE WHEN b_hash THEN 'hash' END, CASE WHEN b_link THEN 'link' END, CASE WHEN b_seq THEN 'sequence' END, CASE WHEN b_time THEN 'sealed_at' END], lambda x: x IS NOT NULL), ',') AS reasons,
+  NOT bool_or(b_hash OR b_link) OVER (PARTITION BY chain ORDER BY n ROWS UNBOUNDED PRECEDING) AND NOT (b_hash OR b_link OR b_seq OR b_time) AS ok FROM ck)
+SELECT chain, count(*) AS blocks, count(*) FILTER (ok) AS standing, min(n) FILTER (NOT ok) AS first_broken, arg_min(reasons, n) FILTER (NOT ok) AS reasons, min(day) AS from_day, max(day) AS to_day FROM v WHERE day BETWEEN '1996-06-01' AND '1998-12-31' GROUP BY chain""")
+def certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chain's certificate of two and a half years of the tampered ledger."""
+    bad = _blocks(spark, sf_dir).filter("id % 53 <> 11").withColumn("status", F.when(F.col("id") % 41 == 7, "X").otherwise(F.col("status")))
+    return evidence.certificate(bad, evidence.chain_hash(_FIELDS), ["chain"], F.to_date(F.timestamp_seconds("sealed_at")), "1996-06-01", "1998-12-31")
+
+
 def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("place"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"))
 

@@ -157,6 +157,58 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def append_lines(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Append rows to a ledger of JSON lines. Files appear when they are whole, so no append can leave a torn line."""
+    rows.select(F.to_json(F.struct(*columns)).alias("line")).write.mode("append").text(path)
+
+
+def without_torn_tails(spark: SparkSession, path: str, target: str) -> int:
+    """Write the whole lines of a ledger's files to `target`, and return how many torn tails were left out."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("body"))
+    lines = files.select(F.posexplode(F.split("body", "\n")).alias("n", "line"), F.size(F.split("body", "\n")).alias("size"))
+    lines.filter((F.col("n") < F.col("size") - 1) & (F.length("line") > 0)).select("line").write.mode("errorifexists").text(target)
+    return lines.filter((F.col("n") == F.col("size") - 1) & (F.length("line") > 0)).count()
+
+
+def configs(spark: SparkSession, path: str, schema: str, key: str = "camera_id") -> DataFrame:
+    """The newest configuration of each camera among JSON files (one object each), with changed_at, the file's time. Read
+    anew, it has what changed since; a stream does so in each of its batches."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_modification_time").alias("changed_at"), F.col("_metadata.file_path").alias("__file"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("changed_at"), F.desc("__file")))
+    return rows.filter(F.col(key).isNotNull()).withColumn("__n", n).filter("__n = 1").drop("__n", "__file")
+
+
+def save_baselines(baselines: DataFrame, path: str, key: str = "camera_id") -> None:
+    """Replace the stored baselines of the cameras given; those of others stay."""
+    write_partitioned(baselines, path, [key])
+
+
+def load_baselines(spark: SparkSession, path: str, schema: str, cells: int | None = None, column: str = "grid") -> tuple[DataFrame, DataFrame]:
+    """Stored baselines, and those that are refused because their grid has not `cells` numbers."""
+    rows = spark.read.schema(schema).parquet(path)
+    fits = F.lit(True) if cells is None else F.coalesce(F.size(column) == cells, F.lit(False))
+    return rows.filter(fits), rows.filter(~fits)
+
+
+def located(spark: SparkSession, roots: Sequence[str], pattern: str) -> str | None:
+    """The first root below which files match a glob, None if none does."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for root in roots:
+        path = hadoop.Path(f"{root}/{pattern}")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        if found is not None and len(found):
+            return root
+    return None
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown."""
+    rows = to_pandas_table(df, most)
+    cell = lambda v: "" if v is None or v != v else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [rows.columns, ["---"] * len(rows.columns), *rows.astype(object).itertuples(index=False, name=None)]
+    return "\n".join("| " + " | ".join(map(cell, line)) + " |" for line in lines)
+
+
 def to_pandas_table(df: DataFrame, most: int = 1000) -> pd.DataFrame:
     """A small report table; larger ones are an error."""
     rows = df.limit(most + 1).toPandas()

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from perimetra.operators.stateful import Fold
 
@@ -48,6 +49,20 @@ def once(rows: DataFrame, key: Sequence[str], event_time: str = "ts", delay: str
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
+def relearner(store: str, features: str, learn: Callable[[DataFrame], DataFrame], key: str = "camera_id", least: int = 5, most: int = 500, order: str = "t1") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch callback: adds a batch of track features to `features`, and learns anew the baselines of the cameras it
+    holds from their latest `most` tracks, where there are `least` of them. `learn` may apply dismissals again."""
+
+    def relearn(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__batch").parquet(features)
+        known = batch.sparkSession.read.parquet(features).drop("__batch").join(batch.select(key).distinct(), key, "left_semi")
+        newest, every = Window.partitionBy(key).orderBy(F.desc(order)), Window.partitionBy(key)
+        chosen = known.withColumn("__n", F.row_number().over(newest)).withColumn("__all", F.count(F.lit(1)).over(every)).filter((F.col("__n") <= most) & (F.col("__all") >= least))
+        learn(chosen.drop("__n", "__all")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(store)
+
+    return relearn
+
+
 def tumbling(rows: DataFrame, width: str, by: Sequence[str] = (), slide: str | None = None, event_time: str = "ts", delay: str = "1 minute") -> DataFrame:
     """Counts per window and key; late rows beyond the delay are left out."""
     w = F.window(event_time, width, slide) if slide else F.window(event_time, width)

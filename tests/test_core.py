@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 from functools import partial
 
@@ -528,6 +529,47 @@ def test_readers_report_what_does_not_parse(spark, tmp_path):
     assert good.first()["image"] == "img" and bad.count() == 1
 
 
+def test_ledgers_configurations_and_reports(spark, tmp_path):
+    from perimetra.sources import readers
+
+    ledger = tmp_path / "ledger"
+    readers.append_lines(spark.createDataFrame([(1, "a"), (2, "b")], "n long, k string").coalesce(1), str(ledger), ["n", "k"])
+    (ledger / "part-torn.txt").write_text('{"n":3,"k":"c"}\n{"n":4')
+    assert readers.without_torn_tails(spark, str(ledger), str(tmp_path / "mended")) == 1
+    blocks, problems, torn = readers.ledger(spark, str(tmp_path / "mended"), "n long, k string")
+    assert sorted(r["n"] for r in blocks.collect()) == [1, 2, 3] and problems.count() == torn.count() == 0
+    (tmp_path / "conf").mkdir()
+    for name, stamp, dwell in (("a.json", 1_000, 3), ("b.json", 2_000, 5)):
+        (tmp_path / "conf" / name).write_text('{\n "camera_id": 1,\n "dwell": %d\n}' % dwell)
+        os.utime(tmp_path / "conf" / name, (stamp, stamp))
+    assert [r["dwell"] for r in readers.configs(spark, str(tmp_path / "conf"), "camera_id long, dwell int").collect()] == [5]
+    assert readers.located(spark, [str(tmp_path / "none"), str(tmp_path)], "conf/*.json") == str(tmp_path) and readers.located(spark, [str(tmp_path)], "*.xyz") is None
+    assert readers.markdown(spark.createDataFrame([("x|y", 0.5, None)], "a string, b double, c int")) == "| a | b | c |\n| --- | --- | --- |\n| x\\|y | 0.5 |  |"
+
+
+def test_baselines_are_replaced_by_camera_and_checked(spark, tmp_path):
+    from perimetra.sources import readers
+
+    kind = "camera_id long, grid array<double>"
+    readers.save_baselines(spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3])], kind), str(tmp_path / "base"))
+    readers.save_baselines(spark.createDataFrame([(1, [0.5, 0.6])], kind), str(tmp_path / "base"))
+    good, refused = readers.load_baselines(spark, str(tmp_path / "base"), kind, 2)
+    assert [(r["camera_id"], r["grid"]) for r in good.collect()] == [(1, [0.5, 0.6])] and [r["camera_id"] for r in refused.collect()] == [2]
+
+
+def test_baselines_are_learnt_anew_from_the_latest_tracks(spark, tmp_path):
+    from perimetra.streaming import folds
+
+    mean = lambda rows: rows.groupBy("camera_id").agg(F.avg("net").alias("net"), F.count(F.lit(1)).alias("n"))
+    relearn = folds.relearner(str(tmp_path / "store"), str(tmp_path / "features"), mean, least=3, most=4)
+    kind = "camera_id long, t1 double, net double"
+    relearn(spark.createDataFrame([(1, float(i), 1.0) for i in range(3)] + [(2, 0.0, 9.0)], kind), 0)
+    relearn(spark.createDataFrame([(1, 10.0, 5.0), (2, 1.0, 9.0)], kind), 1)
+    relearn(spark.createDataFrame([(1, 10.0, 5.0), (2, 1.0, 9.0)], kind), 1)  # a batch that comes again changes nothing
+    got = {r["camera_id"]: (r["net"], r["n"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert got == {1: (2.0, 4)}
+
+
 def test_fold_factory_pickles():
     import pickle
 
