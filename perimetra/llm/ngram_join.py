@@ -20,8 +20,8 @@ Work of a group grows with the square of its distinct texts, as every link count
 Edge cases: null and empty texts, and texts without words, have no shingles; those with the same (null as empty) text
 are one class and link to each other only. A text of one to four words is one shingle. Repeated rows are copies, as are
 texts of one shingle set under any doc_ids; several texts under one doc_id, and rows without a doc_id, are told apart by
-their texts and all take part. class_id and copy_id are null where no row of the class has a doc_id. Extra columns are
-not carried by `ngram_join`.
+their texts and all take part (so a doc_id that names texts of two classes may be the class_id of both). class_id and
+copy_id are null where no row of the class has a doc_id. Extra columns are not carried by `ngram_join`.
 """
 
 from __future__ import annotations
