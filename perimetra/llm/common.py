@@ -79,8 +79,8 @@ def slices(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
 def bounded_batches(spark: SparkSession) -> None:
     """Have the session cut Arrow batches at BATCH_BYTES, unless it cuts them shorter; rows of whole texts are too large for a bound by number alone."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
-    if not held or int(held[1]) > BATCH_BYTES:
+    held = re.fullmatch(r"(\d+)([kmg]?)b?", (spark.conf.get(key, None) or "").lower())
+    if not held or int(held[1]) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[held[2]] > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
