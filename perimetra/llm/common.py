@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own, worked on block by block.
@@ -241,3 +242,41 @@ def shingles(texts: Sequence[str | None], size: int = 5) -> tuple[np.ndarray, np
             combined[low : low + BLOCK] += np.where(short & (j >= count[doc]), np.uint64(j + 1), piece) if short.any() else piece
         combined[low : low + BLOCK] = mix(combined[low : low + BLOCK])
     return combined, out_first
+
+
+def full_vectors(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values (doubles) of the lists of `width` entries, none of them null, infinite or not a number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False) == width)
+    if not len(at) or not width:
+        return np.zeros(0, np.int64), np.zeros((0, width))
+    values = column.take(pa.array(at)).flatten()
+    vectors = values.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), width)
+    fine = np.isfinite(vectors).all(axis=1)
+    return at[fine], vectors[fine]
+
+
+def common_width(rows: DataFrame, measure: Callable[[np.ndarray], np.ndarray], limit: float) -> tuple[int, int, float]:
+    """Length of the usable vectors, how many have it, and the largest measure among them; (0, 0, 0.0) where there are none.
+
+    rows: vec_id, embedding. Usable are vectors without nulls and non-finite entries whose measure is below `limit`. The
+    length is that of the usable row with the smallest vec_id (rows without one come last, then the shorter).
+    """
+    last = np.iinfo(np.int64).max
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, ids = batch.column("embedding"), pc.fill_null(batch.column("vec_id"), last).to_numpy(zero_copy_only=False)
+            out = []
+            for width in pc.unique(pc.list_value_length(column)).drop_null().to_pylist():
+                at, vectors = full_vectors(column, width)
+                size = measure(vectors) if len(at) else np.zeros(0)
+                fine = size < limit
+                if fine.any():
+                    out.append((width, int(ids[at[fine]].min()), int(fine.sum()), float(size[fine].max())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["width", "first", "n", "most"])
+
+    seen = rows.mapInArrow(look, "width int, first long, n long, most double").groupBy("width").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.max("most").alias("most"))
+    found = seen.orderBy("first", "width").first()
+    return (found["width"], found["n"], found["most"]) if found else (0, 0, 0.0)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.llm import ann, media, mixing, ngram_join, piece_codec, quality, secrets, sharding, token_counts, warc
+from perimetra.llm import ann, exact_dedup, hard_negatives, media, mixing, ngram_join, piece_codec, quality, secrets, sharding, token_counts, warc, whitening
 from perimetra.llm.common import shared_dir, table
 
 
@@ -89,6 +89,42 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH fine AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS y
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, CAST(list_sum(list_transform(list_zip(a.y, r.y), z -> z[1] * z[2])) AS BIGINT) AS score
+  FROM fine a JOIN fine r ON r.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM scores WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 5
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents, by the checksum of doc_id, came first and make the history; the others are the new delivery."""
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+
+
+OP13_SQL = """
+WITH rows_of AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER best = 1 AS kept, text_sha256
+FROM rows_of WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,9 +132,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_warc_fixity_audit, op2_nearest_neighbours, op3_ngram_jaccard_join, op4_source_mixing, op5_quality_classifier, op6_sentencepiece_codec, op7_media_columns, op8_virtual_slot_shards, op9_token_counts, op10_secret_scan, pipeline)
+    ops = (op1_warc_fixity_audit, op2_nearest_neighbours, op3_ngram_jaccard_join, op4_source_mixing, op5_quality_classifier, op6_sentencepiece_codec, op7_media_columns, op8_virtual_slot_shards, op9_token_counts, op10_secret_scan, op11_embedding_whitening, op12_hard_negatives, op13_exact_dedup, pipeline)
     return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity_audit": OP1_SQL}
+    return {"op1_warc_fixity_audit": OP1_SQL, "op12_hard_negatives": OP12_SQL, "op13_exact_dedup": OP13_SQL}
