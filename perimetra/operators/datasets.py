@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from perimetra.operators.search import cells
+
 
 def shuffle_key(seed: str, key: Column) -> Column:
     """A fixed pseudo-random order: the same for any input order."""
@@ -170,12 +172,15 @@ def placement(wanted: DataFrame, listing: DataFrame) -> DataFrame:
 def split_copies(rows: DataFrame, most: int = 10) -> DataFrame:
     """Pairs of rows (image, split, hash) of different splits whose hashes agree in the 16 highest bits and differ in `most` bits at most.
 
-    Rows of one hash and split stand as one, with their number, so that copies do not multiply.
+    Rows of one hash and split stand as one, with their number, so that copies do not multiply; a hot bucket is compared
+    in cells of bounded size.
     """
     one = rows.groupBy("split", "hash", F.shiftrightunsigned("hash", 48).alias("bucket")).agg(F.min("image").alias("image"), F.count(F.lit(1)).alias("n"))
-    a, b = (one.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("split", "hash", "image", "n")]) for side in ("a", "b"))
+    placed = cells(one, ["bucket"], "hash")
+    a, b = (placed.select("bucket", "low", "high", *[F.col(c).alias(f"{c}_{side}") for c in ("split", "hash", "image", "n", "own")]) for side in ("a", "b"))
     distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-    met = a.join(b, "bucket").filter((F.col("split_a") < F.col("split_b")) & (distance <= most))
+    place = (F.least("own_a", "own_b") == F.col("low")) & (F.greatest("own_a", "own_b") == F.col("high"))
+    met = a.join(b, ["bucket", "low", "high"]).filter(place & (F.col("split_a") < F.col("split_b")) & (distance <= most))
     return met.select("split_a", "split_b", "image_a", "image_b", "n_a", "n_b", distance.cast("int").alias("distance"))
 
 

@@ -1,10 +1,11 @@
-"""Exact vector search over keyframes, and Hamming near-duplicates by banding."""
+"""Exact vector search over keyframes, and complete Hamming joins of hashes by bands."""
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from perimetra.functions import timeutil
+from perimetra.sources.store import settled
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,33 +51,39 @@ def percent(score: Column, scale: float, bias: float) -> Column:
     return F.bround(100.0 / (1.0 + F.exp(-(score * scale + bias)))).cast("int")
 
 
-def search_batch(keyframes: DataFrame, queries: DataFrame, k: int = 6, most: int = 1000) -> DataFrame:
+def search_batch(keyframes: DataFrame, queries: DataFrame, k: int = 6, block: int = 1000) -> DataFrame:
     """The k best clips of each query (query_id, vector): query_id, rank, clip_id, keyframe_id, score.
 
-    Queries go to every task, so that they are `most` at most; more is an error. A batch of keyframes keeps the k best
-    clips of each query by their best keyframe in it, which no clip of the overall best can miss.
+    Queries are taken in blocks of about `block`, which a stored table holds; every block meets all keyframes, batch by
+    batch. A batch of keyframes keeps the k best clips of each query by their best keyframe in it, which no clip of the
+    overall best can miss.
     """
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(most + 1).toPandas()
-    if len(asked) > most:
-        raise ValueError(f"{most} queries at most")
-    names, matrix = asked["query_id"].to_numpy(), np.array(asked["vector"].tolist(), float).reshape(len(asked), -1)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf) or not len(names):
-                continue
-            pdf = pdf.sort_values("keyframe_id")
-            ids, clips = pdf["keyframe_id"].to_numpy(), pdf["clip_id"].to_numpy()
-            for name, scores in zip(names, matrix @ np.array(pdf["embedding"].tolist(), float).T, strict=True):
-                order = np.argsort(-scores, kind="stable")
-                firsts = order[np.sort(np.unique(clips[order], return_index=True)[1])[:k]]
-                yield pd.DataFrame({"query_id": name, "clip_id": clips[firsts], "keyframe_id": ids[firsts], "score": scores[firsts]})
-
+    blocks = max(1, -(-queries.count() // block))
+    numbered = settled(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
     kinds = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for frame, c in ((queries, "query_id"), (keyframes, "clip_id"), (keyframes, "keyframe_id")))
-    met = keyframes.select("clip_id", "keyframe_id", "embedding").mapInPandas(best, f"{kinds}, score double")
-    own = met.groupBy("query_id", "clip_id").agg(F.max_by(F.struct("keyframe_id", "score"), F.struct("score", -F.col("keyframe_id"))).alias("b"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b.score"), "b.keyframe_id"))
-    return own.select("query_id", rank.alias("rank"), "clip_id", "b.keyframe_id", "b.score").filter(F.col("rank") <= k)
+    met = None
+    for number in range(blocks):
+        asked = numbered.filter(F.col("__block") == number).toPandas()  # one block
+        names, matrix = asked["query_id"].to_numpy(), np.array(asked["vector"].tolist(), float).reshape(len(asked), -1)
+
+        def best(batches: Iterator[pd.DataFrame], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf) or not len(names):
+                    continue
+                pdf = pdf.sort_values("keyframe_id")
+                ids, clips = pdf["keyframe_id"].to_numpy(), pdf["clip_id"].to_numpy()
+                for name, scores in zip(names, matrix @ np.array(pdf["embedding"].tolist(), float).T, strict=True):
+                    order = np.argsort(-scores, kind="stable")
+                    firsts = order[np.sort(np.unique(clips[order], return_index=True)[1])[:k]]
+                    yield pd.DataFrame({"query_id": name, "clip_id": clips[firsts], "keyframe_id": ids[firsts], "score": scores[firsts]})
+
+        made = keyframes.select("clip_id", "keyframe_id", "embedding").mapInPandas(best, f"{kinds}, score double")
+        own = made.groupBy("query_id", "clip_id").agg(F.max_by(F.struct("keyframe_id", "score"), F.struct("score", -F.col("keyframe_id"))).alias("b"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b.score"), "b.keyframe_id"))
+        kept = own.select("query_id", rank.alias("rank"), "clip_id", "b.keyframe_id", "b.score").filter(F.col("rank") <= k)
+        kept = kept if blocks == 1 else settled(kept)
+        met = kept if met is None else met.unionByName(kept)
+    return met
 
 
 def response(best: DataFrame, cameras: DataFrame, clips: DataFrame) -> DataFrame:
@@ -86,6 +94,8 @@ def response(best: DataFrame, cameras: DataFrame, clips: DataFrame) -> DataFrame
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "keyframe_id")) - 1  # the few best only
     rows = best.withColumn("position", place).join(clips, "clip_id", "left").join(cameras.select(F.col("id").alias("camera_id"), "name"), "camera_id", "left")
     return rows.select("position", "clip_id", "keyframe_id", percent(F.col("score"), 10.0, -2.0).alias("percent"), F.coalesce("name", F.col("camera_id").cast("string")).alias("camera"), "at", "chips")
+
+
 def window_scanned(rows: DataFrame, at: str) -> DataFrame:
     """Span of the index in days, or in weeks from 14 days on; timestamps that do not parse are left out."""
     ts = F.try_to_timestamp(F.col(at))
@@ -111,60 +121,125 @@ def clip_label(ts: Column) -> Column:
 
 # --- near-duplicates of 64-bit hashes
 
-BANDS = 4
-#: Words of a shingle of `simhash`, and digests that are summed at once.
-SHINGLE_WORDS, DIGESTS = 3, 65_536
+#: Words of a shingle of `simhash`, and words that are hashed and summed at once.
+SHINGLE_WORDS, WORDS_AT_ONCE = 3, 65_536
+#: A band value of more hashes than this is split by bands of the other bits; a bucket that is still larger is compared
+#: in cells of two blocks of BLOCK_HASHES.
+HOT_BAND, BLOCK_HASHES = 1000, 500
+#: Hashes to a band value at which one more band is kept apart, so that band values are longer.
+CROWDED = 256
+
+
+def majorities(items: Sequence[Iterable[str]]) -> np.ndarray:
+    """For each list of strings, the bits in which more than half of the first eight bytes of their SHA-256 are set, as an
+    unsigned number. A string is hashed once, however often it comes in the batch; an empty list gives 0."""
+    out = np.zeros(len(items), np.uint64)
+    number: dict[str, int] = {}
+    low = 0
+    while low < len(items):
+        flat: list[int] = []
+        first = [0]
+        high = low
+        while high < len(items) and len(flat) < WORDS_AT_ONCE:
+            flat.extend(number.setdefault(w, len(number)) for w in items[high])
+            first.append(len(flat))
+            high += 1
+        digests = np.frombuffer(b"".join(hashlib.sha256(w.encode()).digest()[:8] for w in number), np.uint8).reshape(-1, 8)
+        at, size = np.array(flat, np.int64), np.diff(first)
+        ones = np.zeros((high - low, 64), np.int64)
+        for begin in range(0, len(at), WORDS_AT_ONCE):  # a list of more words than that is summed part by part
+            bits = np.unpackbits(digests[at[begin : begin + WORDS_AT_ONCE]], axis=1)
+            cut = np.clip(np.array(first) - begin, 0, len(bits))
+            some = np.flatnonzero(np.diff(cut))
+            if len(some):
+                ones[some] += np.add.reduceat(bits, cut[some], axis=0, dtype=np.int64)
+        out[low:high] = np.packbits(2 * ones > size[:, None], axis=1).view(">u8").ravel()
+        number.clear()
+        low = high
+    return out
+
+
+def _shingled(text: str | None) -> list[str]:
+    words = re.findall(r"\w+", (text or "").lower())
+    return [" ".join(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))] if words else [text or ""]
 
 
-def simhash(text: str | None) -> int:
+def simhashes(text: Column) -> Column:
     """64-bit simhash (signed) over all word shingles of the whole text, each counted as often as it comes: the majority of each bit of their SHA-256.
 
     A text with fewer words than a shingle is one shingle; one without words is hashed as it is, null as the empty text.
     """
-    words = re.findall(r"\w+", (text or "").lower())
-    made: Iterable[str] = (" ".join(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))) if words else [text or ""]
-    digests = b"".join(hashlib.sha256(m.encode()).digest()[:8] for m in made)
-    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
-    ones = sum(np.unpackbits(rows[i : i + DIGESTS], axis=1).sum(0, dtype=np.int64) for i in range(0, len(rows), DIGESTS))
-    return int(np.packbits(2 * ones > len(rows)).view(">i8")[0])
+    return F.pandas_udf(lambda t: pd.Series(majorities([_shingled(x) for x in t]).view(np.int64)), "long")(text)
 
 
-def simhashes(text: Column) -> Column:
-    return F.pandas_udf(lambda t: pd.Series([simhash(x) for x in t], dtype="int64"), "long")(text)
+def word_simhash(text: Column) -> Column:
+    """60-bit simhash over a text's distinct words, cut at blanks: the majority of each bit of their SHA-256; 0 without words."""
+    return F.pandas_udf(lambda t: pd.Series((majorities([{w for w in (x or "").lower().split(" ") if w} for x in t]) >> np.uint64(4)).view(np.int64)), "long")(text)
 
 
-def word_simhash_of(text: str | None) -> int:
-    """60-bit simhash over a text's distinct words, cut at blanks: the majority of each bit of their SHA-256; 0 without words."""
-    words = {w for w in (text or "").lower().split(" ") if w}
-    digests = b"".join(hashlib.sha256(w.encode()).digest()[:8] for w in words)
-    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
-    ones = sum(np.unpackbits(rows[i : i + DIGESTS], axis=1).sum(0, dtype=np.int64) for i in range(0, len(rows), DIGESTS)) if words else np.zeros(64)
-    return int(np.packbits(2 * ones > len(rows)).view(">u8")[0]) >> 4
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
-def word_simhash(text: Column) -> Column:
-    return F.pandas_udf(lambda t: pd.Series([word_simhash_of(x) for x in t], dtype="int64"), "long")(text)
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def bands(hash64: Column) -> Column:
-    """The hash's 16-bit bands with their number, so that equal bands meet."""
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(hash64, 16 * b).bitwiseAND(0xFFFF).alias("bits")) for b in range(BANDS)])
+def _parts(bits: Sequence[int], parts: int) -> list[int]:
+    """Masks of `parts` runs of the bits, of about equal lengths."""
+    cuts = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << b for b in bits[low:high]) for low, high in itertools.pairwise(cuts)]
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def band_masks(most: int, kept: int) -> list[int]:
+    """Masks of which two 64-bit values that differ in `most` bits at most agree under one: of `most` + `kept` bands, `kept`
+    are always the same."""
+    bands = _parts(range(64), most + kept)
+    return [sum(chosen) for chosen in itertools.combinations(bands, kept)]
+
+
+def cells(rows: DataFrame, by: Sequence[str], value: str, most: int = BLOCK_HASHES) -> DataFrame:
+    """The rows with own, low, high: a group of up to `most` rows is one cell (0, 0), a larger one is dealt into blocks and
+    each row stands in the cells of its block with every block, so that each two rows meet in one cell of bounded size."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = F.ceil(F.col("__n") / most).cast("int")
+    dealt = rows.join(sizes.select(*by, blocks.alias("__blocks")), list(by)).withColumn("own", F.pmod(F.xxhash64(value), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return dealt.withColumns({"low": F.least("own", "__other"), "high": F.greatest("own", "__other")}).drop("__blocks", "__other")
 
 
 def near_hashes(rows: DataFrame, most: int = 4) -> DataFrame:
-    """Pairs (earlier seq a, later seq b) whose hashes share a band and differ in at most `most` bits: seq_a, seq_b, distance.
+    """All pairs of hashes (64 bits, column `hash`) that differ in at most `most` bits: ha <= hb, distance; each hash with itself at 0.
 
-    Rows of one hash are compared once: hashes are made distinct first, and only distinct hashes meet in a band.
+    Of most + 1 bands two such hashes share one whole, so equal bands meet; where band values are crowded, one more band is
+    kept apart and two must agree, and so on. Band values of one hash go at once. A hot band value is split by the bands of
+    the bits outside it, of which one must agree too, and what is still large is compared block against block. A pair
+    counts under the first mask that it agrees under, so it comes once.
     """
-    hashes = rows.select("hash").distinct()
-    keyed = hashes.select("hash", F.explode(bands(F.col("hash"))).alias("k")).select("hash", "k.band", "k.bits")
-    a, b = keyed.withColumnRenamed("hash", "ha"), keyed.withColumnRenamed("hash", "hb")
-    met = a.join(b, ["band", "bits"]).filter((F.col("ha") <= F.col("hb")) & (hamming(F.col("ha"), F.col("hb")) <= most))
-    return met.select("ha", "hb", hamming(F.col("ha"), F.col("hb")).cast("int").alias("distance")).distinct()
+    hashes = rows.select("hash").filter("hash is not null").distinct()
+    count = hashes.count()
+    kept = next((k for k in range(1, 5) if count / 2 ** (64 * k / (most + k)) <= CROWDED), 5)
+    masks = band_masks(most, kept)
+    inner = [_parts([b for b in range(64) if not m >> b & 1], most + 1) for m in masks]
+    mask = F.array(*[F.lit(_signed(m)) for m in masks])
+    inside = F.array(*[F.array(*[F.lit(_signed(m)) for m in own]) for own in inner])
+    keyed = hashes.select("hash", F.posexplode(mask).alias("k", "__mask")).select("hash", "k", F.col("hash").bitwiseAND(F.col("__mask")).alias("bits"))
+    crowd = keyed.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = keyed.join(crowd, ["k", "bits"])
+    usual = met.filter(F.col("n") <= HOT_BAND).select("hash", "k", "bits", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("inner"))
+    hot = met.filter(F.col("n") > HOT_BAND).select("hash", "k", "bits", F.posexplode(inside[F.col("k")]).alias("j", "__mask")).withColumn("inner", F.col("hash").bitwiseAND(F.col("__mask")))
+    placed = cells(usual.unionByName(hot.drop("__mask")), ["k", "bits", "j", "inner"], "hash")
+    cell = ["k", "bits", "j", "inner", "low", "high"]
+    a, b = placed.select(*cell, F.col("hash").alias("ha"), F.col("own").alias("oa")), placed.select(*cell, F.col("hash").alias("hb"), F.col("own").alias("ob"))
+    differing = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.coalesce(*[F.when(differing.bitwiseAND(F.lit(_signed(m))) == 0, i) for i, m in enumerate(masks)])
+    first_inner = F.array_position(F.transform(inside[F.col("k")], lambda m: differing.bitwiseAND(m) == 0), True) - 1
+    once = (first == F.col("k")) & ((F.col("j") < 0) | (first_inner == F.col("j")))
+    # Two rows of one block meet in each of its cells; they count in the block's own.
+    place = ((F.col("oa") == F.col("low")) & (F.col("ob") == F.col("high"))) | ((F.col("oa") == F.col("high")) & (F.col("ob") == F.col("low")))
+    pairs = a.join(b, cell).filter((F.col("ha") < F.col("hb")) & (F.bit_count(differing) <= most) & place & once)
+    found = pairs.select("ha", "hb", F.bit_count(differing).cast("int").alias("distance"))
+    return found.unionByName(hashes.select(F.col("hash").alias("ha"), F.col("hash").alias("hb"), F.lit(0).alias("distance")))
 
 
 def dedupe(rows: DataFrame, drop_at: int = 4, report_at: int = 2) -> DataFrame:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import partial
-from typing import Protocol
+from typing import ClassVar, Protocol
 
 import numpy as np
 import pandas as pd
@@ -20,10 +20,19 @@ from pyspark.sql.window import Window
 
 
 class Fold(Protocol):
-    """State of one key. `columns` are read, `output` (DDL without the key) is what step yields."""
+    """State of one key. `columns` are read, `output` (DDL without the key) is what step yields.
+
+    For streams a fold names its state: `state` (DDL) are attributes that hold one value, `maps` attributes that hold a
+    dictionary of tuples to sequences (DDL of key and value), `lists` attributes that only grow (DDL of their tuples).
+    With `latest` only a key's last output of a trigger counts.
+    """
 
     columns: Sequence[str]
     output: str
+    state: str
+    maps: Mapping[str, tuple[str, str]]
+    lists: Mapping[str, str]
+    latest: bool
 
     def step(self, row: tuple) -> Iterator[tuple]: ...
 
@@ -56,7 +65,7 @@ def batch(rows: DataFrame, key: Sequence[str], make: Callable[[], Fold], order:
 class Sampler:
     """Keeps a frame when its media time reaches the next slot of 1 / fps; a late frame moves the slots on, not back."""
 
-    columns, output = ("t", "seq"), "seq long, t double"
+    columns, output, state = ("t", "seq"), "seq long, t double", "slot double"
 
     def __init__(self, fps: float) -> None:
         self.gap, self.slot = 1.0 / fps, None
@@ -72,7 +81,7 @@ class Sampler:
 class MinGap:
     """Drops frames that come less than `gap` after the last one kept."""
 
-    columns, output = ("t", "seq"), "seq long, t double"
+    columns, output, state = ("t", "seq"), "seq long, t double", "last double"
 
     def __init__(self, gap: float) -> None:
         self.gap, self.last = gap, None
@@ -84,19 +93,45 @@ class MinGap:
             yield seq, t
 
 
-def judged(rows: DataFrame, weight: float = 0.5, threshold: float = 0.35, a_min: float = 0.25, m_min: float = 0.02, iou_min: float = 0.1, oldest: int = 5, by: Sequence[str] = ("camera_id", "track_id")) -> DataFrame:
-    """Rows (appearance, age, motion, iou, status, t, seq) with fused and agree, and what `Fusion` reads beside: the
-    camera's frame number and the time of its frame before.
+#: Flow inside moving objects and of the background, in pixels, as measured by day and by night; and the gates. Fixed values.
+MEASURED_FLOW = {"visible": (5.17, 2.74), "lwir": (2.73, 0.81)}
+THRESHOLD, A_MIN, M_MIN, IOU_MIN, OLDEST = 0.55, 0.15, 0.25, 0.2, 2
+
+
+def modality_weights(motion: Mapping[str, float] | None = None) -> dict[str, tuple[float, float]]:
+    """Weights of appearance and motion by modality: motion counts by the share of an object's flow that is not background,
+    unless `motion` sets it."""
+    shares = {name: round(1 - background / inside, 4) for name, (inside, background) in MEASURED_FLOW.items()} | dict(motion or {})
+    return {name: (round(1 - share, 4), share) for name, share in shares.items()}
+
+
+def judged(rows: DataFrame, frames: DataFrame | None = None, threshold: float = THRESHOLD, a_min: float = A_MIN, m_min: float = M_MIN, iou_min: float = IOU_MIN, oldest: int = OLDEST, weights: Mapping[str, tuple[float, float]] | None = None, by: Sequence[str] = ("camera_id", "track_id")) -> DataFrame:
+    """Candidates (appearance, age, motion, iou, modality, t, seq) with fused, fused_day, fused_night, agree and status, and
+    what `Fusion` reads beside: the camera's frame number and the time of its frame before.
 
-    An appearance of more than `oldest` frames counts as 0; weight is that of appearance. Two signals agree if both reach
-    their floors, the box overlaps the motion, their weighted sum reaches the threshold, and the status is ok.
+    frames: the camera's frames (by[0], t) with their status (see `camera_state.judged_frames`); without them the rows'
+    own times, and the rows' own status if they have one, else ok. An appearance of more than `oldest` frames counts as 0;
+    a null motion means that there was none to measure yet. Rows may have a `threshold` of their own. Two signals agree if
+    both reach their floors, the box overlaps the motion, the sum weighted by modality (any but lwir is visible) reaches
+    the threshold, and the status is ok.
     """
-    appearance = F.when(F.col("age") <= oldest, F.col("appearance")).otherwise(0.0)
-    fused = weight * appearance + (1 - weight) * F.col("motion")
-    agree = (appearance >= a_min) & (F.col("motion") >= m_min) & (F.col("iou") >= iou_min) & (fused >= threshold) & (F.col("status") == "ok")
+    weights = weights or modality_weights()
+    appearance = F.round(F.when(F.col("age") <= oldest, F.col("appearance")).otherwise(0.0), 4)
+    motion, night = F.coalesce(F.round("motion", 4), F.lit(0.0)), F.coalesce(F.col("modality") == "lwir", F.lit(False))
+    day_sum, night_sum = (weights[m][0] * appearance + weights[m][1] * motion for m in ("visible", "lwir"))
     camera = Window.partitionBy(by[0]).orderBy("t")
-    frames = rows.select(by[0], "t").distinct().withColumn("frame", F.row_number().over(camera)).withColumn("before", F.lag("t").over(camera))
-    return rows.withColumn("fused", fused).withColumn("agree", F.coalesce(agree, F.lit(False))).join(frames, [by[0], "t"])
+    own = rows if "status" in rows.columns else rows.withColumn("status", F.lit("ok"))
+    if frames is None:
+        frames = own.select(by[0], "t").distinct()
+    else:
+        frames = frames.groupBy(by[0], "t").agg(F.coalesce(F.max(F.when(F.col("status") != "ok", F.col("status"))), F.lit("ok")).alias("status"))
+        own = own.drop("status")
+    numbered = frames.withColumn("frame", F.row_number().over(camera)).withColumn("before", F.lag("t").over(camera))
+    limit = F.coalesce("threshold", F.lit(threshold)) if "threshold" in rows.columns else F.lit(threshold)
+    status = F.when(F.col("motion").isNull() & (F.col("status") == "ok"), "no_motion_yet").otherwise(F.col("status"))
+    met = own.withColumns({"fused_day": day_sum, "fused_night": night_sum, "fused": F.when(night, night_sum).otherwise(day_sum)}).join(numbered, [by[0], "t"]).withColumn("status", status)
+    agree = (appearance >= a_min) & (motion >= m_min) & (F.col("iou") >= iou_min) & (F.col("fused") >= limit) & (F.col("status") == "ok")
+    return met.withColumn("agree", F.coalesce(agree, F.lit(False)))
 
 
 class Fusion:
@@ -108,6 +143,7 @@ class Fusion:
     """
 
     columns, output = ("t", "seq", "agree", "fused", "frame", "before"), "seq long, t double, streak long, started double, best_seq long, best double"
+    state = "frame long, seen double, run long, started double, broken double, fired boolean, best struct<seq:long,fused:double>"
 
     def __init__(self, streak: int = 3, rearm: float = 10.0, away: float = 30.0) -> None:
         self.need, self.rearm, self.away, self.frame, self.seen = streak, rearm, max(rearm, away), None, None
@@ -142,7 +178,7 @@ class Fusion:
 class Hysteresis:
     """Raises after `persist` hits in a row, clears after `clear` misses in a row."""
 
-    columns, output = ("t", "seq", "hit"), "seq long, t double, event string"
+    columns, output, state = ("t", "seq", "hit"), "seq long, t double, event string", "hits long, misses long, active boolean"
 
     def __init__(self, persist: int = 3, clear: int = 5) -> None:
         self.persist, self.clear, self.hits, self.misses, self.active = persist, clear, 0, 0, False
@@ -166,24 +202,25 @@ class Throttle:
 
     columns = ("t", "seq", "camera_id", "track_id", "rule")
     output = "seq long, t double, camera_id long, track_id long, rule string, decision string, repeats long"
+    maps: ClassVar = {"alerts": ("camera_id long, track_id long, rule string", "first double, last double, repeats long")}
 
     def __init__(self, per_camera: int = 5, per_shift: int = 12, day: float = 86400.0, shift: float = 43200.0) -> None:
         self.per_camera, self.per_shift, self.day, self.shift = per_camera, per_shift, day, shift
-        self.alerts: dict[tuple, list] = {}  # first fired, last fired, repeats
+        self.alerts: dict[tuple, tuple] = {}  # first fired, last fired, repeats
 
     def step(self, row: tuple) -> Iterator[tuple]:
         t, seq, camera, track, rule = row
         key = (camera, track, rule)
         self.alerts = {k: v for k, v in self.alerts.items() if t - v[1] <= self.day}
         if key in self.alerts:
-            alert = self.alerts[key]
-            alert[1], alert[2] = t, alert[2] + 1
-            yield seq, t, camera, track, rule, "repeat", alert[2]
+            first, _, repeats = self.alerts[key]
+            self.alerts[key] = (first, t, repeats + 1)
+            yield seq, t, camera, track, rule, "repeat", repeats + 1
             return
         own = sum(k[0] == camera and t - v[0] <= self.day for k, v in self.alerts.items())
         every = sum(t - v[0] <= self.shift for v in self.alerts.values())
         if own < self.per_camera and every < self.per_shift:
-            self.alerts[key] = [t, t, 1]
+            self.alerts[key] = (t, t, 1)
             yield seq, t, camera, track, rule, "admitted", 1
         else:
             yield seq, t, camera, track, rule, "dropped", 0
@@ -192,7 +229,7 @@ class Throttle:
 class DueSchedule:
     """Runs the detector on every `stride`-th frame, or earlier when `longest` seconds have passed since it last ran."""
 
-    columns, output = ("t", "seq"), "seq long, t double"
+    columns, output, state = ("t", "seq"), "seq long, t double", "since long, last double"
 
     def __init__(self, stride: int = 3, longest: float = 0.125) -> None:
         self.stride, self.longest, self.since, self.last = stride, longest, 0, None
@@ -209,24 +246,88 @@ class Leaders:
     """Clusters 64-bit hashes: each joins the first leader within `most` bits, or leads."""
 
     columns, output = ("seq", "hash"), "seq long, leader long"
+    lists: ClassVar = {"leaders": "seq long, hash long"}
 
     def __init__(self, most: int = 10) -> None:
-        self.most, self.leaders, self.hashes = most, [], np.zeros(64, np.uint64)
+        self.most, self.leaders, self.hashes, self.filled = most, [], np.zeros(64, np.uint64), 0
 
     def step(self, row: tuple) -> Iterator[tuple]:
         seq, value = int(row[0]), np.uint64(int(row[1]) & (2**64 - 1))
         n = len(self.leaders)
+        if n > len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros(n, np.uint64)))
+        for k in range(self.filled, n):
+            self.hashes[k] = np.uint64(self.leaders[k][1] & (2**64 - 1))
+        self.filled = n
         near = np.bitwise_count(self.hashes[:n] ^ value) <= self.most
         if near.any():
-            yield seq, self.leaders[int(near.argmax())]
+            yield seq, self.leaders[int(near.argmax())][0]
             return
-        if n == len(self.hashes):
-            self.hashes = np.concatenate((self.hashes, np.zeros(n, np.uint64)))
-        self.hashes[n] = value
-        self.leaders.append(seq)
+        self.leaders.append((seq, int(row[1])))
         yield seq, seq
 
 
+class RateLimit:
+    """The first `most` rows of each interval of `width` seconds are allowed; intervals that are `behind` the newest are forgotten."""
+
+    columns, output = ("t", "seq"), "seq long, t double, allowed boolean"
+    maps: ClassVar = {"used": ("slot long", "n long")}
+
+    def __init__(self, most: int, width: float = 60.0, behind: int = 10) -> None:
+        self.most, self.width, self.behind = most, width, behind
+        self.used: dict[tuple, tuple] = {}
+
+    def step(self, row: tuple) -> Iterator[tuple]:
+        t, seq = row
+        slot = math.floor(t / self.width)
+        n = self.used.get((slot,), (0,))[0] + 1
+        self.used[(slot,)] = (n,)
+        newest = max(k[0] for k in self.used)
+        self.used = {k: v for k, v in self.used.items() if k[0] > newest - self.behind}
+        yield seq, t, n <= self.most
+
+
+class LiveAlert:
+    """A track's one alert, event by event, as `serving.merge_alerts` makes it of all events at once, whatever their order.
+
+    It yields the alert after each event. What the order of events decides is kept with the place (t, seq) it came from.
+    """
+
+    columns = ("t", "seq", "event_id", "stage", "evidence_id", "rules", "reason", "reason_source", "confidence")
+    output = "event_id string, events long, stage string, rule_fired string, reason string, evidence_id string, confidence double"
+    state = "first struct<t:double,seq:long,value:string>, events long, rank int, best struct<model:boolean,t:double,seq:long,value:string>, proof struct<t:double,seq:long,value:string>, sure struct<t:double,seq:long,value:double>"
+    maps: ClassVar = {"fired": ("rule string", "t double, seq long, place int")}
+    latest = True
+
+    def __init__(self, stages: Sequence[str] = ("provisional", "confirmed", "sealed", "gone")) -> None:
+        self.stages = tuple(stages)
+        self.first = self.best = self.proof = self.sure = None
+        self.events, self.rank = 0, 0
+        self.fired: dict[tuple, tuple] = {}
+
+    def step(self, row: tuple) -> Iterator[tuple]:
+        t, seq, event, stage, evidence, rules, reason, source, confidence = row
+        at = (t, seq)
+        self.events += 1
+        if self.first is None or at < tuple(self.first[:2]):
+            self.first = (*at, event)
+        unproven = stage == "sealed" and evidence is None
+        self.rank = max(self.rank or 0, 2 if unproven else self.stages.index(stage) + 1 if stage in self.stages else 0)
+        told = (source != "template", *at)
+        if reason is not None and (self.best is None or told > tuple(self.best[:3])):
+            self.best = (*told, reason)
+        if evidence is not None and (self.proof is None or at < tuple(self.proof[:2])):
+            self.proof = (*at, evidence)
+        if confidence is not None and (self.sure is None or at > tuple(self.sure[:2])):
+            self.sure = (*at, float(confidence))
+        for place, rule in enumerate(rules or ()):
+            if (rule,) not in self.fired or (*at, place) < tuple(self.fired[(rule,)]):
+                self.fired[(rule,)] = (*at, place)
+        named = [rule for (rule,), _ in sorted(self.fired.items(), key=lambda kv: tuple(kv[1]))]
+        last = lambda kept: kept[-1] if kept is not None else None
+        yield self.first[2], self.events, self.stages[self.rank - 1] if self.rank else None, " + ".join(named), last(self.best), last(self.proof), last(self.sure)
+
+
 def match_in_time(truth: DataFrame, found: DataFrame, by: Sequence[str], tolerance: float, reach: float | None = None) -> DataFrame:
     """One-to-one matches of two event lists (id, t, and with `reach` x and y): earliest truth first takes the free
     detection nearest in time within the tolerance, and within `reach` of its place; of equals the smallest id."""
@@ -261,6 +362,7 @@ class Suppress:
     """Greedy non-maximum suppression: a box, best first, stays if it overlaps no kept one by more than `iou`."""
 
     columns, output = ("id", "x1", "y1", "x2", "y2", "score"), "id long, x1 double, y1 double, x2 double, y2 double, score double"
+    lists: ClassVar = {"kept": "x1 double, y1 double, x2 double, y2 double, area double"}
 
     def __init__(self, iou: float = 0.5, most: int = 300) -> None:
         self.iou, self.most, self.kept = iou, most, []
@@ -288,6 +390,7 @@ class Dismissals:
     """A camera's baseline after each dismissal: wrong-direction ones turn the heading, loitering ones move the dwell, by `rate`."""
 
     columns, output = ("seq", "rule", "heading", "dwell"), "seq long, majority double, typical_dwell double, dismissals long"
+    state = "majority double, dwell double, count long"
 
     def __init__(self, majority: float | None = None, typical_dwell: float = 0.0, rate: float = 0.15) -> None:
         self.majority, self.dwell, self.rate, self.count = majority, typical_dwell, rate, 0

@@ -6,13 +6,11 @@ the point. orders are alerts, customers cameras, nations posts, regions sectors.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perimetra.sources.store import settled  # noqa: F401
+
 TRACK = ["camera_id", "track_id", "day"]
 
 #: The same trajectories in SQL, for the statements of the queries.
@@ -27,21 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, written once to the folder in spark.checkpoint.dir that all executors share, and read back: what is used more
-    than once is computed once. Where no folder is set, one of our own if all run on this machine; an error elsewhere."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="perimetra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/settled/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """camera_id, track_id, day, seq, t (epoch seconds), x, y, class_name."""
     ts = F.col("ts").cast("timestamp")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perimetra.operators import search
-from perimetra.plans.bind import table
+from perimetra.plans.bind import settled, table
 from perimetra.plans.registry import query
 
 
@@ -89,15 +89,36 @@ def whole_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("hash", search.simhashes(F.col("text"))).drop("text")
 
 
-@query()
+#: A 64-bit simhash of a text's shingles of three words, each counted as often as it comes.
+_WHOLE_SQL = """x AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws FROM documents),
+sh AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN text ELSE array_to_string(list_slice(ws, i + 1, i + 3), ' ') END AS part FROM (SELECT *, unnest(range(greatest(1, len(ws) - 2))) AS i FROM x)),
+hs AS (SELECT doc_id, ('0x' || substr(sha256(part), 1, 16))::UBIGINT AS v FROM sh), vs AS (SELECT doc_id, b, 2 * sum((v >> b::UBIGINT) & 1::UBIGINT) > count(*) AS one FROM hs, range(64) r(b) GROUP BY 1, 2),
+whole AS (SELECT doc_id, sum(CASE WHEN one AND b < 63 THEN 1::BIGINT << b WHEN one THEN -9223372036854775808 ELSE 0 END)::BIGINT AS hash FROM vs GROUP BY 1),
+h AS (SELECT doc_id AS seq, source AS sequence, lang AS modality, hash FROM documents JOIN whole USING (doc_id)), """
+
+_PAIRED_SQL = "d AS (SELECT DISTINCT hash FROM h), near AS (SELECT a.hash AS ha, b.hash AS hb, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM d a JOIN d b ON a.hash <= b.hash AND bit_count(xor(a.hash, b.hash)) <= 4)"
+_COPIES_SQL = """, both_ways AS (SELECT * FROM near UNION SELECT hb, ha, distance FROM near)
+SELECT h.seq, h.sequence, EXISTS (SELECT 1 FROM both_ways n JOIN h o ON o.hash = n.hb WHERE n.ha = h.hash AND o.seq < h.seq AND o.sequence <> h.sequence) AS dropped,
+  EXISTS (SELECT 1 FROM both_ways n JOIN h o ON o.hash = n.hb WHERE n.ha = h.hash AND n.distance <= 2 AND o.seq < h.seq AND o.sequence = h.sequence AND o.modality = h.modality) AS "within" FROM h"""
+
+
+@query(f"WITH {_WHOLE_SQL}{_PAIRED_SQL} SELECT * FROM near")
 def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.near_hashes(whole_hashes(spark, sf_dir))
+    return search.near_hashes(settled(whole_hashes(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {_WHOLE_SQL}{_PAIRED_SQL}{_COPIES_SQL}")
 def simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later near-copies, by whole texts, from another sequence are dropped; those of the same sequence are reported."""
-    return search.dedupe(whole_hashes(spark, sf_dir)).select("seq", "sequence", "dropped", "within")
+    return search.dedupe(settled(whole_hashes(spark, sf_dir))).select("seq", "sequence", "dropped", "within")
+
+
+#: Leaders of each sequence, in order.
+LEADERS_SQL = f"""WITH RECURSIVE {_WHOLE_SQL}r AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY seq) AS rn FROM h),
+s AS (SELECT sequence, rn, seq, seq AS leader, [struct_pack(q := seq, h := hash)] AS leaders FROM r WHERE rn = 1
+  UNION ALL SELECT sequence, rn, seq, coalesce(near[1].q, seq), CASE WHEN len(near) > 0 THEN leaders ELSE list_append(leaders, struct_pack(q := seq, h := hash)) END
+  FROM (SELECT r.*, s.leaders, list_filter(s.leaders, lambda l: bit_count(xor(l.h, r.hash)) <= 4) AS near FROM s JOIN r ON r.sequence = s.sequence AND r.rn = s.rn + 1))
+SELECT sequence, seq, leader FROM s"""
 
 
 #: A 60-bit simhash of a text's distinct words: each bit is the majority of that bit in the words' hashes.
@@ -111,18 +132,13 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("seq"), F.col("source").alias("sequence"), F.col("lang").alias("modality"), search.word_simhash(F.col("text")).alias("hash"))
 
 
-_NEAR_SQL = f"""{_HASH_SQL}, d AS (SELECT DISTINCT hash FROM h), near AS (SELECT a.hash AS ha, b.hash AS hb, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM d a JOIN d b ON a.hash <= b.hash AND bit_count(xor(a.hash, b.hash)) <= 4
-  AND ((a.hash & 65535) = (b.hash & 65535) OR ((a.hash >> 16) & 65535) = ((b.hash >> 16) & 65535) OR ((a.hash >> 32) & 65535) = ((b.hash >> 32) & 65535) OR ((a.hash >> 48) & 65535) = ((b.hash >> 48) & 65535)))"""
-
-
-@query(f"WITH {_NEAR_SQL} SELECT * FROM near")
+@query(f"WITH {_HASH_SQL}, {_PAIRED_SQL} SELECT * FROM near")
 def band_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.near_hashes(_hashes(spark, sf_dir))
+    """All pairs of hashes that differ in four bits at most."""
+    return search.near_hashes(settled(_hashes(spark, sf_dir)))
 
 
-@query(f"""WITH {_NEAR_SQL}, both_ways AS (SELECT * FROM near UNION SELECT hb, ha, distance FROM near)
-SELECT h.seq, h.sequence, EXISTS (SELECT 1 FROM both_ways n JOIN h o ON o.hash = n.hb WHERE n.ha = h.hash AND o.seq < h.seq AND o.sequence <> h.sequence) AS dropped,
-  EXISTS (SELECT 1 FROM both_ways n JOIN h o ON o.hash = n.hb WHERE n.ha = h.hash AND n.distance <= 2 AND o.seq < h.seq AND o.sequence = h.sequence AND o.modality = h.modality) AS "within" FROM h""")
+@query(f"WITH {_HASH_SQL}, {_PAIRED_SQL}{_COPIES_SQL}")
 def band_lsh_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later near-copies from another sequence are dropped; those of the same sequence are reported."""
-    return search.dedupe(_hashes(spark, sf_dir)).select("seq", "sequence", "dropped", "within")
+    return search.dedupe(settled(_hashes(spark, sf_dir))).select("seq", "sequence", "dropped", "within")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from perimetra.operators import stateful, tracker
+from perimetra.operators import camera_state, stateful, tracker
 from perimetra.plans.bind import POINTS_SQL, table, track_points
 from perimetra.plans.q_data import BOXES_SQL, boxes
-from perimetra.plans.q_search import whole_hashes
+from perimetra.plans.q_search import LEADERS_SQL, whole_hashes
 from perimetra.plans.registry import query
 
 
@@ -32,22 +32,74 @@ def agreement_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEPS_SQL = f"{POINTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY t, seq) AS rn FROM pts)"
 
 
-@query(f"""WITH RECURSIVE {POINTS_SQL}, fr AS (SELECT camera_id, t, row_number() OVER (PARTITION BY camera_id ORDER BY t) AS frame, lag(t) OVER (PARTITION BY camera_id ORDER BY t) AS before FROM (SELECT DISTINCT camera_id, t FROM pts)),
-j AS (SELECT p.camera_id, p.track_id, p.seq, p.t, frame, before, 0.5 * (x / 500) + 0.5 * (y / 100) AS fused, x / 500 >= 0.02 AND y / 100 >= 0.15 AND 0.5 * (x / 500) + 0.5 * (y / 100) >= 0.1 AND p.seq % 11 <> 0 AS agree,
-  row_number() OVER (PARTITION BY p.camera_id, p.track_id ORDER BY p.t, p.seq) AS rn FROM pts p JOIN fr USING (camera_id, t)),
-s AS (SELECT camera_id, track_id, rn, seq, t, frame, CASE WHEN agree THEN 1 ELSE 0 END AS run, CASE WHEN agree THEN t END AS started, NULL::DOUBLE AS broken, agree AND 1 >= 1 AS fired, agree AS fires FROM j WHERE rn = 1
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame statistics: every two and a half hours a camera's picture may be flat, covered, flooded, still, or half gone."""
+    p = track_points(spark, sf_dir)
+    phase = F.when(F.col("y") < 8, 0).otherwise((F.floor(F.col("t") / 9000) + F.col("camera_id")) % 12)
+    of = lambda usual, **other: F.coalesce(*[F.when(phase == int(k[1:]), v) for k, v in other.items()], usual)
+    return p.select(
+        "camera_id", "seq", "t",
+        of(90 + F.col("y") / 10, p7=F.lit(230.0)).alias("brightness"),
+        of(40 + F.col("y") / 20, p3=F.lit(0.5), p10=F.lit(13.0)).alias("std"),
+        of(0.2 + F.col("y") / 1000, p5=F.lit(0.01), p7=F.lit(0.01), p10=F.lit(0.07)).alias("detail"),
+        of(F.col("y") / 1000, p7=F.lit(0.4)).alias("saturated"),
+        of(1 + F.col("x") / 100, p9=F.lit(0.01)).alias("diff"),
+        F.when(F.col("seq") % 53 == 0, (F.col("seq") % 5).cast("double")).alias("gap_s"),
+    )
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day and 25 frames of warm-up; a picture is still after an hour and a half."""
+    frames = _frames(spark, sf_dir)
+    return camera_state.judged_frames(frames, camera_state.learnt_scenes(frames, seconds=86400.0), still_seconds=5400.0)
+
+
+_STATES_SQL = f"""{POINTS_SQL}, ph AS (SELECT *, CASE WHEN y < 8 THEN 0 ELSE (CAST(floor(t / 9000) AS BIGINT) + camera_id) % 12 END AS ph FROM pts),
+frames AS (SELECT camera_id, seq, t, CASE WHEN ph = 7 THEN 230 ELSE 90 + y / 10 END AS brightness, CASE ph WHEN 3 THEN 0.5 WHEN 10 THEN 13 ELSE 40 + y / 20 END AS std, CASE ph WHEN 5 THEN 0.01 WHEN 7 THEN 0.01 WHEN 10 THEN 0.07 ELSE 0.2 + y / 1000 END AS detail,
+  CASE WHEN ph = 7 THEN 0.4 ELSE y / 1000 END AS saturated, CASE WHEN ph = 9 THEN 0.01 ELSE 1 + x / 100 END AS diff, CASE WHEN seq % 53 = 0 THEN CAST(seq % 5 AS DOUBLE) END AS gap_s, row_number() OVER (PARTITION BY camera_id ORDER BY t, seq) AS rn FROM ph),
+ready AS (SELECT f.camera_id, min(f.t) AS ready_at, min(f.rn) AS last FROM frames f JOIN frames one ON one.camera_id = f.camera_id AND one.rn = 1 WHERE f.rn >= 25 AND f.t - one.t >= 86400 GROUP BY 1),
+scene AS (SELECT camera_id, ready_at, round(median(brightness), 3) AS sb, round(median(std), 3) AS ss, round(median(detail), 5) AS sd FROM frames JOIN ready USING (camera_id) WHERE rn <= last GROUP BY 1, 2),
+known AS (SELECT f.*, ready_at, t > ready_at AS learnt, sb, ss, sd, diff < 0.02 AND std >= 1 AS still FROM frames f LEFT JOIN scene USING (camera_id)),
+froz AS (SELECT camera_id, rn, CASE WHEN still THEN t END AS begun FROM known WHERE rn = 1 UNION ALL SELECT k.camera_id, k.rn, CASE WHEN k.still THEN coalesce(froz.begun, k.t) END FROM froz JOIN known k ON k.camera_id = froz.camera_id AND k.rn = froz.rn + 1),
+raw AS (SELECT k.*, CASE WHEN learnt THEN brightness >= sb + 60 AND (saturated >= 0.25 OR brightness >= 220) ELSE brightness >= 220 AND (saturated >= 0.25 OR std < 20) END AS flood, std < 1 OR (begun IS NOT NULL AND t - begun >= 5400) AS loss,
+  std >= 1 AND CASE WHEN learnt THEN detail < 0.15 * sd OR std < 0.08 * ss OR (detail < 0.4 * sd AND std < 0.35 * ss) ELSE detail < 0.005 OR std < 3 END AS tamper FROM known k JOIN froz USING (camera_id, rn)),
+hits AS (SELECT camera_id, rn, seq, t, 'IR_FLOOD' AS kind, 2 AS step, flood AS hit FROM raw UNION ALL SELECT camera_id, rn, seq, t, 'SIGNAL_LOSS', 3, loss AND NOT flood FROM raw UNION ALL SELECT camera_id, rn, seq, t, 'LENS_TAMPER', 4, tamper AND NOT loss AND NOT flood FROM raw),
+st AS (SELECT camera_id, kind, step, rn, seq, t, CASE WHEN hit THEN 1 ELSE 0 END AS hits, CASE WHEN hit THEN 0 ELSE 1 END AS misses, CASE WHEN hit THEN t END AS first, false AS active, NULL::DOUBLE AS since, NULL::BOOLEAN AS change FROM hits WHERE rn = 1
+  UNION ALL SELECT camera_id, kind, step, rn, seq, t, hits, misses, first, CASE WHEN hits >= 3 THEN true WHEN misses >= 5 THEN false ELSE active END, CASE WHEN NOT active AND hits >= 3 THEN first ELSE since END, CASE WHEN NOT active AND hits >= 3 THEN true WHEN active AND misses >= 5 THEN false END
+  FROM (SELECT h.camera_id, h.kind, h.step, h.rn, h.seq, h.t, CASE WHEN hit THEN hits + 1 ELSE 0 END AS hits, CASE WHEN hit THEN 0 ELSE misses + 1 END AS misses, CASE WHEN NOT hit THEN NULL WHEN hits = 0 THEN h.t ELSE first END AS first, active, since
+    FROM st JOIN hits h ON h.camera_id = st.camera_id AND h.kind = st.kind AND h.rn = st.rn + 1))"""
+
+
+@query(f"""WITH RECURSIVE {_STATES_SQL}
+SELECT camera_id, seq, t, kind AS anomaly, change AS active, since, step FROM st WHERE change IS NOT NULL
+UNION ALL SELECT camera_id, seq, t, 'SIGNAL_LOSS', b, t - gap_s, CASE WHEN b THEN 0 ELSE 1 END FROM raw, (VALUES (true), (false)) v(b) WHERE gap_s >= 2""")
+def camera_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses, tampering and floods of light, raised and cleared."""
+    return camera_state.anomalies(_judged(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_STATES_SQL}, fr AS (SELECT camera_id, t, rn AS frame, lag(t) OVER (PARTITION BY camera_id ORDER BY t) AS before, CASE WHEN (SELECT bool_or(active) FROM st WHERE st.camera_id = raw.camera_id AND st.rn = raw.rn) THEN 'camera_state' WHEN learnt THEN 'ok' ELSE 'warming_up' END AS status FROM raw),
+sc AS (SELECT p.camera_id, CAST(floor(p.t / 432000) AS BIGINT) AS track_id, p.seq, p.t, frame, before, status, round(CASE WHEN p.seq % 6 = 0 THEN 0 ELSE 0.3 + 0.7 * y / 100 END, 4) AS a, round(least(1, x / 50), 4) AS m, 0.15 + (p.seq % 10) / 10.0::DOUBLE AS iou, p.camera_id % 2 = 1 AS night FROM pts p JOIN fr ON fr.camera_id = p.camera_id AND fr.t = p.t WHERE p.seq % 29 <> 0),
+j AS (SELECT *, a >= 0.15 AND m >= 0.25 AND iou >= 0.2 AND fused >= 0.55 AND status = 'ok' AS agree, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY t, seq) AS rn FROM (SELECT *, CASE WHEN night THEN 0.2967 * a + 0.7033 * m ELSE 0.53 * a + 0.47 * m END AS fused FROM sc)),
+s AS (SELECT camera_id, track_id, rn, seq, t, frame, CASE WHEN agree THEN 1 ELSE 0 END AS run, CASE WHEN agree THEN t END AS started, NULL::DOUBLE AS broken, false AS fired, false AS fires, CASE WHEN agree THEN seq END AS best_seq, CASE WHEN agree THEN fused END AS best FROM j WHERE rn = 1
   UNION ALL SELECT camera_id, track_id, rn, seq, t, frame, CASE WHEN agree THEN run + 1 ELSE 0 END, CASE WHEN NOT agree THEN started WHEN run = 0 THEN t ELSE started END,
-    CASE WHEN agree THEN NULL WHEN NOT fired THEN broken WHEN t - coalesce(broken, t) >= 7200 THEN NULL ELSE coalesce(broken, t) END,
-    CASE WHEN agree THEN fired OR run + 1 >= 1 WHEN fired AND t - coalesce(broken, t) >= 7200 THEN false ELSE fired END, agree AND NOT fired AND run + 1 >= 1
-  FROM (SELECT j.camera_id, j.track_id, j.rn, j.seq, j.t, j.frame, j.agree, CASE WHEN j.frame > s.frame + 1 THEN 0 ELSE s.run END AS run, s.started,
-      CASE WHEN j.frame > s.frame + 1 AND j.before - s.t > 86400 THEN NULL ELSE s.broken END AS broken, NOT (j.frame > s.frame + 1 AND j.before - s.t > 86400) AND s.fired AS fired
+    CASE WHEN agree THEN NULL WHEN NOT fired THEN broken WHEN t - coalesce(broken, t) >= 10 THEN NULL ELSE coalesce(broken, t) END,
+    CASE WHEN agree THEN fired OR run + 1 >= 3 WHEN fired AND t - coalesce(broken, t) >= 10 THEN false ELSE fired END, agree AND NOT fired AND run + 1 >= 3,
+    CASE WHEN NOT agree THEN NULL WHEN run = 0 OR fused > best THEN seq ELSE best_seq END, CASE WHEN NOT agree THEN NULL WHEN run = 0 OR fused > best THEN fused ELSE best END
+  FROM (SELECT j.camera_id, j.track_id, j.rn, j.seq, j.t, j.frame, j.agree, j.fused, s.best_seq, s.best, CASE WHEN j.frame > s.frame + 1 THEN 0 ELSE s.run END AS run, s.started,
+      CASE WHEN j.frame > s.frame + 1 AND j.before - s.t > 30 THEN NULL ELSE s.broken END AS broken, NOT (j.frame > s.frame + 1 AND j.before - s.t > 30) AND s.fired AS fired
     FROM s JOIN j ON j.camera_id = s.camera_id AND j.track_id = s.track_id AND j.rn = s.rn + 1))
-SELECT camera_id, track_id, seq, t, CAST(run AS BIGINT) AS streak, started FROM s WHERE fires""")
+SELECT camera_id, track_id, seq, t, CAST(run AS BIGINT) AS streak, started, best_seq, round(best, 9) AS best FROM s WHERE fires""")
 def fusion_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks whose two signals agree, armed again after two hours of disagreement and forgotten after a day."""
-    p = track_points(spark, sf_dir).select("camera_id", "track_id", "seq", "t", (F.col("y") / 100).alias("appearance"), (F.col("x") / 500).alias("motion"), F.lit(1.0).alias("iou"), F.lit(0).alias("age"), F.when(F.col("seq") % 11 == 0, "camera_state").otherwise("ok").alias("status"))
-    judged = stateful.judged(p, threshold=0.1, a_min=0.15, m_min=0.02)
-    return stateful.batch(judged, ["camera_id", "track_id"], partial(stateful.Fusion, 1, 7200.0, 86400.0)).select("camera_id", "track_id", "seq", "t", "streak", "started")
+    """Candidates of five days each, judged by the standing gates; odd cameras see by night. A camera whose picture is no
+    evidence stands its candidates down."""
+    p = track_points(spark, sf_dir).filter("seq % 29 <> 0")
+    candidates = p.select(
+        "camera_id", F.floor(F.col("t") / 432000).alias("track_id"), "seq", "t", (0.3 + 0.7 * F.col("y") / 100).alias("appearance"), F.when(F.col("seq") % 6 == 0, 5).otherwise(F.col("seq") % 3).alias("age"),
+        F.least(F.lit(1.0), F.col("x") / 50).alias("motion"), (0.15 + (F.col("seq") % 10) / 10).alias("iou"), F.when(F.col("camera_id") % 2 == 1, "lwir").otherwise("visible").alias("modality"),
+    )
+    events = stateful.batch(stateful.judged(candidates, _judged(spark, sf_dir)), ["camera_id", "track_id"], stateful.Fusion)
+    return events.withColumn("best", F.round("best", 9))
 
 
 @query(f"""WITH RECURSIVE {_STEPS_SQL}, h AS (SELECT camera_id, rn, seq, t, x < 30 AS hit FROM r),
@@ -101,7 +153,7 @@ def first_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_points(spark, sf_dir).withColumn("n", n).filter("n = 1").select("track_id", "class_name", "seq")
 
 
-@query()
+@query(LEADERS_SQL)
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.batch(whole_hashes(spark, sf_dir).withColumn("t", F.col("seq").cast("double")), ["sequence"], partial(stateful.Leaders, 4))
 

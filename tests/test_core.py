@@ -9,7 +9,7 @@ from functools import partial
 import numpy as np
 import pytest
 from perimetra.functions import homography, stats, text, timeutil
-from perimetra.operators import calibration, datasets, evaluation, evidence, grouping, ranging, search, serving, stateful, tracker, tracks, validate
+from perimetra.operators import calibration, camera_state, datasets, evaluation, evidence, grouping, ranging, search, serving, stateful, tracker, tracks, validate
 from pyspark.sql import functions as F
 
 WAYPOINTS = {
@@ -107,10 +107,97 @@ def test_fusion_counts_frames_without_the_track_as_breaks_of_the_streak():
     assert len(_fusion([*fired, *back(20)])) == 1 and len(_fusion([*fired, *back(50)])) == 2
 
 
-def test_fusion_gates(spark):
-    rows = [(1, 1, float(i), i, 0.8, age, 0.6, iou, status) for i, (age, iou, status) in enumerate([(0, 0.5, "ok"), (9, 0.5, "ok"), (0, 0.05, "ok"), (0, 0.5, "camera_state"), (0, 0.5, "ok")])]
-    judged = stateful.judged(spark.createDataFrame(rows, "camera_id long, track_id long, t double, seq long, appearance double, age int, motion double, iou double, status string"))
-    assert [r["agree"] for r in judged.orderBy("seq").collect()] == [True, False, False, False, True]
+CANDIDATE = "camera_id long, track_id long, t double, seq long, appearance double, age int, motion double, iou double, modality string, status string"
+
+
+def _candidates(spark, *rows):
+    """rows: appearance, age, motion, iou, modality, status; one track's frames in order."""
+    return spark.createDataFrame([(1, 1, float(i), i, *r) for i, r in enumerate(rows)], CANDIDATE)
+
+
+def test_fusion_gates_each_at_its_edge(spark):
+    rows = [(0.8, 2, 0.6, 0.2, "visible", "ok"), (0.8, 3, 0.9, 0.5, "visible", "ok"), (0.8, 0, 0.6, 0.19, "visible", "ok"), (0.8, 0, 0.6, 0.5, "visible", "camera_state")]
+    rows += [(0.15, 0, 1.0, 0.5, "visible", "ok"), (0.14, 0, 1.0, 0.5, "lwir", "ok"), (1.0, 0, 0.25, 0.5, "visible", "ok"), (1.0, 0, 0.24, 0.5, "visible", "ok"), (0.5, 0, None, 0.5, "visible", "ok"), (0.2, 0, 0.9, 0.5, None, "ok")]
+    got = stateful.judged(_candidates(spark, *rows)).orderBy("seq").collect()
+    assert [r["agree"] for r in got] == [True, False, False, False, False, False, True, False, False, False]  # 0.53 * 0.15 + 0.47 is 0.5495
+    assert got[8]["status"] == "no_motion_yet"
+
+
+@pytest.mark.parametrize(("modality", "fused", "fires"), [("lwir", 0.69, 1), ("visible", 0.53, 0)])
+def test_a_weak_box_on_strong_motion_fires_by_night_only(spark, modality, fused, fires):
+    judged = stateful.judged(_candidates(spark, *[(0.20, 0, 0.90, 0.5, modality, "ok")] * 4))
+    assert {round(r["fused"], 2) for r in judged.collect()} == {fused}
+    assert stateful.batch(judged, ["camera_id", "track_id"], stateful.Fusion).count() == fires
+
+
+def test_weights_follow_measured_contrast_and_may_be_set(spark):
+    assert stateful.modality_weights() == {"visible": (0.53, 0.47), "lwir": (0.2967, 0.7033)}
+    assert stateful.modality_weights({"lwir": 0.4})["lwir"] == (0.6, 0.4)
+
+
+@pytest.mark.parametrize("row", [(0.95, 0, 0.0, 0.0, "visible", "ok"), (0.05, 0, 0.95, 0.9, "lwir", "ok"), (0.9, 0, 0.9, 0.1, "visible", "ok"), (0.8, 0, 0.9, 0.9, "visible", "camera_state")])
+def test_one_signal_another_place_or_a_blind_camera_raises_nothing(spark, row):
+    assert stateful.batch(stateful.judged(_candidates(spark, *[row] * 12)), ["camera_id", "track_id"], stateful.Fusion).count() == 0
+
+
+def test_both_signals_fire_once_after_three_frames(spark):
+    good, off = (0.8, 0, 0.9, 0.5, "visible", "ok"), (0.8, 0, 0.1, 0.5, "visible", "ok")
+    fired = stateful.batch(stateful.judged(_candidates(spark, good, good, off, *[good] * 9)), ["camera_id", "track_id"], stateful.Fusion).collect()
+    assert [(r["seq"], r["streak"], r["started"]) for r in fired] == [(5, 3, 3.0)]
+    own = _candidates(spark, *[good] * 4).withColumn("threshold", F.lit(0.9))
+    assert not [r for r in stateful.judged(own).collect() if r["agree"]]  # a camera's own threshold
+
+
+FRAME = "camera_id long, seq long, t double, brightness double, std double, detail double, saturated double, diff double, gap_s double"
+SEEN = (100.0, 40.0, 0.2, 0.0, 1.0, None)
+
+
+def _states(spark, frames, scene=True, **options):
+    """frames: (brightness, std, detail, saturated, diff, gap_s), one each second."""
+    df = spark.createDataFrame([(1, i, float(i), *f) for i, f in enumerate(frames)], FRAME)
+    scenes = spark.createDataFrame([(1, -1.0, 100.0, 40.0, 0.2)], "camera_id long, ready_at double, scene_brightness double, scene_std double, scene_detail double") if scene else None
+    judged = camera_state.judged_frames(df, scenes, **options)
+    events = [(r["seq"], r["anomaly"], r["active"], r["since"]) for r in camera_state.anomalies(judged).orderBy("seq", "step").collect()]
+    return events, [r["status"] for r in judged.orderBy("seq").collect()]
+
+
+def test_anomalies_persist_and_clear(spark):
+    flat = (0.0, 0.5, 0.2, 0.0, 1.0, None)
+    events, status = _states(spark, [SEEN, flat, flat, SEEN, flat, flat, flat, SEEN, SEEN, flat, *[SEEN] * 5])
+    assert events == [(6, "SIGNAL_LOSS", True, 4.0), (14, "SIGNAL_LOSS", False, 4.0)]
+    assert status == ["ok"] * 6 + ["camera_state"] * 8 + ["ok"]
+
+
+@pytest.mark.parametrize(("frame", "kind"), [
+    ((100.0, 40.0, 0.029, 0.0, 1.0, None), "LENS_TAMPER"), ((100.0, 3.1, 0.2, 0.0, 1.0, None), "LENS_TAMPER"), ((100.0, 13.0, 0.07, 0.0, 1.0, None), "LENS_TAMPER"), ((100.0, 13.0, 0.09, 0.0, 1.0, None), None), ((100.0, 15.0, 0.07, 0.0, 1.0, None), None),
+    ((160.0, 40.0, 0.2, 0.25, 1.0, None), "IR_FLOOD"), ((159.0, 40.0, 0.2, 0.9, 1.0, None), None), ((220.0, 40.0, 0.2, 0.0, 1.0, None), "IR_FLOOD"), ((230.0, 0.3, 0.0, 1.0, 0.0, None), "IR_FLOOD"), ((20.0, 8.0, 0.19, 0.0, 1.0, None), None), ((0.0, 0.9, 0.0, 0.0, 0.0, None), "SIGNAL_LOSS"),
+])
+def test_each_anomaly_by_the_learnt_scene_and_the_strongest_alone(spark, frame, kind):
+    events, _ = _states(spark, [SEEN, frame, frame, frame])
+    assert events == ([(3, kind, True, 1.0)] if kind else [])
+
+
+def test_without_a_scene_only_a_collapse_counts(spark):
+    assert _states(spark, [(100.0, 40.0, 0.02, 0.0, 1.0, None)] * 4, False)[0] == []
+    assert _states(spark, [(100.0, 2.0, 0.2, 0.0, 1.0, None)] * 4, False)[0] == [(2, "LENS_TAMPER", True, 0.0)]
+    assert _states(spark, [(225.0, 19.0, 0.2, 0.0, 1.0, None)] * 4, False)[0] == [(2, "IR_FLOOD", True, 0.0)]
+
+
+def test_a_still_picture_is_lost_after_two_seconds_and_a_gap_at_once(spark):
+    still = (100.0, 40.0, 0.2, 0.0, 0.01, None)
+    events, _ = _states(spark, [SEEN, *[still] * 6, SEEN, still])
+    assert events == [(5, "SIGNAL_LOSS", True, 3.0)]
+    gone, status = _states(spark, [SEEN, (*SEEN[:5], 2.0), (*SEEN[:5], 1.9)])
+    assert gone == [(1, "SIGNAL_LOSS", True, -1.0), (1, "SIGNAL_LOSS", False, -1.0)] and set(status) == {"ok"}
+
+
+def test_scenes_are_learnt_from_one_size(spark):
+    rows = [(1, i, i * 0.25, 100.0 + i, 40.0, 0.2, 0.0, 1.0, None, "a" if i < 10 else "b") for i in range(60)] + [(2, i, i * 0.25, 1.0, 1.0, 1.0, 0.0, 1.0, None, "a") for i in range(20)]
+    df = spark.createDataFrame(rows, FRAME + ", size string")
+    got = camera_state.learnt_scenes(df).collect()
+    assert [(r["camera_id"], r["ready_at"], r["scene_brightness"]) for r in got] == [(1, 8.5, 122.0)]  # frames 10 to 34
+    status = [r["status"] for r in camera_state.judged_frames(df, camera_state.learnt_scenes(df)).filter("camera_id = 1").orderBy("seq").collect()]
+    assert status == ["warming_up"] * 35 + ["ok"] * 25
 
 
 def test_hysteresis_and_samplers():
@@ -346,8 +433,6 @@ def test_search_batch_equals_a_plain_search(spark):
             best[c] = max(best.get(c, (-9.0, 0)), (float(np.dot(v[q], x)), -i))
         want = sorted(((s, -m, c) for c, (s, m) in best.items()), key=lambda b: (-b[0], b[1]))[:4]
         assert [(r["clip_id"], r["keyframe_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(c, k) for _, k, c in want]
-    with pytest.raises(ValueError, match="at most"):
-        search.search_batch(frames, asked, 4, most=1)
 
 
 def test_matching_in_time_within_reach(spark):
@@ -381,6 +466,48 @@ def _plain_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
 
 
+@pytest.mark.parametrize("kept", [1, 2])
+def test_every_pair_within_four_bits_is_found_once(spark, monkeypatch, kept):
+    """Random hashes and near copies of them; a third of all share one band and more, so that band values are hot."""
+    monkeypatch.setattr(search, "HOT_BAND", 40)
+    monkeypatch.setattr(search, "BLOCK_HASHES", 16)
+    monkeypatch.setattr(search, "CROWDED", 256 if kept == 1 else 1e-3)
+    assert len(search.band_masks(4, 1)) == 5 and len(search.band_masks(4, 2)) == 15
+    r = np.random.default_rng(8)
+    base = [int(x) for x in r.integers(0, 2**64, 200, dtype=np.uint64)] + [(int(x) & 0xFF) | (0xABC << 40) for x in r.integers(0, 2**63, 150)]
+    values = list(base)
+    for x in base[:200]:
+        for most in (1, 3, 4, 5):
+            values.append(x ^ sum(1 << int(b) for b in r.choice(64, most, replace=False)))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    distinct = sorted({signed(v) for v in values})
+    mask = 2**64 - 1
+    want = sorted((a, b, ((a ^ b) & mask).bit_count()) for i, a in enumerate(distinct) for b in distinct[i:] if ((a ^ b) & mask).bit_count() <= 4)
+    got = sorted(tuple(x) for x in search.near_hashes(spark.createDataFrame([(signed(v),) for v in [*values, *values[:50]]] + [(None,)], "hash long")).collect())
+    assert got == want and len(got) > len(distinct) + 500
+
+
+def test_cells_bound_the_rows_of_a_hot_group(spark):
+    rows = spark.range(2000).select(F.lit("hot").alias("g"), F.col("id").alias("v")).unionByName(spark.range(3).select(F.lit("cold").alias("g"), F.col("id").alias("v")))
+    sizes = {(r["g"], r["low"], r["high"]): r["count"] for r in search.cells(rows, ["g"], "v", 100).groupBy("g", "low", "high").count().collect()}
+    assert sizes[("cold", 0, 0)] == 3 and len(sizes) == 1 + 20 * 21 // 2 and max(sizes.values()) < 320
+
+
+def test_majorities_of_long_and_empty_lists(monkeypatch):
+    lists = [[], ["a"], [f"w{i}" for i in range(300)], ["x", "x", "y"]]
+    plain = [sum(1 << b for b in range(64) if 2 * sum(int(hashlib.sha256(w.encode()).hexdigest()[:16], 16) >> b & 1 for w in own) > len(own)) for own in lists]
+    assert search.majorities(lists).tolist() == plain
+    monkeypatch.setattr(search, "WORDS_AT_ONCE", 7)
+    assert search.majorities(lists).tolist() == plain
+
+
+def test_queries_beyond_one_block_give_the_same(spark):
+    k = spark.createDataFrame([(i, i // 3, [float(i % 7), float(i % 5)]) for i in range(60)], "keyframe_id long, clip_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, [1.0 * i, 3.0 - i]) for i in range(11)], "query_id long, vector array<double>")
+    one, many = (sorted(map(tuple, search.search_batch(k, asked, 4, block).collect())) for block in (1000, 3))
+    assert one == many and len(one) == 44
+
+
 def test_near_copies_are_told_by_whole_texts(spark, tmp_path):
     import __spark_entry__ as entry
 
@@ -393,7 +520,7 @@ def test_near_copies_are_told_by_whole_texts(spark, tmp_path):
     h = [_plain_simhash(t) for t in texts]
 
     def near(a, b, most=4):
-        return (a ^ b).bit_count() <= most and any((a ^ b) >> s & 0xFFFF == 0 for s in (0, 16, 32, 48))
+        return (a ^ b).bit_count() <= most
 
     mask = 2**64 - 1
     pairs = {(frozenset((p["ha"] & mask, p["hb"] & mask)), p["distance"]) for p in entry.queries()["simhash_pairs"](spark, str(tmp_path)).collect()}
