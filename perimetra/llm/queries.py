@@ -101,10 +101,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = """
 WITH fine AS (
-  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS y
-  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS y
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (
-  SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, CAST(list_sum(list_transform(list_zip(a.y, r.y), z -> z[1] * z[2])) AS BIGINT) AS score
+  SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, CAST(list_sum(list_transform(list_zip(a.y, r.y), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM fine a JOIN fine r ON r.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
 positives AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM scores WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
 SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
