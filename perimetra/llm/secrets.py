@@ -67,6 +67,12 @@ _EDGE = _INNER.copy()
 _EDGE[list(b".-")] = False
 
 
+def _runs(owner: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each value of the sorted array, where it begins and where it ends."""
+    values, first = np.unique(owner, return_index=True)
+    return list(zip(values.tolist(), first.tolist(), np.append(first, len(owner))[1:].tolist(), strict=True))
+
+
 class Scan:
     """Base spans and tokens of a slice of texts."""
 
@@ -77,11 +83,23 @@ class Scan:
         self._tokens()
 
     def _points(self, i: int, places: np.ndarray) -> list[int]:
-        """Code points of byte places within text i."""
+        """Code points of byte places within text i, in one pass over the text."""
         if self.texts[i].isascii():
             return places.tolist()
-        begins = np.cumsum((self.buffer[self.offsets[i] : self.offsets[i + 1]] & 0xC0) != 0x80)
-        return (np.where(places > 0, begins[places - 1], 0)).tolist()
+        begins = (self.buffer[self.offsets[i] : self.offsets[i + 1]] & 0xC0) != 0x80
+        edges = np.unique(np.append(places, 0))
+        before = np.concatenate(([0], np.cumsum(np.add.reduceat(begins, edges, dtype=np.int64)[:-1])))
+        return before[np.searchsorted(edges, places)].tolist()
+
+    def _bytes(self, i: int, points: list[int]) -> dict[int, int]:
+        """Byte places of code points within text i, in one pass over the text."""
+        text, out, at, low = self.texts[i], {}, 0, 0
+        if text.isascii():
+            return {p: p for p in points}
+        for p in sorted(set(points)):
+            at += len(text[low:p].encode())
+            out[p], low = at, p
+        return out
 
     def _base(self) -> list[list[tuple[str, int, int, str]]]:
         found: list[list[tuple[str, int, int, str]]] = [[] for _ in self.texts]
@@ -89,10 +107,9 @@ class Scan:
         long = end - start >= MIN_HEX
         start, end = start[long], end[long]
         owner = np.searchsorted(self.offsets, start, "right") - 1
-        for i in np.unique(owner).tolist():
-            own = owner == i
-            places = zip(self._points(i, start[own] - self.offsets[i]), self._points(i, end[own] - self.offsets[i]), strict=True)
-            found[i] += [("hex", a, b, self.texts[i][a:b]) for a, b in places]
+        for i, low, high in _runs(owner):
+            points = self._points(i, np.concatenate((start[low:high], end[low:high])) - self.offsets[i])
+            found[i] += [("hex", a, b, self.texts[i][a:b]) for a, b in zip(points[: high - low], points[high - low :], strict=True)]
         for i, text in enumerate(self.texts):
             low = text.lower()
             if any(name in low for name in NAMED):
@@ -108,9 +125,9 @@ class Scan:
         if any(self.base):
             free = free.copy()
             for i, own in enumerate(self.base):
+                place = self._bytes(i, [p for _, a, b, _ in own for p in (a, b)])
                 for _, a, b, _ in own:
-                    low = int(self.offsets[i]) + (a if self.texts[i].isascii() else len(self.texts[i][:a].encode()))
-                    free[low : low + len(self.texts[i][a:b].encode())] = 0
+                    free[self.offsets[i] + place[a] : self.offsets[i] + place[b]] = 0
         start, end = spans(free, _INNER)
         rough = np.flatnonzero(~(_EDGE[free[start]] & _EDGE[free[end - 1]]))
         for _ in range(8):  # most runs lose a character or two
@@ -152,10 +169,11 @@ class Scan:
             new = list(range(len(keys)))
         memo.update(zip([keys[n] for n in new], model.kinds_of([self.value(k) for k in at[new]]), strict=True))
         kind = np.array([memo[key] for key in keys])[back]
-        for k in np.flatnonzero(kind >= 0).tolist():
-            i = int(self.owner[k])
-            a, b = self._points(i, np.array([self.start[k], self.end[k]]) - self.offsets[i])
-            out[i].append((f"like_{KINDS[kind[k]]}", a, b))
+        fits = np.flatnonzero(kind >= 0)
+        for i, low, high in _runs(self.owner[fits]):
+            own = fits[low:high]
+            points = self._points(i, np.concatenate((self.start[own], self.end[own])) - self.offsets[i])
+            out[i] = [(f"like_{KINDS[k]}", a, b) for k, a, b in zip(kind[own].tolist(), points[: len(own)], points[len(own) :], strict=True)]
         return out
 
 
