@@ -27,6 +27,8 @@ HOP = 128
 PEAKS_PER_FRAME = 3
 FAN_OUT = 5
 MAX_GAP = 15
+#: Frames whose magnitudes are in memory at once.
+BLOCK_FRAMES = 4096
 _BINS = FRAME // 2 + 1
 _HANN = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)
 
@@ -52,20 +54,49 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % 64 or (0 if raw else 64)), len(raw)
 
 
+class Frames:
+    """Windows over the samples of several payloads, in order; `first` is the first frame of each (one more at the end)."""
+
+    def __init__(self, payloads: list[bytes]) -> None:
+        self.size = np.array([len(p) for p in payloads], np.int64)
+        frames = np.maximum(1, -(-(self.size - FRAME) // HOP) + 1)
+        self.first = np.concatenate(([0], np.cumsum(frames)))
+        self.base = np.concatenate(([0], np.cumsum((frames - 1) * HOP + FRAME)))
+        self.samples = np.full(int(self.base[-1]), 128, np.uint8)
+        for p, at in zip(payloads, self.base, strict=False):
+            self.samples[at : at + len(p)] = np.frombuffer(p, np.uint8)
+
+    def magnitude(self, low: int, high: int) -> np.ndarray:
+        """Magnitudes (frames x bins) of the frames in [low, high)."""
+        if low >= high:
+            return np.zeros((0, _BINS))
+        at = np.arange(low, high)
+        owner = np.searchsorted(self.first, at, "right") - 1
+        start = self.base[owner] + (at - self.first[owner]) * HOP
+        cut = np.lib.stride_tricks.sliding_window_view(self.samples, FRAME)[start].astype(np.float64) - 128
+        return np.abs(np.fft.rfft(cut * _HANN, axis=1))
+
+
 def spectrogram(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Magnitudes (frames x bins) of all payloads in order, and the first frame of each (one more at the end)."""
-    size = np.array([len(p) for p in payloads], np.int64)
-    frames = np.maximum(1, -(-(size - FRAME) // HOP) + 1)
-    first = np.concatenate(([0], np.cumsum(frames)))
-    room = (frames - 1) * HOP + FRAME
-    base = np.concatenate(([0], np.cumsum(room)))
-    samples = np.full(int(base[-1]), 128, np.uint8)
-    for p, at in zip(payloads, base, strict=False):
-        samples[at : at + len(p)] = np.frombuffer(p, np.uint8)
-    owner = np.repeat(np.arange(len(size)), frames)
-    start = base[owner] + (np.arange(first[-1]) - first[owner]) * HOP
-    cut = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[start].astype(np.float64) - 128
-    return np.abs(np.fft.rfft(cut * _HANN, axis=1)), first
+    frames = Frames(payloads)
+    return frames.magnitude(0, int(frames.first[-1])), frames.first
+
+
+def all_peaks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`peaks` of the payloads' spectrogram, and the first frame of each payload, from BLOCK_FRAMES frames at a time: a
+    block sees one frame more on each side, which is all that a peak depends on."""
+    frames = Frames(payloads)
+    total, found, bins = int(frames.first[-1]), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, total, BLOCK_FRAMES):
+        high = min(low + BLOCK_FRAMES, total)
+        begin, end = max(low - 1, 0), min(high + 1, total)
+        starts = frames.first[np.searchsorted(frames.first, begin) : np.searchsorted(frames.first, end)] - begin
+        frame, at = peaks(frames.magnitude(begin, end), np.append(starts, end - begin))
+        inside = (frame + begin >= low) & (frame + begin < high)
+        found.append(frame[inside] + begin)
+        bins.append(at[inside])
+    return np.concatenate(found), np.concatenate(bins), frames.first
 
 
 def peaks(magnitude: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +150,7 @@ def media_columns(docs: DataFrame, keep_codes: bool = True, keep_media: bool = F
         made = [padded(t) for t in texts]
         media = [to_wav(p) for p, _ in made]
         back = [from_wav(m) for m in media]
-        magnitude, first = spectrogram(back)
-        frame, at = peaks(magnitude, first)
+        frame, at, first = all_peaks(back)
         codes, owner, peak_owner = fingerprints(frame, at, first)
         begin = np.searchsorted(owner, np.arange(len(texts) + 1))
         return {
