@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perimetra.llm import quality
-from perimetra.llm.common import map_texts, materialize, spare_name, words
+from perimetra.llm.common import discard, map_texts, materialize, spare_name, words
 
 #: Domains of the labelled table (quality 0: poor, else toxic 1: toxic, else clean), and their target shares of all tokens.
 DOMAINS = ("clean", "toxic", "poor")
@@ -48,26 +48,32 @@ def _profile(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.n
 class DomainClassifier:
     """Posteriors from words: log-odds of hashed words' presence per domain, calibrated with counts of the text by a softmax."""
 
-    def __init__(self, features: np.ndarray, present: list[np.ndarray], domain: np.ndarray) -> None:
+    def __init__(self, count: np.ndarray, table: np.ndarray) -> None:
+        """count: labelled documents of each domain; table: of them, those that hold a slot (slots x domains)."""
         k = len(DOMAINS)
-        self.seen = np.bincount(domain, minlength=k) > 0 if len(domain) else np.ones(k, np.bool_)
-        count = np.bincount(domain, minlength=k).astype(float)
-        table = np.zeros((HASHED, k))
-        for slots, d in zip(present, domain, strict=True):
-            table[slots, d] += 1
+        count = np.asarray(count, float)
+        self.seen = count > 0 if count.any() else np.ones(k, np.bool_)
         share = (count + 0.5) / (count.sum() + 0.5 * k)
         self.odds = np.log((table + SHRINK * share) / (table.sum(1, keepdims=True) + SHRINK) / share)
-        self.mean, self.scale = (features.mean(0), features.std(0) + 1e-6) if len(features) else (np.zeros(len(quality.NAMES)), np.ones(len(quality.NAMES)))
+        self.mean, self.scale = np.zeros(len(quality.NAMES)), np.ones(len(quality.NAMES))
         self.weights = np.zeros((len(quality.NAMES) + k + 1, k))
+
+    def calibrate(self, features: np.ndarray, top: np.ndarray, domain: np.ndarray) -> None:
+        """Fit the softmax to labelled documents: their features, the odds of their tellingest words, their domains."""
         if len(domain):
-            self._calibrate(self._inputs(features, present), domain)
+            self.mean, self.scale = features.mean(0), features.std(0) + 1e-6
+            self._calibrate(self._inputs(features, top), domain)
 
-    def _inputs(self, features: np.ndarray, present: list[np.ndarray]) -> np.ndarray:
+    def top(self, present: list[np.ndarray]) -> np.ndarray:
+        """For each domain, the sum of a text's three largest odds."""
         top = np.zeros((len(present), len(DOMAINS)))
         for i, slots in enumerate(present):
             if len(slots):
                 top[i] = np.sort(self.odds[slots], axis=0)[-3:].sum(0)
-        return np.column_stack((np.clip((features - self.mean) / self.scale, -5, 5), top, np.ones(len(present))))
+        return top
+
+    def _inputs(self, features: np.ndarray, top: np.ndarray) -> np.ndarray:
+        return np.column_stack((np.clip((features - self.mean) / self.scale, -5, 5), top, np.ones(len(top))))
 
     def _calibrate(self, x: np.ndarray, domain: np.ndarray) -> None:
         y = np.eye(len(DOMAINS))[domain]
@@ -84,7 +90,7 @@ class DomainClassifier:
         return e / e.sum(1, keepdims=True)
 
     def posterior(self, features: np.ndarray, present: list[np.ndarray]) -> np.ndarray:
-        return self._softmax(self._inputs(features, present) @ self.weights)
+        return self._softmax(self._inputs(features, self.top(present)) @ self.weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DomainClassifier:
@@ -93,15 +99,33 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DomainC
     clear = clear.groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("most")).filter("domain = most").select("doc_id", "domain")
     chosen = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
-    def work(texts: list[str | None]) -> dict[str, object]:
-        _, x, present = _profile(texts)
-        return {"x": x.tolist(), "present": [p.astype(np.int32) for p in present]}
-
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(F.broadcast(chosen), "doc_id")
-    got = map_texts(texts, work, "x array<double>, present array<int>", keep=("doc_id", "digest", "domain")).toPandas()
-    got = got.sort_values(["doc_id", "digest"]).drop_duplicates("doc_id")
-    x = np.array(got["x"].tolist(), float).reshape(len(got), len(quality.NAMES))
-    return DomainClassifier(x, [np.asarray(p, np.int64) for p in got["present"]], got["domain"].to_numpy(np.int64))
+
+    def slots(texts: list[str | None]) -> dict[str, object]:
+        return {"present": [p.astype(np.int32) for p in _profile(texts)[2]]}
+
+    # Of several texts under one doc_id the first by hash teaches, and its copies once; slots are counted before the driver sees them.
+    seen = map_texts(texts, slots, "present array<int>", keep=("doc_id", "digest", "domain"))
+    one = materialize(seen.groupBy("doc_id").agg(F.min_by(F.struct("domain", "digest", "present"), "digest").alias("of")).select("doc_id", "of.*"), "labelled-words")
+    count, table = np.zeros(len(DOMAINS)), np.zeros((HASHED, len(DOMAINS)))
+    for r in one.groupBy("domain").count().collect():
+        count[r["domain"]] = r["count"]
+    held = one.select("domain", F.explode("present").alias("slot")).groupBy("slot", "domain").count().toPandas()  # slots x domains at most
+    table[held["slot"].to_numpy(), held["domain"].to_numpy()] = held["count"].to_numpy()
+    model = DomainClassifier(count, table)
+
+    def inputs(texts: list[str | None]) -> dict[str, object]:
+        _, x, present = _profile(texts)
+        return {"x": x.tolist(), "top": model.top(present).tolist()}
+
+    firsts = one.select("doc_id", F.col("digest").alias("first"))
+    first = texts.join(firsts, "doc_id").filter(F.col("digest").eqNullSafe(F.col("first"))).select("doc_id", "text", "domain")
+    made = map_texts(first, inputs, "x array<double>, top array<double>", keep=("doc_id", "domain"))
+    got = made.groupBy("doc_id").agg(F.first(F.struct("domain", "x", "top")).alias("of")).select("doc_id", "of.*").toPandas().sort_values("doc_id")
+    x, top = (np.array(got[c].tolist(), float).reshape(len(got), n) for c, n in (("x", len(quality.NAMES)), ("top", len(DOMAINS))))
+    model.calibrate(x, top, got["domain"].to_numpy(np.int64))
+    discard(one)
+    return model
 
 
 def posteriors(docs: DataFrame, model: DomainClassifier, keep: Sequence[str] = ("doc_id",), names: tuple[str, str] = ("n_tokens", "posterior")) -> DataFrame:

@@ -204,8 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     clear = labels.filter(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most")
     chosen = clear.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(F.broadcast(chosen), "doc_id")
-    got = map_texts(texts, lambda t: {"x": features(t).tolist()}, "x array<double>", keep=("doc_id", "digest", "label")).toPandas()
-    got = got.sort_values(["doc_id", "digest"]).drop_duplicates("doc_id")
+    made = map_texts(texts, lambda t: {"x": features(t).tolist()}, "x array<double>", keep=("doc_id", "digest", "label"))
+    one = made.groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), "digest").alias("of"))  # copies go before the driver sees them
+    got = one.select("doc_id", "of.label", "of.x").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))
     return fit(x, got["label"].to_numpy(float))
 
