@@ -6,8 +6,8 @@ shard's fair share move, and the result is the next version. The map has as many
 data, so it can be broadcast.
 
 Edge cases: a null text counts as empty (16 bytes); empty tables give empty shards; repeated rows and rows without a
-doc_id are records of their own (the text's checksum is hashed too, so such rows spread); ties are broken by slot
-number; extra columns are not carried.
+doc_id are records of their own (the text's checksum is hashed too, and the place of hot copies, so such rows spread);
+ties are broken by slot number; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -20,18 +20,24 @@ from perimetra.llm.common import materialize
 
 SLOTS = 8192
 OVERHEAD = 16
+#: Records of one doc_id and text that may share a virtual slot.
+SPREAD = 1000
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and the record's overhead), text_crc32, vslot (virtual slot)."""
+    """doc_id, size (UTF-8 bytes and the record's overhead), text_crc32, vslot (virtual slot).
+
+    A record hashes by its doc_id and text. Where more than SPREAD records have both in common, the place of each, which a
+    stored table fixes, is hashed too, so that some SPREAD of them share a slot.
+    """
     text = F.coalesce("text", F.lit(""))
-    crc = F.crc32(text)
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", crc), F.lit(slots)).cast("int").alias("vslot"),
-    )
+    narrow = docs.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
+    held = materialize(narrow, "places")
+    often = held.groupBy(F.col("doc_id").alias("hot_id"), F.col("text_crc32").alias("hot_crc")).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > SPREAD)
+    met = held.join(often, F.col("doc_id").eqNullSafe(F.col("hot_id")) & (F.col("text_crc32") == F.col("hot_crc")), "left")
+    salt = F.pmod("place", F.ceil(F.col("copies") / SPREAD))
+    hashed = F.when(F.col("copies").isNull(), F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", salt))
+    return met.select("doc_id", "size", "text_crc32", F.pmod(hashed, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
