@@ -4,9 +4,9 @@ Vectors, lifted so that the largest inner product is the nearest point, are proj
 shifted; the Hilbert curve through that space gives each a key. Several projections give several orderings. Each
 ordering is range-partitioned at quantiles of its keys into windows of about equal numbers of rows; ties of a key are
 broken by a hash of the id, so that many equal vectors still spread. A query meets the rows of its own window and of the
-neighbouring ones, in every ordering. A task meets one window with one block of the queries that reach it, so that it
-holds about WINDOW_ROWS rows and about BLOCK_QUERIES queries, whatever the data; the best of each are merged in two
-stages, by groups of MERGED windows and then by query, and ranked by the exact measure.
+neighbouring ones, in every ordering. A row is moved once for each ordering, whatever the number of queries: a task holds
+a window of about WINDOW_ROWS rows while the queries that reach it stream past. The best of each window are merged in
+two stages, by groups of MERGED windows and then by query, and ranked by the exact measure.
 
 How many neighbouring windows are needed depends on the data. They are chosen on a sample of bounded size (documented
 parameters) as the fewest that find `target` of the sample's true neighbours; every row is indexed.
@@ -18,16 +18,15 @@ empty table gives no rows; extra columns are not carried.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from perimetra.llm.common import mix
+from perimetra.llm.common import block_visits, mix
 
 ORDERINGS = 8
 DIMENSIONS = 4
@@ -40,8 +39,8 @@ SAMPLE_QUERIES = 300
 #: A window holds about so many rows at most; there are MIN_WINDOWS at least.
 WINDOW_ROWS = 20_000
 MIN_WINDOWS = 32
-#: About so many queries meet a window in one task; a first merge joins the lists of so many neighbouring windows.
-BLOCK_QUERIES = 4000
+#: So many queries meet a window at once; a first merge joins the lists of so many neighbouring windows.
+QUERIES_AT_ONCE = 256
 MERGED = 64
 
 
@@ -186,56 +185,39 @@ def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, target: f
     for r in found:
         cuts[r["ordering"]] = np.array(r["cuts"], np.int64)
 
-    def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            i, v = _usable(pdf, width)
-            keys = curves.keys(v, i, True)
-            yield pd.DataFrame({"ordering": np.tile(np.arange(orderings), len(i)), "window": np.column_stack([np.searchsorted(cuts[o], keys[:, o]) for o in range(orderings)]).ravel()})
-
-    asking = asked.mapInPandas(windows_of, "ordering int, window int").groupBy("ordering", "window").agg(F.count(F.lit(1)).alias("n"))
-    near = Window.partitionBy("ordering").orderBy("window").rangeBetween(-reach, reach)
-    most = asking.select(F.sum("n").over(near).alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks = max(1, -(-most // BLOCK_QUERIES))
-
     def placed(batches: Iterator[pd.DataFrame], as_query: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             i, v = _usable(pdf, width)
             keys = curves.keys(v, i, as_query)
             raw = [x.tobytes() for x in v]
-            own = (mix(i.astype(np.uint64)) >> np.uint64(8)).astype(np.int64) % blocks
-            parts = []
             for o in range(orderings):
                 at = np.searchsorted(cuts[o], keys[:, o])
-                for step, block in itertools.product(range(-reach, reach + 1), (None,)) if as_query else itertools.product((0,), range(blocks)):
+                for step in range(-reach, reach + 1) if as_query else (0,):
                     to = at + step
                     inside = np.flatnonzero((to >= 0) & (to < windows))
-                    parts.append(pd.DataFrame({"ordering": o, "window": to[inside], "block": own[inside] if block is None else block, "vec_id": i[inside], "vector": [raw[k] for k in inside]}))
-            if parts:
-                yield pd.concat(parts)
-
-    def rank(key: tuple, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asks):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "part": np.zeros(0, np.int32), "ids": pd.Series([], dtype=object), "scores": pd.Series([], dtype=object)})
-        own = own.drop_duplicates(["vec_id", "vector"]).sort_values("vec_id", kind="stable")
-        ids = own["vec_id"].to_numpy()
-        block = np.frombuffer(b"".join(own["vector"]), np.float64).reshape(len(own), width)
-        parts = []
-        for low in range(0, len(asks), 256):
-            few = asks.iloc[low : low + 256]
-            who = few["vec_id"].to_numpy()
-            scores = np.frombuffer(b"".join(few["vector"]), np.float64).reshape(len(few), width) @ block.T
-            scores[who[:, None] == ids[None, :]] = -np.inf
-            best = _best(scores, ids, top)
-            values = np.take_along_axis(scores, best, axis=1)
-            fine = np.isfinite(values)
-            parts.append(pd.DataFrame({"query_id": who, "part": key[1] // MERGED, "ids": [ids[b[f]] for b, f in zip(best, fine, strict=True)], "scores": [v[f] for v, f in zip(values, fine, strict=True)]}))
-        return pd.concat(parts)
-
-    schema = "ordering int, window int, block int, vec_id long, vector binary"
-    where = ("ordering", "window", "block")
-    table = rows.mapInPandas(lambda b: placed(b, False), schema)
-    asks = asked.mapInPandas(lambda b: placed(b, True), schema)
-    met = table.groupBy(*where).cogroup(asks.groupBy(*where)).applyInPandas(rank, "query_id long, part int, ids array<long>, scores array<double>")
+                    yield pd.DataFrame({"ordering": o, "window": to[inside], "kind": int(as_query), "vec_id": i[inside], "vector": [raw[k] for k in inside]})
+
+    def load(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own = table.select(["vec_id", "vector"]).to_pandas().drop_duplicates().sort_values("vec_id", kind="stable")
+        return own["vec_id"].to_numpy(), np.frombuffer(b"".join(own["vector"]), np.float64).reshape(len(own), width)
+
+    def rank(held: tuple[np.ndarray, np.ndarray], few: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, block = held
+        who = few.column("vec_id").to_numpy()
+        scores = np.frombuffer(b"".join(few.column("vector").to_pylist()), np.float64).reshape(len(who), width) @ block.T
+        scores[who[:, None] == ids[None, :]] = -np.inf
+        best = _best(scores, ids, top)
+        values = np.take_along_axis(scores, best, axis=1)
+        fine = np.isfinite(values)
+        part = few.column("window").to_numpy() // MERGED
+        lists = [[ids[b[f]] for b, f in zip(best, fine, strict=True)], [v[f] for v, f in zip(values, fine, strict=True)]]
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(part, pa.int32()), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.float64()))], names=["query_id", "part", "ids", "scores"])
+
+    schema = "ordering int, window int, kind int, vec_id long, vector binary"
+    where = ("ordering", "window")
+    both = rows.mapInPandas(lambda b: placed(b, False), schema).unionByName(asked.mapInPandas(lambda b: placed(b, True), schema))
+    sorted_rows = both.repartition(*where).sortWithinPartitions(*where, "kind")
+    met = sorted_rows.mapInArrow(lambda b: block_visits(b, where, load, rank, QUERIES_AT_ONCE), "query_id long, part int, ids array<long>, scores array<double>")
 
     def merged(lists: DataFrame, by: tuple[str, ...]) -> DataFrame:
         """The best of all lists of a query (and part), as rows query_id, part, ids, scores."""

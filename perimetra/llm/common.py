@@ -244,6 +244,34 @@ def shingles(texts: Sequence[str | None], size: int = 5) -> tuple[np.ndarray, np
     return combined, out_first
 
 
+def block_visits(batches: Iterator[pa.RecordBatch], by: Sequence[str], load: Callable[[pa.Table], object], work: Callable[[object, pa.RecordBatch], Iterator[pa.RecordBatch]], step: int) -> Iterator[pa.RecordBatch]:
+    """Meets each block of rows with its visitors, of sorted batches with the columns `by` and kind (0: a row, 1: a visitor).
+
+    A block's rows come first and are held, as `load` makes them; then its visitors stream past, `step` at a time, however
+    many they are. Blocks without rows or without visitors give nothing.
+    """
+    where: list[int] | None = None
+    parts: list[pa.RecordBatch] = []
+    held = None
+    for batch in batches:
+        key = np.column_stack([batch.column(c).to_numpy() for c in (*by, "kind")])
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low == high:
+                continue
+            *block, kind = key[low].tolist()
+            if block != where:
+                where, parts, held = block, [], None
+            if kind == 0:
+                parts.append(batch.slice(low, high - low))
+                continue
+            if held is None and parts:
+                held, parts = load(pa.Table.from_batches(parts)), []
+            if held is not None:
+                for first in range(low, high, step):
+                    yield from work(held, batch.slice(first, min(step, high - first)))
+
+
 def full_vectors(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and values (doubles) of the lists of `width` entries, none of them null, infinite or not a number."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

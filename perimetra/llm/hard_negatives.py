@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from perimetra.llm.common import bounded_batches, common_width, full_vectors, materialize
+from perimetra.llm.common import block_visits, bounded_batches, common_width, full_vectors, materialize
 
 SCALE = 256
 POSITIVES = 5
@@ -175,39 +175,15 @@ def _visits(table: DataFrame, asks: DataFrame, work: Callable[..., Iterator[dict
     asking = asks.select("cell", F.explode(F.sequence(F.lit(0), many[F.col("cell")] - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "label", "anchor", "vector", "distances", "least", "most")
     both = rows.unionByName(asking).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where: tuple[int, int] | None = None
-        parts: list[pa.RecordBatch] = []
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            key = np.column_stack([batch.column(c).to_numpy() for c in ("cell", "block", "kind")])
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                if low == high:
-                    continue
-                cell, number, kind = key[low].tolist()
-                if (cell, number) != where:
-                    where, parts, held = (cell, number), [], None
-                if kind == 0:
-                    parts.append(batch.slice(low, high - low))
-                    continue
-                if held is None:
-                    held = _block(parts, width)
-                    parts = []
-                if len(held["vec_id"]):
-                    for first in range(low, high, STEP):
-                        few = batch.slice(first, min(STEP, high - first))
-                        for made in work(held, _anchors(few, width)):
-                            yield pa.RecordBatch.from_arrays([pa.array(v) for v in made.values()], names=list(made))
-
-    return both.mapInArrow(run, schema)
-
-
-def _block(parts: list[pa.RecordBatch], width: int) -> dict[str, np.ndarray]:
+    def meet(held: dict, few: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for made in work(held, _anchors(few, width)):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in made.values()], names=list(made))
+
+    return both.mapInArrow(lambda batches: block_visits(batches, ("cell", "block"), lambda t: _block(t, width), meet, STEP), schema)
+
+
+def _block(table: pa.Table, width: int) -> dict[str, np.ndarray]:
     """A block's rows by vec_id, equal ones once."""
-    if not parts:
-        return {"vec_id": np.zeros(0, np.int64)}
-    table = pa.Table.from_batches(parts)
     ids, label, vectors = table.column("vec_id").to_numpy(), table.column("label").to_numpy(), table.column("vector").to_pylist()
     distances = table.column("distances").to_pylist()
     once = sorted({(i, la, v): k for k, (i, la, v) in enumerate(zip(ids.tolist(), label.tolist(), vectors, strict=True))}.values(), key=lambda k: ids[k])
