@@ -4,6 +4,7 @@ import cmath
 import collections
 import math
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -56,7 +57,7 @@ def test_features_equal_plain_counts(monkeypatch, block):
 def test_a_long_text_costs_a_small_multiple_of_itself():
     long = prose(200_000, 1) + " " + "x" * 3_000_000 + " " + prose(1_000_000, 2)
     size = len(long)
-    for work, most in ((quality.features, 16), (common.shingles, 16), (lambda t: secrets.Scan(t).class_counts(), 12)):
+    for work, most in ((quality.features, 16), (common.shingles, 16), (lambda t: secrets.Scan(t).class_counts(), 12), (lambda t: media.all_peaks([media.padded(x)[0] for x in t]), 16)):
         tracemalloc.start()
         work([long])
         peak = tracemalloc.get_traced_memory()[1]
@@ -134,7 +135,11 @@ def test_posteriors_equal_a_plain_classifier():
     texts = [prose(30, i) + (" zzbad" if i % 3 == 0 else "") for i in range(60)]
     domain = np.array([int(i % 3 == 0) for i in range(60)])
     _, x, present = mixing._profile(texts)
-    model = mixing.DomainClassifier(x, present, domain)
+    table = np.zeros((mixing.HASHED, 3))
+    for own, d in zip(present, domain):
+        table[own, d] += 1
+    model = mixing.DomainClassifier(np.bincount(domain, minlength=3), table)
+    model.calibrate(x, model.top(present), domain)
     seen = [collections.Counter() for _ in mixing.DOMAINS]
     for own, d in zip(present, domain):
         seen[d].update(own.tolist())
@@ -168,6 +173,40 @@ def test_spectrum_peaks_and_pairs_equal_plain_loops():
     assert media.fingerprints(frame, at, first)[0].tolist() == codes and len(codes) > 40
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 64, 100_000])
+def test_peaks_by_blocks_are_those_of_the_whole(monkeypatch, block):
+    raw = [media.padded(t)[0] for t in ("", prose(3, 1), prose(700, 2), "é" * 900, prose(40, 3), "x", prose(90, 4))]
+    frame, at = media.peaks(*(whole := media.spectrogram(raw)))
+    monkeypatch.setattr(media, "BLOCK_FRAMES", block)
+    got = media.all_peaks(raw)
+    assert got[0].tolist() == frame.tolist() and got[1].tolist() == at.tolist() and got[2].tolist() == whole[1].tolist()
+    assert [len(x) for x in media.all_peaks([])] == [0, 0, 1]
+
+
+def test_a_long_text_of_many_spans_beyond_ascii_is_scanned_in_seconds():
+    """In time that grows with the text: one pass for all its places."""
+    part = "é deadbeefdeadbeefdeadbeef 日本 token=abc123def AKIA" + "A" * 16 + " "
+    count = 100_000
+    began = time.perf_counter()
+    scan = secrets.Scan([part * count, "short é secret: abcdef1", None])
+    took = time.perf_counter() - began
+    assert len(scan.base[0]) == 3 * count and took < 40, took
+    for k in (0, 1, count // 2, count - 1):
+        own = scan.base[0][3 * k : 3 * k + 3]
+        low = k * len(part)
+        assert own == [("hex", low + 2, low + 26, "deadbeef" * 3), ("assign", low + 30, low + 45, "abc123def"), ("access", low + 46, low + 66, "AKIA" + "A" * 16)]
+    assert scan.base[1] == [("assign", 8, 23, "abcdef1")]
+
+
+def test_places_in_bytes_and_in_code_points_agree():
+    text = "aé日😀-" * 50 + "end"
+    scan = secrets.Scan([text, "plain", "é"])
+    points = [0, 1, 2, 3, 4, 5, 100, 99, 249, len(text)]
+    places = scan._bytes(0, points)
+    assert all(len(text[:p].encode()) == places[p] for p in points)
+    assert scan._points(0, np.array([places[p] for p in points])) == points
+
+
 def plain_total(automaton, value):
     state, total = 0, 0.0
     for s in secrets._symbols(value).tolist():

@@ -379,3 +379,30 @@ def test_redaction_masks_and_keeps_rows(docs):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert out.columns == docs.columns and out.count() == docs.count()
     assert rows[15]["text"] == '[secret]" and [secret]' and rows[3]["text"] is None and rows[0]["text"] == awkward()[0][1]
+
+
+def test_copies_of_a_labelled_text_teach_once(spark):
+    """A labelled doc_id that stands many times, or names several texts, comes to the driver as one row."""
+    rows = [(i, prose(40, i) + (" zzbad" if i % 3 == 0 else "") + (" !!" * 40 if i % 5 == 0 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = plain.unionByName(spark.createDataFrame([rows[7]] * 3000 + [rows[9]] * 20, "doc_id long, text string"))
+    one, two = quality.train(plain, labels), quality.train(hot, labels)
+    texts = [t for _, t in rows]
+    assert np.array_equal(one.score(quality.features(texts)), two.score(quality.features(texts)))
+    a, b = mixing.train(plain, labels), mixing.train(hot, labels)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.odds, b.odds) and np.abs(a.weights).sum() > 0
+    both = plain.unionByName(spark.createDataFrame([(7, None), (7, "another text")], "doc_id long, text string"))
+    c, d = mixing.train(both, labels), mixing.train(both.repartition(7), labels)
+    assert np.array_equal(c.weights, d.weights) and mixing.train(plain.limit(0), labels).weights.sum() == 0
+
+
+def test_hot_copies_spread_over_slots_and_shards(spark):
+    rows = spark.range(6000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same row").alias("text"))
+    rows = rows.unionByName(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("no id").alias("text"))).unionByName(spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")))
+    got = sharding.shard_documents(rows, 8).toPandas()
+    assert len(got) == 9300 and got.groupby("vslot").size().max() < 1100 + 2
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() - loads.min() <= 1100 * 28
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
