@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from perimetra.operators import stateful
 from perimetra.operators.search import cells
 
 
@@ -33,7 +36,7 @@ def leaks(rows: DataFrame, key: str = "sequence_key", split: str = "split") -> D
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("splits")).filter(F.size("splits") > 1)
 
 
-def carve(sequences: DataFrame, share: float, seed: str, key: str = "sequence_key", size: str = "n", by: Sequence[str] = ()) -> DataFrame:
+def carve(sequences: DataFrame, share: float | Column, seed: str, key: str = "sequence_key", size: str = "n", by: Sequence[str] = ()) -> DataFrame:
     """Whole sequences, in shuffled order, until they hold at least `share` of all frames: adds `carved`."""
     order = Window.partitionBy(*by).orderBy(shuffle_key(seed, F.col(key)), key)
     before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -41,6 +44,68 @@ def carve(sequences: DataFrame, share: float, seed: str, key: str = "sequence_ke
     return sequences.withColumn("carved", before < share * total)
 
 
+@dataclass(frozen=True)
+class SplitPolicy:
+    """How a source's sequences become splits.
+
+    official: each goes where official_to sends its official split; with `carve` = (official split, share) that share of
+    the frames of that official split goes to val first. resplit: official splits do not count; the shares val and test
+    are carved one after the other, and the rest is train.
+    """
+
+    policy: str
+    official_to: Mapping[str, str] = field(default_factory=dict)
+    carve: tuple[str, float] | None = None
+    val: float = 0.0
+    test: float = 0.0
+
+
+def pseudo_sequences(rows: DataFrame, most: int = 6) -> DataFrame:
+    """Rows (image, seq, source, sequence_key, hash) whose sequence_key, where it lacks, names the leader of their near hashes
+    in their source: source/pseudo/<the leader's seq>, or source/orphan/<image> without a hash."""
+    bare = rows.filter("sequence_key is null and hash is not null").select("source", "seq", "hash").withColumn("t", F.lit(0.0))
+    leader = stateful.batch(bare, ["source"], partial(stateful.Leaders, most), ("seq",)).select("source", "seq", "leader")
+    met = rows.join(leader, ["source", "seq"], "left")
+    made = F.when(F.col("leader").isNotNull(), F.concat_ws("/", "source", F.lit("pseudo"), "leader")).otherwise(F.concat_ws("/", "source", F.lit("orphan"), "image"))
+    return met.withColumn("sequence_key", F.coalesce("sequence_key", made)).select(rows.columns)
+
+
+def split_by_policy(rows: DataFrame, policies: Mapping[str, SplitPolicy], seed: str) -> DataFrame:
+    """source, sequence_key, n, split, problem: the split of each sequence of rows (source, sequence_key, official).
+
+    problem: `no policy` for its source, `spans official splits`, or `unrouted` (its official split has no place); such
+    sequences have no split. `assigned` makes the first two errors. A source's own seed orders what is carved from it.
+    """
+    unknown = [p.policy for p in policies.values() if p.policy not in ("official", "resplit")]
+    if unknown:
+        raise ValueError(f"policy is 'official' or 'resplit', not {unknown}")
+    table = [(name, p.policy, dict(p.official_to), p.carve[0] if p.carve else None, float(p.carve[1]) if p.carve else p.val, p.test) for name, p in policies.items()]
+    known = rows.sparkSession.createDataFrame(table, "source string, policy string, route map<string,string>, carved_from string, val double, test double")
+    own = rows.groupBy("source", "sequence_key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.coalesce("official", F.lit("unknown")))).alias("officials"))
+    own = own.join(F.broadcast(known), "source", "left")  # a row for each source that was given
+    resplit, single = F.col("policy") == "resplit", F.size("officials") == 1
+    pool = resplit | (single & (F.element_at("officials", 1) == F.col("carved_from")))
+
+    def carved(sequences: DataFrame, among: Column, share: Column, name: str) -> DataFrame:
+        """The sequences with `name`: whether they are of the share carved from those `among`."""
+        marked = sequences.withColumn("__in", F.coalesce(among, F.lit(False))).withColumn("__order", F.concat_ws(":", "source", "sequence_key"))
+        return carve(marked, share, f"{seed}-{name}", "__order", "n", ["source", "__in"]).withColumn(name, F.col("__in") & F.coalesce("carved", F.lit(False))).drop("__in", "__order", "carved")
+
+    own = carved(own, pool, F.col("val"), "to_val")
+    own = carved(own, resplit & ~F.col("to_val"), F.col("test") / F.greatest(1 - F.col("val"), F.lit(1e-9)), "to_test")
+    route = F.element_at("route", F.element_at("officials", 1))
+    problem = F.when(F.col("policy").isNull(), "no policy").when(~resplit & ~single, "spans official splits").when(~resplit & ~F.col("to_val") & route.isNull(), "unrouted")
+    split = F.when(F.col("to_val"), "val").when(F.col("to_test"), "test").when(resplit, "train").otherwise(route)
+    return own.withColumn("problem", problem).select("source", "sequence_key", "n", F.when(F.col("problem").isNull(), split).alias("split"), "problem")
+
+
+def assigned(splits: DataFrame) -> DataFrame:
+    """The splits; an error at the first sequence that spans official splits or has no policy."""
+    bad = F.col("problem").isin("no policy", "spans official splits")
+    checked = F.when(bad, F.raise_error(F.concat(F.col("source"), F.lit(" "), F.col("sequence_key"), F.lit(": "), F.col("problem"))).cast("string")).otherwise(F.col("split"))
+    return splits.withColumn("split", checked)
+
+
 def decimate(rows: DataFrame, step: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Every step-th row of each group, from the first on."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1

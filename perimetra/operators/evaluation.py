@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from perimetra.functions import geometry as g
 from perimetra.functions import stats
+from perimetra.operators import stateful
 
 BOX = ("x1", "y1", "x2", "y2")
 #: The ten overlaps that AP50-95 averages.
@@ -187,6 +188,23 @@ def best_f1(points: DataFrame, by: Sequence[str] = ("cls",)) -> DataFrame:
     return points.groupBy(*by).agg(F.max_by(F.struct("threshold", "f1", "precision", "recall"), F.struct(F.round("f1", 12), -F.col("threshold"))).alias("b")).select(*by, "b.*")
 
 
+def limit_grid(gt: DataFrame, pred: DataFrame, limits: Sequence[float], confs: Sequence[float], frames: int, by: Sequence[str] = ("cls",), threshold: float = 0.5) -> DataFrame:
+    """`at_thresholds` for every overlap limit of suppression: by, limit, threshold, n_gt, tp, fp, fn, precision, recall, f1,
+    fp_per_frame. Boxes (image, cls, pred_id, conf, x1, y1, x2, y2) are suppressed once for all limits."""
+    kept = stateful.nms_grid(pred.select("image", "cls", F.col("pred_id").alias("id"), *BOX, F.col("conf").alias("score")), ["image", "cls"], limits)
+    each = kept.select("image", "cls", F.col("id").alias("pred_id"), *BOX, F.col("score").alias("conf"), F.explode("limits").alias("limit"))
+    at = F.struct("limit", "image").alias("image")
+    many = gt.withColumn("limit", F.explode(F.array(*[F.lit(float(v)) for v in sorted(limits)])))
+    matched = match(many.select(at, *[c for c in gt.columns if c != "image"]), each.select(at, "cls", "pred_id", *BOX, "conf"), threshold).withColumn("limit", F.col("image.limit"))
+    points = at_thresholds(matched, many, confs, [*by, "limit"])
+    return points.withColumn("fn", F.col("n_gt") - F.col("tp")).withColumn("fp_per_frame", F.col("fp") / frames)
+
+
+def best_point(points: DataFrame, order: Sequence[Column], by: Sequence[str] = ("cls",)) -> DataFrame:
+    """The point of each group that comes first by all of `order`, in turn."""
+    return points.groupBy(*by).agg(F.min_by(F.struct(*[c for c in points.columns if c not in by]), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("b")).select(*by, "b.*")
+
+
 def budget_point(points: DataFrame, images: int, allowed: float, by: Sequence[str] = ("cls",)) -> DataFrame:
     """The point of `at_thresholds` that keeps false positives per image within `allowed`, and how sure that is.
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from perimetra.sources.store import settled
+
 GENESIS = "0" * 64
 FIELDS = ("n", "clip_id", "camera_id", "started_at", "ended_at", "sealed_at", "clip_sha256", "frame_count", "byte_length", "prev_block_hash")
 
@@ -24,24 +28,32 @@ def block_hash(fields: Sequence[str] = FIELDS, domain: str = "block/1") -> Colum
     return F.sha2(canonical(domain, [(n, F.col(n)) for n in fields]), 256)
 
 
-def chained(blocks: DataFrame, by: Sequence[str], order: Sequence[str], fields: Sequence[str], domain: str = "block/1") -> DataFrame:
-    """Adds n, prev_block_hash and block_hash: each chain is a fold over its blocks in order, streamed through in sorted partitions."""
+def chained(blocks: DataFrame, by: Sequence[str], order: Sequence[str], fields: Sequence[str], domain: str = "block/1", heads: DataFrame | None = None) -> DataFrame:
+    """Adds n, prev_block_hash and block_hash: each chain is a fold over its blocks in order, streamed through in sorted partitions.
+
+    heads: by, head_n, head_hash: where chains that exist go on.
+    """
     body = canonical(domain, [(n, F.col(n)) for n in fields])
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
-    rows = blocks.withColumn("n", n).withColumn("__body", body).repartition(*[F.col(b) for b in by]).sortWithinPartitions(*by, "n")
+    own = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    if heads is not None:
+        blocks = blocks.join(heads.select(*by, F.col("head_n").alias("__n0"), F.col("head_hash").alias("__h0")), list(by), "left")
+    else:
+        blocks = blocks.withColumn("__n0", F.lit(None).cast("long")).withColumn("__h0", F.lit(None).cast("string"))
+    rows = blocks.withColumn("__own", own).withColumn("n", F.coalesce("__n0", F.lit(0).cast("long")) + F.col("__own")).withColumn("__head", F.coalesce("__h0", F.lit(GENESIS))).drop("__n0", "__h0")
+    rows = rows.withColumn("__body", body).repartition(*[F.col(b) for b in by]).sortWithinPartitions(*by, "n")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prev = GENESIS
         for pdf in batches:
             before, own = [], []
-            for n, text in zip(pdf["n"], pdf["__body"], strict=True):
-                prev = GENESIS if n == 1 else prev
+            for own_n, head, text in zip(pdf["__own"], pdf["__head"], pdf["__body"], strict=True):
+                prev = head if own_n == 1 else prev
                 before.append(prev)
                 prev = hashlib.sha256(f"{text}prev={prev}\n".encode()).hexdigest()
                 own.append(prev)
-            yield pdf.drop(columns="__body").assign(prev_block_hash=before, block_hash=own)
+            yield pdf.drop(columns=["__body", "__own", "__head"]).assign(prev_block_hash=before, block_hash=own)
 
-    out = rows.drop("__body").schema.add("prev_block_hash", "string").add("block_hash", "string")
+    out = rows.drop("__body", "__own", "__head").schema.add("prev_block_hash", "string").add("block_hash", "string")
     return rows.mapInPandas(fold, out)
 
 
@@ -90,8 +102,8 @@ def first_bad(blocks: DataFrame, own_hash: Column, order: str = "id") -> DataFra
     return linked.filter(bad).agg(F.min(order).alias("first_bad"))
 
 
-#: Halvings of one round of `merkle_root`, and rounds: 2**40 leaves a group at most.
-HALVINGS, ROUNDS = 10, 4
+#: Halvings of one round of `merkle_root`.
+HALVINGS = 10
 
 
 def _subtree(hashes: Sequence[bytes], variant: str, alone: bool) -> bytes:
@@ -108,27 +120,87 @@ def _subtree(hashes: Sequence[bytes], variant: str, alone: bool) -> bytes:
     return level[0]
 
 
+def _paths(hashes: Sequence[bytes], alone: bool) -> list[list[bytes]]:
+    """For each of the hashes, its sibling on every level of `_subtree` (promote) that has one."""
+    level, paths = list(hashes), [[] for _ in hashes]
+    for step in range(HALVINGS):
+        if len(level) == 1:
+            break
+        for at, path in enumerate(paths):
+            other = (at >> step) ^ 1
+            if other < len(level):
+                path.append(level[other])
+        level = [_parent(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return paths
+
+
+def _numbered(leaves: DataFrame, by: Sequence[str], variant: str) -> tuple[DataFrame, int]:
+    """by, place (from 0, in order), leaves, h of each leaf, and the rounds that the largest group takes."""
+    hashed = F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), F.unhex("hash")), 256)) if variant == "promote" else F.unhex("hash")
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    most = leaves.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    level = leaves.select(*by, "hash", (F.row_number().over(whole.orderBy("place")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(whole).alias("leaves"), hashed.alias("h"))
+    return level, max(1, -(-(most - 1).bit_length() // HALVINGS))
+
+
+def _blocks(level: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, leaves, place, p: neighbouring nodes, 2**HALVINGS at most, in order, as one row."""
+    return level.groupBy(*by, "leaves", F.shiftright("place", HALVINGS).alias("place")).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("at"), "h"))).alias("p"))
+
+
 def merkle_root(leaves: DataFrame, by: Sequence[str], variant: str = "promote") -> DataFrame:
     """by, root, leaves: the Merkle root of each group's leaf hashes (columns place, hash).
 
     promote: leaf H(00 || h), node H(01 || l || r), an odd last node moves up; duplicate: node H(hex l || hex r), an odd
     last node is paired with itself. Blocks of 2**HALVINGS neighbouring nodes become one node a round, wherever they are,
-    so that one group's tree is built by many tasks.
+    so that one group's tree is built by many tasks; rounds go on until the largest group is one node.
     """
-    hashed = F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), F.unhex("hash")), 256)) if variant == "promote" else F.unhex("hash")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    level = leaves.select(*by, (F.row_number().over(whole.orderBy("place")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(whole).alias("leaves"), hashed.alias("h"))
+    level, rounds = _numbered(leaves, by, variant)
 
     def fold(hashes: pd.Series, alone: pd.Series) -> pd.Series:
         return pd.Series([_subtree([bytes(x) for x in own], variant, bool(only)) for own, only in zip(hashes, alone, strict=True)])
 
-    for k in range(ROUNDS):
-        blocks = level.groupBy(*by, "leaves", F.shiftright("place", HALVINGS).alias("place")).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("at"), "h"))).alias("p"))
+    for k in range(rounds):
         alone = F.col("leaves") <= F.lit(1 << (HALVINGS * (k + 1)))
-        level = blocks.select(*by, "leaves", "place", F.pandas_udf(fold, "binary")(F.transform("p", lambda x: x["h"]), alone).alias("h"))
+        level = _blocks(level, by).select(*by, "leaves", "place", F.pandas_udf(fold, "binary")(F.transform("p", lambda x: x["h"]), alone).alias("h"))
     return level.select(*by, F.lower(F.hex("h")).alias("root"), "leaves")
 
 
+def inclusion_proofs(leaves: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, index, hash, leaves, proof, root: for every leaf (columns place, hash) of every group, the sibling hashes from the
+    leaf up in its group's tree (`promote`), all at once.
+
+    A round takes blocks of 2**HALVINGS nodes, gives each node its siblings within its block and the block its node; a
+    leaf's proof joins those of the nodes above it, round by round.
+    """
+    level, rounds = _numbered(leaves, by, "promote")
+    parts = "root binary, paths array<array<binary>>"
+
+    def fold(hashes: pd.Series, alone: pd.Series) -> pd.DataFrame:
+        own = [[bytes(x) for x in h] for h in hashes]
+        return pd.DataFrame({"root": [_subtree(h, "promote", bool(a)) for h, a in zip(own, alone, strict=True)], "paths": [_paths(h, bool(a)) for h, a in zip(own, alone, strict=True)]})
+
+    proofs = level.select(*by, "leaves", F.col("place").alias("index"), "hash", F.array().cast("array<binary>").alias("proof"))
+    for k in range(rounds):
+        alone = F.col("leaves") <= F.lit(1 << (HALVINGS * (k + 1)))
+        made = settled(_blocks(level, by).select(*by, "leaves", "place", F.transform("p", lambda x: x["at"]).alias("at"), F.pandas_udf(fold, parts)(F.transform("p", lambda x: x["h"]), alone).alias("m")))
+        nodes = made.select(*by, F.explode(F.arrays_zip("at", F.col("m.paths").alias("path"))).alias("x")).select(*by, F.col("x.at").alias("__at"), F.col("x.path").alias("path"))
+        proofs = proofs.withColumn("__at", F.shiftright("index", HALVINGS * k)).join(nodes, [*by, "__at"]).withColumn("proof", F.concat("proof", "path")).drop("__at", "path")
+        level = made.select(*by, "leaves", "place", F.col("m.root").alias("h"))
+    root = level.select(*by, F.lower(F.hex("h")).alias("root"))
+    proofs = proofs.join(root, list(by)) if by else proofs.join(F.broadcast(root))
+    return proofs.withColumn("proof", F.transform("proof", lambda h: F.lower(F.hex(h))))
+
+
+def proven(proofs: DataFrame) -> Column:
+    """Whether each row's proof (see `inclusion_proofs`) leads from its hash to its root."""
+
+    def check(hashes: pd.Series, proof: pd.Series, index: pd.Series, leaves: pd.Series, root: pd.Series) -> pd.Series:
+        return pd.Series([verify_inclusion(h, list(p), int(i), int(n), r) for h, p, i, n, r in zip(hashes, proof, index, leaves, root, strict=True)])
+
+    return F.pandas_udf(check, "boolean")(*[proofs[c] for c in ("hash", "proof", "index", "leaves", "root")])
+
+
 def _parent(left: bytes, right: bytes) -> bytes:
     return hashlib.sha256(b"\x01" + left + right).digest()
 
@@ -183,6 +255,82 @@ def certificate(blocks: DataFrame, own_hash: Column, by: Sequence[str], day: Col
     )
 
 
+#: Fields of a gap that its hash covers.
+GAP_FIELDS = ("boot", "kind", "start", "end", "after_n", "reason")
+
+
+def recovered(boots: DataFrame, markers: DataFrame, heads: DataFrame, pending: DataFrame, torn: DataFrame) -> DataFrame:
+    """device, boot, kind, start, end, after_n, reason: the gap that each start of a device has to log.
+
+    boots: device, boot, at. markers: device, state (running, stopped or unreadable), last_alive, stopped_at, as the run
+    before left them. heads: device, last_n, last_sealed of its ledger. pending: device, clip, clips that were never sealed.
+    torn: device, log (ledger or gaps), bytes of a last line without its end. A clean stop with nothing left over is a
+    restart, from when it stopped; anything else a power loss, from the last sign of life. A device of which nothing is
+    known starts for the first time and has no gap. A clock that went back makes a gap of no length.
+    """
+    left = torn.groupBy("device").agg(F.sum(F.when(F.col("log") == "ledger", F.col("bytes"))).alias("ledger"), F.sum(F.when(F.col("log") == "gaps", F.col("bytes"))).alias("gaps"))
+    clips = pending.groupBy("device").agg(F.count(F.lit(1)).alias("clips"))
+    j = boots.join(markers, "device", "left").join(heads, "device", "left").join(left, "device", "left").join(clips, "device", "left")
+    notes = F.array_compact(F.array(
+        F.when(F.col("ledger") > 0, F.concat(F.lit("ledger tail of "), F.col("ledger").cast("string"), F.lit(" bytes set aside"))),
+        F.when(F.col("gaps") > 0, F.concat(F.lit("gap log tail of "), F.col("gaps").cast("string"), F.lit(" bytes set aside"))),
+        F.when(F.col("clips") > 0, F.concat(F.col("clips").cast("string"), F.lit(" unsealed clips set aside"))),
+    ))
+    j = j.withColumn("__notes", notes)
+    clean = F.coalesce(F.col("state") == "stopped", F.lit(False)) & (F.size("__notes") == 0)
+    lead = F.when(F.col("state").isNull(), "no run marker").otherwise("no clean shutdown")
+    start = F.when(clean, F.coalesce("stopped_at", "last_sealed", "at")).otherwise(F.coalesce(F.greatest("last_alive", "last_sealed"), "at"))
+    reason = F.when(clean, "restart after a clean shutdown").otherwise(F.array_join(F.concat(F.array(lead), F.col("__notes")), "; "))
+    known = F.col("state").isNotNull() | (F.coalesce("last_n", F.lit(0)) > 0) | (F.size("__notes") > 0)
+    return j.filter(known).select("device", "boot", F.when(clean, "restart").otherwise("power loss").alias("kind"), F.least(start, "at").alias("start"), F.col("at").alias("end"), F.coalesce("last_n", F.lit(0)).cast("long").alias("after_n"), reason.alias("reason"))
+
+
+def log_gaps(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows (device, GAP_FIELDS, n, prev_block_hash, block_hash) that the gap log lacks: those of boots it does not have
+    yet, chained on to each device's last gap. So a recovery that is run again, wherever it was stopped, adds nothing twice."""
+    fresh = new.join(log.select("device", "boot"), ["device", "boot"], "left_anti")
+    heads = log.groupBy("device").agg(F.max("n").alias("head_n"), F.max_by("block_hash", "n").alias("head_hash"))
+    return chained(fresh, ["device"], ["end", "boot"], GAP_FIELDS, "gap/1", heads)
+
+
+def publish_roots(roots: DataFrame, path: str, most: int = 10_000) -> DataFrame:
+    """day, root, status: each day's root (day, root) written once to its own file below `path`, a store or its mirror.
+
+    sealed: written now. held: the file has the same root. conflict: it has another one, which stays. A file appears whole,
+    by a rename that does not overwrite, so of two writers one finds the other's. A call takes `most` days at most.
+    """
+    spark = roots.sparkSession
+    rows = roots.select(F.col("day").cast("string").alias("day"), "root").orderBy("day").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{most} days at most")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs
+    folder = files.Path(path)
+    fs = folder.getFileSystem(conf)
+    fs.mkdirs(folder)
+    context = files.FileContext.getFileContext(fs.getUri(), conf)
+    none = spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+    none[0] = files.Options.Rename.NONE
+    out = []
+    for r in rows:
+        place, draft = files.Path(folder, r["day"]), files.Path(folder, f".{r['day']}-{uuid.uuid4().hex}")
+        if not fs.exists(place):
+            stream = fs.create(draft, False)
+            stream.write(bytearray(r["root"].encode()))
+            stream.close()
+            try:
+                context.rename(draft, place, none)
+                out.append((r["day"], r["root"], "sealed"))
+                continue
+            except Py4JJavaError as error:  # another writer was first
+                if "FileAlreadyExists" not in str(error.java_exception):
+                    raise
+                fs.delete(draft, False)
+        held = spark.read.text(str(place.toString())).first()
+        out.append((r["day"], r["root"], "held" if held is not None and held[0] == r["root"] else "conflict"))
+    return spark.createDataFrame(out, "day string, root string, status string")
+
+
 def seal_days(sealed: DataFrame, roots: DataFrame) -> DataFrame:
     """Roots of days that are not sealed yet: a day is sealed once."""
     return roots.join(sealed.select("day"), "day", "left_anti")

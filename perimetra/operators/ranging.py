@@ -30,12 +30,19 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, max
     return both.filter("__is").withColumn(value, F.when(fresh, F.col("__last"))).drop("__is", "__v", "__vt", "__last", "__at")
 
 
-def empty_windows(rows: DataFrame, keys: Sequence[str], margin: int = 0) -> DataFrame:
-    """Stretches of units (column unit) without rows, between units with rows: start (first empty), end (next busy), size; shortened by a margin on both sides."""
-    busy = rows.select(*keys, "unit").distinct()
-    nxt = F.lead("unit").over(Window.partitionBy(*keys).orderBy("unit"))
-    gaps = busy.withColumn("end", nxt - margin).withColumn("start", F.col("unit") + 1 + margin)
-    return gaps.withColumn("size", F.col("end") - F.col("start")).filter("size > 0").select(*keys, "start", "end", "size")
+def empty_windows(rows: DataFrame, keys: Sequence[str], spans: DataFrame, margin: int = 0) -> DataFrame:
+    """Stretches of units (column unit) without rows: keys, start (first empty), end (first that is not), size.
+
+    spans: keys, first, last: the units that a key could have rows in. Stretches before the first row, after the last and of
+    keys without rows come out too. Units within `margin` of one with rows are not empty.
+    """
+    busy = rows.select(*keys, "unit").distinct().join(spans, list(keys)).select(*keys, (F.col("unit") - margin).alias("low"), (F.col("unit") + margin).alias("high"), "first", "last")
+    before = spans.select(*keys, (F.col("first") - 1).alias("low"), (F.col("first") - 1).alias("high"), "first", "last")
+    after = spans.select(*keys, (F.col("last") + 1).alias("low"), (F.col("last") + 1).alias("high"), "first", "last")
+    order = Window.partitionBy(*keys).orderBy("low", "high")
+    past = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    stretch = busy.unionByName(before).unionByName(after).withColumn("start", F.greatest(past + 1, F.col("first"))).withColumn("end", F.least(F.col("low"), F.col("last") + 1))
+    return stretch.withColumn("size", F.col("end") - F.col("start")).filter("size > 0").select(*keys, "start", "end", "size")
 
 
 def run_start(rows: DataFrame, condition: Column, keys: Sequence[str]) -> DataFrame:

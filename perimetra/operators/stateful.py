@@ -386,6 +386,46 @@ def nms(boxes: DataFrame, by: Sequence[str], iou: float = 0.5, most: int = 300)
     return batch(ranked, by, partial(Suppress, iou, most), ("__minus", "id", "x1", "y1", "x2", "y2"))
 
 
+class SuppressGrid:
+    """`Suppress` for several overlap limits in one pass: each box with those under which it stays.
+
+    A box's bit for a limit is lost to any better box that has the bit and overlaps it by more than the limit. As limits
+    ascend, an overlap takes the lowest so many bits.
+    """
+
+    columns = ("id", "x1", "y1", "x2", "y2", "score")
+    output = "id long, x1 double, y1 double, x2 double, y2 double, score double, limits array<double>"
+
+    def __init__(self, limits: Sequence[float], most: int = 300) -> None:
+        self.limits, self.most = sorted(limits), most
+        self.kept: list[tuple] = []
+        self.count = [0] * len(self.limits)
+
+    def step(self, row: tuple) -> Iterator[tuple]:
+        _, x1, y1, x2, y2, _ = row
+        area = max(x2 - x1, 0.0) * max(y2 - y1, 0.0)
+        bits = sum(1 << k for k, n in enumerate(self.count) if n < self.most)
+        for a1, b1, a2, b2, other, own in self.kept:
+            common = max(min(x2, a2) - max(x1, a1), 0.0) * max(min(y2, b2) - max(y1, b1), 0.0)
+            union = max(area + other - common, 1e-12)
+            passed = sum(common > limit * union + TIE for limit in self.limits) if common > 0 else 0
+            bits &= ~(own & ((1 << passed) - 1))
+            if not bits:
+                return
+        self.kept.append((x1, y1, x2, y2, area, bits))
+        held = [k for k in range(len(self.limits)) if bits >> k & 1]
+        for k in held:
+            self.count[k] += 1
+        if held:
+            yield (*row, [self.limits[k] for k in held])
+
+
+def nms_grid(boxes: DataFrame, by: Sequence[str], limits: Sequence[float], most: int = 300) -> DataFrame:
+    """Each box (id, x1, y1, x2, y2, score) that is kept under some limit, with `limits`, all those under which `nms` keeps it."""
+    ranked = boxes.withColumn("id", F.col("id").cast("long")).withColumn("__minus", -F.col("score"))
+    return batch(ranked, by, partial(SuppressGrid, tuple(limits), most), ("__minus", "id", "x1", "y1", "x2", "y2"))
+
+
 class Dismissals:
     """A camera's baseline after each dismissal: wrong-direction ones turn the heading, loitering ones move the dwell, by `rate`."""
 

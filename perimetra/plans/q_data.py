@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from perimetra.functions import geometry as g
-from perimetra.operators import datasets, gates
+from perimetra.operators import datasets, gates, windows
 from perimetra.plans.bind import table
 from perimetra.plans.registry import query
 
@@ -15,10 +15,10 @@ from perimetra.plans.registry import query
 BOXES_SQL = "bx AS (SELECT l_orderkey AS image, l_linenumber AS box, l_quantity * 3.0 AS x1, (l_partkey % 150)::DOUBLE AS y1, l_quantity * 3.0 + 10.0 + l_discount * 200.0 AS x2, (l_partkey % 150) + 12.0 + l_tax * 300.0 AS y2, l_returnflag AS class_name, l_suppkey FROM lineitem)"
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boxes(spark: SparkSession, sf_dir: str, *more: F.Column) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     x, y = F.col("l_quantity") * 3.0, (F.col("l_partkey") % 150).cast("double")
-    return l.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box"), x.alias("x1"), y.alias("y1"), (x + 10.0 + F.col("l_discount") * 200.0).alias("x2"), (y + 12.0 + F.col("l_tax") * 300.0).alias("y2"), F.col("l_returnflag").alias("class_name"))
+    return l.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box"), x.alias("x1"), y.alias("y1"), (x + 10.0 + F.col("l_discount") * 200.0).alias("x2"), (y + 12.0 + F.col("l_tax") * 300.0).alias("y2"), F.col("l_returnflag").alias("class_name"), *more)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,3 +193,52 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = records.filter("tile is null and split = 'val'").orderBy("image").limit(280).select("image")
     found = gates.all_gates(records, boxes, hard, "another digest", skipped=[("G17", "plates", "out of scope")])
     return found.select("gate", F.round("observed", 6).alias("observed"), "result")
+
+
+_PASSES_SQL = f"""{BOXES_SQL.replace("bx AS (SELECT", "bx AS (SELECT DISTINCT (l_partkey * 10000 + l_suppkey) * 10 + l_linenumber AS key,")}, win AS (SELECT * FROM (VALUES (1, 0.0, 0.0, 120.0, 120.0), (2, 80.0, 0.0, 200.0, 120.0), (3, 0.0, 80.0, 120.0, 200.0), (4, 80.0, 80.0, 200.0, 200.0)) v(w, wx1, wy1, wx2, wy2)),
+det AS (SELECT image, key * 10 AS id, class_name AS cls, ((image * 31 + box * 17) % 1000) / 1000.0::DOUBLE AS score, x1, y1, x2, y2, false AS windowed, false AS cut FROM bx
+  UNION ALL SELECT image, key * 10 + w, class_name, ((image * 13 + box * 29 + w * 7) % 1000) / 1000.0::DOUBLE, greatest(x1, wx1), greatest(y1, wy1), least(x2, wx2), least(y2, wy2), true,
+    (wx1 > 0 AND greatest(x1, wx1) <= wx1 + 4) OR (wx2 < 200 AND least(x2, wx2) >= wx2 - 4) OR (wy1 > 0 AND greatest(y1, wy1) <= wy1 + 4) OR (wy2 < 200 AND least(y2, wy2) >= wy2 - 4) FROM bx, win WHERE least(x2, wx2) > greatest(x1, wx1) AND least(y2, wy2) > greatest(y1, wy1)),
+fine AS (SELECT * FROM det WHERE score >= CASE WHEN windowed THEN 0.4 ELSE 0.25 END AND x2 - x1 >= 2 AND y2 - y1 >= 2),
+alive AS (SELECT * FROM fine t WHERE NOT (cut AND EXISTS (SELECT 1 FROM fine o WHERE o.image = t.image AND o.cls = t.cls AND NOT o.cut AND greatest(least(t.x2, o.x2) - greatest(t.x1, o.x1), 0) * greatest(least(t.y2, o.y2) - greatest(t.y1, o.y1), 0) >= 0.5 * ((t.x2 - t.x1) * (t.y2 - t.y1))))),
+r AS (SELECT *, row_number() OVER (PARTITION BY image, cls ORDER BY score DESC, id, x1, y1, x2, y2) AS rn FROM alive),
+s AS (SELECT image, cls, rn, id, windowed, score, true AS stays, [struct_pack(a := x1, b := y1, c := x2, d := y2)] AS kept FROM r WHERE rn = 1
+  UNION ALL SELECT image, cls, rn, id, windowed, score, stays, CASE WHEN stays THEN list_append(kept, struct_pack(a := x1, b := y1, c := x2, d := y2)) ELSE kept END FROM (
+    SELECT r.*, s.kept, len(list_filter(s.kept, lambda k: greatest(least(r.x2, k.c) - greatest(r.x1, k.a), 0) * greatest(least(r.y2, k.d) - greatest(r.y1, k.b), 0)
+      > 0.5 * greatest((r.x2 - r.x1) * (r.y2 - r.y1) + (k.c - k.a) * (k.d - k.b) - greatest(least(r.x2, k.c) - greatest(r.x1, k.a), 0) * greatest(least(r.y2, k.d) - greatest(r.y1, k.b), 0), 1e-12) + 1e-9)) = 0 AS stays
+    FROM s JOIN r ON r.image = s.image AND r.cls = s.cls AND r.rn = s.rn + 1))"""
+
+
+@query(f"WITH RECURSIVE {_PASSES_SQL} SELECT image, CAST(id AS BIGINT) AS id, cls, score, windowed FROM s WHERE stays QUALIFY row_number() OVER (PARTITION BY image ORDER BY score DESC, id) <= 300")
+def window_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections over a frame and over four overlapping windows of it, which cut some of them, as one set."""
+    key = ((F.col("l_partkey") * 10000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("key")
+    b = boxes(spark, sf_dir, key).distinct()
+    whole = b.select("image", (F.col("key") * 10).alias("id"), F.col("class_name").alias("cls"), (F.col("image") * 31 + F.col("box") * 17).alias("n"), "x1", "y1", "x2", "y2", F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("window"))
+    parts = [F.struct(F.lit(k + 1).alias("w"), F.struct(*[F.lit(float(v)).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), w, strict=True)]).alias("at")) for k, w in enumerate(windows.cover(200, 200, 120, 0.2))]
+    seen = b.withColumn("p", F.explode(F.array(*parts))).select(
+        "image", (F.col("key") * 10 + F.col("p.w")).alias("id"), F.col("class_name").alias("cls"), (F.col("image") * 13 + F.col("box") * 29 + F.col("p.w") * 7).alias("n"),
+        F.greatest("x1", "p.at.x1").alias("x1"), F.greatest("y1", "p.at.y1").alias("y1"), F.least("x2", "p.at.x2").alias("x2"), F.least("y2", "p.at.y2").alias("y2"), F.col("p.at").alias("window"),
+    ).filter("x2 > x1 and y2 > y1")
+    detections = whole.unionByName(seen).withColumn("score", F.col("n") % 1000 / 1000.0)
+    return windows.merged(detections, 200, 200, 0.25, 0.4).select("image", "id", "cls", "score", "windowed")
+
+
+@query("""WITH d AS (SELECT 's' || CAST(doc_id % 4 AS VARCHAR) AS source, 's' || CAST(doc_id % 4 AS VARCHAR) || '/' || CAST((doc_id // 4) % 37 AS VARCHAR) AS sequence_key, CASE (doc_id // 4) % 37 % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS official, doc_id FROM documents),
+q AS (SELECT source, sequence_key, count(*) AS n, list_sort(list(DISTINCT CASE WHEN doc_id % 400 = 2 THEN 'other' ELSE official END)) AS officials FROM d GROUP BY 1, 2),
+a AS (SELECT *, source || ':' || sequence_key AS k, CASE source WHEN 's0' THEN officials = ['train'] WHEN 's1' THEN true ELSE false END AS pool, CASE source WHEN 's0' THEN 0.25::DOUBLE WHEN 's1' THEN 0.2::DOUBLE END AS share FROM q),
+b AS (SELECT *, pool AND coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < share * sum(n) OVER (PARTITION BY source, pool) AS to_val FROM a WINDOW w AS (PARTITION BY source, pool ORDER BY sha256('policies-to_val:' || k), k)),
+c AS (SELECT *, source = 's1' AND NOT to_val AS pool2 FROM b),
+e AS (SELECT *, pool2 AND coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.3::DOUBLE / (1 - 0.2::DOUBLE) * sum(n) OVER (PARTITION BY source, pool2) AS to_test FROM c WINDOW w AS (PARTITION BY source, pool2 ORDER BY sha256('policies-to_test:' || k), k)),
+f AS (SELECT *, CASE WHEN source = 's3' THEN 'no policy' WHEN source <> 's1' AND len(officials) <> 1 THEN 'spans official splits' WHEN source = 's2' AND officials[1] = 'test' THEN 'unrouted' END AS problem FROM e)
+SELECT source, sequence_key, n, problem, CASE WHEN problem IS NOT NULL THEN NULL WHEN to_val THEN 'val' WHEN to_test THEN 'test' WHEN source = 's1' THEN 'train' ELSE officials[1] END AS split FROM f""")
+def split_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sources: official with a share carved for val, carved anew, official without a place for its test, and one
+    without a policy; some sequences span official splits."""
+    group = F.floor(F.col("doc_id") / 4) % 37
+    source = F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string"))
+    official = F.when(F.col("doc_id") % 400 == 2, "other").when(group % 3 == 0, "train").when(group % 3 == 1, "val").otherwise("test")
+    rows = table(spark, sf_dir, "documents").select(source.alias("source"), F.concat_ws("/", source, group.cast("string")).alias("sequence_key"), official.alias("official"))
+    same = {name: name for name in ("train", "val", "test")}
+    policies = {"s0": datasets.SplitPolicy("official", same, ("train", 0.25)), "s1": datasets.SplitPolicy("resplit", val=0.2, test=0.3), "s2": datasets.SplitPolicy("official", {"train": "train", "val": "val"})}
+    return datasets.split_by_policy(rows, policies, "policies")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perimetra.functions import stats
-from perimetra.operators import evaluation
+from perimetra.operators import evaluation, stateful
 from perimetra.plans.bind import POINTS_SQL, settled, table, track_points
 from perimetra.plans.registry import query
 
@@ -84,6 +84,54 @@ def f1_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.best_f1(evaluation.at_thresholds(matched, gt, _GRID)).select("cls", "threshold", F.round("f1", 6).alias("f1"))
 
 
+_LIMITS = (0.1, 0.2, 0.3, 0.45)
+_KEPT_SQL = f"""base AS (SELECT l_orderkey % 3000 AS image, l_returnflag AS cls, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_quantity * 1.5 AS x1, (l_partkey % 60)::DOUBLE AS y1, l_quantity * 1.5 + 20.0 AS x2, (l_partkey % 60) + 30.0 AS y2, l_partkey, l_suppkey, l_linenumber FROM lineitem),
+gt AS (SELECT image, cls, id AS gt_id, x1, y1, x2, y2 FROM base WHERE l_linenumber <= 6),
+pred AS (SELECT image, cls, id AS pred_id, ((l_partkey * 37 + l_suppkey * 11) % 1000) / 1000.0::DOUBLE AS conf, x1 + (l_partkey % 9) AS x1, y1 + (l_suppkey % 7) AS y1, x2 + (l_partkey % 9) AS x2, y2 + (l_suppkey % 7) AS y2 FROM base WHERE l_linenumber >= 2),
+lim AS (SELECT unnest([0.1, 0.2, 0.3, 0.45]::DOUBLE[]) AS lim), pr AS (SELECT pred.*, lim, row_number() OVER (PARTITION BY image, cls, lim ORDER BY conf DESC, pred_id, x1, y1, x2, y2) AS rn FROM pred, lim),
+s AS (SELECT image, cls, lim, rn, pred_id, conf, x1, y1, x2, y2, true AS stays, [struct_pack(a := x1, b := y1, c := x2, d := y2)] AS kept FROM pr WHERE rn = 1
+  UNION ALL SELECT image, cls, lim, rn, pred_id, conf, x1, y1, x2, y2, stays, CASE WHEN stays THEN list_append(kept, struct_pack(a := x1, b := y1, c := x2, d := y2)) ELSE kept END FROM (
+    SELECT pr.*, s.kept, len(list_filter(s.kept, lambda k: greatest(least(pr.x2, k.c) - greatest(pr.x1, k.a), 0) * greatest(least(pr.y2, k.d) - greatest(pr.y1, k.b), 0)
+      > pr.lim * greatest((pr.x2 - pr.x1) * (pr.y2 - pr.y1) + (k.c - k.a) * (k.d - k.b) - greatest(least(pr.x2, k.c) - greatest(pr.x1, k.a), 0) * greatest(least(pr.y2, k.d) - greatest(pr.y1, k.b), 0), 1e-12) + 1e-9)) = 0 AS stays
+    FROM s JOIN pr ON pr.image = s.image AND pr.cls = s.cls AND pr.lim = s.lim AND pr.rn = s.rn + 1))"""
+_POINTS_SQL = f"""{_KEPT_SQL}, p AS (SELECT * FROM s WHERE stays), pairs AS (SELECT p.lim, p.image, p.cls, p.pred_id, p.conf, g.gt_id, greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1), 0) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1), 0) AS common, (p.x2 - p.x1) * (p.y2 - p.y1) AS ap, (g.x2 - g.x1) * (g.y2 - g.y1) AS ag FROM p JOIN gt g ON p.image = g.image AND p.cls = g.cls),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY lim, image, cls, pred_id ORDER BY common / (ap + ag - common) DESC, gt_id) AS r1 FROM pairs WHERE common / (ap + ag - common) >= 0.5),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY lim, image, cls, gt_id ORDER BY conf DESC, pred_id) AS r2 FROM b1 WHERE r1 = 1),
+m AS (SELECT p.lim, p.cls, p.conf, b.gt_id FROM p LEFT JOIN (SELECT * FROM b2 WHERE r2 = 1) b USING (lim, image, cls, pred_id)), n AS (SELECT cls, count(*) AS n_gt FROM gt GROUP BY cls), grid AS (SELECT k / 20.0::DOUBLE AS threshold FROM range(20) r(k)),
+c AS (SELECT cls, lim, threshold, n_gt, count(gt_id) AS tp, count(*) - count(gt_id) AS fp FROM m JOIN n USING (cls), grid WHERE conf >= threshold GROUP BY 1, 2, 3, 4),
+g AS (SELECT cls, lim AS "limit", threshold, n_gt, tp, fp, n_gt - tp AS fn, tp / (tp + fp) AS precision, tp / n_gt AS recall, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / n_gt) / (tp / (tp + fp) + tp / n_gt) ELSE 0 END AS f1, fp / 3000.0::DOUBLE AS fp_per_frame FROM c)"""
+
+
+def _crowded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ground truth and predictions, some of which overlap, of 3,000 frames."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    x, y = F.col("l_quantity") * 1.5, (F.col("l_partkey") % 60).cast("double")
+    key = (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).cast("long")
+    image = (F.col("l_orderkey") % 3000).alias("image")
+    gt = l.filter("l_linenumber <= 6").select(image, F.col("l_returnflag").alias("cls"), key.alias("gt_id"), x.alias("x1"), y.alias("y1"), (x + 20.0).alias("x2"), (y + 30.0).alias("y2"))
+    dx, dy = F.col("l_partkey") % 9, F.col("l_suppkey") % 7
+    conf = ((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 1000) / 1000.0
+    return gt, l.filter("l_linenumber >= 2").select(image, F.col("l_returnflag").alias("cls"), key.alias("pred_id"), conf.alias("conf"), (x + dx).alias("x1"), (y + dy).alias("y1"), (x + 20.0 + dx).alias("x2"), (y + 30.0 + dy).alias("y2"))
+
+
+@query(f"WITH RECURSIVE {_KEPT_SQL} SELECT image, cls, pred_id, array_to_string(list_sort(list(lim)), ',') AS limits FROM s WHERE stays GROUP BY 1, 2, 3")
+def nms_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap limits under which suppression keeps each prediction, in one pass."""
+    pred = _crowded(spark, sf_dir)[1].withColumnsRenamed({"pred_id": "id", "conf": "score"})
+    return stateful.nms_grid(pred, ["image", "cls"], _LIMITS).select("image", "cls", F.col("id").alias("pred_id"), F.array_join(F.transform("limits", lambda v: v.cast("string")), ",").alias("limits"))
+
+
+@query(f"""WITH RECURSIVE {_POINTS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY round(f1, 9) DESC, fp_per_frame, "limit", threshold) AS k FROM g)
+SELECT cls, "limit", threshold, n_gt, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(fp_per_frame, 6) AS fp_per_frame FROM k WHERE k = 1""")
+def grid_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confidence and suppression limit with the largest f1 of each class; of equals the fewest false positives, the
+    smallest limit, the smallest confidence."""
+    gt, pred = _crowded(spark, sf_dir)
+    points = evaluation.limit_grid(gt, pred, _LIMITS, _GRID, 3000)
+    best = evaluation.best_point(points, [-F.round("f1", 9), F.col("fp_per_frame"), F.col("limit"), F.col("threshold")])
+    return best.select("cls", "limit", "threshold", "n_gt", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "fp_per_frame")])
+
+
 @query(f"""WITH {_AT_SQL}, cut AS (SELECT cls, CASE cls WHEN 'A' THEN 0.02::DOUBLE WHEN 'N' THEN 0.0025::DOUBLE ELSE 0.00001::DOUBLE END AS allowed FROM (SELECT DISTINCT cls FROM ff)),
 lv AS (SELECT ff.*, allowed * 15000 AS most, allowed, CASE WHEN fp > allowed * 15000 + 1e-9 THEN 0 WHEN fp = 0 AND 3.0 <= allowed * 15000 THEN 2
   WHEN fp > 0 AND list_sum(list_transform(range(CAST(fp AS BIGINT) + 1), lambda i: exp(-(allowed * 15000) + i * ln(allowed * 15000) - lgamma(i + 1)))) <= 0.05 THEN 2 ELSE 1 END AS level FROM ff JOIN cut USING (cls)),

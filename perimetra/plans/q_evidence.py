@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perimetra.operators import evidence
-from perimetra.plans.bind import POINTS_SQL, table, track_points
+from perimetra.plans.bind import POINTS_SQL, settled, table, track_points
 from perimetra.plans.registry import query
 
 _FIELDS = ("id", "status", "sealed_at")
@@ -79,6 +79,58 @@ def merkle_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.merkle_root(_leaves(spark, sf_dir), ["chain"], "duplicate")
 
 
+_PROOF_SQL = _tree_sql("promote", "SELECT strftime(o_orderdate, '%Y-%m') AS g, o_orderkey AS place, CAST(o_orderkey AS VARCHAR) AS content FROM orders", 11)
+_SIDES_SQL = " UNION ALL ".join(f"SELECT l0.g, l0.place AS index, {k} AS k, lower(hex(s.h)) AS h FROM l0 JOIN l{k} s ON s.g = l0.g AND s.place = xor(l0.place >> {k}, 1)" for k in range(11))
+
+
+@query(f"""WITH {_PROOF_SQL}, sides AS ({_SIDES_SQL}), proofs AS (SELECT g, index, string_agg(h, ',' ORDER BY k) AS proof FROM sides GROUP BY 1, 2)
+SELECT l0.g AS month, l0.place AS index, leaves, root, coalesce(proof, '') AS proof, true AS stands, false AS stands_changed FROM l0 JOIN roots USING (g) LEFT JOIN proofs p ON p.g = l0.g AND p.index = l0.place""")
+def inclusion_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every order in its month's tree; all stand, and none does for another leaf."""
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderkey").alias("place"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"))
+    made = evidence.inclusion_proofs(o, ["month"])
+    checked = made.withColumn("stands", evidence.proven(made))
+    other = checked.withColumn("hash", F.sha2("hash", 256))
+    return other.withColumn("stands_changed", evidence.proven(other)).select("month", "index", "leaves", "root", F.array_join("proof", ",").alias("proof"), "stands", "stands_changed")
+
+
+#: Cameras as devices: each has started once or twice, some after a clean stop, some with clips or torn lines left.
+_BOOTS_SQL = f"""{POINTS_SQL}, last AS (SELECT track_id AS device, max(t) AS t, arg_max(class_name, t) AS c, count(*) AS n FROM pts GROUP BY 1),
+boots AS (SELECT device, 1 AS boot, floor(t) + 1000 AS began FROM last UNION ALL SELECT -device - 1, 1, floor(t) - 500.0 FROM last WHERE device % 3 = 0),
+st AS (SELECT b.device, boot, began, CASE WHEN b.device < 0 OR b.device % 10 = 4 THEN NULL WHEN c IN ('purchase', 'view') THEN 'stopped' ELSE 'running' END AS state, floor(t) AS alive, CASE WHEN b.device % 4 = 1 THEN NULL ELSE n END AS last_n, CASE WHEN b.device % 4 = 1 THEN NULL ELSE floor(t) + CASE WHEN b.device % 5 = 0 THEN 5000 ELSE 60 END END AS sealed,
+  CASE WHEN b.device % 7 = 2 THEN 40 + b.device END AS tail, CASE WHEN b.device % 9 = 5 THEN 1 + b.device % 3 END AS clips FROM boots b LEFT JOIN last l ON l.device = b.device),
+nt AS (SELECT *, list_filter([CASE WHEN tail > 0 THEN 'ledger tail of ' || CAST(tail AS VARCHAR) || ' bytes set aside' END, CASE WHEN clips > 0 THEN CAST(clips AS VARCHAR) || ' unsealed clips set aside' END], lambda x: x IS NOT NULL) AS notes FROM st),
+gp AS (SELECT *, coalesce(state = 'stopped', false) AND len(notes) = 0 AS clean FROM nt WHERE state IS NOT NULL OR coalesce(last_n, 0) > 0 OR len(notes) > 0),
+gaps AS (SELECT device, boot, CASE WHEN clean THEN 'restart' ELSE 'power loss' END AS kind, least(CASE WHEN clean THEN alive + 30 ELSE coalesce(greatest(CASE WHEN state IS NOT NULL THEN alive END, sealed), began) END, began) AS start, began AS "end", CAST(coalesce(last_n, 0) AS BIGINT) AS after_n,
+  CASE WHEN clean THEN 'restart after a clean shutdown' ELSE array_to_string(list_prepend(CASE WHEN state IS NULL THEN 'no run marker' ELSE 'no clean shutdown' END, notes), '; ') END AS reason FROM gp)"""
+_GAP_BODY = "'gap/1' || chr(10) || 'boot=' || CAST(boot AS VARCHAR) || chr(10) || 'kind=' || kind || chr(10) || 'start=' || CAST(CAST(start AS BIGINT) AS VARCHAR) || chr(10) || 'end=' || CAST(CAST(\"end\" AS BIGINT) AS VARCHAR) || chr(10) || 'after_n=' || CAST(after_n AS VARCHAR) || chr(10) || 'reason=' || reason || chr(10) || 'prev=' || {prev} || chr(10)"
+
+
+@query(f"""WITH {_BOOTS_SQL}, one AS (SELECT *, sha256({_GAP_BODY.format(prev="repeat('0', 64)")}) AS h1 FROM gaps), two AS (SELECT device, 2 AS boot, 'restart' AS kind, "end" + 50 AS start, "end" + 90 AS "end", after_n, 'restart after a clean shutdown' AS reason, h1 FROM one WHERE device % 2 = 0)
+SELECT device, boot, kind, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", after_n, reason, 1 AS n, repeat('0', 64) AS prev_block_hash, h1 AS block_hash FROM one
+UNION ALL SELECT device, boot, kind, CAST(start AS BIGINT), CAST("end" AS BIGINT), after_n, reason, 2, h1, sha256({_GAP_BODY.format(prev="h1")}) FROM two""")
+def restart_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps that devices log as they start: of their run markers, ledger heads, pending clips and torn lines. The first
+    start's recovery is run twice, as after a kill; some devices then stop cleanly and start again."""
+    last = settled(track_points(spark, sf_dir).groupBy(F.col("track_id").alias("device")).agg(F.max("t").alias("t"), F.max_by("class_name", "t").alias("c"), F.count(F.lit(1)).alias("n")))
+    at = F.floor("t")
+    known = last.select("device", (at + 1000).alias("at")).unionByName(last.filter("device % 3 = 0").select((-F.col("device") - 1).alias("device"), (at - 500).alias("at")))
+    boots = known.select("device", F.lit(1).alias("boot"), "at")
+    stopped = F.col("c").isin("purchase", "view")
+    markers = last.filter("device % 10 <> 4").select("device", F.when(stopped, "stopped").otherwise("running").alias("state"), at.alias("last_alive"), F.when(stopped, at + 30).alias("stopped_at"))
+    heads = last.filter("device % 4 <> 1").select("device", F.col("n").alias("last_n"), (at + F.when(F.col("device") % 5 == 0, 5000).otherwise(60)).alias("last_sealed"))
+    torn = boots.filter("device % 7 = 2").select("device", F.lit("ledger").alias("log"), (40 + F.col("device")).alias("bytes"))
+    pending = boots.filter("device % 9 = 5").select("device", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("device") % 3)).alias("clip"))
+    first = evidence.recovered(boots, markers, heads, pending, torn)
+    empty = spark.createDataFrame([], "device long, boot int, kind string, start long, end long, after_n long, reason string, n long, prev_block_hash string, block_hash string")
+    log = settled(evidence.log_gaps(empty, first).select(empty.columns))
+    log = settled(log.unionByName(evidence.log_gaps(log, first).select(empty.columns)))  # again: nothing is added
+    again = log.filter("device % 2 = 0").select("device", F.lit(2).alias("boot"), (F.col("end") + 90).alias("at"))
+    clean = log.filter("device % 2 = 0").select("device", F.lit("stopped").alias("state"), F.col("end").alias("last_alive"), (F.col("end") + 50).alias("stopped_at"))
+    second = evidence.recovered(again, clean, log.select("device", F.col("after_n").alias("last_n"), F.col("end").alias("last_sealed")), pending.limit(0), torn.limit(0))
+    return log.unionByName(evidence.log_gaps(log, second).select(empty.columns)).withColumn("n", F.col("n").cast("int"))
+
+
 _DAYS_SQL = """SELECT 'a' || strftime(o_orderdate, '%Y-%m-%d') AS g, o_orderkey AS place, CAST(o_orderkey AS VARCHAR) AS content FROM orders WHERE EXTRACT(day FROM o_orderdate) <> 3
 UNION ALL SELECT 'b' || strftime(o_orderdate, '%Y-%m-%d'), o_orderkey, CASE WHEN EXTRACT(day FROM o_orderdate) = 9 AND o_orderkey % 2 = 0 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END FROM orders WHERE EXTRACT(day FROM o_orderdate) <> 4
 UNION ALL SELECT 'c' || strftime(o_orderdate, '%Y-%m-%d'), o_orderkey, CASE WHEN EXTRACT(day FROM o_orderdate) = 15 AND o_orderkey % 2 = 0 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END FROM orders WHERE EXTRACT(day FROM o_orderdate) <> 21"""

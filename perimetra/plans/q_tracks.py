@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from perimetra.functions import geometry as g
 from perimetra.functions import timeutil
 from perimetra.operators import grouping, ranging, tracks
-from perimetra.plans.bind import POINTS_SQL, TRACK, track_points
+from perimetra.plans.bind import POINTS_SQL, TRACK, cameras, track_points
 from perimetra.plans.registry import query
 
 DWELL, NET, MOVE = 6 * 3600.0, 10.0, 40.0
@@ -201,11 +201,16 @@ def keyframe_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_points(spark, sf_dir).select(*TRACK, "seq", n.cast("long").alias("ordinal")).filter("ordinal <= 3")
 
 
-@query(f"""WITH {POINTS_SQL}, busy AS (SELECT DISTINCT camera_id, CAST(floor(t / 3600) AS BIGINT) AS h FROM pts), gaps AS (SELECT camera_id, h, lead(h) OVER (PARTITION BY camera_id ORDER BY h) AS nxt FROM busy)
-SELECT camera_id, h + 1 AS from_hour, nxt AS to_hour, nxt - h - 1 AS hours FROM gaps WHERE nxt - h > 1""")
+@query(f"""WITH {POINTS_SQL}, span AS (SELECT c_custkey AS camera_id, (SELECT CAST(floor(min(t) / 3600) AS BIGINT) FROM pts) + c_custkey % 5 AS f, (SELECT CAST(floor(max(t) / 3600) AS BIGINT) FROM pts) AS l FROM customer WHERE c_custkey <= 8),
+hours AS (SELECT camera_id, unnest(range(f, l + 1)) AS h FROM span), busy AS (SELECT DISTINCT camera_id, CAST(floor(t / 3600) AS BIGINT) AS h FROM pts),
+free AS (SELECT * FROM hours a WHERE NOT EXISTS (SELECT 1 FROM busy b WHERE b.camera_id = a.camera_id AND abs(b.h - a.h) <= 1)), isle AS (SELECT *, h - row_number() OVER (PARTITION BY camera_id ORDER BY h) AS i FROM free)
+SELECT camera_id, min(h) AS from_hour, max(h) + 1 AS to_hour, count(*) AS hours FROM isle GROUP BY camera_id, i""")
 def empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches of whole hours in which a camera saw nothing."""
-    return ranging.empty_windows(track_points(spark, sf_dir).withColumn("unit", F.floor(F.col("t") / 3600).cast("long")), ["camera_id"]).select("camera_id", F.col("start").alias("from_hour"), F.col("end").alias("to_hour"), F.col("size").alias("hours"))
+    """Stretches of whole hours, an hour away from any point, in which a camera saw nothing; some cameras never do."""
+    hour = track_points(spark, sf_dir).select("camera_id", F.floor(F.col("t") / 3600).cast("long").alias("unit"))
+    ends = hour.agg(F.min("unit").alias("least"), F.max("unit").alias("last"))
+    spans = cameras(spark, sf_dir).filter("id <= 8").join(F.broadcast(ends)).select(F.col("id").alias("camera_id"), (F.col("least") + F.col("id") % 5).alias("first"), "last")
+    return ranging.empty_windows(hour, ["camera_id"], spans, 1).select("camera_id", F.col("start").alias("from_hour"), F.col("end").alias("to_hour"), F.col("size").alias("hours"))
 
 
 @query(f"""WITH {POINTS_SQL}, flagged AS (SELECT camera_id, seq, t, x < 20 AS low, sum(CASE WHEN x < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id ORDER BY t, seq) AS island FROM pts)
@@ -234,11 +239,13 @@ def asof_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranging.asof(points, points.filter("class_name = 'view'").select("camera_id", "t", "seq", F.col("y").alias("score")), ["camera_id"], "score", 3600.0).select("camera_id", "seq", "score")
 
 
-@query("""SELECT row_m, round(250.0 / row_m * 4, 4) AS px_per_m, CASE WHEN 1000.0 / row_m >= 250 THEN 'identification' WHEN 1000.0 / row_m >= 125 THEN 'recognition' WHEN 1000.0 / row_m >= 62 THEN 'observation' WHEN 1000.0 / row_m >= 25 THEN 'detection' ELSE 'none' END AS band FROM range(1, 101) r(row_m)""")
+@query("""WITH c AS (SELECT c_custkey AS camera_id, 200.0 + c_custkey % 1800 AS px, c_nationkey * 4.0 + 1 AS metres FROM customer)
+SELECT camera_id, metres, round(px / metres, 4) AS px_per_m, CASE WHEN px / metres >= 250 THEN 'identification' WHEN px / metres >= 125 THEN 'recognition' WHEN px / metres >= 62 THEN 'observation' WHEN px / metres >= 25 THEN 'detection' ELSE 'none' END AS band FROM c""")
 def dori_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a camera of 1000 px per metre at 1 m can tell at each metre."""
-    d = spark.range(1, 101).select(F.col("id").alias("row_m"), (1000.0 / F.col("id")).alias("px"))
-    return d.select("row_m", F.round("px", 4).alias("px_per_m"), ranging.dori_band(F.col("px")).alias("band"))
+    """What each camera can tell at the distance of its fence, from its pixels per metre at one metre."""
+    c = cameras(spark, sf_dir).select(F.col("id").alias("camera_id"), (200.0 + F.col("id") % 1800).alias("px"), (F.col("post_id") * 4.0 + 1).alias("metres"))
+    px = F.col("px") / F.col("metres")
+    return c.select("camera_id", "metres", F.round(px, 4).alias("px_per_m"), ranging.dori_band(px).alias("band"))
 
 
 @query(f"""WITH {POINTS_SQL} SELECT seq, strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS second, CAST(to_timestamp(t) AT TIME ZONE 'UTC' + INTERVAL 330 MINUTE AS DATE) AS local_day,
