@@ -290,3 +290,91 @@ def reconcile(manifest: DataFrame, listing: DataFrame, stem: Column) -> DataFram
 def ranked_reasons(rows: DataFrame, n: int = 3) -> DataFrame:
     """The n reasons that matter most: blocking first, then priority, impact and key."""
     return rows.orderBy(F.desc("blocking"), "priority", F.desc("impact"), "key").limit(n)
+
+
+#: Leading hexadecimal digits of an order's hash that make its buckets.
+ORDER_DIGITS = 4
+
+
+def first_of(rows: DataFrame, wants: DataFrame, by: Sequence[str], seed: str, key: Column, ahead: Column | None = None) -> DataFrame:
+    """The first `want` rows of each group in shuffled order, those `ahead` before the others, exactly and without a task
+    that sorts a group.
+
+    wants: by, want. Rows are counted by the leading digits of their hash; whole buckets below the cut are taken, and only
+    the rows of the bucket that holds the cut are ranked.
+    """
+    order = shuffle_key(seed, key)
+    late = F.lit(0) if ahead is None else F.when(F.coalesce(ahead, F.lit(False)), 0).otherwise(1)
+    marked = rows.withColumn("__order", order).withColumn("__bucket", F.concat(late.cast("string"), F.substring("__order", 1, ORDER_DIGITS)))
+    counts = marked.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    past = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.withColumn("__before", past).join(wants, list(by)).filter(F.col("__before") < F.col("want"))
+    near = marked.join(cut, [*by, "__bucket"])
+    whole = near.filter(F.col("__before") + F.col("__n") <= F.col("want"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy("__order", key))
+    partly = near.filter(F.col("__before") + F.col("__n") > F.col("want")).withColumn("__place", place).filter(F.col("__place") <= F.col("want")).drop("__place")
+    return whole.unionByName(partly).select(rows.columns)
+
+
+def _origins(extent: Column, tile: int, overlap: float) -> Column:
+    step = max(1, round(tile * (1 - overlap)))
+    last = extent - tile
+    return F.when(last >= 0, F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), F.array(F.greatest(last, F.lit(0))))))
+
+
+def strip_windows(frames: DataFrame, tile: int = 640, overlap: float = 0.2, top: float = 0.0, bottom: float = 0.4) -> DataFrame:
+    """The frames (width, height) with each place (ox, oy) of a tile over the strip between top and bottom, shares of the
+    height. A strip thinner than a tile has one row of them, from its top; a frame smaller than a tile, or that has no room
+    below the strip's top, has none."""
+    y1, y2 = F.floor(F.col("height") * top).cast("int"), F.floor(F.col("height") * bottom).cast("int")
+    deep = F.when(y2 - y1 < tile, F.least(F.col("height"), y1 + tile) - y1).otherwise(y2 - y1).cast("int")
+    fits = (F.col("width") >= tile) & (F.col("height") >= tile) & (deep >= tile)
+    rows = frames.filter(fits).withColumn("__oy", F.explode(_origins(deep, tile, overlap)))
+    return rows.withColumn("oy", y1 + F.col("__oy")).withColumn("ox", F.explode(_origins(F.col("width").cast("int"), tile, overlap))).drop("__oy")
+
+
+def tile_candidates(frames: DataFrame, boxes: DataFrame, tile: int = 640, overlap: float = 0.2, top: float = 0.0, bottom: float = 0.4, least_kept: float = 0.3, small_px: float = 27.0) -> DataFrame:
+    """image, modality, ox, oy, n_boxes, small: tiles over the far strip of frames (image, modality, width, height) in which
+    `least_kept` of some box (image, x1, y1, x2, y2) stays, and whether one of those is at most `small_px` high."""
+    places = strip_windows(frames, tile, overlap, top, bottom).select("image", "modality", "ox", "oy")
+    inside = F.greatest(F.least("x2", F.col("ox") + tile) - F.greatest("x1", "ox"), F.lit(0.0)) * F.greatest(F.least("y2", F.col("oy") + tile) - F.greatest("y1", "oy"), F.lit(0.0))
+    area = F.greatest((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.lit(1e-9))
+    met = places.join(boxes.select("image", "x1", "y1", "x2", "y2"), "image").filter((inside > 0) & (inside / area >= least_kept))
+    return met.groupBy("image", "modality", "ox", "oy").agg(F.count(F.lit(1)).alias("n_boxes"), F.bool_or(F.col("y2") - F.col("y1") <= small_px).alias("small"))
+
+
+def tile_plan(candidates: DataFrame, budget: int = 6000, share: float = 0.35, seed: str = "tiles", modality: str = "lwir") -> DataFrame:
+    """Of the tile candidates `budget` at most: `share` of them of `modality` and the rest of the others, each side filled up
+    by the other where it is short; tiles with small objects come first on both sides."""
+    own = F.coalesce(F.col("modality") == modality, F.lit(False))
+    marked = candidates.withColumn("__own", own)
+    have = marked.agg(F.count_if("__own").alias("own"), F.count_if(~F.col("__own")).alias("others")).first()
+    first = min(have["own"], round(budget * share))
+    others = min(have["others"], budget - first)
+    first = min(have["own"], budget - others)
+    wants = candidates.sparkSession.createDataFrame([(True, first), (False, others)], "__own boolean, want long")
+    place = F.concat_ws(":", "image", "oy", "ox")
+    return first_of(marked, wants, ["__own"], seed, place, F.col("small")).drop("__own")
+
+
+def negatives_wanted(positives: int, ratio: float) -> int:
+    """Negatives that make `ratio` of all, given the positives."""
+    return round(ratio * positives / max(1e-9, 1 - ratio))
+
+
+def filled_negatives(candidates: DataFrame, empty: DataFrame, target: int, shares: Mapping[str, float], seed: str, key: str = "image", per_frame: int = 1) -> DataFrame:
+    """`target` negatives: key, category, origin. Each category of the candidates (key, category) gets its share of the
+    target (origin quota); what some lack the others fill (redistributed); what is still missing, empty tiles do
+    (key, ox, oy; origin tile, `per_frame` of a frame at most)."""
+    spark = candidates.sparkSession
+    quotas = spark.createDataFrame([(name, round(target * share)) for name, share in sorted(shares.items())], "category string, want long")
+    chosen = first_of(candidates.select(key, "category"), quotas, ["category"], seed, F.col(key)).withColumn("origin", F.lit("quota"))
+    left = candidates.select(key, "category").join(chosen.select(key), key, "left_anti").withColumn("__all", F.lit(0))
+    missing = max(0, target - chosen.count())
+    more = first_of(left, spark.createDataFrame([(0, missing)], "__all int, want long"), ["__all"], f"{seed}-spare", F.col(key)).drop("__all").withColumn("origin", F.lit("redistributed"))
+    missing = max(0, missing - more.count())
+    place = F.concat_ws(":", key, "oy", "ox")
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(shuffle_key(f"{seed}-frame", place), place))
+    pool = empty.select(key, "ox", "oy").withColumn("__turn", turn).filter(F.col("__turn") <= per_frame).drop("__turn").withColumn("__all", F.lit(0))
+    tiles_taken = first_of(pool, spark.createDataFrame([(0, missing)], "__all int, want long"), ["__all"], f"{seed}-tiles", place).select(place.alias(key), F.lit(None).cast("string").alias("category"), F.lit("tile").alias("origin"))
+    return chosen.withColumn(key, F.col(key).cast("string")).unionByName(more.withColumn(key, F.col(key).cast("string"))).unionByName(tiles_taken)

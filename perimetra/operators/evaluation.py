@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from perimetra.functions import geometry as g
 from perimetra.functions import stats
 from perimetra.operators import stateful
+from perimetra.sources.store import settled
 
 BOX = ("x1", "y1", "x2", "y2")
 #: The ten overlaps that AP50-95 averages.
@@ -318,6 +319,33 @@ def half(key: Column) -> Column:
     return F.when(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 1), 16, 10).cast("int") % 2 == 0, "tune").otherwise("report")
 
 
+#: Share of missed events that a summary aims below.
+MISS_TARGET = 0.02
+
+
+def miss_verdict(low: Column, high: Column, n: Column, target: float = MISS_TARGET) -> Column:
+    """What the interval of a miss rate says of the target."""
+    return F.when(n == 0, "none to miss").when(high < target, "meets").when(low >= target, "fails").otherwise("not shown")
+
+
+def field_summary(truth: DataFrame, found: DataFrame, by: Sequence[str], tolerance: float, reach: float | None = None, warm: DataFrame | None = None, cls: str = "cls", target: float = MISS_TARGET) -> DataFrame:
+    """by, cls, n, detected, missed, rate, low, high, verdict and, for each group, extra: detections that match nothing.
+
+    truth: by, cls, id, t (and x, y); found: by, id, t (and x, y). Truth before its group's warm-up ended (warm: by, ready;
+    groups without a row never got ready) does not count, but what was detected does. Truth and detections are matched one
+    to one, nearest in time first. low and high are Wilson's interval of the missed share.
+    """
+    known = truth if warm is None else truth.join(warm, list(by)).filter(F.col("t") >= F.col("ready")).drop("ready")
+    taken = settled(stateful.match_nearest(known, found, by, tolerance, reach))
+    hits = taken.select(*by, F.col("truth_id").alias("id"), F.lit(1).alias("hit"))
+    counts = known.join(hits, [*by, "id"], "left").groupBy(*by, cls).agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("detected")).withColumn("missed", F.col("n") - F.col("detected"))
+    used = taken.groupBy(*by).agg(F.count(F.lit(1)).alias("used"))
+    extra = found.groupBy(*by).agg(F.count(F.lit(1)).alias("all")).join(used, list(by), "left").select(*by, (F.col("all") - F.coalesce("used", F.lit(0))).alias("extra"))
+    low, high = stats.wilson(F.col("missed"), F.col("n"))
+    rows = counts.join(extra, list(by), "left").withColumns({"rate": F.col("missed") / F.col("n"), "low": low, "high": high, "extra": F.coalesce("extra", F.lit(0))})
+    return rows.withColumn("verdict", miss_verdict(F.col("low"), F.col("high"), F.col("n"), target))
+
+
 def weighted_others(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     """Each row's value against the weighted mean of all others, and its impact."""
     all_rows = Window.partitionBy(F.lit(1))

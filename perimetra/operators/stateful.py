@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from perimetra.operators import ranging
+
 
 class Fold(Protocol):
     """State of one key. `columns` are read, `output` (DDL without the key) is what step yields.
@@ -354,6 +356,40 @@ def match_in_time(truth: DataFrame, found: DataFrame, by: Sequence[str], toleran
     return truth.select(*columns).groupBy(*by).cogroup(other.groupBy(*[f"found_{c}" for c in by])).applyInPandas(one, f"{kinds}, truth_id long, found_id long, gap double")
 
 
+class NearestPairs:
+    """Of pairs that come nearest first, those whose two sides are both still free."""
+
+    columns, output = ("truth_id", "found_id", "gap"), "truth_id long, found_id long, gap double"
+    lists: ClassVar = {"taken": "truth_id long, found_id long"}
+
+    def __init__(self) -> None:
+        self.taken: list[tuple] = []
+        self.truth, self.found = set(), set()
+
+    def step(self, row: tuple) -> Iterator[tuple]:
+        if len(self.truth) != len(self.taken):
+            self.truth, self.found = {t for t, _ in self.taken}, {f for _, f in self.taken}
+        truth, found, gap = int(row[0]), int(row[1]), row[2]
+        if truth not in self.truth and found not in self.found:
+            self.taken.append((truth, found))
+            self.truth.add(truth)
+            self.found.add(found)
+            yield truth, found, gap
+
+
+def match_nearest(truth: DataFrame, found: DataFrame, by: Sequence[str], tolerance: float, reach: float | None = None) -> DataFrame:
+    """One-to-one matches of two event lists (id, t, and with `reach` x and y): the pairs nearest in time, and within
+    `reach` of each other, are taken first; of equals the earlier truth, then the smaller ids."""
+    place = ("x", "y") if reach is not None else ()
+    left = truth.select(*by, F.col("id").cast("long").alias("truth_id"), "t", *place)
+    right = found.select(*by, F.col("id").cast("long").alias("found_id"), "t", *[F.col(c).alias(f"{c}_found") for c in place])
+    pairs = ranging.band_join(left, right, list(by), "t", tolerance)
+    if reach is not None:
+        pairs = pairs.filter(F.sqrt((F.col("x") - F.col("x_found")) ** 2 + (F.col("y") - F.col("y_found")) ** 2) <= reach)
+    near = pairs.select(*by, "truth_id", "found_id", F.abs(F.col("t_right") - F.col("t")).alias("gap"), F.col("t").alias("truth_t"))
+    return batch(near, by, NearestPairs, ("gap", "truth_t", "truth_id", "found_id"))
+
+
 #: Square pixels by which an overlap must pass the threshold, so that rounding decides no tie.
 TIE = 1e-9
 

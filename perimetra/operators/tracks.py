@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from perimetra.functions import geometry as g
 from perimetra.functions import timeutil
+from perimetra.operators import ranging
 
 KEY = ("camera_id", "track_id")
 
@@ -74,9 +75,43 @@ def fence_crossings(points: DataFrame, segments: DataFrame, key: Sequence[str] =
     return hits.withColumn("rn", first).filter("rn = 1").drop("rn", "only", "seq")
 
 
-def loitering(feats: DataFrame, dwell: float = 3.0, net: float = 90.0) -> DataFrame:
-    """Long enough, and not far enough."""
-    return feats.filter((F.col("dwell") >= dwell) & (F.col("net") < net))
+def loitering(feats: DataFrame, dwell: float = 3.0, net: float = 90.0, metres: float | None = None, homographies: DataFrame | None = None) -> DataFrame:
+    """Tracks that stayed long enough and did not get far enough: adds net_m, limit and unit.
+
+    homographies: camera_id, homography (nine numbers, row by row, from pixels to metres). Where a camera has one, net_m is
+    the way in metres by the scale at the track's first point; with `metres` it is then held against that limit, and
+    everywhere else the way in pixels against `net`.
+    """
+    if homographies is None:
+        met = feats.withColumn("net_m", F.lit(None).cast("double"))
+    else:
+        h = F.col("homography")
+        plane = [h[i] for i in range(9)]
+        x0, y0 = ranging.on_plane(plane, F.col("x0"), F.col("y0"))
+        x1, y1 = ranging.on_plane(plane, F.col("x0") + 1, F.col("y0"))
+        met = feats.join(homographies.select("camera_id", "homography"), "camera_id", "left").withColumn("net_m", F.col("net") * g.length(x1 - x0, y1 - y0)).drop("homography")
+    by_metres = F.col("net_m").isNotNull() & F.lit(metres is not None)
+    limit = F.when(by_metres, F.lit(metres).cast("double")).otherwise(F.lit(float(net)))
+    far = F.when(by_metres, F.col("net_m")).otherwise(F.col("net"))
+    held = met.withColumns({"limit": limit, "unit": F.when(by_metres, "m").otherwise("px")})
+    return held.filter((F.col("dwell") >= dwell) & (far < F.col("limit"))).select(*feats.columns, "net_m", "limit", "unit")
+
+
+def with_groups(verdicts: DataFrame, groups: DataFrame, key: Sequence[str] = KEY, name: str = "group formed") -> DataFrame:
+    """Verdicts (rule_fired, reason, n_rules) with the group rule in those of every member: a track that also did something
+    else still has one verdict.
+
+    groups: members (each the key's values joined by |), first_at, duration, as `grouping.groups` finds them; each group
+    adds a reason, the earliest first, and the rule once.
+    """
+    size = F.size("members").cast("string")
+    told = F.concat(F.lit("in a group of "), size, F.lit(" for "), F.floor("duration").cast("string"), F.lit(" s"))
+    each = groups.select(F.explode("members").alias("__member"), F.struct("first_at", F.array_join("members", ",").alias("who"), told.alias("reason")).alias("g"))
+    own = each.groupBy("__member").agg(F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda x: x["reason"]), "; ").alias("__told"))
+    met = verdicts.withColumn("__member", F.concat_ws("|", *[F.col(k).cast("string") for k in key])).join(own, "__member", "left")
+    grown = F.col("__told").isNotNull()
+    joined = lambda old, sign, new: F.when(~grown, F.col(old)).when(F.col(old) == "", new).otherwise(F.concat(F.col(old), F.lit(sign), new))
+    return met.withColumns({"rule_fired": joined("rule_fired", " + ", F.lit(name)), "reason": joined("reason", "; ", F.col("__told")), "n_rules": F.col("n_rules") + grown.cast("long")}).select(verdicts.columns)
 
 
 def learn_baseline(feats: DataFrame, min_net: float = 10.0, opposing: float = 90.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from perimetra.functions import geometry as g
 from perimetra.operators import datasets, gates, windows
-from perimetra.plans.bind import table
+from perimetra.plans.bind import settled, table
 from perimetra.plans.registry import query
 
 #: Boxes in a frame of 200 x 200 from order lines.
@@ -242,3 +242,42 @@ def split_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = {name: name for name in ("train", "val", "test")}
     policies = {"s0": datasets.SplitPolicy("official", same, ("train", 0.25)), "s1": datasets.SplitPolicy("resplit", val=0.2, test=0.3), "s2": datasets.SplitPolicy("official", {"train": "train", "val": "val"})}
     return datasets.split_by_policy(rows, policies, "policies")
+
+
+_STRIP_SQL = f"""{BOXES_SQL}, fr AS (SELECT o_orderkey AS image, CASE WHEN o_orderkey % 3 = 0 THEN 'lwir' ELSE 'visible' END AS modality, 200 + 60 * (o_orderkey % 2) AS w FROM orders),
+ox AS (SELECT w, unnest(list_distinct(list_append(range(0, w - 119, 96), w - 120))) AS ox FROM (SELECT DISTINCT w FROM fr)), oy AS (SELECT unnest([0, 40]) AS oy),
+cand AS (SELECT fr.image, modality, ox, oy, count(*) AS n_boxes, bool_or(y2 - y1 <= 16) AS small FROM fr JOIN ox USING (w) JOIN oy ON true JOIN bx ON bx.image = fr.image
+  WHERE greatest(least(x2, ox + 120) - greatest(x1, ox), 0) * greatest(least(y2, oy + 120) - greatest(y1, oy), 0) / ((x2 - x1) * (y2 - y1)) >= 0.3 AND least(x2, ox + 120) > greatest(x1, ox) AND least(y2, oy + 120) > greatest(y1, oy) GROUP BY 1, 2, 3, 4)"""
+
+
+def _strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("image"), F.when(F.col("o_orderkey") % 3 == 0, "lwir").otherwise("visible").alias("modality"), (200 + 60 * (F.col("o_orderkey") % 2)).cast("int").alias("width"), F.lit(200).alias("height"))
+
+
+@query(f"""WITH {_STRIP_SQL}, n AS (SELECT count(*) FILTER (modality = 'lwir') AS ir, count(*) FILTER (modality <> 'lwir') AS vis FROM cand), t AS (SELECT least(vis, 24000 - least(ir, 8400)) AS v, ir FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY CASE WHEN small THEN 0 ELSE 1 END, sha256('tiles:' || image || ':' || oy || ':' || ox), image || ':' || oy || ':' || ox) AS k FROM cand)
+SELECT image, modality, ox, oy, n_boxes, small FROM r, t WHERE k <= CASE modality WHEN 'lwir' THEN least(ir, 24000 - v) ELSE v END""")
+def tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24,000 tiles over the far strip, a third of them and a little more infrared, small objects first."""
+    found = datasets.tile_candidates(_strip(spark, sf_dir), boxes(spark, sf_dir), 120, 0.2, 0.0, 0.8, 0.3, 16.0)
+    return datasets.tile_plan(settled(found), 24_000, 0.35)
+
+
+@query(f"""WITH {_STRIP_SQL.split("cand AS")[0].rstrip().rstrip(",")}, free AS (SELECT fr.image, ox, oy FROM fr JOIN ox USING (w) JOIN oy ON true WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.image = fr.image AND x1 < ox + 120 AND x2 > ox AND y1 < oy + 120 AND y2 > oy)),
+cd AS (SELECT image, CASE WHEN image % 7 = 0 THEN 'animal' ELSE 'empty_road' END AS category FROM fr WHERE image % 40 = 0), want AS (SELECT * FROM (VALUES ('animal', 240), ('empty_road', 360)) t(category, want)),
+a AS (SELECT image, category, row_number() OVER (PARTITION BY category ORDER BY sha256('neg:' || image), image) AS k FROM cd), one AS (SELECT image, category FROM a JOIN want USING (category) WHERE k <= want),
+b AS (SELECT image, category, row_number() OVER (ORDER BY sha256('neg-spare:' || image), image) AS k FROM cd WHERE image NOT IN (SELECT image FROM one)), two AS (SELECT image, category FROM b WHERE k <= 600 - (SELECT count(*) FROM one)),
+p AS (SELECT image || ':' || oy || ':' || ox AS place, row_number() OVER (PARTITION BY image ORDER BY sha256('neg-frame:' || image || ':' || oy || ':' || ox), image || ':' || oy || ':' || ox) AS turn FROM free),
+c AS (SELECT place, row_number() OVER (ORDER BY sha256('neg-tiles:' || place), place) AS k FROM p WHERE turn <= 1)
+SELECT CAST(image AS VARCHAR) AS image, category, 'quota' AS origin FROM one UNION ALL SELECT CAST(image AS VARCHAR), category, 'redistributed' FROM two
+UNION ALL SELECT place, NULL, 'tile' FROM c WHERE k <= 600 - (SELECT count(*) FROM one) - (SELECT count(*) FROM two)""")
+def negative_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """600 negatives of two categories, one of which is short; empty tiles fill what frames lack."""
+    frames = _strip(spark, sf_dir)
+    places = datasets.strip_windows(frames, 120, 0.2, 0.0, 0.8)
+    b = boxes(spark, sf_dir).select(F.col("image").alias("own"), "x1", "y1", "x2", "y2")
+    touches = (F.col("image") == F.col("own")) & (F.col("x1") < F.col("ox") + 120) & (F.col("x2") > F.col("ox")) & (F.col("y1") < F.col("oy") + 120) & (F.col("y2") > F.col("oy"))
+    empty = settled(places.join(b, touches, "left_anti").select("image", "ox", "oy"))
+    candidates = frames.filter("image % 40 = 0").select("image", F.when(F.col("image") % 7 == 0, "animal").otherwise("empty_road").alias("category"))
+    return datasets.filled_negatives(candidates, empty, 600, {"animal": 0.4, "empty_road": 0.6}, "neg")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perimetra.functions import stats
-from perimetra.operators import datasets, serving
-from perimetra.plans.bind import POINTS_SQL, alerts, table, track_points
+from perimetra.operators import datasets, evaluation, serving
+from perimetra.plans.bind import POINTS_SQL, alerts, settled, table, track_points
 from perimetra.plans.registry import query
 
 _PATCH_SQL = """al AS (SELECT o_orderkey AS id, o_orderstatus AS stage, o_orderpriority AS priority, o_totalprice AS total FROM orders WHERE o_orderkey % 5 <> 0),
@@ -66,14 +65,17 @@ def reason_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.ranked_reasons(s)
 
 
-@query(f"""WITH {POINTS_SQL}, e AS (SELECT camera_id, count(*) AS truth, count(*) FILTER (EXISTS (SELECT 1 FROM pts q WHERE q.class_name = 'purchase' AND q.camera_id = p.camera_id AND abs(q.t - p.t) <= 1800)) AS seen FROM pts p WHERE class_name = 'error' GROUP BY camera_id), w AS (SELECT *, (truth - seen) / truth AS p, 1.959963984540054::DOUBLE AS z FROM e)
-SELECT camera_id, truth, truth - seen AS missed, round(greatest((p + z * z / (2 * truth)) / (1 + z * z / truth) - z / (1 + z * z / truth) * sqrt(p * (1 - p) / truth + z * z / (4.0 * truth * truth)), 0), 6) AS low FROM w""")
+@query(f"""WITH RECURSIVE {POINTS_SQL}, warm AS (SELECT camera_id, min(t) + 86400 AS ready FROM pts WHERE camera_id <> 4 GROUP BY 1), tr AS (SELECT p.camera_id, seq, t, x, y, CASE WHEN track_id % 2 = 0 THEN 'person' ELSE 'vehicle' END AS cls FROM pts p JOIN warm USING (camera_id) WHERE class_name = 'error' AND t >= ready),
+fd AS (SELECT camera_id, seq, t, x, y FROM pts WHERE class_name = 'purchase'), pr AS (SELECT tr.camera_id, tr.seq AS i, fd.seq AS j, row_number() OVER (PARTITION BY tr.camera_id ORDER BY abs(fd.t - tr.t), tr.t, tr.seq, fd.seq) AS rn FROM tr JOIN fd ON fd.camera_id = tr.camera_id AND abs(fd.t - tr.t) <= 3600 AND sqrt(pow(fd.x - tr.x, 2) + pow(fd.y - tr.y, 2)) <= 80),
+gr AS (SELECT camera_id, rn, i, j, true AS ok, [i] AS ti, [j] AS tj FROM pr WHERE rn = 1 UNION ALL SELECT camera_id, rn, i, j, ok, CASE WHEN ok THEN list_append(ti, i) ELSE ti END, CASE WHEN ok THEN list_append(tj, j) ELSE tj END FROM (SELECT pr.*, ti, tj, NOT list_contains(ti, pr.i) AND NOT list_contains(tj, pr.j) AS ok FROM gr JOIN pr ON pr.camera_id = gr.camera_id AND pr.rn = gr.rn + 1)),
+c AS (SELECT tr.camera_id, cls, count(*) AS n, count(g.i) AS detected FROM tr LEFT JOIN (SELECT camera_id, i FROM gr WHERE ok) g ON g.camera_id = tr.camera_id AND g.i = tr.seq GROUP BY 1, 2), x AS (SELECT fd.camera_id, count(*) - (SELECT count(*) FROM gr WHERE gr.camera_id = fd.camera_id AND ok) AS extra FROM fd GROUP BY 1),
+w AS (SELECT c.*, extra, n - detected AS missed, (n - detected) / n AS p, 1.959963984540054::DOUBLE AS z FROM c JOIN x USING (camera_id)), b AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS mid, z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) AS r FROM w)
+SELECT camera_id, cls, n, detected, missed, extra, round(p, 6) AS rate, round(greatest(mid - r, 0), 6) AS low, round(least(mid + r, 1), 6) AS high, CASE WHEN mid + r < 0.02 THEN 'meets' WHEN mid - r >= 0.02 THEN 'fails' ELSE 'not shown' END AS verdict FROM b""")
 def miss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth events of each camera without any detection near, with the interval's lower end."""
-    from perimetra.operators import ranging
-
-    p = track_points(spark, sf_dir)
-    truth, found = p.filter("class_name = 'error'").select("camera_id", "seq", "t"), p.filter("class_name = 'purchase'").select("camera_id", "t")
-    seen = ranging.band_join(truth, found, ["camera_id"], "t", 1800.0).select("camera_id", "seq").distinct().groupBy("camera_id").agg(F.count(F.lit(1)).alias("seen"))
-    n = truth.groupBy("camera_id").agg(F.count(F.lit(1)).alias("truth")).join(seen, "camera_id", "left").withColumn("missed", F.col("truth") - F.coalesce("seen", F.lit(0)))
-    return n.select("camera_id", "truth", "missed", F.round(stats.wilson(F.col("missed"), F.col("truth"))[0], 6).alias("low"))
+    """Truth events that no detection answers one to one, by camera and class, after a day of warm-up; one camera never got ready."""
+    p = settled(track_points(spark, sf_dir))
+    truth = p.filter("class_name = 'error'").select("camera_id", F.when(F.col("track_id") % 2 == 0, "person").otherwise("vehicle").alias("cls"), F.col("seq").alias("id"), "t", "x", "y")
+    found = p.filter("class_name = 'purchase'").select("camera_id", F.col("seq").alias("id"), "t", "x", "y")
+    warm = p.filter("camera_id <> 4").groupBy("camera_id").agg((F.min("t") + 86400).alias("ready"))
+    out = evaluation.field_summary(truth, found, ["camera_id"], 3600.0, 80.0, warm)
+    return out.select("camera_id", "cls", "n", "detected", "missed", "extra", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")], "verdict")

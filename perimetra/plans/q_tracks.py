@@ -133,15 +133,39 @@ def out_of_hours_ist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.out_of_hours(_feats(spark, sf_dir), _windows(spark)).select(*TRACK, "minute")
 
 
-@query(f"""WITH {BASELINE_SQL}, {CROSS_SQL}, {OUT_SQL},
+#: Groups of tracks (members as camera|track|day) by the closure of closeness at each instant.
+_GROUPS_SQL = """gp AS (SELECT CAST(camera_id AS VARCHAR) || '|' || CAST(day AS VARCHAR) AS scope, CAST(camera_id AS VARCHAR) || '|' || CAST(track_id AS VARCHAR) || '|' || CAST(day AS VARCHAR) AS member, t, seq, x, y FROM pts),
+sp AS (SELECT scope, min(t) AS t0, max(t) AS t1 FROM gp GROUP BY 1), gr AS (SELECT scope, t0 + unnest(range(CAST(floor((t1 - t0 + 1e-9) / 7200) AS BIGINT) + 1)) * 7200.0::DOUBLE AS mark FROM sp),
+lg AS (SELECT scope, member, t, x, y, coalesce(lead(t) OVER w, t) AS t2, coalesce(lead(x) OVER w, x) AS x2, coalesce(lead(y) OVER w, y) AS y2 FROM gp WINDOW w AS (PARTITION BY scope, member ORDER BY t, seq)),
+po AS (SELECT l.scope, member, mark, x + CASE WHEN t2 > t THEN (mark - t) / (t2 - t) ELSE 0 END * (x2 - x) AS px, y + CASE WHEN t2 > t THEN (mark - t) / (t2 - t) ELSE 0 END * (y2 - y) AS py FROM lg l JOIN gr g ON g.scope = l.scope AND mark >= t AND mark <= t2 QUALIFY row_number() OVER (PARTITION BY l.scope, member, mark ORDER BY t DESC) = 1),
+eg AS (SELECT a.scope, a.mark, a.member AS a, b.member AS b FROM po a JOIN po b ON a.scope = b.scope AND a.mark = b.mark AND a.member <> b.member AND sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) <= 25),
+rc AS (SELECT * FROM eg UNION SELECT rc.scope, rc.mark, rc.a, eg.b FROM rc JOIN eg ON eg.scope = rc.scope AND eg.mark = rc.mark AND eg.a = rc.b),
+cm AS (SELECT DISTINCT scope, mark, members FROM (SELECT scope, mark, a, list_sort(list(DISTINCT b)) AS members FROM (SELECT * FROM rc UNION SELECT scope, mark, a, a FROM rc) GROUP BY 1, 2, 3)),
+gs AS (SELECT scope, members, min(mark) AS first_at, max(mark) AS last_at, max(mark) - min(mark) AS duration FROM cm WHERE len(members) >= {least} GROUP BY 1, 2 HAVING max(mark) - min(mark) >= {persist})"""
+
+
+def _groups(spark: SparkSession, sf_dir: str, least: int = 3, persist: float = 7200.0) -> DataFrame:
+    return grouping.groups(track_points(spark, sf_dir), radius=25.0, min_size=least, persist=persist, step=7200.0, key=TRACK, scope=("camera_id", "day"))
+
+
+@query(f"WITH RECURSIVE {POINTS_SQL}, {_GROUPS_SQL.format(least=2, persist=0)} SELECT scope, array_to_string(members, ',') AS members, round(first_at, 3) AS first_at, round(last_at, 3) AS last_at, round(duration, 3) AS duration FROM gs")
+def group_formation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of tracks that are together, by camera and day."""
+    return _groups(spark, sf_dir, 2, 0.0).select("scope", F.array_join("members", ",").alias("members"), *[F.round(c, 3).alias(c) for c in ("first_at", "last_at", "duration")])
+
+
+_VERDICTS_SQL = f"""{BASELINE_SQL}, {CROSS_SQL}, {OUT_SQL},
 hits AS (
   SELECT camera_id, track_id, day, 0 AS rank, 'fence crossed' AS rule, 'crossed line ' || CASE WHEN before > 0 AND side < 0 THEN 'in' ELSE 'out' END AS reason FROM crossed WHERE rn = 1
   UNION ALL SELECT camera_id, track_id, day, 1, 'loitering', 'stayed ' || CAST(CAST(floor(dwell) AS BIGINT) AS VARCHAR) || ' s' FROM feats WHERE dwell >= {DWELL} AND net < {NET}
   UNION ALL SELECT camera_id, track_id, day, 2, 'wrong direction', 'moved against the flow' FROM (SELECT f.*, baseline, (degrees(atan2(vy, vx)) + 360.0) % 360.0 AS heading FROM feats f JOIN flows USING (camera_id) WHERE net >= {MOVE} AND (vx <> 0 OR vy <> 0))
     WHERE least(abs(heading - baseline), 360.0 - abs(heading - baseline)) >= 90.0
-  UNION ALL SELECT camera_id, track_id, day, 3, 'out of hours', 'seen at minute ' || CAST(minute AS VARCHAR) FROM outside)
-SELECT camera_id, track_id, day, coalesce(string_agg(rule, ' + ' ORDER BY rank), '') AS rule_fired, coalesce(string_agg(reason, '; ' ORDER BY rank), '') AS reason, count(rule) AS n_rules
-FROM feats LEFT JOIN hits USING (camera_id, track_id, day) GROUP BY camera_id, track_id, day""")
+  UNION ALL SELECT camera_id, track_id, day, 3, 'out of hours', 'seen at minute ' || CAST(minute AS VARCHAR) FROM outside),
+vd AS (SELECT camera_id, track_id, day, coalesce(string_agg(rule, ' + ' ORDER BY rank), '') AS rule_fired, coalesce(string_agg(reason, '; ' ORDER BY rank), '') AS reason, count(rule) AS n_rules
+FROM feats LEFT JOIN hits USING (camera_id, track_id, day) GROUP BY camera_id, track_id, day)"""
+
+
+@query(f"WITH {_VERDICTS_SQL} SELECT * FROM vd")
 def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over all trajectories."""
     rows = tracks.rule_table(track_points(spark, sf_dir), _segments(spark), _windows(spark), TRACK, DWELL, NET, MOVE)
@@ -156,6 +180,15 @@ def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*TRACK, F.array_join(fired, " + ").alias("rule_fired"), F.array_join(reasons, "; ").alias("reason"), F.size(fired).cast("long").alias("n_rules"))
 
 
+@query(f"""WITH RECURSIVE {_VERDICTS_SQL}, {_GROUPS_SQL.format(least=2, persist=0)}, me AS (SELECT unnest(members) AS member, members, first_at, 'in a group of ' || len(members) || ' for ' || CAST(CAST(floor(duration) AS BIGINT) AS VARCHAR) || ' s' AS told FROM gs),
+tl AS (SELECT member, string_agg(told, '; ' ORDER BY first_at, array_to_string(members, ','), told) AS told FROM me GROUP BY 1)
+SELECT camera_id, track_id, day, CASE WHEN told IS NULL THEN rule_fired WHEN rule_fired = '' THEN 'group formed' ELSE rule_fired || ' + group formed' END AS rule_fired, CASE WHEN told IS NULL THEN reason WHEN reason = '' THEN told ELSE reason || '; ' || told END AS reason,
+  n_rules + CASE WHEN told IS NULL THEN 0 ELSE 1 END AS n_rules FROM vd LEFT JOIN tl ON member = CAST(camera_id AS VARCHAR) || '|' || CAST(track_id AS VARCHAR) || '|' || CAST(day AS VARCHAR)""")
+def camera_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One verdict for each track, the group rule's with it."""
+    return tracks.with_groups(rule_verdicts(spark, sf_dir), _groups(spark, sf_dir, 2, 0.0), TRACK)
+
+
 @query(f"""WITH {FEATURES_SQL}, h AS (SELECT *, (degrees(atan2(vy, vx)) + 360.0) % 360.0 AS heading FROM feats WHERE vx <> 0 OR vy <> 0)
 SELECT camera_id, track_id, day, CASE WHEN heading < 45 OR heading >= 315 THEN 'ltr' WHEN heading < 135 THEN 'ttb' WHEN heading < 225 THEN 'rtl' ELSE 'btt' END AS direction,
   ['north', 'northeast', 'east', 'southeast', 'south', 'southwest', 'west', 'northwest'][CAST(floor((heading + 22.5) / 45.0) AS INTEGER) % 8 + 1] AS compass FROM h""")
@@ -180,10 +213,24 @@ def interpolated_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tracks.interpolated(points, grid, TRACK, "day"), "px", "py")
 
 
-@query()
-def group_formation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets of tracks that stay together; transitive closeness per camera and instant has no plain SQL form."""
-    return grouping.groups(track_points(spark, sf_dir), radius=25.0, min_size=3, persist=7200.0, step=7200.0, key=TRACK, scope=("camera_id", "day"))
+_PLANES_SQL = "pl AS (SELECT camera_id, k, [0.05 + k / 100, 0.001, 1.0, 0.002, 0.06, 2.0, 0.0001 * k, 0.0002, 1.0]::DOUBLE[] AS h FROM (SELECT DISTINCT camera_id, camera_id::DOUBLE AS k FROM pts WHERE camera_id % 2 = 0))"
+
+
+def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Homographies of the even cameras."""
+    k = F.col("camera_id").cast("double")
+    numbers = [0.05 + k / 100, F.lit(0.001), F.lit(1.0), F.lit(0.002), F.lit(0.06), F.lit(2.0), 0.0001 * k, F.lit(0.0002), F.lit(1.0)]
+    return track_points(spark, sf_dir).filter("camera_id % 2 = 0").select("camera_id").distinct().select("camera_id", F.array(*numbers).alias("homography"))
+
+
+@query(f"""WITH {FEATURES_SQL}, {_PLANES_SQL}, q AS (SELECT f.*, h, x0 + 1 AS u FROM feats f LEFT JOIN pl USING (camera_id)),
+w AS (SELECT *, h[7] * x0 + h[8] * y0 + h[9] AS wa, h[7] * u + h[8] * y0 + h[9] AS wb FROM q),
+m AS (SELECT *, net * sqrt(pow((h[1] * u + h[2] * y0 + h[3]) / wb - (h[1] * x0 + h[2] * y0 + h[3]) / wa, 2) + pow((h[4] * u + h[5] * y0 + h[6]) / wb - (h[4] * x0 + h[5] * y0 + h[6]) / wa, 2)) AS net_m FROM w)
+SELECT camera_id, track_id, day, round(net, 6) AS net, round(net_m, 6) AS net_m, CASE WHEN net_m IS NULL THEN {NET}::DOUBLE ELSE 3.0::DOUBLE END AS "limit", CASE WHEN net_m IS NULL THEN 'px' ELSE 'm' END AS unit FROM m WHERE dwell >= {DWELL} AND CASE WHEN net_m IS NULL THEN net < {NET} ELSE net_m < 3 END""")
+def loitering_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three metres for cameras with a homography, pixels for the others."""
+    found = tracks.loitering(_feats(spark, sf_dir), DWELL, NET, 3.0, _planes(spark, sf_dir))
+    return found.select(*TRACK, F.round("net", 6).alias("net"), F.round("net_m", 6).alias("net_m"), "limit", "unit")
 
 
 @query(f"""WITH {POINTS_SQL} SELECT camera_id, seq, count(*) OVER (PARTITION BY camera_id ORDER BY CAST(floor(t) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS last_day,

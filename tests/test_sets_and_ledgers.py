@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from perimetra.operators import datasets, evaluation, evidence, ranging, stateful, windows
+from perimetra.operators import datasets, evaluation, evidence, ranging, stateful, tracks, windows
 from pyspark.sql import functions as F
 
 # windows
@@ -197,3 +197,76 @@ def test_stretches_at_both_ends_and_of_silent_keys(spark, margin):
             want.append((k, free[0], end + 1, end + 1 - free[0]))
             free = [u for u in free if u > end]
     assert got == sorted(want)
+
+
+# exact choices by counts
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_first_of_is_the_head_of_the_shuffled_order(spark, monkeypatch, digits):
+    monkeypatch.setattr(datasets, "ORDER_DIGITS", digits)
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"), (F.col("id") % 7 == 0).alias("small"))
+    wants = spark.createDataFrame([(0, 0), (1, 137), (2, 5000)], "g long, want long")
+    got = {g: {r["v"] for r in datasets.first_of(rows, wants, ["g"], "s", F.col("v"), F.col("small")).filter(F.col("g") == g).collect()} for g in range(3)}
+    ranked = rows.filter("g = 1").orderBy(~F.col("small"), datasets.shuffle_key("s", F.col("v")), "v").limit(137)
+    assert got[0] == set() and got[1] == {r["v"] for r in ranked.collect()} and len(got[2]) == 1000
+
+
+def test_tile_plan_fills_either_side(spark):
+    make = lambda ir, others: spark.createDataFrame([(i, "lwir" if i < ir else "visible", 0, 0, 1, i % 4 == 0) for i in range(ir + others)], "image long, modality string, ox int, oy int, n_boxes long, small boolean")
+
+    def share(ir, others, budget):
+        got = datasets.tile_plan(make(ir, others), budget, 0.35).collect()
+        return sum(r["modality"] == "lwir" for r in got), sum(r["modality"] != "lwir" for r in got), sum(r["small"] for r in got)
+
+    assert share(100, 100, 100) == (35, 65, 50)  # small ones first: all 25 of each side
+    assert share(10, 100, 100)[:2] == (10, 90) and share(100, 10, 100)[:2] == (90, 10) and share(5, 6, 100)[:2] == (5, 6) and share(0, 0, 10)[:2] == (0, 0)
+
+
+def test_strip_windows_of_thin_strips_and_small_frames(spark):
+    frames = spark.createDataFrame([("a", 1920, 1080), ("b", 1000, 2000), ("c", 600, 2000), ("d", 640, 640), ("e", 2000, 700)], "image string, width int, height int")
+    places = {}
+    for r in datasets.strip_windows(frames, 640, 0.2, 0.0, 0.4).collect():
+        places.setdefault(r["image"], set()).add((r["ox"], r["oy"]))
+    assert places["a"] == {(0, 0), (512, 0), (1024, 0), (1280, 0)}  # the strip of 432 is thinner than a tile
+    assert places["b"] == {(0, 0), (360, 0), (0, 160), (360, 160)} and places["d"] == {(0, 0)} and "c" not in places
+    assert {oy for _, oy in places["e"]} == {0}
+    low = datasets.strip_windows(frames.filter("image = 'e'"), 640, 0.2, 0.5, 0.9)
+    assert low.count() == 0  # no room below the strip's top
+
+
+def test_negatives_are_filled_by_others_and_then_by_tiles(spark):
+    candidates = spark.createDataFrame([(f"i{k}", "animal" if k < 3 else "road") for k in range(13)], "image string, category string")
+    empty = spark.createDataFrame([(f"t{k // 2}", k, 0) for k in range(20)], "image string, ox int, oy int")
+    count = lambda target, **o: {k: v for k, v in datasets.filled_negatives(candidates, empty, target, {"animal": 0.5, "road": 0.5}, "s", **o).groupBy("origin").count().collect()}
+    assert datasets.negatives_wanted(90, 0.1) == 10
+    assert count(6) == {"quota": 6} and count(10) == {"quota": 8, "redistributed": 2} and count(20) == {"quota": 13, "tile": 7}
+    assert count(40) == {"quota": 13, "tile": 10} and count(40, per_frame=2) == {"quota": 13, "tile": 20} and count(0) == {}
+
+
+# field summaries, groups within verdicts, metres
+
+
+def test_nearest_pairs_first_and_warm_up_left_out(spark):
+    truth = spark.createDataFrame([(1, "p", 1, 5.0), (1, "p", 2, 10.0), (1, "p", 3, 11.0), (1, "v", 4, 50.0), (2, "p", 5, 9.0)], "camera_id long, cls string, id long, t double")
+    found = spark.createDataFrame([(1, 100, 5.0), (1, 101, 10.6), (1, 102, 80.0), (2, 103, 9.0)], "camera_id long, id long, t double")
+    warm = spark.createDataFrame([(1, 6.0)], "camera_id long, ready double")
+    assert sorted(tuple(r) for r in stateful.match_nearest(truth, found, ["camera_id"], 2.0).select("truth_id", "found_id").collect()) == [(1, 100), (3, 101), (5, 103)]
+    got = {r["cls"]: r for r in evaluation.field_summary(truth, found, ["camera_id"], 2.0, warm=warm).collect()}
+    assert (got["p"]["n"], got["p"]["detected"], got["p"]["missed"], got["p"]["extra"]) == (2, 1, 1, 2) and got["v"]["verdict"] == "fails" and set(got) == {"p", "v"}
+    fates = spark.createDataFrame([(0.0, 0.01, 5), (0.03, 0.2, 5), (0.0, 0.4, 5), (0.0, 1.0, 0)], "low double, high double, n int")
+    assert [r[0] for r in fates.select(evaluation.miss_verdict(F.col("low"), F.col("high"), F.col("n"))).collect()] == ["meets", "fails", "not shown", "none to miss"]
+
+
+def test_the_group_rule_joins_its_members_verdicts(spark):
+    verdicts = spark.createDataFrame([(1, 1, "loitering", "stayed 4 s", 1), (1, 2, "", "", 0), (1, 3, "", "", 0)], "camera_id long, track_id long, rule_fired string, reason string, n_rules long")
+    groups = spark.createDataFrame([(["1|1", "1|2"], 5.0, 7.9), (["1|1", "1|9"], 2.0, 3.0)], "members array<string>, first_at double, duration double")
+    got = [tuple(r)[1:] for r in tracks.with_groups(verdicts, groups).orderBy("track_id").collect()]
+    assert got == [(1, "loitering + group formed", "stayed 4 s; in a group of 2 for 3 s; in a group of 2 for 7 s", 2), (2, "group formed", "in a group of 2 for 7 s", 1), (3, "", "", 0)]
+
+
+def test_loitering_by_metres_where_there_is_a_plane(spark):
+    feats = spark.createDataFrame([(1, 1, 5.0, 100.0, 0.0, 0.0), (1, 2, 5.0, 40.0, 0.0, 0.0), (2, 3, 5.0, 80.0, 0.0, 0.0), (2, 4, 5.0, 100.0, 0.0, 0.0), (1, 5, 1.0, 1.0, 0.0, 0.0)], "camera_id long, track_id long, dwell double, net double, x0 double, y0 double")
+    planes = spark.createDataFrame([(1, [0.05, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0])], "camera_id long, homography array<double>")
+    held = lambda *a: [(r["track_id"], r["net_m"] and round(r["net_m"], 6), r["unit"]) for r in tracks.loitering(feats, 3.0, 90.0, *a).orderBy("track_id").collect()]
+    assert held(3.0, planes) == [(2, 2.0, "m"), (3, None, "px")] and held(None, planes) == [(2, 2.0, "px"), (3, None, "px")] and held() == [(2, None, "px"), (3, None, "px")]
