@@ -75,6 +75,47 @@ def to_normalised(box: tuple[Column, ...], width: Column, height: Column) -> tup
     return (x1 + x2) / 2 / width, (y1 + y2) / 2 / height, w, h, (w > 0.0005) & (h > 0.0005) & ((x2 - x1) * (y2 - y1) >= 16)
 
 
+# Side of the detector's square input, width of the frames that motion is measured on, least height of those.
+DETECTOR_SIDE, WORKING_WIDTH, LEAST_HEIGHT = 640, 640, 8
+
+
+def letterbox(width: Column, height: Column, side: int = DETECTOR_SIDE) -> tuple[Column, Column, Column]:
+    """Scale, left and top of a frame that is fitted into a square and centred there, whole pixels of padding left and above."""
+    scale = F.least(side / height, side / width)
+    left, top = (F.bround((side - F.bround(length * scale)) / 2.0 - 0.1) for length in (width, height))
+    return scale, left, top
+
+
+def into_letterbox(box: tuple[Column, ...], width: Column, height: Column, side: int = DETECTOR_SIDE) -> tuple[Column, ...]:
+    """A frame's box in the detector's square."""
+    scale, left, top = letterbox(width, height, side)
+    return tuple(v * scale + pad for v, pad in zip(box, (left, top, left, top), strict=True))
+
+
+def out_of_letterbox(box: tuple[Column, ...], width: Column, height: Column, side: int = DETECTOR_SIDE) -> tuple[Column, ...]:
+    """A box of the detector's square in the frame, clipped to it."""
+    scale, left, top = letterbox(width, height, side)
+    limits = (width, height, width, height)
+    return tuple(F.least(F.greatest((v - pad) / scale, F.lit(0.0)), most.cast("double")) for v, pad, most in zip(box, (left, top, left, top), limits, strict=True))
+
+
+def working_size(width: Column, height: Column, most: int = WORKING_WIDTH) -> tuple[Column, Column]:
+    """Size at which motion is measured: frames wider than `most` are made as wide as that."""
+    narrow = width <= most
+    return F.when(narrow, width).otherwise(most), F.when(narrow, height).otherwise(F.greatest(F.lit(LEAST_HEIGHT), F.bround(height * most / width).cast("int")))
+
+
+def at_working_scale(box: tuple[Column, ...], width: Column, height: Column, most: int = WORKING_WIDTH) -> tuple[Column, ...]:
+    """A frame's box at the size at which motion is measured."""
+    w, h = working_size(width, height, most)
+    return tuple(v / by for v, by in zip(box, (width / w, height / h, width / w, height / h), strict=True))
+
+
+def detector_px(height_share: Column, width: Column, height: Column, side: int = DETECTOR_SIDE) -> Column:
+    """Height in the detector's square of a box whose height is a share of its frame's."""
+    return height_share * height * side / F.greatest(width, height, F.lit(1))
+
+
 def apply_homography(matrix: tuple[float, ...], u: Column, v: Column) -> tuple[Column, Column]:
     """World x and y of a pixel by a 3x3 matrix given row by row."""
     a, b, c, d, e, f, g, h, i = matrix

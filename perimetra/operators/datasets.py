@@ -249,11 +249,16 @@ def split_copies(rows: DataFrame, most: int = 10) -> DataFrame:
     return met.select("split_a", "split_b", "image_a", "image_b", "n_a", "n_b", distance.cast("int").alias("distance"))
 
 
-def gate(ident: str, name: str, threshold: str, observed: DataFrame, passed: Column, skip: Column | None = None) -> DataFrame:
-    """One gate's row from an aggregate with a column `observed`; a skipped gate has not passed."""
+def gate_row(ident: str, name: str, threshold: str, observed: Column, passed: Column, skip: Column | None = None) -> Column:
+    """One gate's row, as a struct; a skipped gate has not passed."""
     result = F.when(passed, "PASS").otherwise("FAIL")
     result = result if skip is None else F.when(skip, "SKIP").otherwise(result)
-    return observed.select(F.lit(ident).alias("gate"), F.lit(name).alias("name"), F.lit(threshold).alias("threshold"), F.col("observed").cast("double").alias("observed"), result.alias("result"))
+    return F.struct(F.lit(ident).alias("gate"), F.lit(name).alias("name"), F.lit(threshold).alias("threshold"), observed.cast("double").alias("observed"), result.alias("result"))
+
+
+def gate(ident: str, name: str, threshold: str, observed: DataFrame, passed: Column, skip: Column | None = None) -> DataFrame:
+    """One gate's row from an aggregate with a column `observed`."""
+    return observed.select(gate_row(ident, name, threshold, F.col("observed"), passed, skip).alias("g")).select("g.*")
 
 
 def hard_set(rows: DataFrame, buckets: Sequence[tuple[str, Column, int, Sequence[str], float | None]], total: int, key: str) -> DataFrame:

@@ -319,6 +319,17 @@ def half(key: Column) -> Column:
     return F.when(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 1), 16, 10).cast("int") % 2 == 0, "tune").otherwise("report")
 
 
+def by_source(matched: DataFrame, gt: DataFrame, source: str = "source") -> DataFrame:
+    """source, n_gt, ap, others, impact, worst: the average precision of each source's own images, that of all others weighted
+    by their ground truth, what the source costs the whole, and which source costs most (of equals the first by name; none
+    where there are fewer than two)."""
+    ap = average_precision(curve(matched, gt, [source]), gt, [source]).filter("n_gt > 0 and ap is not null").select(source, "n_gt", "ap")
+    rows = weighted_others(ap, source, "ap", "n_gt").withColumn("impact", F.greatest(F.col("impact"), F.lit(0.0)))
+    every = Window.partitionBy(F.lit(1))  # a row for each source
+    first = F.row_number().over(every.orderBy(F.desc(F.round("impact", 12)), source)) == 1
+    return rows.withColumn("worst", first & (F.count(F.lit(1)).over(every) > 1))
+
+
 #: Share of missed events that a summary aims below.
 MISS_TARGET = 0.02
 

@@ -281,3 +281,33 @@ def negative_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = settled(places.join(b, touches, "left_anti").select("image", "ox", "oy"))
     candidates = frames.filter("image % 40 = 0").select("image", F.when(F.col("image") % 7 == 0, "animal").otherwise("empty_road").alias("category"))
     return datasets.filled_negatives(candidates, empty, 600, {"animal": 0.4, "empty_road": 0.6}, "neg")
+
+
+@query(f"""WITH {BOXES_SQL}, f AS (SELECT *, 200.0 + 460 * (image % 3) AS w, 220.0 + 310 * (image % 2) AS h FROM bx), g AS (SELECT *, least(640 / h, 640 / w) AS s FROM f),
+p AS (SELECT *, round_even((640 - round_even(w * s, 0)) / 2.0 - 0.1, 0) AS l, round_even((640 - round_even(h * s, 0)) / 2.0 - 0.1, 0) AS t, CASE WHEN w <= 640 THEN w ELSE 640 END AS ww, CASE WHEN w <= 640 THEN h ELSE greatest(8, round_even(h * 640 / w, 0)) END AS wh FROM g)
+SELECT image, box, l_suppkey, round(x1 * s + l, 6) AS left_in, round(y2 * s + t, 6) AS bottom_in, round(least(greatest((x1 * s + l + 3 - l) / s, 0), w), 6) AS left_back, round(x2 / (w / ww), 6) AS right_working, round(y2 / (h / wh), 6) AS bottom_working FROM p""")
+def letterboxed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in the detector's square, three pixels on and back, and at the size at which motion is measured."""
+    b = boxes(spark, sf_dir, F.col("l_suppkey"))
+    w, h = 200.0 + 460 * (F.col("image") % 3), 220.0 + 310 * (F.col("image") % 2)
+    own = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    square, small = g.into_letterbox(own, w, h), g.at_working_scale(own, w, h)
+    back = g.out_of_letterbox((square[0] + 3, *square[1:]), w, h)
+    made = {"left_in": square[0], "bottom_in": square[3], "left_back": back[0], "right_working": small[2], "bottom_working": small[3]}
+    return b.select("image", "box", "l_suppkey", *[F.round(c, 6).alias(n) for n, c in made.items()])
+
+
+@query(f"WITH {BOXES_SQL} SELECT image, round(median((y2 - y1) / 200 * 200 * 640 / 260), 3) AS median_px, count(*) AS n FROM bx GROUP BY image")
+def median_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median height of an image's boxes in the detector's square."""
+    px = g.detector_px((F.col("y2") - F.col("y1")) / 200, F.lit(260), F.lit(200))
+    return boxes(spark, sf_dir).groupBy("image").agg(F.round(F.percentile(px, 0.5), 3).alias("median_px"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH d AS (SELECT CASE WHEN substr(sha256(CAST(doc_id AS VARCHAR)), 1, 1) < 'b' THEN 'train' ELSE 'val' END AS split, lang, CASE WHEN n_chars < 200 THEN 'small' WHEN n_chars < 2000 THEN 'medium' ELSE 'large' END AS size_bin FROM documents)
+SELECT coalesce(split, 'all') AS split, coalesce(lang, 'all') AS lang, coalesce(size_bin, 'all') AS size_bin, count(*) AS n FROM d GROUP BY CUBE (split, lang, size_bin)""")
+def split_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by split, language and size, with all totals."""
+    size = F.when(F.col("n_chars") < 200, "small").when(F.col("n_chars") < 2000, "medium").otherwise("large")
+    d = _documents(spark, sf_dir).select(F.when(F.col("nibble") < "b", "train").otherwise("val").alias("split"), "lang", size.alias("size_bin"))
+    return d.cube("split", "lang", "size_bin").agg(F.count(F.lit(1)).alias("n")).select(*[F.coalesce(c, F.lit("all")).alias(c) for c in ("split", "lang", "size_bin")], "n")

@@ -61,16 +61,32 @@ def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("cls", F.col("pos").cast("int").alias("pos"), "tp", "fp", F.round("recall", 6).alias("recall"), F.round("envelope", 6).alias("envelope"))
 
 
-@query(f"""WITH {_EVAL_SQL}, known AS (SELECT cls, recall AS r, pos AS p, envelope AS v FROM env UNION ALL SELECT cls, 0.0, 0, 1.0 FROM n UNION ALL SELECT cls, 1.0, 1000000000, 0.0 FROM n),
+_AP_SQL = """known AS (SELECT cls, recall AS r, pos AS p, envelope AS v FROM env UNION ALL SELECT cls, 0.0, 0, 1.0 FROM n UNION ALL SELECT cls, 1.0, 1000000000, 0.0 FROM n),
 marks AS (SELECT cls, k / 100.0::DOUBLE AS m FROM n, range(101) r(k)), lo AS (SELECT cls, m, arg_max(struct_pack(r := r, v := v), struct_pack(r := r, p := p)) AS a FROM marks JOIN known USING (cls) WHERE r <= m GROUP BY 1, 2),
 hi AS (SELECT cls, m, arg_min(struct_pack(r := r, v := v), struct_pack(r := r, p := p)) AS b FROM marks JOIN known USING (cls) WHERE r > m GROUP BY 1, 2),
-val AS (SELECT cls, m, CASE WHEN b IS NULL OR b.r = a.r THEN a.v ELSE a.v + (m - a.r) / (b.r - a.r) * (b.v - a.v) END AS v FROM lo LEFT JOIN hi USING (cls, m)), ar AS (SELECT cls, (v + lag(v) OVER (PARTITION BY cls ORDER BY m)) / 2 * 0.01 AS area FROM val)
-SELECT cls, n_gt, round(sum(area), 6) AS ap FROM ar JOIN n USING (cls) GROUP BY cls, n_gt""")
+val AS (SELECT cls, m, CASE WHEN b IS NULL OR b.r = a.r THEN a.v ELSE a.v + (m - a.r) / (b.r - a.r) * (b.v - a.v) END AS v FROM lo LEFT JOIN hi USING (cls, m)), ar AS (SELECT cls, (v + lag(v) OVER (PARTITION BY cls ORDER BY m)) / 2 * 0.01 AS area FROM val),
+ap AS (SELECT cls, n_gt, sum(area) AS ap FROM ar JOIN n USING (cls) GROUP BY cls, n_gt)"""
+
+
+@query(f"WITH {_EVAL_SQL}, {_AP_SQL} SELECT cls, n_gt, round(ap, 6) AS ap FROM ap")
 def ap101(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, _, c = _curves(spark, sf_dir)
     return evaluation.average_precision(c, gt).withColumn("ap", F.round("ap", 6))
 
 
+_SOURCES_SQL = _EVAL_SQL.replace("l_returnflag AS cls", "'s' || CAST(l_orderkey % 5 AS VARCHAR) AS cls")
+
+
+@query(f"""WITH {_SOURCES_SQL}, {_AP_SQL}, t AS (SELECT *, sum(ap * n_gt) OVER () AS total, sum(n_gt) OVER () AS mass FROM ap), o AS (SELECT *, (total - ap * n_gt) / (mass - n_gt) AS others FROM t), i AS (SELECT *, greatest((others - ap) * n_gt / mass, 0) AS impact FROM o)
+SELECT cls AS source, n_gt, round(ap, 6) AS ap, round(others, 6) AS others, round(impact, 6) AS impact, row_number() OVER (ORDER BY round(impact, 12) DESC, cls) = 1 AS worst FROM i""")
+def source_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision by source, and which source costs the whole most."""
+    source = F.concat(F.lit("s"), (F.col("image") % 5).cast("string"))
+    gt, pred = (rows.withColumn("cls", source).withColumn("source", source) for rows in _boxes(spark, sf_dir))
+    found = evaluation.by_source(settled(evaluation.match(gt, pred)), gt)
+    return found.select("source", "n_gt", *[F.round(c, 6).alias(c) for c in ("ap", "others", "impact")], "worst")
+
+
 @query(f"WITH {_AT_SQL} SELECT cls, threshold, tp, fp, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM ff")
 def pr_at_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, matched, _ = _curves(spark, sf_dir)

@@ -71,6 +71,52 @@ def coco_boxes(spark: SparkSession, path: str) -> DataFrame:
     return boxes.select("image", "name", x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
 
 
+def word_boxes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """image, name, x1, y1, x2, y2 of text annotations (image, line): a word, then x, y, width and height, then anything;
+    and the lines that are none. Empty lines, those that begin with % and headings that begin with class do not count."""
+    text = lines.withColumn("line", F.trim("line")).filter("line <> '' and line not like '\\%%' and lower(line) not like 'class%'")
+    parts = F.split("line", r"\s+")
+    x, y, w, h = (F.try_element_at(parts, F.lit(i)).try_cast("double") for i in (2, 3, 4, 5))
+    rows = text.select("image", "line", F.lower(parts[0]).alias("name"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
+    good = F.col("x2").isNotNull() & F.col("y2").isNotNull()
+    return rows.filter(good).drop("line"), rows.filter(~good).select("image", "line")
+
+
+def geometry_lines(lines: DataFrame) -> DataFrame:
+    """clip, track_id, frame, x1, y1, x2, y2 of lines (clip, line) that hold g0 (a box as four numbers), id1 and ts0."""
+    box = F.split(F.regexp_extract("line", r"'g0': '([^']*)'", 1), " ")
+    number = lambda key: F.regexp_extract("line", rf"'{key}': (\d+)", 1).try_cast("long")
+    rows = lines.select("clip", number("id1").alias("track_id"), number("ts0").alias("frame"), *[F.try_element_at(box, F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
+    return rows.dropna()
+
+
+def type_lines(lines: DataFrame) -> DataFrame:
+    """clip, track_id, name: the likeliest class of each track, of lines (clip, line) that hold cset3 (names with scores) and id1;
+    of equal scores the name that comes first in the alphabet."""
+    pairs = F.regexp_extract_all("line", F.lit(r"'?([A-Za-z_ ]+?)'?\s*:\s*([0-9.]+)\s*[,}]"), F.lit(0))
+    scores = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r":\s*([0-9.]+)", 1).try_cast("double").alias("score"), F.trim(F.translate(F.split_part(p, F.lit(":"), F.lit(1)), "'{,", "")).alias("name")))
+    held = lines.filter("line like '%cset3%'").select("clip", F.regexp_extract("line", r"'id1': (\d+)", 1).try_cast("long").alias("track_id"), F.explode(scores).alias("s"))
+    own = held.filter("track_id is not null and s.name <> '' and s.score is not null and s.name not in ('id1', 'cset3')").select("clip", "track_id", "s.name", "s.score")
+    best = own.groupBy("clip", "track_id", "score").agg(F.min("name").alias("name"))
+    return best.groupBy("clip", "track_id").agg(F.max_by("name", "score").alias("name"))
+
+
+def training_summary(log: DataFrame) -> DataFrame:
+    """One row on a training log (epoch, and session, fitness, seconds where it has them): rows, epoch_min, epoch_max, those
+    logged more than once, sessions, the epoch of the best fitness (of equals the last), the upper median of the seconds and
+    the hours. No accuracy figure is read."""
+    have = lambda c: F.col(c) if c in log.columns else F.lit(None).cast("double")
+    rows = log.select(*[have(c).alias(c) for c in ("epoch", "session", "fitness", "seconds")])
+    again = rows.filter("epoch is not null").groupBy(F.col("epoch").cast("int").alias("epoch")).count().filter("count > 1").agg(F.array_sort(F.collect_list("epoch")).alias("epochs_repeated"))
+    best = F.max(F.when(F.col("fitness").isNotNull() & F.col("epoch").isNotNull(), F.struct("fitness", "epoch")))["epoch"].cast("int")
+    middle = F.expr("try_element_at(array_sort(collect_list(seconds)), cast(count(seconds) div 2 + 1 as int))")
+    one = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.min("epoch").cast("int").alias("epoch_min"), F.max("epoch").cast("int").alias("epoch_max"), F.count_distinct("session").alias("sessions"),
+        best.alias("best_epoch"), middle.alias("seconds_median"), (F.sum("seconds") / 3600).alias("hours"),
+    )
+    return one.join(F.broadcast(again))
+
+
 def persons_csv(spark: SparkSession, path: str, wanted: Sequence[str], bad: Sequence[str]) -> DataFrame:
     """Image ids of a large box table with the boxes of wanted classes, without images that hold a bad class. Filters reach the scan."""
     boxes = spark.read.option("header", True).schema("ImageID string, LabelName string, XMin double, XMax double, YMin double, YMax double").csv(path)

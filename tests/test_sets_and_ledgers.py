@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from perimetra.operators import datasets, evaluation, evidence, ranging, stateful, tracks, windows
+from perimetra.sources import readers
 from pyspark.sql import functions as F
 
 # windows
@@ -270,3 +271,36 @@ def test_loitering_by_metres_where_there_is_a_plane(spark):
     planes = spark.createDataFrame([(1, [0.05, 0.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 1.0])], "camera_id long, homography array<double>")
     held = lambda *a: [(r["track_id"], r["net_m"] and round(r["net_m"], 6), r["unit"]) for r in tracks.loitering(feats, 3.0, 90.0, *a).orderBy("track_id").collect()]
     assert held(3.0, planes) == [(2, 2.0, "m"), (3, None, "px")] and held(None, planes) == [(2, 2.0, "px"), (3, None, "px")] and held() == [(2, None, "px"), (3, None, "px")]
+
+
+# formats and logs
+
+
+def test_word_boxes_and_track_lines(spark):
+    lines = spark.createDataFrame([("a", "% bbGt version=3"), ("a", "class x y w h"), ("a", "Person 10 20 30.5 40 0 0 0 0 0 0"), ("a", "person 1 2 x 4"), ("b", "cyclist 5 6"), ("b", "  "), ("b", "people 1 1 2 2")], "image string, line string")
+    good, bad = readers.word_boxes(lines)
+    assert sorted(map(tuple, good.collect())) == [("a", "person", 10.0, 20.0, 40.5, 60.0), ("b", "people", 1.0, 1.0, 3.0, 3.0)] and bad.count() == 2
+    tracks_of = spark.createDataFrame([("c", "- { geom: {'g0': '10 20 30.5 40', 'id0': 4, 'id1': 7, 'keyframe': True, 'ts0': 12}}"), ("c", "- { meta: none }"), ("c", "'g0': '1 2 3', 'id1': 1, 'ts0': 2")], "clip string, line string")
+    assert [tuple(r) for r in readers.geometry_lines(tracks_of).collect()] == [("c", 7, 12, 10.0, 20.0, 30.5, 40.0)]
+    types = spark.createDataFrame([("c", "- { types: {'cset3': {'person': 0.7, 'vehicle': 0.3}, 'id1': 7}}"), ("c", "- { types: {'cset3': {vehicle: 1.0}, 'id1': 8}}"), ("c", "- { meta: none }")], "clip string, line string")
+    assert sorted(tuple(r) for r in readers.type_lines(types).collect()) == [("c", 7, "person"), ("c", 8, "vehicle")]
+
+
+def test_training_summary(spark):
+    log = spark.createDataFrame([(1.0, "a", 0.2, 10.0), (2.0, "a", 0.5, 30.0), (2.0, "b", 0.5, 20.0), (3.0, "b", None, None), (None, None, 0.9, 40.0)], "epoch double, session string, fitness double, seconds double")
+    assert tuple(readers.training_summary(log).first()) == (5, 1, 3, 2, 2, 30.0, 100 / 3600, [2])
+    assert tuple(readers.training_summary(log.select("epoch").limit(0)).first()) == (0, None, None, 0, None, None, None, [])
+
+
+def test_letterbox_of_wide_and_tall_frames(spark):
+    from perimetra.functions import geometry as g
+
+    frames = spark.createDataFrame([(1920, 1080), (640, 512), (300, 900)], "w int, h int")
+    scale, left, top = g.letterbox(F.col("w"), F.col("h"))
+    assert [(round(r[0], 6), r[1], r[2]) for r in frames.select(scale, left, top).collect()] == [(round(640 / 1920, 6), 0.0, 140.0), (1.0, 0.0, 64.0), (round(640 / 900, 6), 213.0, 0.0)]
+    w, h = g.working_size(F.col("w"), F.col("h"))
+    assert [tuple(r) for r in frames.select(w, h).collect()] == [(640, 360), (640, 512), (300, 900)]
+    box = tuple(F.lit(v) for v in (10.0, 20.0, 100.0, 200.0))
+    back = g.out_of_letterbox(g.into_letterbox(box, F.col("w"), F.col("h")), F.col("w"), F.col("h"))
+    for r in frames.select(*back).collect():
+        assert np.allclose(list(r), [10, 20, 100, 200])
