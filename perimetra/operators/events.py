@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -117,3 +117,43 @@ def event_document(schema_id: str, ids: dict[str, Column], detection: dict[str,
     empty = {name: F.lit(None).cast(kind) for name, kind in (("explanation", EXPLANATION), ("anpr", PLATE), ("evidence", EVIDENCE))}
     whole = {"schema": F.lit(schema_id), **ids, "stage": F.lit("provisional"), "detection": fields(detection), "rule": fields(rule), **empty, "confidence": confidence, "source": source}
     return F.to_json(fields(whole), {"ignoreNullFields": "false"})
+
+
+# An alert's stages, names of classes, the hash it shows before it has one, and its sentence.
+ALERT_STAGES = {"provisional": "prov", "confirmed": "conf", "sealed": "sealed"}
+CLASS_NAMES = {"person": "Person", "truck": "Truck", "car": "Car", "two_wheeler": "Two-wheeler", "cart": "Cart"}
+PENDING = "pending…"
+SENTENCE = "%s flagged on %s%s; appearance and motion channels agree at %d%% confidence."
+
+
+def _named(names: dict[str, str], value: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[value]
+
+
+def alerts_of(documents: DataFrame, camera_name: Column | None = None, raw: str = "raw") -> DataFrame:
+    """The documents with the alert that each event (JSON text in `raw`) is shown as; rows that hold no object have none.
+
+    alert_id, camera, stage, at (hh:mm:ss UTC), reason (the event's own, else a sentence of its class, camera, rules and
+    confidence), confidence, plate, hash (shortened, or pending), seed (0 to 100, from the event's id), appearance and
+    motion (whether each channel reaches the threshold), and more: JSON of what else is known of track_id, bbox,
+    channel_scores, dori_band, rule_fired, evidence_id, clip_url and thumb_url.
+    """
+    rows = documents.withColumn("__d", F.from_json(raw, EVENT)).filter(F.json_object_keys(raw).isNotNull())
+    d = F.col("__d")
+    x, v = d["detection"], d["evidence"]
+    rules = F.coalesce(d["rule"]["fired"], F.array().cast("array<string>"))
+    fired = F.when(F.size(rules) > 0, F.array_join(rules, " + "))
+    camera = d["camera_id"] if camera_name is None else F.coalesce(camera_name, d["camera_id"])
+    told = F.format_string(SENTENCE, F.coalesce(_named(CLASS_NAMES, x["class"]), F.lit("Object")), camera, F.coalesce(F.concat(F.lit(" ("), fired, F.lit(")")), F.lit("")), d["confidence"])
+    digest, sha = F.sha2(d["event_id"], 256), v["clip_sha256"]
+    more = F.struct(
+        x["track_id"].alias("track_id"), x["bbox"].alias("bbox"), x["channel_scores"].alias("channel_scores"), x["dori_band"].alias("dori_band"), fired.alias("rule_fired"),
+        v["evidence_id"].alias("evidence_id"), v["clip_url"].alias("clip_url"), v["thumb_url"].alias("thumb_url"),
+    )
+    reaches = lambda channel: F.coalesce(x["channel_scores"][channel], F.lit(0.0)) >= x["threshold"]
+    return rows.withColumns({
+        "alert_id": F.concat(F.lit("A"), F.substring(F.translate(d["event_id"], "-", ""), 1, 16)), "camera": camera, "stage": _named(ALERT_STAGES, d["stage"]), "at": F.date_format(F.try_to_timestamp(d["captured_at"]), "HH:mm:ss"),
+        "reason": F.coalesce(d["explanation"]["text"], told), "confidence": d["confidence"], "plate": d["anpr"]["text"],
+        "hash": F.when(F.length(sha) >= 14, F.concat(F.substring(sha, 1, 8), F.lit("…"), F.substring(sha, -6, 6))).otherwise(PENDING),
+        "seed": F.round(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967295.0 * 100, 2), "appearance": reaches("appearance"), "motion": reaches("motion"), "more": F.to_json(more),
+    }).drop("__d")

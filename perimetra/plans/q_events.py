@@ -37,6 +37,17 @@ def event_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("event_id", F.array_join(events.event_errors(F.col("raw"), SCHEMA), " | ").alias("errors"))
 
 
+@query(f"""WITH {_EVENT_SQL} SELECT event_id, 'A' || substr(replace(uuid, '-', ''), 1, 16) AS alert_id, CASE WHEN event_id % 23 = 0 THEN 'sealed' ELSE 'prov' END AS stage, '00:00:00' AS "at", confidence,
+  CASE cls WHEN 'person' THEN 'Person' ELSE 'Object' END || ' flagged on Camera ' || CAST(user_id % 6 AS VARCHAR) || ' (' || event_type || '); appearance and motion channels agree at ' || CAST(confidence AS VARCHAR) || '% confidence.' AS reason,
+  'pending…' AS hash, round(('0x' || substr(sha256(uuid), 1, 8))::BIGINT / 4294967295.0::DOUBLE * 100, 2) AS seed, a >= 0.55 AS appearance, coalesce(m, 0) >= 0.55 AS motion, 'track_id,bbox,channel_scores,rule_fired' AS known FROM d WHERE event_id % 31 <> 0""")
+def alert_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alert that each event document is shown as."""
+    documents = _documents(spark, sf_dir)
+    name = F.concat(F.lit("Camera "), F.regexp_extract(F.get_json_object("raw", "$.camera_id"), r"(\d+)$", 1))
+    made = events.alerts_of(documents, name)
+    return made.select("event_id", "alert_id", "stage", "at", "confidence", "reason", "hash", "seed", "appearance", "motion", F.array_join(F.json_object_keys("more"), ",").alias("known"))
+
+
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '$: nothing to update' WHEN 1 THEN '$.evidence: required when sealed' WHEN 2 THEN '$.stage: not allowed' WHEN 3 THEN '$.explanation.source: not allowed' ELSE '' END AS errors FROM events""")
 def update_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates that carry nothing, seal without evidence, go back, or explain from nowhere."""

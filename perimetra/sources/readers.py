@@ -158,6 +158,21 @@ def clips(spark: SparkSession, path: str, sidecars: DataFrame, default_camera: s
     return j.select("stem", "path", "length", F.coalesce("camera_id", F.lit(default_camera)).alias("camera_id"), F.coalesce("captured_at", "modificationTime").alias("captured_at"))
 
 
+def natural_key(name: Column) -> Column:
+    """Sorts names by their numbers' size, other parts by letter: frame2 comes before frame10."""
+    parts = F.split(F.lower(name), r"(?<=\D)(?=\d)|(?<=\d)(?=\D)")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
+def folder_frames(spark: SparkSession, path: str, fps: float = 20.0, pattern: str = r"(?i)\.(jpe?g|png|bmp|tiff?|webp)$") -> DataFrame:
+    """camera_id (the folder's name), seq, t and path of the image files below `path`, each folder's in natural order at
+    `fps` frames a second. Files are listed, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").filter(F.col("path").rlike(pattern))
+    named = files.withColumns({"camera_id": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), "__name": F.regexp_extract("path", r"([^/]+)$", 1)})
+    place = F.row_number().over(Window.partitionBy("camera_id").orderBy(natural_key(F.col("__name")), "__name", "path")) - 1
+    return named.withColumn("seq", place.cast("long")).select("camera_id", "seq", (F.col("seq") / fps).alias("t"), "path")
+
+
 def with_gap(frames: DataFrame, by: Sequence[str], least: float = 2.0) -> DataFrame:
     """gap_s before each frame, null where it is short."""
     gap = F.col("t") - F.lag("t").over(Window.partitionBy(*by).orderBy("t", "seq"))

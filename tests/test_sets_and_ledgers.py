@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from perimetra.operators import datasets, evaluation, evidence, ranging, stateful, tracks, windows
+from perimetra.operators import datasets, evaluation, events, evidence, ranging, stateful, tracks, windows
 from perimetra.sources import readers
 from pyspark.sql import functions as F
 
@@ -304,3 +304,22 @@ def test_letterbox_of_wide_and_tall_frames(spark):
     back = g.out_of_letterbox(g.into_letterbox(box, F.col("w"), F.col("h")), F.col("w"), F.col("h"))
     for r in frames.select(*back).collect():
         assert np.allclose(list(r), [10, 20, 100, 200])
+
+
+def test_folder_frames_in_natural_order(spark, tmp_path):
+    for cam, names in (("c1", ["f10.jpg", "f2.JPG", "f1.png", "notes.txt"]), ("c2", ["b.png", "a10x2.png", "a10x10.png", "a9.png"])):
+        (tmp_path / cam).mkdir()
+        for n in names:
+            (tmp_path / cam / n).write_bytes(b"x")
+    got = [(r["camera_id"], r["seq"], r["t"], r["path"].rsplit("/", 1)[1]) for r in readers.folder_frames(spark, str(tmp_path), 2.0).orderBy("camera_id", "seq").collect()]
+    assert got == [("c1", 0, 0.0, "f1.png"), ("c1", 1, 0.5, "f2.JPG"), ("c1", 2, 1.0, "f10.jpg"), ("c2", 0, 0.0, "a9.png"), ("c2", 1, 0.5, "a10x2.png"), ("c2", 2, 1.0, "a10x10.png"), ("c2", 3, 1.5, "b.png")]
+
+
+def test_alerts_show_what_an_event_knows(spark):
+    full = '{"event_id":"12345678-90ab-4def-8123-456789abcdef","camera_id":"c1","captured_at":"2024-05-06T07:08:09Z","stage":"sealed","detection":{"track_id":4,"class":"two_wheeler","channel_scores":{"appearance":0.5,"motion":0.7},"threshold":0.6},"rule":{"fired":["a","b"]},"explanation":{"text":"said"},"anpr":{"text":"BA1"},"evidence":{"evidence_id":"e1","clip_sha256":"0123456789abcdef0123"},"confidence":61}'
+    bare = '{"event_id":"x","camera_id":"c2","captured_at":"bad","stage":"other","detection":{"class":"bird","threshold":0.0},"confidence":5}'
+    got = events.alerts_of(spark.createDataFrame([(1, full), (2, bare), (3, "[1]"), (4, None)], "k int, raw string")).orderBy("k").collect()
+    assert len(got) == 2
+    assert tuple(got[0][c] for c in ("alert_id", "camera", "stage", "at", "reason", "plate", "hash", "appearance", "motion")) == ("A1234567890ab4def", "c1", "sealed", "07:08:09", "said", "BA1", "01234567…ef0123", False, True)
+    assert got[0]["more"] == '{"track_id":4,"channel_scores":{"appearance":0.5,"motion":0.7},"rule_fired":"a + b","evidence_id":"e1"}'
+    assert tuple(got[1][c] for c in ("stage", "at", "reason", "plate", "hash", "appearance", "motion", "more")) == (None, None, "Object flagged on c2; appearance and motion channels agree at 5% confidence.", None, "pending…", True, True, "{}")
