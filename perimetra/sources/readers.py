@@ -32,16 +32,32 @@ def merged(old: DataFrame, new: DataFrame, key: str, seq: str | None = None) ->
     return both.withColumn("__n", n).filter("__n = 1").drop("__n", "__new")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, n (from 0), line, torn of uncompressed text files: torn marks a file's last line where it has no line feed.
+
+    Files are read line by line, in as many tasks as they have blocks; a line's number is the lines of the blocks before it
+    and its place in its own. A file whose lines and their line feeds come to more than its size has no feed at its end.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("__size"), F.col("_metadata.file_block_start").alias("__block"))
+    rows = raw.withColumn("__at", F.monotonically_increasing_id())  # consecutive within a block
+    blocks = rows.groupBy("path", "__block", "__size").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"), F.sum(F.octet_length("line") + 1).alias("__bytes"))
+    order, every = Window.partitionBy("path").orderBy("__block"), Window.partitionBy("path")
+    known = blocks.select(
+        "path", "__block", "__first", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias("__all"),
+        (F.sum("__bytes").over(every) > F.col("__size")).alias("__open"),
+    )
+    met = rows.drop("__size").join(known, ["path", "__block"]).withColumn("n", F.col("__before") + F.col("__at") - F.col("__first"))
+    return met.select("path", "n", "line", (F.col("__open") & (F.col("n") == F.col("__all") - 1)).alias("torn"))
+
+
 def ledger(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks, problems (lines that do not parse) and torn tails (files whose last line has no line feed) of append-only files."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("body"))
-    lines = files.select("path", F.posexplode(F.split("body", "\n")).alias("n", "line"), F.size(F.split("body", "\n")).alias("size"))
-    torn = lines.filter((F.col("n") == F.col("size") - 1) & (F.length("line") > 0)).select("path", "line")
-    whole = lines.filter((F.col("n") < F.col("size") - 1) & (F.trim("line") != ""))
+    lines = numbered_lines(spark, path)
+    whole = lines.filter(~F.col("torn") & (F.trim("line") != ""))
     parsed = whole.withColumn("row", F.from_json("line", StructType.fromDDL(f"{schema}, __bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
     bad = F.col("row").isNull() | F.col("row.__bad").isNotNull()
     names = [f.name for f in StructType.fromDDL(schema)]
-    return parsed.filter(~bad).select(*[F.col(f"row.{n}") for n in names]), parsed.filter(bad).select("path", "n", "line"), torn
+    return parsed.filter(~bad).select(*[F.col(f"row.{n}") for n in names]), parsed.filter(bad).select("path", "n", "line"), lines.filter("torn").select("path", "line")
 
 
 def labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -225,10 +241,9 @@ def append_lines(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 def without_torn_tails(spark: SparkSession, path: str, target: str) -> int:
     """Write the whole lines of a ledger's files to `target`, and return how many torn tails were left out."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("body"))
-    lines = files.select(F.posexplode(F.split("body", "\n")).alias("n", "line"), F.size(F.split("body", "\n")).alias("size"))
-    lines.filter((F.col("n") < F.col("size") - 1) & (F.length("line") > 0)).select("line").write.mode("errorifexists").text(target)
-    return lines.filter((F.col("n") == F.col("size") - 1) & (F.length("line") > 0)).count()
+    lines = numbered_lines(spark, path)
+    lines.filter(~F.col("torn") & (F.length("line") > 0)).select("line").write.mode("errorifexists").text(target)
+    return lines.filter("torn").count()
 
 
 def configs(spark: SparkSession, path: str, schema: str, key: str = "camera_id") -> DataFrame:

@@ -323,3 +323,22 @@ def test_alerts_show_what_an_event_knows(spark):
     assert tuple(got[0][c] for c in ("alert_id", "camera", "stage", "at", "reason", "plate", "hash", "appearance", "motion")) == ("A1234567890ab4def", "c1", "sealed", "07:08:09", "said", "BA1", "01234567…ef0123", False, True)
     assert got[0]["more"] == '{"track_id":4,"channel_scores":{"appearance":0.5,"motion":0.7},"rule_fired":"a + b","evidence_id":"e1"}'
     assert tuple(got[1][c] for c in ("stage", "at", "reason", "plate", "hash", "appearance", "motion", "more")) == (None, None, "Object flagged on c2; appearance and motion channels agree at 5% confidence.", None, "pending…", True, True, "{}")
+
+
+@pytest.mark.parametrize("block", ["64", "134217728"])
+def test_lines_are_numbered_over_blocks_and_torn_tails_told(spark, tmp_path, block):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        texts = {"whole.jsonl": [f'{{"n":{i},"k":"é{"x" * (i % 40)}"}}' for i in range(60)], "torn.jsonl": ['{"n":100}', "", "not json", '{"n":101}\r', '{"n":10'], "one.jsonl": ['{"n":2']}
+        (tmp_path / "whole.jsonl").write_text("\n".join(texts["whole.jsonl"]) + "\n")
+        for name in ("torn.jsonl", "one.jsonl"):
+            (tmp_path / name).write_bytes("\n".join(texts[name]).encode())
+        (tmp_path / "empty.jsonl").write_text("")
+        got = {(r["path"].rsplit("/", 1)[1], r["n"]): (r["line"], r["torn"]) for r in readers.numbered_lines(spark, str(tmp_path)).collect()}
+        assert got == {(name, i): (line, name != "whole.jsonl" and i == len(own) - 1) for name, own in texts.items() for i, line in enumerate(own)}
+        blocks, problems, torn = readers.ledger(spark, str(tmp_path), "n long")
+        assert sorted(r["n"] for r in blocks.collect()) == [*range(60), 100, 101] and [(r["n"], r["line"]) for r in problems.collect()] == [(2, "not json")] and sorted(r["line"] for r in torn.collect()) == ['{"n":10', '{"n":2']
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
