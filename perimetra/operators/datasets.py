@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,10 @@ from perimetra.operators import stateful
 from perimetra.operators.search import cells
 
 
+#: Leading hexadecimal digits of an order's hash that make its buckets.
+ORDER_DIGITS = 4
+
+
 def shuffle_key(seed: str, key: Column) -> Column:
     """A fixed pseudo-random order: the same for any input order."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
@@ -37,11 +41,20 @@ def leaks(rows: DataFrame, key: str = "sequence_key", split: str = "split") -> D
 
 
 def carve(sequences: DataFrame, share: float | Column, seed: str, key: str = "sequence_key", size: str = "n", by: Sequence[str] = ()) -> DataFrame:
-    """Whole sequences, in shuffled order, until they hold at least `share` of all frames: adds `carved`."""
-    order = Window.partitionBy(*by).orderBy(shuffle_key(seed, F.col(key)), key)
-    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(size).over(Window.partitionBy(*by))
-    return sequences.withColumn("carved", before < share * total)
+    """Whole sequences, in shuffled order, until they hold at least `share` of all frames: adds `carved`.
+
+    Sizes are summed by the leading digits of the order's hash, so that only sequences of one bucket are put in order by a task.
+    """
+    marked = sequences.withColumn("__order", shuffle_key(seed, F.col(key))).withColumn("__bucket", F.substring("__order", 1, ORDER_DIGITS))
+    groups = [*by, "__bucket"]
+    sums = marked.groupBy(*groups).agg(F.sum(size).alias("__sum"))
+    ahead = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    known = sums.select(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate(groups)], F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"), F.sum("__sum").over(Window.partitionBy(*by)).alias("__total"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__of_{i}")) for i, c in enumerate(groups)])
+    within = Window.partitionBy(*groups).orderBy("__order", key).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__ahead") + F.coalesce(F.sum(size).over(within), F.lit(0))
+    share = share if isinstance(share, Column) else F.lit(share)
+    return marked.join(known, same).withColumn("carved", before < share * F.col("__total")).select(*sequences.columns, "carved")
 
 
 @dataclass(frozen=True)
@@ -297,10 +310,6 @@ def ranked_reasons(rows: DataFrame, n: int = 3) -> DataFrame:
     return rows.orderBy(F.desc("blocking"), "priority", F.desc("impact"), "key").limit(n)
 
 
-#: Leading hexadecimal digits of an order's hash that make its buckets.
-ORDER_DIGITS = 4
-
-
 def first_of(rows: DataFrame, wants: DataFrame, by: Sequence[str], seed: str, key: Column, ahead: Column | None = None) -> DataFrame:
     """The first `want` rows of each group in shuffled order, those `ahead` before the others, exactly and without a task
     that sorts a group.

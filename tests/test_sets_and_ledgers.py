@@ -342,3 +342,24 @@ def test_lines_are_numbered_over_blocks_and_torn_tails_told(spark, tmp_path, blo
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_carving_takes_the_head_of_the_shuffled_order(spark, monkeypatch, digits):
+    import hashlib
+
+    monkeypatch.setattr(datasets, "ORDER_DIGITS", digits)
+    rows = [(f"s{i}", 1 + i * 7 % 13, "a" if i % 3 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "sequence_key string, n long, source string")
+    for by, share in (((), 0.3), (("source",), 0.5)):
+        want = set()
+        for group in {None} if not by else {r[2] for r in rows}:
+            own = sorted((hashlib.sha256(f"x:{k}".encode()).hexdigest(), k, n) for k, n, s in rows if not by or s == group)
+            total, held = sum(n for *_, n in own), 0
+            for _, k, n in own:
+                if held < share * total:
+                    want.add(k)
+                held += n
+        got = datasets.carve(df.repartition(4), share, "x", by=by)
+        assert got.columns == ["sequence_key", "n", "source", "carved"] and got.count() == 90
+        assert {r["sequence_key"] for r in got.filter("carved").collect()} == want
