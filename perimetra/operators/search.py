@@ -225,10 +225,10 @@ def near_hashes(rows: DataFrame, most: int = 4) -> DataFrame:
     inside = F.array(*[F.array(*[F.lit(_signed(m)) for m in own]) for own in inner])
     keyed = hashes.select("hash", F.posexplode(mask).alias("k", "__mask")).select("hash", "k", F.col("hash").bitwiseAND(F.col("__mask")).alias("bits"))
     crowd = keyed.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keyed.join(crowd, ["k", "bits"])
+    met = settled(keyed.join(crowd, ["k", "bits"]))
     usual = met.filter(F.col("n") <= HOT_BAND).select("hash", "k", "bits", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("inner"))
     hot = met.filter(F.col("n") > HOT_BAND).select("hash", "k", "bits", F.posexplode(inside[F.col("k")]).alias("j", "__mask")).withColumn("inner", F.col("hash").bitwiseAND(F.col("__mask")))
-    placed = cells(usual.unionByName(hot.drop("__mask")), ["k", "bits", "j", "inner"], "hash")
+    placed = settled(cells(usual.unionByName(hot.drop("__mask")), ["k", "bits", "j", "inner"], "hash"))
     cell = ["k", "bits", "j", "inner", "low", "high"]
     a, b = placed.select(*cell, F.col("hash").alias("ha"), F.col("own").alias("oa")), placed.select(*cell, F.col("hash").alias("hb"), F.col("own").alias("ob"))
     differing = F.col("ha").bitwiseXOR(F.col("hb"))
@@ -247,7 +247,7 @@ def dedupe(rows: DataFrame, drop_at: int = 4, report_at: int = 2) -> DataFrame:
 
     Per hash and sequence only the earliest rows matter, so a hot hash does not multiply.
     """
-    near = near_hashes(rows, drop_at)
+    near = settled(near_hashes(rows, drop_at))
     both = near.select("ha", "hb", "distance").union(near.filter("ha <> hb").select("hb", "ha", "distance"))
     firsts = rows.groupBy("hash", "sequence").agg(F.min("seq").alias("first"))
     two = F.row_number().over(Window.partitionBy("hash").orderBy("first"))
