@@ -102,11 +102,13 @@ def with_groups(verdicts: DataFrame, groups: DataFrame, key: Sequence[str] = KEY
     else still has one verdict.
 
     groups: members (each the key's values joined by |), first_at, duration, as `grouping.groups` finds them; each group
-    adds a reason, the earliest first, and the rule once.
+    adds a reason, the earliest first, and the rule once. Groups that begin at once are numbered by their members, so that
+    a member carries its groups' numbers and not the names of all others.
     """
     size = F.size("members").cast("string")
     told = F.concat(F.lit("in a group of "), size, F.lit(" for "), F.floor("duration").cast("string"), F.lit(" s"))
-    each = groups.select(F.explode("members").alias("__member"), F.struct("first_at", F.array_join("members", ",").alias("who"), told.alias("reason")).alias("g"))
+    turn = F.row_number().over(Window.partitionBy("first_at").orderBy(F.array_join("members", ","), told))
+    each = groups.select("members", "first_at", turn.alias("turn"), told.alias("reason")).select(F.explode("members").alias("__member"), F.struct("first_at", "turn", "reason").alias("g"))
     own = each.groupBy("__member").agg(F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda x: x["reason"]), "; ").alias("__told"))
     met = verdicts.withColumn("__member", F.concat_ws("|", *[F.col(k).cast("string") for k in key])).join(own, "__member", "left")
     grown = F.col("__told").isNotNull()

@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from perimetra.operators import grouping
+from perimetra.operators import grouping, tracks
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,15 @@ def test_a_crowd_is_one_group_without_its_pairs(spark):
     rows = rows.select("*", F.col("track_id").alias("seq"), (F.col("track_id") % 100 / 10.0).alias("x"), F.lit(1.0).alias("y"))
     got = grouping.groups(rows, 20.0, 4, 5.0, 3.0).select(F.size("members").alias("n"), "first_at", "last_at").collect()
     assert [tuple(r) for r in got] == [(n, 0.0, 6.0)]
+
+
+def test_members_do_not_carry_the_names_of_their_group(spark):
+    n = 20_000
+    verdicts = spark.range(n).select(F.lit(1).cast("long").alias("camera_id"), F.col("id").alias("track_id"), F.lit("").alias("rule_fired"), F.lit("").alias("reason"), F.lit(0).cast("long").alias("n_rules"))
+    names = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat(F.lit("1|"), k.cast("string")))
+    groups = spark.range(1).select(names.alias("members"), F.lit(3.0).alias("first_at"), F.lit(5.0).alias("duration"))
+    pairs = spark.createDataFrame([(["1|1", "1|3"], 2.0, 1.0), (["1|1", "1|2"], 2.0, 2.0)], "members array<string>, first_at double, duration double")
+    got = tracks.with_groups(verdicts, groups.unionByName(pairs)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("track_id").alias("least")).collect()
+    crowd = f"in a group of {n} for 5 s"
+    two = lambda s: f"in a group of 2 for {s} s; "
+    assert {tuple(r) for r in got} == {(crowd, n - 3, 0), (two(2) + two(1) + crowd, 1, 1), (two(2) + crowd, 1, 2), (two(1) + crowd, 1, 3)}
