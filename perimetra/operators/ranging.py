@@ -45,6 +45,38 @@ def empty_windows(rows: DataFrame, keys: Sequence[str], spans: DataFrame, margin
     return stretch.withColumn("size", F.col("end") - F.col("start")).filter("size > 0").select(*keys, "start", "end", "size")
 
 
+def trailing_counts(rows: DataFrame, keys: Sequence[str], on: str, widths: Sequence[float]) -> DataFrame:
+    """keys, on, n0, n1, ...: for each value of `on` and each width w, how many rows of its key lie in [on - w, on].
+
+    A count is a difference of two running totals: that of the value and that below its lower end. Totals run within blocks
+    of the longest width, on top of the blocks before, so that work grows with the rows and not with the rows of a window.
+    Rows without a value count each other.
+    """
+    every = rows.groupBy(*keys, on).agg(F.count(F.lit(1)).alias("__n"))
+    own, without = every.filter(F.col(on).isNotNull()), every.filter(F.col(on).isNull())
+    # Lower ends come before rows of their value, which belong to the window.
+    marks = [F.struct((F.col(on) - w).alias("at"), F.lit(k).alias("is"), F.lit(0).cast("long").alias("n")) for k, w in enumerate(widths)]
+    marks.append(F.struct(F.col(on).alias("at"), F.lit(len(widths)).alias("is"), F.col("__n").alias("n")))
+    dealt = own.select(*keys, on, F.explode(F.array(*marks)).alias("m")).select(*keys, on, "m.*").withColumn("__b", F.floor(F.col("at") / max(widths)))
+    block = [*keys, "__b"]
+    above = F.sum("n").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    totals = dealt.groupBy(*block).agg(F.sum("n").alias("n")).select(*block, F.coalesce(above, F.lit(0)).alias("__above"))
+    running = F.sum("n").over(Window.partitionBy(*block).orderBy("at", "is").rowsBetween(Window.unboundedPreceding, 0))
+    placed = join_null_safe(dealt.select(*block, on, "is", running.alias("__own")), totals, block).withColumn("__sum", F.col("__own") + F.col("__above"))
+    at = lambda k: F.max(F.when(F.col("is") == k, F.col("__sum")))
+    counted = placed.groupBy(*keys, on).agg(*[(at(len(widths)) - at(k)).alias(f"n{k}") for k in range(len(widths))])
+    return counted.unionByName(without.select(*keys, on, *[F.col("__n").alias(f"n{k}") for k in range(len(widths))]))
+
+
+def join_null_safe(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the other's columns; nulls of the keys meet, too."""
+    right = other.select(*[F.col(c).alias(f"__{c}__") for c in keys], *[c for c in other.columns if c not in keys])
+    met = F.lit(True)
+    for c in keys:
+        met = met & F.col(c).eqNullSafe(F.col(f"__{c}__"))
+    return rows.join(right, met).drop(*[f"__{c}__" for c in keys])
+
+
 def run_start(rows: DataFrame, condition: Column, keys: Sequence[str]) -> DataFrame:
     """Rows that meet the condition, with `since`, the first time of the unbroken run they belong to."""
     order = Window.partitionBy(*keys).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)

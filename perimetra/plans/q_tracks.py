@@ -237,8 +237,8 @@ def loitering_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) OVER (PARTITION BY camera_id ORDER BY CAST(floor(t) AS BIGINT) RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW) AS last_shift FROM pts""")
 def rolling_offer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = track_points(spark, sf_dir).withColumn("second", F.floor("t").cast("long"))
-    w = Window.partitionBy("camera_id").orderBy("second")
-    return points.select("camera_id", "seq", F.count(F.lit(1)).over(w.rangeBetween(-86400, 0)).alias("last_day"), F.count(F.lit(1)).over(w.rangeBetween(-43200, 0)).alias("last_shift"))
+    n = ranging.trailing_counts(points, ["camera_id"], "second", (86400, 43200)).withColumnsRenamed({"n0": "last_day", "n1": "last_shift"})
+    return ranging.join_null_safe(points.select("camera_id", "seq", "second"), n, ["camera_id", "second"]).select("camera_id", "seq", "last_day", "last_shift")
 
 
 @query(f"WITH {POINTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id, day ORDER BY t, seq) AS ordinal FROM pts) SELECT camera_id, track_id, day, seq, ordinal FROM r WHERE ordinal <= 3")

@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from perimetra.operators import grouping, tracks
+from perimetra.operators import grouping, ranging, tracks
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,18 @@ def test_members_do_not_carry_the_names_of_their_group(spark):
     crowd = f"in a group of {n} for 5 s"
     two = lambda s: f"in a group of 2 for {s} s; "
     assert {tuple(r) for r in got} == {(crowd, n - 3, 0), (two(2) + two(1) + crowd, 1, 1), (two(2) + crowd, 1, 2), (two(1) + crowd, 1, 3)}
+
+
+def test_trailing_counts_equal_a_plain_count(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(c), float(t)) for c, t in zip(rng.integers(0, 2, 600), rng.integers(-300, 900, 600) / 4, strict=True)] + [(None, 1.0), (None, 5.0), (1, None), (1, None)]
+    got = {(r["k"], r["t"]): (r["n0"], r["n1"]) for r in ranging.trailing_counts(spark.createDataFrame(rows, "k long, t double"), ["k"], "t", (10.0, 24.25)).collect()}
+    assert got.keys() == set(rows)
+    for (k, t), n in got.items():
+        assert n == tuple(sum(a == k and (u is None if t is None else u is not None and t - w <= u <= t) for a, u in rows) for w in (10.0, 24.25))
+
+
+def test_a_full_window_is_not_counted_row_by_row(spark):
+    rows = spark.range(150_000).select(F.lit(1).alias("k"), F.col("id").alias("t"))  # 150,000 rows in each window: 22 thousand million, one by one
+    got = ranging.trailing_counts(rows, ["k"], "t", (150_000,))
+    assert got.filter("n0 <> t + 1").count() == 0 and got.count() == 150_000
