@@ -25,14 +25,35 @@ def _poisson_below(k: int, mean: float) -> float:
     """P(X <= k)."""
     if mean <= 0:
         return 1.0
+    if k >= MANY:
+        return _poisson_below_many(k, mean)
     logs = [-mean + i * math.log(mean) - math.lgamma(i + 1) for i in range(k + 1)]
     top = max(logs)
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
+#: Counts from which only the terms that a double can tell from 0 are summed, and how many deviations from the mean these reach.
+MANY, REACH = 500, 40
+
+
+def _poisson_below_many(k: int, mean: float) -> float:
+    """P(X <= k) from the largest term that counts, both ways: some multiple of the mean's root of terms."""
+    if mean < k / 5:  # what is left out is below e**-400
+        return 1.0
+    peak = min(k, int(mean))
+    x, series = (mean - peak) / peak, 1 / (12 * peak) - 1 / (360 * peak**3)
+    log = -peak * (x - math.log1p(x)) - series - 0.5 * math.log(2 * math.pi * peak)
+    reach = int(REACH * math.sqrt(mean)) + 100
+    down = np.cumsum(np.log(np.arange(peak, max(0, peak - reach), -1) / mean))
+    up = np.cumsum(-np.log(np.arange(peak + 1, min(k, peak + reach) + 1) / mean))
+    return min(1.0, math.exp(log) * (1.0 + float(np.exp(down).sum()) + float(np.exp(up).sum())))
+
+
 def _solve(low: float, high: float, falls: bool, goal: float, of) -> float:
     for _ in range(200):
         middle = (low + high) / 2
+        if middle in (low, high):  # nothing lies between
+            break
         if (of(middle) > goal) == falls:
             low = middle
         else:
