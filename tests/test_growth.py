@@ -91,3 +91,15 @@ def test_poisson_intervals_of_large_counts_take_no_longer():
         for mean in (k / 6, k * 0.9, k - 2 * k**0.5, k, k + 2 * k**0.5, k * 1.5, k * 4):
             plain = sum(math.exp(-mean + i * math.log(mean) - math.lgamma(i + 1)) for i in range(k + 1))
             assert abs(stats._poisson_below(k, mean) - min(1.0, plain)) < 1e-10
+
+
+def test_headings_at_an_edge_are_cut_like_the_statement(spark):
+    from perimetra.functions import geometry as g
+
+    rows = [(7.000000000000001, 7.0), (7.0, 7.0), (-7.0, 7.000000000000001), (1.0, -1e-16), (0.0, -1.0)]
+    h = g.heading(F.col("vx"), F.col("vy"))
+    got = spark.createDataFrame(rows, "vx double, vy double").select("vx", "vy", h.alias("h"), g.flow_label(h).alias("flow"), g.compass(h).alias("compass")).collect()
+    for r in got:
+        own = (math.degrees(math.atan2(r["vy"], r["vx"])) + 360.0) % 360.0
+        assert r["h"] == own and r["flow"] == ("ltr" if own < 45 or own >= 315 else "ttb" if own < 135 else "rtl" if own < 225 else "btt")
+    assert got[0]["flow"] == "ttb" and got[3]["h"] == 0.0
