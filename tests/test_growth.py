@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pandas as pd
 from perimetra.functions import stats
-from perimetra.operators import grouping, ranging, tracks
+from perimetra.operators import evaluation, grouping, ranging, stateful, tracks
 from perimetra.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -103,3 +103,17 @@ def test_headings_at_an_edge_are_cut_like_the_statement(spark):
         own = (math.degrees(math.atan2(r["vy"], r["vx"])) + 360.0) % 360.0
         assert r["h"] == own and r["flow"] == ("ltr" if own < 45 or own >= 315 else "ttb" if own < 135 else "rtl" if own < 225 else "btt")
     assert got[0]["flow"] == "ttb" and got[3]["h"] == 0.0
+
+
+def test_ordering_once_gives_what_the_curves_give(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i // 5), int(i), "abcz"[int(c)], float(v) / 40, int(a), int(b)) for i, (c, v, a, b) in enumerate(zip(rng.integers(0, 4, 400), rng.integers(0, 41, 400), rng.random(400) < 0.6, rng.random(400) < 0.1, strict=True))]
+    rows = spark.createDataFrame(rows, "image long, pred_id long, cls string, conf double, one long, two long")
+    gt = spark.createDataFrame([("a",)] * 70 + [("b",)] * 90 + [("c",)] * 300 + [("d",)] * 3, "cls string")
+    got = {(r["hits"], r["cls"]): (r["n_gt"], r["ap"]) for r in evaluation.precisions_of(rows, gt, ["one", "two"], predicted=rows).collect()}
+    for name in ("one", "two"):
+        plain = evaluation.average_precision(evaluation.curve(rows.withColumn("gt_id", F.when(F.col(name) == 1, 1)), gt), gt, predicted=rows).collect()
+        assert {(name, r["cls"]) for r in plain} == {k for k in got if k[0] == name} and len(plain) == 5
+        for r in plain:
+            n, ap = got[name, r["cls"]]
+            assert n == r["n_gt"] and (ap is None) == (r["ap"] is None) and (ap is None or abs(ap - r["ap"]) < 1e-12)
