@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from perimetra.operators import ranging
+from perimetra.sources.store import settled
 
 
 class Fold(Protocol):
@@ -377,17 +378,32 @@ class NearestPairs:
             yield truth, found, gap
 
 
+#: Parts of the tolerance within which events are matched, one after the other.
+SCALES = (1 / 4096, 1 / 512, 1 / 64, 1 / 8, 1)
+
+
 def match_nearest(truth: DataFrame, found: DataFrame, by: Sequence[str], tolerance: float, reach: float | None = None) -> DataFrame:
     """One-to-one matches of two event lists (id, t, and with `reach` x and y): the pairs nearest in time, and within
-    `reach` of each other, are taken first; of equals the earlier truth, then the smaller ids."""
+    `reach` of each other, are taken first; of equals the earlier truth, then the smaller ids.
+
+    Pairs of small gaps come before all others, so the gaps grow step by step and what is matched takes no part in the next
+    step: in a crowd most are, long before their pairs within the whole tolerance would have to be listed.
+    """
     place = ("x", "y") if reach is not None else ()
     left = truth.select(*by, F.col("id").cast("long").alias("truth_id"), "t", *place)
     right = found.select(*by, F.col("id").cast("long").alias("found_id"), "t", *[F.col(c).alias(f"{c}_found") for c in place])
-    pairs = ranging.band_join(left, right, list(by), "t", tolerance)
-    if reach is not None:
-        pairs = pairs.filter(F.sqrt((F.col("x") - F.col("x_found")) ** 2 + (F.col("y") - F.col("y_found")) ** 2) <= reach)
-    near = pairs.select(*by, "truth_id", "found_id", F.abs(F.col("t_right") - F.col("t")).alias("gap"), F.col("t").alias("truth_t"))
-    return batch(near, by, NearestPairs, ("gap", "truth_t", "truth_id", "found_id"))
+    taken = None
+    for share in SCALES:
+        pairs = ranging.band_join(left, right, list(by), "t", tolerance * share)
+        if reach is not None:
+            pairs = pairs.filter(F.sqrt((F.col("x") - F.col("x_found")) ** 2 + (F.col("y") - F.col("y_found")) ** 2) <= reach)
+        near = pairs.select(*by, "truth_id", "found_id", F.abs(F.col("t_right") - F.col("t")).alias("gap"), F.col("t").alias("truth_t"))
+        own = batch(near, by, NearestPairs, ("gap", "truth_t", "truth_id", "found_id"))
+        if share < 1:
+            own = settled(own)
+            left, right = settled(left.join(own, [*by, "truth_id"], "left_anti")), settled(right.join(own, [*by, "found_id"], "left_anti"))
+        taken = own if taken is None else taken.unionByName(own)
+    return taken
 
 
 #: Square pixels by which an overlap must pass the threshold, so that rounding decides no tie.

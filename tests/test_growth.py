@@ -117,3 +117,12 @@ def test_ordering_once_gives_what_the_curves_give(spark):
         for r in plain:
             n, ap = got[name, r["cls"]]
             assert n == r["n_gt"] and (ap is None) == (r["ap"] is None) and (ap is None or abs(ap - r["ap"]) < 1e-12)
+
+
+def test_matching_step_by_step_takes_the_same_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 2), int(i), float(t), float(x), float(y)) for i, (t, x, y) in enumerate(zip(rng.integers(0, 3000, 300), *rng.integers(0, 100, (2, 300)), strict=True))]
+    both = spark.createDataFrame(rows, "k long, id long, t double, x double, y double")
+    got = {tuple(r) for r in stateful.match_nearest(both.filter("id < 160"), both.filter("id >= 160"), ["k"], 600.0, 40.0).collect()}
+    monkeypatch.setattr(stateful, "SCALES", (1,))
+    assert len(got) > 50 and got == {tuple(r) for r in stateful.match_nearest(both.filter("id < 160"), both.filter("id >= 160"), ["k"], 600.0, 40.0).collect()}
