@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -28,12 +30,13 @@ EVENT = f"struct<event_id:string,post_id:string,camera_id:string,captured_at:str
 UPDATE = f"struct<event_id:string,stage:string,explanation:{EXPLANATION},anpr:{PLATE},evidence:{EVIDENCE}>"
 
 
-def _keys(schema: Schema, raw: Column, kind: DataType, path: str) -> None:
-    """Unknown keys at every level that is an object."""
-    schema.known_keys(raw if path == "$" else F.get_json_object(raw, path), path, kind.fieldNames())
+def _keys(schema: Schema, text: Column, kind: DataType, path: str, parts: Column | None = None) -> None:
+    """Unknown keys at every level that is an object. parts: the texts of the next level's objects, if they are known."""
+    schema.known_keys(text, path, kind.fieldNames())
     for f in kind.fields:
         if isinstance(f.dataType, StructType):
-            _keys(schema, raw, f.dataType, f"{path}.{f.name}")
+            inner = F.get_json_object(text, f"$.{f.name}") if parts is None else parts[f.name]
+            _keys(schema, inner, f.dataType, f"{path}.{f.name}")
 
 
 def _unit(schema: Schema, values: Column, path: str, least: int, most: int) -> None:
@@ -57,15 +60,28 @@ def _parts(schema: Schema, d: Column) -> None:
         schema.matches(v[name], f"$.evidence.{name}", URL, 2048)
 
 
+def _once(raw: Column, kind: str, errors: Callable[[Column], Column]) -> Column:
+    """errors(row) of a text that holds an object, with its text, its parsed document d, and parts, the texts of the objects
+    in it. These are made once for a text; named field by field they would be parsed for each of them."""
+    objects = ", ".join(f"{f.name} string" for f in StructType.fromDDL(kind[7:-1]).fields if isinstance(f.dataType, StructType))
+    row = F.struct(raw.alias("text"), F.json_object_keys(raw).isNotNull().alias("is_object"), F.from_json(raw, kind).alias("d"), F.from_json(raw, objects).alias("parts"))
+    found = F.transform(F.array(row), lambda p: F.when(p["is_object"], errors(p)).otherwise(F.array(F.lit("$: no object"))))
+    return F.element_at(found, 1)
+
+
 def event_errors(raw: Column, schema_id: str, most: int = 12) -> Column:
     """All errors of an event document, at most `most`: fields, ranges, formats, unknown keys, and what must go together.
 
     A field of a wrong type counts as missing; a text that is no JSON object has one error.
     """
-    d = F.from_json(raw, EVENT)
+    return _once(raw, EVENT, lambda row: _event_checks(row, schema_id).errors(most))
+
+
+def _event_checks(row: Column, schema_id: str) -> Schema:
+    raw, d = row["text"], row["d"]
     schema = Schema()
     schema.check(F.coalesce(F.get_json_object(raw, "$.schema") != schema_id, F.lit(True)), "$.schema: not allowed")
-    _keys(schema, raw, StructType.fromDDL(f"schema string, {EVENT[7:-1]}"), "$")
+    _keys(schema, raw, StructType.fromDDL(f"schema string, {EVENT[7:-1]}"), "$", row["parts"])
     for name, pattern in (("event_id", UUID), ("post_id", NAME), ("camera_id", NAME), ("captured_at", UTC_STAMP)):
         schema.required(d[name], f"$.{name}").matches(d[name], f"$.{name}", pattern)
     for name, allowed in (("stage", STAGES), ("source", ("rtsp", "file"))):
@@ -89,20 +105,24 @@ def event_errors(raw: Column, schema_id: str, most: int = 12) -> Column:
         schema.check(r["metrics"][name] < 0, f"$.rule.metrics.{name}: out of range")
     _parts(schema, d)
     schema.rules += consistent_event(d["stage"], d["explanation"], d["evidence"]).rules
-    return F.when(F.json_object_keys(raw).isNull(), F.array(F.lit("$: no object"))).otherwise(schema.errors(most))
+    return schema
 
 
 def update_errors(raw: Column, schema_id: str, most: int = 12) -> Column:
     """All errors of an update document; it carries one of stage, explanation, anpr and evidence at least."""
-    d = F.from_json(raw, UPDATE)
+    return _once(raw, UPDATE, lambda row: _update_checks(row, schema_id).errors(most))
+
+
+def _update_checks(row: Column, schema_id: str) -> Schema:
+    raw, d = row["text"], row["d"]
     schema = Schema()
     schema.check(F.coalesce(F.get_json_object(raw, "$.schema") != schema_id, F.lit(True)), "$.schema: not allowed")
-    _keys(schema, raw, StructType.fromDDL(f"schema string, {UPDATE[7:-1]}"), "$")
+    _keys(schema, raw, StructType.fromDDL(f"schema string, {UPDATE[7:-1]}"), "$", row["parts"])
     schema.required(d["event_id"], "$.event_id").matches(d["event_id"], "$.event_id", UUID).one_of(d["stage"], "$.stage", STAGES[1:])
     _parts(schema, d)
     schema.check(F.coalesce(d["stage"], F.lit("")).eqNullSafe("") & d["explanation"].isNull() & d["anpr"].isNull() & d["evidence"].isNull(), "$: nothing to update")
     schema.check((d["stage"] == "sealed") & d["evidence"].isNull(), "$.evidence: required when sealed")
-    return F.when(F.json_object_keys(raw).isNull(), F.array(F.lit("$: no object"))).otherwise(schema.errors(most))
+    return schema
 
 
 def unit_box(box: list[Column], width: Column, height: Column) -> Column:

@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pandas as pd
 from perimetra.functions import stats
-from perimetra.operators import evaluation, grouping, ranging, stateful, tracks
+from perimetra.operators import evaluation, events, grouping, ranging, stateful, tracks
 from perimetra.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -126,3 +126,14 @@ def test_matching_step_by_step_takes_the_same_pairs(spark, monkeypatch):
     got = {tuple(r) for r in stateful.match_nearest(both.filter("id < 160"), both.filter("id >= 160"), ["k"], 600.0, 40.0).collect()}
     monkeypatch.setattr(stateful, "SCALES", (1,))
     assert len(got) > 50 and got == {tuple(r) for r in stateful.match_nearest(both.filter("id < 160"), both.filter("id >= 160"), ["k"], 600.0, 40.0).collect()}
+
+
+def test_a_document_is_parsed_once_for_all_its_checks(spark, capsys):
+    rows = spark.createDataFrame([('{"schema":"event.v1","detection":{"bbox":[0,2],"channel_scores":{"odd":1}},"rule":{"metrics":{"net_px":-1}}}',), ("[1]",), (None,)], "raw string")
+    for errors in (events.event_errors, events.update_errors):
+        rows.select(errors(F.col("raw"), "event.v1").alias("e")).explain(True)
+        plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        assert plan.count("from_json") == 2  # the document, and the texts of its objects
+    got = [r["e"] for r in rows.select(events.event_errors(F.col("raw"), "event.v1", 40).alias("e")).collect()]
+    assert got[1:] == [["$: no object"], ["$: no object"]]
+    assert {"$.detection.channel_scores: unknown key", "$.detection.bbox: bad length", "$.detection.bbox: out of range", "$.rule.metrics.net_px: out of range", "$.rule.fired: required"} <= set(got[0])
