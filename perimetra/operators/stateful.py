@@ -55,8 +55,8 @@ def batch(rows: DataFrame, key: Sequence[str], make: Callable[[], Fold], order:
             new = (pdf[list(key)] != pdf[list(key)].shift()).any(axis=1).to_numpy()
             rows = list(pdf[list(fold.columns)].itertuples(index=False, name=None))
             cuts = [*np.flatnonzero(new).tolist(), len(pdf)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                k = tuple(pdf[c].iloc[a] for c in key)
+            heads = zip(*[pdf[c].iloc[cuts[:-1]].tolist() for c in key], strict=True)
+            for a, b, k in zip(cuts[:-1], cuts[1:], heads, strict=True):
                 if k != now:
                     now, state = k, make()
                 out += [(*k, *made) for row in rows[a:b] for made in state.step(row)]
@@ -432,12 +432,6 @@ class Suppress:
         yield row
 
 
-def nms(boxes: DataFrame, by: Sequence[str], iou: float = 0.5, most: int = 300) -> DataFrame:
-    """Boxes (id, x1, y1, x2, y2, score) that are kept in each group, at most `most`; equal scores go by id, then by place."""
-    ranked = boxes.withColumn("id", F.col("id").cast("long")).withColumn("__minus", -F.col("score"))
-    return batch(ranked, by, partial(Suppress, iou, most), ("__minus", "id", "x1", "y1", "x2", "y2"))
-
-
 class SuppressGrid:
     """`Suppress` for several overlap limits in one pass: each box with those under which it stays.
 
@@ -472,10 +466,88 @@ class SuppressGrid:
             yield (*row, [self.limits[k] for k in held])
 
 
+def _over(box: np.ndarray, a: np.ndarray, b: np.ndarray, iou: float) -> np.ndarray:
+    """Which boxes numbered in a overlap those in b by more than `iou`. box: x1, y1, x2, y2 and area, a row each."""
+    x1, y1, x2, y2, area = box
+    common = np.maximum(np.minimum(x2[a], x2[b]) - np.maximum(x1[a], x1[b]), 0.0) * np.maximum(np.minimum(y2[a], y2[b]) - np.maximum(y1[a], y1[b]), 0.0)
+    return common > iou * np.maximum(area[a] + area[b] - common, 1e-12) + TIE
+
+
+def kept_boxes(group: np.ndarray, box: np.ndarray, iou: float, most: int, earlier: np.ndarray) -> np.ndarray:
+    """The numbers of the boxes that `Suppress` keeps; group: rising numbers from 0, the best box of a group first; earlier:
+    the numbers, outside `group`, of boxes that group 0 has kept before.
+
+    The first box that is left in each group stays, and what overlaps it goes, in all groups at once: there are as many
+    rounds as a group keeps boxes, whatever it holds.
+    """
+    left, kept = np.arange(len(group)), []
+    for k in earlier:
+        mine = left[: np.searchsorted(group[left], 0, "right")]
+        left = np.concatenate((mine[~_over(box, mine, np.full(len(mine), k), iou)], left[len(mine) :]))
+    for n in range(most):
+        if n + len(earlier) >= most:
+            left = left[group[left] > 0]
+        if not len(left):
+            break
+        first = np.flatnonzero(np.diff(group[left], prepend=-1))
+        kept.append(left[first])
+        own = np.repeat(left[first], np.diff(first, append=len(left)))
+        left, own = left[left != own], own[left != own]
+        left = left[~_over(box, left, own, iou)]
+    return np.sort(np.concatenate(kept)) if kept else left[:0]
+
+
+def _suppressed(boxes: DataFrame, by: Sequence[str], limits: Sequence[float], most: int, carry: Sequence[str]) -> DataFrame:
+    """The boxes that stay under some limit, with `limits`, those under which they do; `carry` are further columns.
+
+    Sorted rows stream through, batch by batch; of the group that goes on in the next batch, what it has kept is held."""
+    places = ("x1", "y1", "x2", "y2")
+    columns = list(dict.fromkeys([*by, "id", *places, "score", *carry]))
+    ranked = boxes.withColumns({"id": F.col("id").cast("long"), "__minus": -F.col("score"), **{c: F.col(c).cast("double") for c in (*places, "score")}}).select(*columns, "__minus")
+    ready = ranked.repartition(*[F.col(k) for k in by]).sortWithinPartitions(*by, "__minus", "id", *places)
+    grid = sorted(limits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, [np.zeros((5, 0))] * len(grid)  # the last key, and what it has kept under each limit
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), bool)
+            for c in by:
+                value, before = pdf[c], pdf[c].shift()
+                new |= ((value != before) & ~(value.isna() & before.isna())).to_numpy()
+            ends = [tuple(None if pd.isna(pdf[c].iloc[at]) else pdf[c].iloc[at] for c in by) for at in (0, -1)]
+            if ends[0] != now:
+                held = [np.zeros((5, 0))] * len(grid)
+            new[0] = False
+            group = new.cumsum()
+            x1, y1, x2, y2 = (pdf[c].to_numpy(float, na_value=np.nan) for c in places)
+            box = np.stack((x1, y1, x2, y2, np.maximum(x2 - x1, 0.0) * np.maximum(y2 - y1, 0.0)))
+            bits = np.zeros(len(pdf), np.int64)
+            for at, limit in enumerate(grid):
+                both = np.concatenate((box, held[at]), axis=1)
+                stays = kept_boxes(group, both, limit, most, np.arange(len(group), both.shape[1]))
+                bits[stays] |= 1 << at
+                mine = box[:, stays[group[stays] == group[-1]]]
+                held[at] = np.concatenate((held[at], mine), axis=1) if group[-1] == 0 else mine
+            now = ends[1]
+            found = pdf[bits > 0].drop(columns="__minus")
+            lists = {b: [v for k, v in enumerate(grid) if b >> k & 1] for b in np.unique(bits).tolist()}
+            yield found.assign(limits=pd.Series([lists[b] for b in bits[bits > 0].tolist()], found.index, object))
+
+    kinds = ", ".join(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in columns)
+    return ready.mapInPandas(run, f"{kinds}, limits array<double>")
+
+
+def nms(boxes: DataFrame, by: Sequence[str], iou: float = 0.5, most: int = 300, carry: Sequence[str] = ()) -> DataFrame:
+    """Boxes (id, x1, y1, x2, y2, score, and the columns of `carry`) that are kept in each group, at most `most`; equal scores
+    go by id, then by place."""
+    return _suppressed(boxes, by, (iou,), most, carry).drop("limits")
+
+
 def nms_grid(boxes: DataFrame, by: Sequence[str], limits: Sequence[float], most: int = 300) -> DataFrame:
     """Each box (id, x1, y1, x2, y2, score) that is kept under some limit, with `limits`, all those under which `nms` keeps it."""
-    ranked = boxes.withColumn("id", F.col("id").cast("long")).withColumn("__minus", -F.col("score"))
-    return batch(ranked, by, partial(SuppressGrid, tuple(limits), most), ("__minus", "id", "x1", "y1", "x2", "y2"))
+    return _suppressed(boxes, by, limits, most, ())
 
 
 class Dismissals:

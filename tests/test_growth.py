@@ -137,3 +137,33 @@ def test_a_document_is_parsed_once_for_all_its_checks(spark, capsys):
     got = [r["e"] for r in rows.select(events.event_errors(F.col("raw"), "event.v1", 40).alias("e")).collect()]
     assert got[1:] == [["$: no object"], ["$: no object"]]
     assert {"$.detection.channel_scores: unknown key", "$.detection.bbox: bad length", "$.detection.bbox: out of range", "$.rule.metrics.net_px: out of range", "$.rule.fired: required"} <= set(got[0])
+
+
+def test_suppression_in_rounds_keeps_what_the_fold_keeps(spark):
+    rng = np.random.default_rng(2)
+    places = rng.integers(0, 60, (900, 2)).astype(float)
+    rows = [(None if k % 7 == 0 else int(k % 3), int(k // 2), float(s) / 50, *p.tolist(), float(p[0] + w), float(p[1] + 20), bool(k % 2)) for k, (p, s, w) in enumerate(zip(places, rng.integers(0, 50, 900), rng.integers(0, 30, 900), strict=True))]
+    boxes = spark.createDataFrame(rows, "image long, id long, score double, x1 double, y1 double, x2 double, y2 double, windowed boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = [tuple(r) for r in stateful.nms(boxes, ["image"], 0.3, 9, ["windowed"]).select("image", "id", "score", "x1", "windowed").collect()]
+        grid = {tuple(r[:4]): list(r["limits"]) for r in stateful.nms_grid(boxes, ["image"], (0.3, 0.6), 9).select("image", "id", "score", "x1", "limits").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for limit in (0.3, 0.6):
+        want = []
+        for image in (None, 0, 1, 2):
+            fold = stateful.Suppress(limit, 9)
+            for r in sorted((r for r in rows if r[0] == image), key=lambda r: (-r[2], r[1], *r[3:7])):
+                want += [(image, r[1], r[2], r[3], r[7]) for _ in fold.step((r[1], *r[3:7], r[2]))]
+        assert limit > 0.3 or sorted(map(str, got)) == sorted(map(str, want))
+        assert {w[:4] for w in want} == {k for k, held in grid.items() if limit in held}
+
+
+def test_a_crowd_of_boxes_takes_as_many_rounds_as_it_keeps():
+    n = 400_000  # box by box, each compared with all kept ones, this took more than ten seconds
+    x = np.random.default_rng(1).integers(0, 400, n) * 1.0
+    box = np.stack((x, x * 0, x + 20.0, x * 0 + 20.0, x * 0 + 400.0))
+    began = time.perf_counter()
+    kept = stateful.kept_boxes(np.zeros(n, int), box, 0.3, 300, np.zeros(0, int))
+    assert time.perf_counter() - began < 5 and 15 < len(kept) < 40
