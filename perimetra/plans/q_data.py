@@ -10,6 +10,7 @@ from perimetra.functions import geometry as g
 from perimetra.operators import datasets, gates, windows
 from perimetra.plans.bind import settled, table
 from perimetra.plans.registry import query
+from perimetra.sources.store import dealt, tasks_for
 
 #: Boxes in a frame of 200 x 200 from order lines.
 BOXES_SQL = "bx AS (SELECT l_orderkey AS image, l_linenumber AS box, l_quantity * 3.0 AS x1, (l_partkey % 150)::DOUBLE AS y1, l_quantity * 3.0 + 10.0 + l_discount * 200.0 AS x2, (l_partkey % 150) + 12.0 + l_tax * 300.0 AS y2, l_returnflag AS class_name, l_suppkey FROM lineitem)"
@@ -104,12 +105,13 @@ _IOU = "(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(
 SELECT count(*) AS boxes, sum(hit)::BIGINT AS occluded FROM n""")
 def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes that overlap another of their image by more than 0.3."""
-    b = boxes(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box")).distinct(), ["image", "box"], "left_semi")
-    supp = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box"), "l_suppkey", (F.col("l_quantity") * 3.0).alias("x1"), (F.col("l_partkey") % 150).cast("double").alias("y1"), (F.col("l_quantity") * 3.0 + 10.0 + F.col("l_discount") * 200.0).alias("x2"), ((F.col("l_partkey") % 150) + 12.0 + F.col("l_tax") * 300.0).alias("y2"))
-    o = supp.select("image", F.col("box").alias("obox"), F.col("l_suppkey").alias("osupp"), *[F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")])
+    b = boxes(spark, sf_dir, F.col("l_suppkey"))
+    tasks = tasks_for(b)
+    own, other = dealt(b.drop("class_name"), tasks, "image"), dealt(b.select("image", *[F.col(c).alias(f"o{c}") for c in ("box", "l_suppkey", "x1", "y1", "x2", "y2")]), tasks, "image")
     over = g.iou(tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), tuple(F.col(f"o{c}") for c in ("x1", "y1", "x2", "y2")))
-    hit = supp.join(o, "image").filter(((F.col("box") != F.col("obox")) | (F.col("l_suppkey") != F.col("osupp"))) & (over > 0.3)).select("image", "box").distinct()
-    return b.select("image", "box").distinct().join(hit.withColumn("hit", F.lit(1)), ["image", "box"], "left").agg(F.count(F.lit(1)).alias("boxes"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("occluded"))
+    hit = own.join(other, "image").filter(((F.col("box") != F.col("obox")) | (F.col("l_suppkey") != F.col("ol_suppkey"))) & (over > 0.3)).select("image", "box").distinct()
+    every = dealt(b.select("image", "box"), tasks, "image").distinct()
+    return every.agg(F.count(F.lit(1)).alias("boxes")).join(hit.agg(F.count(F.lit(1)).alias("occluded")))
 
 
 @query("SELECT coalesce(lang, 'all') AS lang, coalesce(size_bin, 'all') AS size_bin, count(*) AS n FROM (SELECT lang, CASE WHEN n_chars < 200 THEN 'small' WHEN n_chars < 2000 THEN 'medium' ELSE 'large' END AS size_bin FROM documents) GROUP BY CUBE (lang, size_bin)")
