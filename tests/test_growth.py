@@ -3,12 +3,14 @@
 import itertools
 import math
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 from perimetra.functions import stats
-from perimetra.operators import evaluation, events, grouping, ranging, stateful, tracks
+from perimetra.operators import evaluation, events, grouping, ranging, search, stateful, tracks
 from perimetra.plans import catalogue
+from perimetra.sources import store
 from pyspark.sql import functions as F
 
 
@@ -167,3 +169,25 @@ def test_a_crowd_of_boxes_takes_as_many_rounds_as_it_keeps():
     began = time.perf_counter()
     kept = stateful.kept_boxes(np.zeros(n, int), box, 0.3, 300, np.zeros(0, int))
     assert time.perf_counter() - began < 5 and 15 < len(kept) < 40
+
+
+def test_rows_beyond_a_task_are_dealt_to_more(spark, monkeypatch, capsys):
+    rng = np.random.default_rng(6)
+    rows = [(int(i // 6), "ab"[int(c)], int(i), float(v) / 20, float(x), 0.0, float(x) + 20.0, 20.0) for i, (c, v, x) in enumerate(zip(rng.integers(0, 2, 600), rng.integers(0, 20, 600), rng.integers(0, 20, 600), strict=True))]
+    pred = spark.createDataFrame(rows, "image long, cls string, pred_id long, conf double, x1 double, y1 double, x2 double, y2 double")
+    gt = pred.filter("pred_id % 2 = 0").withColumnRenamed("pred_id", "gt_id").drop("conf")
+    made = lambda: (evaluation.match(gt, pred), evaluation.curve(pred.withColumn("gt_id", F.when(F.col("pred_id") % 3 > 0, 1)), gt))
+    usual = [sorted(map(str, df.collect())) for df in made()]
+    monkeypatch.setattr(store, "ROWS_AT_ONCE", 60)  # ten tasks, where the session has four
+    for df, want in zip(made(), usual, strict=True):
+        df.explain()
+        assert ", 10), REPARTITION_BY_NUM" in capsys.readouterr().out and sorted(map(str, df.collect())) == want
+
+
+def test_shingles_of_a_batch_are_not_held_at_once():
+    text = " ".join(f"word{i}" for i in range(4000))
+    tracemalloc.start()
+    hashes = search.majorities(search._shingled(f"{text} {k}") for k in range(150))  # 600,000 shingles
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hashes) == 150 and peak < 40e6
