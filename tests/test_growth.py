@@ -5,6 +5,7 @@ import math
 import time
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pandas as pd
 from perimetra.functions import stats
@@ -107,6 +108,19 @@ def test_headings_at_an_edge_are_cut_like_the_statement(spark):
     assert got[0]["flow"] == "ttb" and got[3]["h"] == 0.0
 
 
+def test_tracks_along_a_diagonal_have_the_statements_labels(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    start, way, turn = rng.uniform(0, 500, 4000).round(2), rng.integers(1, 100, 4000), rng.choice([-1, 1], (2, 4000))
+    began, took = rng.integers(0, 40_000_000_000, 4000), rng.integers(1, 40_000_000_000, 4000)
+    rows = [(user, "view", int(t), x, y) for user in range(4000) for t, x, y in ((began[user], start[user], 100), (began[user] + took[user], round(start[user] + turn[0, user] * way[user], 2), 100 + turn[1, user] * way[user]))]
+    pd.DataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(microseconds=t), user, kind, float(x), f'{{"k": {y}}}') for i, (user, kind, t, x, y) in enumerate(rows)], columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+        told = db.sql(catalogue.oracle_sql()["direction_labels"]).fetchall()
+    got = catalogue.queries()["direction_labels"](spark, str(tmp_path)).collect()
+    assert len(told) == 4000 and sorted(told) == sorted(map(tuple, got))
+
+
 def test_ordering_once_gives_what_the_curves_give(spark):
     rng = np.random.default_rng(8)
     rows = [(int(i // 5), int(i), "abcz"[int(c)], float(v) / 40, int(a), int(b)) for i, (c, v, a, b) in enumerate(zip(rng.integers(0, 4, 400), rng.integers(0, 41, 400), rng.random(400) < 0.6, rng.random(400) < 0.1, strict=True))]
