@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,46 +110,87 @@ def first_bad(blocks: DataFrame, own_hash: Column, order: str = "id") -> DataFra
 HALVINGS = 10
 
 
-def _subtree(hashes: Sequence[bytes], variant: str, alone: bool) -> bytes:
-    """The node that HALVINGS levels make of the hashes; an only block of a tree ends at its root."""
+def _levels(hashes: Sequence[bytes]) -> list[list[bytes]]:
+    """All levels of the tree over the hashes (promote), from the hashes up to its one node."""
+    levels = [list(hashes)]
+    while len(level := levels[-1]) > 1:
+        levels.append([_parent(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)])
+    return levels
+
+
+def _subtree(hashes: Sequence[bytes], variant: str, alone: bool, halvings: int) -> bytes:
+    """The node that so many levels make of the hashes; an only block of a tree ends at its root."""
+    if variant == "promote":
+        return _levels(hashes)[-1][0]
     level = list(hashes)
-    for _ in range(HALVINGS):
-        if len(level) == 1 and (alone or variant == "promote"):
+    for _ in range(halvings):
+        if len(level) == 1 and alone:
             break
-        if variant == "promote":
-            level = [_parent(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        else:
-            pairs = [(level[i], level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
-            level = [hashlib.sha256((a.hex() + b.hex()).encode()).digest() for a, b in pairs]
+        pairs = [(level[i], level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+        level = [hashlib.sha256((a.hex() + b.hex()).encode()).digest() for a, b in pairs]
     return level[0]
 
 
-def _paths(hashes: Sequence[bytes], alone: bool) -> list[list[bytes]]:
-    """For each of the hashes, its sibling on every level of `_subtree` (promote) that has one."""
-    level, paths = list(hashes), [[] for _ in hashes]
-    for step in range(HALVINGS):
-        if len(level) == 1:
-            break
-        for at, path in enumerate(paths):
-            other = (at >> step) ^ 1
-            if other < len(level):
-                path.append(level[other])
-        level = [_parent(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return paths
+@lru_cache(64)
+def _siblings(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For n nodes of a block, where on each level (all levels one after another) their siblings are, and which have one."""
+    where, has, width, before = [], [], n, 0
+    while width > 1:
+        other = (np.arange(n) >> len(where)) ^ 1
+        where.append(other + before)
+        has.append(other < width)
+        before, width = before + width, (width + 1) // 2
+    return np.array(where, np.int64).reshape(-1, n).T, np.array(has, np.bool_).reshape(-1, n).T
 
 
-def _numbered(leaves: DataFrame, by: Sequence[str], variant: str) -> tuple[DataFrame, int]:
-    """by, place (from 0, in order), leaves, h of each leaf, and the rounds that the largest group takes."""
-    hashed = F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), F.unhex("hash")), 256)) if variant == "promote" else F.unhex("hash")
+def _numbered(leaves: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:
+    """by, place (from 0, in order), leaves, hash of each leaf, and the rounds that the largest group takes."""
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     most = leaves.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    level = leaves.select(*by, "hash", (F.row_number().over(whole.orderBy("place")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(whole).alias("leaves"), hashed.alias("h"))
+    level = leaves.select(*by, "hash", (F.row_number().over(whole.orderBy("place")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(whole).alias("leaves"))
     return level, max(1, -(-(most - 1).bit_length() // HALVINGS))
 
 
-def _blocks(level: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, leaves, place, p: neighbouring nodes, 2**HALVINGS at most, in order, as one row."""
-    return level.groupBy(*by, "leaves", F.shiftright("place", HALVINGS).alias("place")).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("at"), "h"))).alias("p"))
+def _leaf(variant: str) -> Column:
+    return F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), F.unhex("hash")), 256)) if variant == "promote" else F.unhex("hash")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], begins: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The sorted rows, cut where blocks begin, and the rows that begin one."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(begins(batch.column("place").to_numpy()))
+        if len(starts) and rest:
+            yield _joined([*rest, batch.slice(0, starts[-1])], begins) if starts[-1] else _joined(rest, begins)
+        elif len(starts) and starts[-1]:
+            yield _joined([batch.slice(0, starts[-1])], begins)
+        rest = [batch.slice(starts[-1])] if len(starts) else [*rest, batch]
+    if rest:
+        yield _joined(rest, begins)
+
+
+def _joined(parts: list[pa.RecordBatch], begins: Callable[[np.ndarray], np.ndarray]) -> tuple[pa.RecordBatch, np.ndarray]:
+    rows = pa.concat_batches(parts)
+    return rows, np.flatnonzero(begins(rows.column("place").to_numpy()))
+
+
+def _blocks(level: DataFrame, by: Sequence[str], variant: str, k: int, deal: bool = True) -> DataFrame:
+    """by, leaves, place, h: the nodes that round k makes of a level's neighbouring nodes, 2**HALVINGS at most; a task holds a few
+    blocks of its sorted rows at once. Blocks are dealt to the tasks, unless each group is one and stays where it was numbered."""
+    halvings = HALVINGS
+    size = 1 << halvings
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _whole(batches, lambda place: place % size == 0):
+            nodes, ends = rows.column("h").to_pylist(), [*starts[1:].tolist(), len(rows)]
+            alone = rows.column("leaves").to_numpy()[starts] <= 1 << (halvings * (k + 1))
+            made = [_subtree(nodes[a:b], variant, bool(only), halvings) for a, b, only in zip(starts.tolist(), ends, alone, strict=True)]
+            first = rows.take(pa.array(starts))
+            yield pa.RecordBatch.from_arrays([*(first.column(c) for c in (*by, "leaves")), pa.array(first.column("place").to_numpy() >> halvings), pa.array(made, pa.binary())], [*by, "leaves", "place", "h"])
+
+    rows = level.select(*by, "leaves", "place", "h")
+    dealt = rows.repartition(*by, F.shiftright("place", HALVINGS)) if deal else rows
+    return dealt.sortWithinPartitions(*by, "place").mapInArrow(fold, rows.schema)
 
 
 def merkle_root(leaves: DataFrame, by: Sequence[str], variant: str = "promote") -> DataFrame:
@@ -155,50 +200,109 @@ def merkle_root(leaves: DataFrame, by: Sequence[str], variant: str = "promote")
     last node is paired with itself. Blocks of 2**HALVINGS neighbouring nodes become one node a round, wherever they are,
     so that one group's tree is built by many tasks; rounds go on until the largest group is one node.
     """
-    level, rounds = _numbered(leaves, by, variant)
-
-    def fold(hashes: pd.Series, alone: pd.Series) -> pd.Series:
-        return pd.Series([_subtree([bytes(x) for x in own], variant, bool(only)) for own, only in zip(hashes, alone, strict=True)])
-
+    level, rounds = _numbered(leaves, by)
+    level = level.withColumn("h", _leaf(variant))
     for k in range(rounds):
-        alone = F.col("leaves") <= F.lit(1 << (HALVINGS * (k + 1)))
-        level = _blocks(level, by).select(*by, "leaves", "place", F.pandas_udf(fold, "binary")(F.transform("p", lambda x: x["h"]), alone).alias("h"))
+        level = _blocks(level, by, variant, k, rounds > 1)
     return level.select(*by, F.lower(F.hex("h")).alias("root"), "leaves")
 
 
+def _proved(level: DataFrame, above: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    """The level's columns but h, with proof (hashes as hex, from the node up) and root of each node (by, place, h).
+
+    above: the same of the level that HALVINGS levels make of this one, a row for each block; none at the top. Such a row
+    comes before its block's rows, so that a path is moved once for all nodes below it.
+    """
+    size, kept = 1 << HALVINGS, [c for c in level.columns if c != "h"]
+    rows = level.withColumns({"__block": F.shiftright("place", HALVINGS), "proof": F.lit(None).cast("array<string>"), "root": F.lit(None).cast("string")})
+    if above is not None:
+        heads = above.select(*by, F.col("place").alias("__block"), F.lit(-1).cast("long").alias("place"), "proof", "root")
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _whole(batches, (lambda place: place % size == 0) if above_none else (lambda place: place < 0)):
+            nodes, words, where, counts, roots, base = rows.column("h"), [], [], [], [], 0
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+                first = a if above_none else a + 1
+                levels = _levels(nodes.slice(first, b - first).to_pylist())
+                path = [] if above_none else rows.column("proof")[a].as_py()
+                siblings, has = _siblings(b - first)
+                up = np.arange(len(path)) + sum(map(len, levels))
+                at = np.concatenate((siblings, np.broadcast_to(up, (b - first, len(path)))), axis=1) + base
+                has = np.concatenate((has, np.ones((b - first, len(path)), np.bool_)), axis=1)
+                where.append(at[has])
+                counts.append(has.sum(axis=1))
+                words += [h.hex() for level in levels for h in level] + path
+                roots += [levels[-1][0].hex() if above_none else rows.column("root")[a].as_py()] * (b - first)
+                base = len(words)
+            own = rows if above_none else rows.filter(pc.greater_equal(rows.column("place"), 0))
+            ends = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
+            proofs = pa.ListArray.from_arrays(pa.array(ends), pa.array(words, pa.string()).take(pa.array(np.concatenate(where))))
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), proofs, pa.array(roots, pa.string())], [*kept, "proof", "root"])
+
+    above_none = above is None
+    out = rows.select(*kept, "proof", "root").schema
+    return rows.repartition(*by, "__block").sortWithinPartitions(*by, "__block", "place").mapInArrow(fold, out)
+
+
 def inclusion_proofs(leaves: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, index, hash, leaves, proof, root: for every leaf (columns place, hash) of every group, the sibling hashes from the
     leaf up in its group's tree (`promote`), all at once.
 
-    A round takes blocks of 2**HALVINGS nodes, gives each node its siblings within its block and the block its node; a
-    leaf's proof joins those of the nodes above it, round by round.
+    Nodes of blocks of 2**HALVINGS nodes are made round by round up to the roots; then, from the top down, each node's path
+    is its siblings within its block and the path of the block's own node. Rows stream through sorted by block, and proofs
+    are made in the last step only.
     """
-    level, rounds = _numbered(leaves, by, "promote")
-    parts = "root binary, paths array<array<binary>>"
+    level, rounds = _numbered(leaves, by)
+    levels = [(settled(level) if rounds > 1 else level).withColumn("h", _leaf("promote"))]
+    for k in range(rounds - 1):
+        levels.append(settled(_blocks(levels[-1], by, "promote", k)))
+    proofs = None
+    for level in reversed(levels):
+        proofs = _proved(level, proofs, by)
+    return proofs.select(*by, F.col("place").alias("index"), "hash", "leaves", "proof", "root")
 
-    def fold(hashes: pd.Series, alone: pd.Series) -> pd.DataFrame:
-        own = [[bytes(x) for x in h] for h in hashes]
-        return pd.DataFrame({"root": [_subtree(h, "promote", bool(a)) for h, a in zip(own, alone, strict=True)], "paths": [_paths(h, bool(a)) for h, a in zip(own, alone, strict=True)]})
 
-    proofs = level.select(*by, "leaves", F.col("place").alias("index"), "hash", F.array().cast("array<binary>").alias("proof"))
-    for k in range(rounds):
-        alone = F.col("leaves") <= F.lit(1 << (HALVINGS * (k + 1)))
-        made = settled(_blocks(level, by).select(*by, "leaves", "place", F.transform("p", lambda x: x["at"]).alias("at"), F.pandas_udf(fold, parts)(F.transform("p", lambda x: x["h"]), alone).alias("m")))
-        nodes = made.select(*by, F.explode(F.arrays_zip("at", F.col("m.paths").alias("path"))).alias("x")).select(*by, F.col("x.at").alias("__at"), F.col("x.path").alias("path"))
-        proofs = proofs.withColumn("__at", F.shiftright("index", HALVINGS * k)).join(nodes, [*by, "__at"]).withColumn("proof", F.concat("proof", "path")).drop("__at", "path")
-        level = made.select(*by, "leaves", "place", F.col("m.root").alias("h"))
-    root = level.select(*by, F.lower(F.hex("h")).alias("root"))
-    proofs = proofs.join(root, list(by)) if by else proofs.join(F.broadcast(root))
-    return proofs.withColumn("proof", F.transform("proof", lambda h: F.lower(F.hex(h))))
+#: Nodes that a check of proofs remembers: neighbouring leaves share most of what is above them.
+REMEMBERED = 4096
 
 
 def proven(proofs: DataFrame) -> Column:
     """Whether each row's proof (see `inclusion_proofs`) leads from its hash to its root."""
 
-    def check(hashes: pd.Series, proof: pd.Series, index: pd.Series, leaves: pd.Series, root: pd.Series) -> pd.Series:
-        return pd.Series([verify_inclusion(h, list(p), int(i), int(n), r) for h, p, i, n, r in zip(hashes, proof, index, leaves, root, strict=True)])
+    def check(hashes: pa.Array, proof: pa.Array, index: pa.Array, leaves: pa.Array, root: pa.Array) -> pa.Array:
+        parent, words = lru_cache(REMEMBERED)(_parent), proof.flatten()
+        whole = pc.all(pc.equal(pc.binary_length(words), 64)).as_py() is not False and not proof.null_count and not words.null_count
+        if not whole:  # some are no hashes
+            return pa.array([verify_inclusion(*row) for row in zip(*(x.to_pylist() for x in (hashes, proof, index, leaves, root)), strict=True)], pa.bool_())
+        path, ends = bytes.fromhex(_text(words)), np.concatenate(([0], np.cumsum(pc.list_value_length(proof)))) * 32
+        rows = zip(*(x.to_pylist() for x in (hashes, index, leaves, root)), ends.tolist(), ends[1:].tolist(), strict=False)
+        return pa.array([_leads(bytes.fromhex(h), path[a:b], at, count, r, parent) for h, at, count, r, a, b in rows], pa.bool_())
+
+    return F.arrow_udf(check, "boolean")(*[proofs[c] for c in ("hash", "proof", "index", "leaves", "root")])
+
 
-    return F.pandas_udf(check, "boolean")(*[proofs[c] for c in ("hash", "proof", "index", "leaves", "root")])
+def _text(words: pa.Array) -> str:
+    """All strings of an array as one."""
+    if not len(words):
+        return ""
+    start = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return words.buffers()[2][int(start[0]) : int(start[-1])].to_pybytes().decode()
+
+
+def _leads(leaf: bytes, path: bytes, index: int, count: int, root: str, parent: Callable[[bytes, bytes], bytes]) -> bool:
+    """`verify_inclusion` of a path whose hashes are one after another."""
+    if not 0 <= index < count:
+        return False
+    node, at, width, done = hashlib.sha256(b"\x00" + leaf).digest(), index, count, 0
+    while width > 1:
+        if at ^ 1 < width:
+            other = path[done : done + 32]
+            if not other:
+                return False
+            node, done = parent(other, node) if at & 1 else parent(node, other), done + 32
+        at, width = at >> 1, (width + 1) >> 1
+    return done == len(path) and node.hex() == root
 
 
 def _parent(left: bytes, right: bytes) -> bytes:

@@ -1,9 +1,12 @@
 """Windows over frames, grids of suppression limits, split policies, proofs, recovery, stretches without rows."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from perimetra.operators import datasets, evaluation, events, evidence, ranging, stateful, tracks, windows
 from perimetra.sources import readers
+from perimetra.sources.store import settled
 from pyspark.sql import functions as F
 
 # windows
@@ -131,6 +134,30 @@ def test_proofs_of_whole_groups(spark, monkeypatch, halvings):
     assert other.filter(evidence.proven(other)).count() == 0
 
 
+def test_paths_are_not_written_on_their_way_to_the_proofs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(evidence, "settled", lambda df: written.append(df) or settled(df))
+    n = 12_000
+    hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+    leaves = spark.createDataFrame([("g", i, h) for i, h in enumerate(hashes)], "g string, place long, hash string")
+    made = evidence.inclusion_proofs(leaves, ["g"])
+    assert written and not [df.columns for df in written if any(kind.startswith(("array", "struct")) for _, kind in df.dtypes)]
+    assert made.filter(evidence.proven(made)).count() == n
+    own = {r["index"]: list(r["proof"]) for r in made.filter("index in (0, 1023, 1024, 11999)").collect()}
+    assert own == {i: evidence.inclusion_proof(hashes, i) for i in (0, 1023, 1024, 11999)}
+
+
+def test_proofs_cut_short_or_of_other_words_do_not_stand(spark):
+    hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(5)]
+    proof = evidence.inclusion_proof(hashes, 1)
+    root = evidence.merkle_root(spark.createDataFrame([("g", i, h) for i, h in enumerate(hashes)], "g string, place long, hash string"), ["g"]).first()["root"]
+    rows = [(hashes[1], proof, 1), (hashes[1], proof[:-1], 1), (hashes[1], [*proof, proof[0]], 1), (hashes[1], [], 1), (hashes[1], proof, 0), (hashes[1], proof, 5)]
+    odd = [(hashes[1], [proof[0][:62], *proof[1:]], 1), (hashes[1], proof, 1)]
+    for given, stands in ((rows, [True] + [False] * 5), (odd, [False, True])):
+        df = spark.createDataFrame([(i, *r, 5, root) for i, r in enumerate(given)], "i long, hash string, proof array<string>, index long, leaves long, root string").coalesce(1)
+        assert [r["ok"] for r in df.select("i", evidence.proven(df).alias("ok")).orderBy("i").collect()] == stands
+
+
 # recovery
 
 
